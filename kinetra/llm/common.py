@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, which separates words: space and \t \n \x0b \x0c \r.
-WHITE = "\t\n\x0b\x0c\r"
+#: A run of ASCII white space, which separates words.
+BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,15 +43,9 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only; other letters stay as they are."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def words(text: Column) -> Column:
     """Words between ASCII white space; null and empty texts have none."""
-    blank = F.translate(F.coalesce(text, F.lit("")), WHITE, " " * len(WHITE))
-    return F.array_remove(F.split(blank, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
 
 
 def text_key(text: Column) -> Column:

@@ -4,8 +4,26 @@ from __future__ import annotations
 
 from .bpe import op6_bpe
 from .decontam import OP10_SQL, op10_decontamination
+from .html_text import op7_html
+from .line_dedup import OP3_SQL, op3_line_dedup
+from .pii import op4_pii
+from .quality import OP8_SQL, op8_quality
 from .sharding import OP1_SQL, op1_sharding
 from .simhash import op2_simhash
+from .substring import op5_substring
+from .warc import OP9_SQL, op9_warc
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_simhash": op2_simhash, "op6_bpe": op6_bpe, "op10_decontamination": op10_decontamination}
-SQL = {"op1_sharding": OP1_SQL, "op10_decontamination": OP10_SQL}
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_simhash": op2_simhash,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_pii": op4_pii,
+    "op5_substring": op5_substring,
+    "op6_bpe": op6_bpe,
+    "op7_html": op7_html,
+    "op8_quality": op8_quality,
+    "op9_warc": op9_warc,
+    "op10_decontamination": op10_decontamination,
+}
+#: SQL has no XXH64, byte-level BPE, iterative bootstrapping or HTML; tests hold those four and op5 against brute force.
+SQL = {"op1_sharding": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_quality": OP8_SQL, "op9_warc": OP9_SQL, "op10_decontamination": OP10_SQL}
