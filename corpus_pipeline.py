@@ -8,10 +8,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetra.llm import bpe, decontam, simhash
+from kinetra.llm import bpe, decontam, line_dedup, quality, simhash
 from kinetra.llm.common import materialize, read
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules go; boilerplate lines of a host go from the others."""
+    return quality.apply_quality(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go, and with them the documents of which nothing is left."""
+    rows = line_dedup.dedup_lines(docs)
+    return rows.where((rows.n_deleted == 0) | (rows.n_deleted < rows.n_lines)).select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that of the smallest doc_id."""
     return simhash.near_dedup(docs)
@@ -27,7 +38,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs, *bpe.default_vocabulary())
 
 
-STAGES = [("near_dedup", near_dedup), ("decontaminate", decontaminate), ("encode", encode)]
+STAGES = [("quality_rules", quality_rules), ("dedup_lines", dedup_lines), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("encode", encode)]
 
 #: SQL has neither XXH64 nor byte-level BPE; tests compare run() with a brute-force version.
 ORACLE_SQL = None
