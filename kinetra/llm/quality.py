@@ -62,7 +62,10 @@ def base_rules(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     )
     covered = F.size(F.array_union(F.array_union("starts", F.transform("starts", lambda i: i + 1)), F.transform("starts", lambda i: i + 2)))
     rows = rows.select(key, "_text_key", F.col("n").cast("long").alias("n_words"), *[F.col(c).cast("long") for c in ("word_chars", "n_symbols", "n_dup_lines")], covered.cast("long").alias("n_repeat_words"))
-    return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    # A generator of one row each: a later filter stays above it, and doesn't copy the expressions below into its condition.
+    facts = F.explode(F.array(F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))).alias("facts")
+    return rows.select(key, "_text_key", facts).select(key, "_text_key", "facts.*")
 
 
 def boilerplate(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = 20, min_share: float = 0.05) -> tuple[DataFrame, DataFrame]:
