@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def split_terms(side: Column, separators: str = "+") -> Column:
     """Terms of 'A+B'; a plus inside square brackets is a charge and doesn't split."""
-    return F.filter(F.transform(F.split(side, rf"[{separators}](?![^\[]*\])"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(side, rf"[{separators}](?![^\[]*\])"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def side_key(side: Column) -> Column:
