@@ -195,3 +195,22 @@ def rate_constants(rates: DataFrame, series: DataFrame, volume_a3: float, timest
     k = F.when((F.col("k_order") == 1) & (F.col("t") > 0) & (F.col("mean_a") > 0), F.col("count") / (F.col("t") * F.col("mean_a"))).when((F.col("k_order") == 2) & (F.col("t") > 0) & (F.col("mean_a") > 0) & (F.col("mean_b") > 0), second)
     missing = F.filter(F.array(F.when(F.coalesce("mean_a", F.lit(0.0)) == 0, F.col("reactant_a")), F.when((F.col("k_order") == 2) & (F.coalesce("mean_b", F.lit(0.0)) == 0), F.col("reactant_b"))), lambda x: x.isNotNull())
     return rows.select("reaction_key", "count", "k_order", "reactant_a", "reactant_b", "mean_a", "mean_b", k.alias("k"), missing.alias("k_missing"))
+
+
+def drilldown(merged: DataFrame, summary: DataFrame, dim: DataFrame, element: str, group_count: int, timestep: int, present: tuple = (), absent: tuple = (), ranges: dict | None = None) -> DataFrame:
+    """Species of one element count: the count at a timestep, the peak and its time."""
+    keep = dim.where(matches_elements(F.col("atom_counts"), present, absent, ranges) & (count_of(F.col("atom_counts"), element) == group_count)).select("smiles", "formula")
+    now = snapshot(merged, timestep).select("smiles", F.col("count").alias("current_count"))
+    rows = summary.join(keep, "smiles").join(now, "smiles", "left")
+    return rows.select("smiles", "formula", F.coalesce("current_count", F.lit(0)).alias("current_count"), "peak_count", "peak_timestep", "total_count")
+
+
+def with_flux(candidates: DataFrame, stats: DataFrame, merged_sides: DataFrame, n: int = 3) -> DataFrame:
+    """Screened species with their throughput, and the n largest reactions that make and that take them, as text."""
+    one = merged_sides.select("species", "role", "reaction_key", "tp").distinct()
+    top = one.withColumn("n", F.row_number().over(Window.partitionBy("species", "role").orderBy(F.desc("tp"), "reaction_key"))).where(F.col("n") <= n)
+    line = F.struct("n", F.concat(F.col("reaction_key"), F.lit(" (tp="), F.col("tp").cast("string"), F.lit(")")).alias("x"))
+    text = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, line))), lambda s: s["x"]), " | ")
+    tops = top.groupBy("species").agg(text("produce").alias("top_sources"), text("consume").alias("top_sinks"))
+    flux = stats.select("species", "tp_consume", "tp_produce", "net_production").join(tops, "species").withColumnRenamed("species", "smiles")
+    return candidates.join(flux, "smiles", "left")

@@ -143,3 +143,9 @@ def with_share(rows: DataFrame, metric: Column, order: list) -> DataFrame:
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.join(total, how="cross").withColumn("share", F.when(F.col("_total") != 0, metric / F.col("_total")).otherwise(0.0))
     return rows.withColumn("cumulative", F.when(F.col("_total") != 0, F.sum(metric).over(w) / F.col("_total")).otherwise(0.0)).drop("_total")
+
+
+def reaction_terms(merged: DataFrame, dim: DataFrame) -> DataFrame:
+    """(reaction_key, role, species, multiplicity, formula): the distinct terms of both sides."""
+    rows = sides(merged).groupBy("reaction_key", "role", "species").agg(F.count("*").alias("multiplicity"))
+    return rows.join(dim.select(F.col("smiles").alias("species"), "formula"), "species", "left")

@@ -179,3 +179,11 @@ def bond_changes(bonds: DataFrame) -> DataFrame:
     rows = bonds.select("event_id", "side", F.least("atom1", "atom2").alias("atom1"), F.greatest("atom1", "atom2").alias("atom2"))
     seen = rows.groupBy("event_id", "atom1", "atom2").agg(F.max((F.col("side") == "before").cast("int")).alias("b"), F.max((F.col("side") == "after").cast("int")).alias("a"))
     return seen.select("event_id", "atom1", "atom2", F.when(F.col("b") + F.col("a") == 2, "kept").when(F.col("a") == 1, "formed").otherwise("broken").alias("state"))
+
+
+def occurrence_check(steps: DataFrame, occurrences: DataFrame, limit: int = 3) -> DataFrame:
+    """Path steps (start, rank, step, reaction_key) with the number of events of exactly that key, the first of them, and whether there is any."""
+    keyed = occurrences.withColumn("n", F.row_number().over(Window.partitionBy("reaction_key").orderBy("transition", "event_id")))
+    seen = keyed.groupBy("reaction_key").agg(F.count("*").alias("n_events"), F.array_sort(F.collect_list(F.when(F.col("n") <= limit, F.struct("n", "event_id")))).alias("first"))
+    rows = steps.join(seen, "reaction_key", "left")
+    return rows.select(*steps.columns, F.coalesce("n_events", F.lit(0)).alias("n_events"), F.transform(F.coalesce("first", F.expr("cast(array() as array<struct<n:int,event_id:string>>)")), lambda x: x["event_id"]).alias("events"), F.col("n_events").isNotNull().alias("can_assert_occurrence"))

@@ -173,3 +173,50 @@ def path_steps(paths: DataFrame) -> DataFrame:
     return paths.select("start", "rank", "species", "scores", "score", F.posexplode("reaction_keys").alias("i", "reaction_key")).select(
         "start", "rank", (F.col("i") + 1).alias("step"), F.get("species", F.col("i")).alias("input"), F.get("species", F.col("i") + 1).alias("output"), "reaction_key", F.get("scores", F.col("i")).alias("step_score"), F.col("score").alias("path_score")
     )
+
+
+# The two events of a hydrogen molecule that falls apart and forms again.
+PURE_H_KEYS = ("[H]+[H]->[H][H]", "[H][H]->[H]+[H]")
+
+
+def filter_signatures(signatures: DataFrame, hide_pure_h: bool = False, hide_return_cycles: bool = False, min_support: float = 0.0, min_lineages: int = 0) -> DataFrame:
+    """Signatures that pass, ranked: by support, lineages and occurrences, then by name."""
+    keys = F.split("signature", " => ", -1)
+    rows = signatures.withColumn("pure_h_cycle", F.forall(keys, lambda k: k.isin(*PURE_H_KEYS))).withColumn("return_cycle", (F.size(keys) >= 3) & (F.get(keys, F.lit(0)) == F.element_at(keys, -1)))
+    rows = rows.where((F.col("support") >= min_support) & (F.col("n_atoms") >= min_lineages))
+    rows = rows.where("not pure_h_cycle") if hide_pure_h else rows
+    rows = rows.where("not return_cycle") if hide_return_cycles else rows
+    return rows.orderBy(F.desc("n_replicates"), F.desc("n_atoms"), F.desc("n_occurrences"), "signature")
+
+
+def cascade(merged: DataFrame, dim: DataFrame, starts: DataFrame, max_depth: int = 5, branches: int = 5, min_net: int = 1, min_fraction: float = 0.01, direction: str = "downstream") -> DataFrame:
+    """(start, depth, parent, smiles, reaction_key, tp, fraction, net_tp, reversible): from each start (column start) the largest channels, each followed to its heaviest new species.
+
+    A state looks at its 3 * branches largest channels, drops those below the limits, keeps one for each major species, and
+    of these the first `branches`; so the frontier of a start is bounded, and its levels are joins.
+    """
+    source, target = ("reactants", "products") if direction == "downstream" else ("products", "reactants")
+    flux = with_reverse(merged)
+    terms = flux.select("reaction_key", "tp", "net_tp", "reversible", F.col(target).alias("outs"), F.explode(source).alias("here"))
+    total = Window.partitionBy("here")
+    channels = terms.withColumn("fraction", F.col("tp") / F.sum("tp").over(total)).dropDuplicates(["here", "reaction_key"])
+    channels = channels.withColumn("n", F.row_number().over(total.orderBy(F.desc("tp"), "reaction_key"))).where(F.col("n") <= 3 * branches)
+    heavy = dim.select(F.col("smiles").alias("o"), F.col("n_heavy"))
+    outs = channels.select("here", "reaction_key", F.explode(F.array_distinct("outs")).alias("o")).join(heavy, "o")
+    ranked = outs.groupBy("here", "reaction_key").agg(F.array_sort(F.collect_list(F.struct((-F.col("n_heavy")).alias("w"), "o"))).alias("outs"))
+    channels = cut(channels.drop("outs").where((F.col("net_tp") >= min_net) & (F.col("fraction") >= min_fraction)).join(ranked, ["here", "reaction_key"]))
+    frontier = starts.select("start", F.col("start").alias("here"), F.array("start").alias("seen"))
+    levels = []
+    for depth in range(1, max_depth + 1):
+        rows = frontier.join(channels, "here")
+        fresh = F.filter("outs", lambda x: ~F.array_contains(F.col("seen"), x["o"]))
+        rows = rows.withColumn("smiles", F.coalesce(F.get(fresh, F.lit(0))["o"], F.get("outs", F.lit(0))["o"])).withColumn("new", F.size(fresh) > 0)
+        state = Window.partitionBy("start", "seen")
+        rows = rows.withColumn("m", F.row_number().over(Window.partitionBy("start", "seen", "smiles").orderBy("n"))).where("m = 1").withColumn("m", F.row_number().over(state.orderBy("n"))).where(F.col("m") <= branches)
+        rows = cut(rows)
+        levels.append(rows.select("start", F.lit(depth).alias("depth"), F.col("here").alias("parent"), "smiles", "reaction_key", "tp", "fraction", "net_tp", "reversible"))
+        frontier = rows.where("new").select("start", F.col("smiles").alias("here"), F.array_append("seen", F.col("smiles")).alias("seen"))
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.union(level)
+    return every

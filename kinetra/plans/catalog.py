@@ -179,6 +179,30 @@ def formula_reactions(spark, d):
     return rows.withColumn("share", _r("share", 9)).withColumn("cumulative", _r("cumulative", 9))
 
 
+@query("SELECT k AS reaction_key, role, s AS species, count(*) AS multiplicity, any_value(formula) AS formula FROM sides JOIN dim ON s = smi GROUP BY 1, 2, 3", N)
+def reaction_terms(spark, d):
+    return nw.reaction_terms(*_net_dim(spark, d))
+
+
+@query(
+    """, u AS (SELECT DISTINCT s, role, k, tp FROM sides), r AS (SELECT *, row_number() OVER (PARTITION BY s, role ORDER BY tp DESC, k) AS n FROM u),
+t AS (SELECT s, coalesce(string_agg(k || ' (tp=' || tp || ')', ' | ' ORDER BY n) FILTER (role = 'produce'), '') AS top_sources, coalesce(string_agg(k || ' (tp=' || tp || ')', ' | ' ORDER BY n) FILTER (role = 'consume'), '') AS top_sinks FROM r WHERE n <= 3 GROUP BY 1)
+SELECT s AS smiles, tc AS tp_consume, tpr AS tp_produce, tpr - tc AS net_production, top_sources, top_sinks FROM stats JOIN t USING (s)""",
+    N,
+)
+def flux_enrichment(spark, d):
+    merged, dim = _net_dim(spark, d)
+    return ab.with_flux(dim.select("smiles"), nw.species_stats(merged), nw.sides(merged))
+
+
+@query()
+def cascade(spark, d):
+    """Three levels downstream of every species."""
+    merged, dim = _net_dim(spark, d)
+    rows = pt.cascade(merged, dim, dim.select(F.col("smiles").alias("start")), max_depth=3, branches=3)
+    return rows.withColumn("fraction", _r("fraction", 9))
+
+
 # Abundance
 
 
@@ -303,6 +327,12 @@ def rate_constants(spark, d):
     return ab.rate_constants(rates, series, 1e6, 0.5).select("reaction_key", "count", (_r(F.col("k") / 1e12)).alias("k"))
 
 
+@query("SELECT su.smi AS smiles, formula, coalesce(a.n, 0) AS current_count, peak AS peak_count, peak_t AS peak_timestep, total AS total_count FROM su JOIN dim USING (smi) LEFT JOIN a ON a.smi = su.smi AND a.t = 60 WHERE c = 2 AND o > 0", A)
+def drilldown(spark, d):
+    merged, dim = _abundance(spark, d)
+    return ab.drilldown(merged, ab.species_summary(merged), dim, "C", 2, 60, present=("O",))
+
+
 # Occurrences
 
 
@@ -429,6 +459,15 @@ def candidate_paths(spark, d):
     return rows.select("start", "rank", F.array_join("species", " > ").alias("species"), F.array_join("reaction_keys", " => ").alias("reaction_keys"), _r("score", 9).alias("score"))
 
 
+@query("SELECT nt.k AS reaction_key, tp, count(ev.id) AS n_events, coalesce(min(ev.t), -1) AS first_transition, count(ev.id) > 0 AS can_assert_occurrence FROM nt LEFT JOIN ev ON ev.k = nt.k AND ev.ok GROUP BY 1, 2", E)
+def occurrence_check(spark, d):
+    """Reactions of the network with the matched events that bear exactly their key."""
+    events = ad.occurrences(spark, d).where("status = 'matched'")
+    rows = oc.occurrence_check(ad.event_network(spark, d).select("reaction_key", "tp"), events, 1)
+    first = events.groupBy("reaction_key").agg(F.min("transition").alias("t"))
+    return rows.join(first, "reaction_key", "left").select("reaction_key", "tp", "n_events", F.coalesce("t", F.lit(-1)).cast("long").alias("first_transition"), "can_assert_occurrence")
+
+
 # Replicates
 
 

@@ -1,0 +1 @@
+"""No streaming operators: the surveyed system has none."""
