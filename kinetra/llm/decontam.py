@@ -123,7 +123,7 @@ def _pass(docs: DataFrame, kind: str, searchers: list[WuManber], spark) -> DataF
     return docs.mapInArrow(run, f"key {kind}, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
-def find_contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, max_words: int = 20_000_000) -> DataFrame:
+def find_contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, max_words: int = 300_000) -> DataFrame:
     """key, n_words, n_hit, spans (word positions) and items (sorted ids as strings) of every document row."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
     slim = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -140,7 +140,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", t
     return every.select(F.col("key").alias(key), "n_words", F.aggregate("all", start, step)["n"].alias("n_hit"), F.col("all").alias("spans"), "items")
 
 
-def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, max_words: int = 20_000_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, max_words: int = 300_000) -> DataFrame:
     """The rows of docs that hold no window of the benchmark, with all their columns; nothing is shuffled."""
     at = docs.columns.index(text)
 

@@ -96,26 +96,28 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_w
         runs = runs.withColumn(f"{end}_rank", at(f"{end}r")).drop(*[f"{end}r{i}" for i in range(k + 1)]).where(F.col(f"{end}_rank").isNotNull())
     runs = materialize(runs.select("key", "tk", "a", "b", F.xxhash64((F.col("b") - F.col("a")), "a_rank", "c_rank").alias("name"), (F.col("b") - F.col("a")).alias("m"), "a_rank", "c_rank"))
     name = ["name", "m", "a_rank", "c_rank"]
-    first = runs.groupBy(*name).agg(F.min(F.struct("key", "tk", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written, so that the join below deals both sides out by itself and can split a common run.
+    first = materialize(runs.groupBy(*name).agg(F.min(F.struct("key", "tk", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = runs.join(first, name).where(~F.struct("key", "tk", "a").eqNullSafe(F.col("first")))
     return later.select("key", "tk", F.explode(F.sequence(F.col("a").cast("int"), (F.col("b") - 1).cast("int"))).alias("seq")).distinct()
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars", min_words: int = 20) -> DataFrame:
     """All rows and columns of df without the repeated lines, with n_lines (lines with words) and n_deleted; n_chars anew where lines went."""
-    gone = repeated_lines(df, key, text, min_words).groupBy("key", "tk").agg(F.collect_set("seq").alias("_gone"))
-    gone = gone.withColumn("_n", F.array_max("_gone") + 1)
+    df = df.drop(*({"n_lines", "n_deleted"} - {key, text}))  # the columns made here take their place
+    gone = repeated_lines(df, key, text, min_words).groupBy("key", "tk").agg(F.collect_set("seq").alias("_kx_gone"))
+    gone = gone.withColumn("_kx_n", F.array_max("_kx_gone") + 1)
     # A flag for each line up to the last deleted one, so that looking one up takes no search: gaps between sorted positions.
-    gone = gone.withColumn("_gone", F.sort_array("_gone")).withColumn("_keep", F.expr("flatten(transform(_gone, (x, i) -> concat(array_repeat(true, x - if(i = 0, 0, _gone[i - 1] + 1)), array(false))))"))
-    gone = gone.select("key", "tk", F.size("_gone").alias("_dropped"), "_keep")
-    rows = df.withColumn("_tk", text_key(F.col(text)))
-    rows = rows.join(gone, F.col(key).eqNullSafe(gone["key"]) & (F.col("_tk") == gone["tk"]), "left")
-    left = F.array_join(F.filter(_worded(F.col(text)), lambda x, i: F.coalesce(F.get("_keep", i), F.lit(True))), "\n")
-    changed = F.col("_dropped").isNotNull()
-    rows = rows.withColumn("_left", F.when(changed, left).otherwise(F.col(text)))
+    gone = gone.withColumn("_kx_gone", F.sort_array("_kx_gone")).withColumn("_kx_keep", F.expr("flatten(transform(_kx_gone, (x, i) -> concat(array_repeat(true, x - if(i = 0, 0, _kx_gone[i - 1] + 1)), array(false))))"))
+    gone = gone.select("key", "tk", F.size("_kx_gone").alias("_kx_dropped"), "_kx_keep")
+    rows = df.withColumn("_kx_tk", text_key(F.col(text)))
+    rows = rows.join(gone, F.col(key).eqNullSafe(gone["key"]) & (F.col("_kx_tk") == gone["tk"]), "left")
+    left = F.array_join(F.filter(_worded(F.col(text)), lambda x, i: F.coalesce(F.get("_kx_keep", i), F.lit(True))), "\n")
+    changed = F.col("_kx_dropped").isNotNull()
+    rows = rows.withColumn("_kx_left", F.when(changed, left).otherwise(F.col(text)))
     kinds = dict(df.dtypes)
-    out = [F.col("_left").alias(c) if c == text else F.when(changed, F.length("_left").cast(kinds[c])).otherwise(df[c]).alias(c) if c == n_chars else df[c] for c in df.columns]
-    return rows.select(*out, F.size(_worded(df[text])).cast("long").alias("n_lines"), F.coalesce("_dropped", F.lit(0)).cast("long").alias("n_deleted"))
+    out = [F.col("_kx_left").alias(c) if c == text else F.when(changed, F.length("_kx_left").cast(kinds[c])).otherwise(df[c]).alias(c) if c == n_chars else df[c] for c in df.columns]
+    return rows.select(*out, F.size(_worded(df[text])).cast("long").alias("n_lines"), F.coalesce("_kx_dropped", F.lit(0)).cast("long").alias("n_deleted"))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -79,11 +79,11 @@ def boilerplate(df: DataFrame, key: str = "doc_id", text: str = "text", host: st
     return rows, rows.join(above, ["host", "h1", "h2"]).where(~F.col("key").eqNullSafe(F.col("first"))).drop("first")
 
 
-def _by_document(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join on key and _text_key; nulls equal nulls."""
-    right = right.withColumnRenamed("key", "_key").withColumnRenamed("_text_key", "_right_key")
-    on = (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_text_key").eqNullSafe(F.col("_right_key")))
-    return left.join(right, on, "left").drop("_key", "_right_key")
+def _by_document(left: DataFrame, right: DataFrame, key: str, tk: str = "_text_key") -> DataFrame:
+    """Left join on key and text key; nulls equal nulls."""
+    right = right.withColumnRenamed("key", "_kx_key").withColumnRenamed("_text_key", "_kx_right_key")
+    on = (F.col(key).eqNullSafe(F.col("_kx_key"))) & (F.col(tk).eqNullSafe(F.col("_kx_right_key")))
+    return left.join(right, on, "left").drop("_kx_key", "_kx_right_key")
 
 
 def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = 20, min_share: float = 0.05, min_left: float = 0.2) -> DataFrame:
@@ -106,14 +106,14 @@ def apply_quality(df: DataFrame, key: str = "doc_id", text: str = "text", host:
     The base rule judges the text as it came.
     """
     _, gone = boilerplate(df, key, text, host, min_docs, min_share)
-    sets = gone.groupBy("key", "_text_key").agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))
+    sets = gone.groupBy("key", "_text_key").agg(F.collect_set(F.struct("h1", "h2")).alias("_kx_gone"))
     good = base_rules(df, key, text).where(~F.col("base_failed")).select(F.col(key).alias("key"), "_text_key").distinct()
-    marked = good.join(sets.withColumnRenamed("key", "k2").withColumnRenamed("_text_key", "t2"), F.col("key").eqNullSafe(F.col("k2")) & F.col("_text_key").eqNullSafe(F.col("t2")), "left").select("key", "_text_key", "_gone", F.lit(True).alias("_good"))
-    rows = _by_document(df.withColumn("_text_key", text_key(F.col(text))), marked, key).where("_good")
-    left = F.array_join(F.filter(_lines(F.col(text)), lambda x: ~F.array_contains(F.col("_gone"), _line_id(_normal(x)))), "\n")
-    rows = rows.withColumn("_left", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left))
-    rows = rows.where(F.col("_gone").isNull() | (F.size(words(F.col("_left"))) >= min_left * F.size(words(F.col(text)))))
-    length = [F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.length("_left").cast(kind)).alias(c) if c == n_chars else F.col("_left").alias(c) if c == text else F.col(c) for c, kind in df.dtypes]
+    marked = good.join(sets.withColumnRenamed("key", "k2").withColumnRenamed("_text_key", "t2"), F.col("key").eqNullSafe(F.col("k2")) & F.col("_text_key").eqNullSafe(F.col("t2")), "left").select("key", "_text_key", "_kx_gone", F.lit(True).alias("_kx_good"))
+    rows = _by_document(df.withColumn("_kx_text_key", text_key(F.col(text))), marked, key, "_kx_text_key").where("_kx_good")
+    left = F.array_join(F.filter(_lines(F.col(text)), lambda x: ~F.array_contains(F.col("_kx_gone"), _line_id(_normal(x)))), "\n")
+    rows = rows.withColumn("_kx_left", F.when(F.col("_kx_gone").isNull(), F.col(text)).otherwise(left))
+    rows = rows.where(F.col("_kx_gone").isNull() | (F.size(words(F.col("_kx_left"))) >= min_left * F.size(words(F.col(text)))))
+    length = [F.when(F.col("_kx_gone").isNull(), F.col(c)).otherwise(F.length("_kx_left").cast(kind)).alias(c) if c == n_chars else F.col("_kx_left").alias(c) if c == text else F.col(c) for c, kind in df.dtypes]
     return rows.select(*length)
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import materialize, read, text_key
 from .components import connected_components
 
 CHUNK = 1 << 16
@@ -144,16 +144,16 @@ def simhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text", radiu
 
 
 def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4, size: int = 4) -> DataFrame:
-    """The rows of df of which one stays for each group: the one of the smallest key; ties keep the first by text.
+    """The rows of df of which one stays for each group: the one of the smallest key. All columns of df come back.
 
-    Rows of a null key stay only if their group has no other. All columns of df come back.
+    A row without a key goes by its text, and stays only if its group has no row with one; of repeated rows one stays.
     """
-    groups = simhash_groups(df, key, text, radius, size)
-    name = lambda c: F.coalesce(c.cast("string"), F.lit("no key"))
-    heads = groups.where(F.col(key).eqNullSafe(F.col("component"))).select(name(F.col(key)).alias("_k")).distinct()
-    one = Window.partitionBy("_k").orderBy(F.col(text).asc_nulls_first())
-    kept = df.withColumn("_k", name(F.col(key))).join(heads, "_k", "left_semi")
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*df.columns)
+    named = df.withColumn("_kx_key", F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), text_key(F.col(text)).alias("tk")))
+    groups = simhash_groups(named, "_kx_key", text, radius, size)
+    heads = groups.where(F.col("_kx_key") == F.col("component")).select("_kx_key").distinct()
+    one = Window.partitionBy("_kx_key").orderBy(F.col(text).asc_nulls_first())
+    kept = named.join(heads, "_kx_key", "left_semi").withColumn("_kx_n", F.row_number().over(one))
+    return kept.where("_kx_n = 1").select(*df.columns)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (up to a run of . ! ? or a line break, with the white space behind). Every run of `span`
-consecutive sentences that has at least min_words words is hashed, over its words in lower case, and the hashes are joined
+A text is cut into sentences (up to a run of . ! ? or a line break, with the white space behind); a sentence of more than 25
+words is cut after every 25, so that a long one is a run by itself. Every run of `span` consecutive sentences that has at
+least min_words words is hashed, over its words in lower case, and the hashes are joined
 over all documents. The first run of a hash stays (smallest doc_id, then the earliest in its text); the sentences of all
 others are removed, and the rest of the text stays as it was.
 
@@ -26,11 +27,20 @@ from pyspark.sql import functions as F
 from .common import materialize, read, text_key
 
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
+_WORDS = re.compile(r"\S+\s*")
+LONGEST = 25
 
 
 def sentences(text: str | None) -> list[str]:
     """Consecutive parts that make up the whole text."""
-    return _SENTENCE.findall(text or "")
+    out = []
+    for s in _SENTENCE.findall(text or ""):
+        if len(s) > 2 * LONGEST and len(words := _WORDS.findall(s)) > LONGEST:
+            words[0] = s[: len(s) - len(s.lstrip())] + words[0]
+            out += ["".join(words[i : i + LONGEST]) for i in range(0, len(words), LONGEST)]
+        else:
+            out.append(s)
+    return out
 
 
 def spans(text: str | None, span: int = 2, min_words: int = 10) -> list[tuple[int, int]]:
@@ -81,9 +91,10 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span:
 
 def dedup_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = 2, min_words: int = 10) -> DataFrame:
     """Every row of df without the sentences of non-first runs; copied_from: the keys of the documents with the first copies."""
-    gone = repeated_spans(df, key, text, span, min_words).groupBy("key", "tk").agg(F.collect_set("at").alias("_gone"), F.array_sort(F.collect_set("source")).alias("copied_from"))
-    rows = df.withColumn("_tk", text_key(F.col(text)))
-    rows = rows.join(gone, F.col(key).eqNullSafe(gone["key"]) & (F.col("_tk") == gone["tk"]), "left").select(df["*"], "_gone", "copied_from")
+    df = df.drop(*({"n_sentences", "n_removed", "copied_from"} - {key, text}))  # the columns made here take their place
+    gone = repeated_spans(df, key, text, span, min_words).groupBy("key", "tk").agg(F.collect_set("at").alias("_kx_gone"), F.array_sort(F.collect_set("source")).alias("copied_from"))
+    rows = df.withColumn("_kx_tk", text_key(F.col(text)))
+    rows = rows.join(gone, F.col(key).eqNullSafe(gone["key"]) & (F.col("_kx_tk") == gone["tk"]), "left").select(df["*"], "_kx_gone", "copied_from")
     at = rows.columns.index(text)
     kinds = dict(df.dtypes)
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in df.columns)
