@@ -124,18 +124,22 @@ def candidate_steps(merged: DataFrame, direction: str = "downstream") -> DataFra
     return rows.withColumn("score", step_score(F.col("net_share"), F.col("directionality"), F.col("event_coverage"), F.col("time_coverage"))).withColumnRenamed("tp", "forward_tp")
 
 
-def candidate_paths(steps: DataFrame, starts: DataFrame, max_depth: int = 3, max_branches: int = 5, max_paths: int = 20, min_net_tp: int = 1, min_directionality: float = 0.05, targets: DataFrame | None = None) -> DataFrame:
+def candidate_paths(steps: DataFrame, starts: DataFrame, max_depth: int = 3, max_branches: int = 5, max_paths: int = 20, min_net_tp: int = 1, min_directionality: float = 0.05, dim: DataFrame | None = None, target_max_carbon: int | None = None) -> DataFrame:
     """(start, rank, species, reaction_keys, scores, score): the best loop-free routes of every start (column start), by joins level by level.
 
     A state keeps its max_branches best children, so the frontier of a start has at most max_branches ^ depth rows. Without
-    targets a route ends at the depth limit or where nothing follows; with targets (column smiles) where it meets one.
+    a target a route ends at the depth limit or where nothing follows. With target_max_carbon (which takes the species
+    dimension) it ends at a species of 1 to that many carbon atoms, and states keep hits first, then children of few carbons.
     """
     if not (1 <= max_depth <= 12 and 1 <= max_branches <= 100 and 1 <= max_paths <= 500):
         raise ValueError("depth 1 to 12, branches 1 to 100, paths 1 to 500")
     usable = cut(steps.where((F.col("net_tp") >= min_net_tp) & (F.col("directionality") >= min_directionality)).select("focal_input", "focal_output", "n", "reaction_key", F.col("score").alias("step_score")))
     frontier = starts.select("start", F.array("start").alias("species"), F.array().cast("array<string>").alias("reaction_keys"), F.array().cast("array<double>").alias("scores"), F.array().cast("array<int>").alias("ns"))
     state, done = ["start", "species", "reaction_keys", "scores", "ns"], []
-    hit = None if targets is None else targets.select(F.col("smiles").alias("_end")).distinct()
+    carbon = None if target_max_carbon is None else dim.select(F.col("smiles").alias("focal_output"), F.coalesce(F.try_element_at("atom_counts", F.lit("C")), F.lit(0)).alias("carbon"))
+    hit = None if carbon is None else carbon.where(F.col("carbon").between(1, target_max_carbon)).select(F.col("focal_output").alias("_end"))
+    usable = usable.withColumn("carbon", F.lit(0)) if carbon is None else usable.join(carbon, "focal_output", "left").fillna(0, ["carbon"])
+    goal = [] if carbon is None else [F.when(F.col("carbon").between(1, target_max_carbon), 0).otherwise(1), F.when(F.col("carbon") > 0, F.col("carbon")).otherwise(10**9)]
     for depth in range(max_depth + 1):
         if depth and hit is not None:
             last = frontier.withColumn("_end", F.element_at("species", -1))
@@ -146,8 +150,8 @@ def candidate_paths(steps: DataFrame, starts: DataFrame, max_depth: int = 3, max
                 done.append(frontier)
             break
         children = frontier.withColumn("focal_input", F.element_at("species", -1)).join(usable, "focal_input").where(~F.array_contains(F.col("species"), F.col("focal_output")))
-        children = children.select("start", *[F.col(c).alias(f"p_{c}") for c in state[1:]], F.array_append("species", F.col("focal_output")).alias("species"), F.array_append("reaction_keys", F.col("reaction_key")).alias("reaction_keys"), F.array_append("scores", F.col("step_score")).alias("scores"), F.array_append("ns", F.col("n")).alias("ns"))
-        order = Window.partitionBy("start", "p_species", "p_reaction_keys", "p_ns").orderBy(F.desc(path_score(F.col("scores"))), "species", "reaction_keys", "ns")
+        children = children.select("start", *[F.col(c).alias(f"p_{c}") for c in state[1:]], F.array_append("species", F.col("focal_output")).alias("species"), F.array_append("reaction_keys", F.col("reaction_key")).alias("reaction_keys"), F.array_append("scores", F.col("step_score")).alias("scores"), F.array_append("ns", F.col("n")).alias("ns"), "carbon")
+        order = Window.partitionBy("start", "p_species", "p_reaction_keys", "p_ns").orderBy(*goal, F.desc(path_score(F.col("scores"))), "species", "reaction_keys", "ns")
         children = cut(children.withColumn("_b", F.row_number().over(order)).where(F.col("_b") <= max_branches))
         if depth and hit is None:
             parents = children.select("start", F.col("p_species").alias("species"), F.col("p_reaction_keys").alias("reaction_keys"), F.col("p_ns").alias("ns")).distinct()

@@ -184,7 +184,8 @@ def test_candidate_paths(spark):
     starts = spark.createDataFrame([("A",)], "start string")
     rows = pt.candidate_paths(steps, starts, max_depth=3).orderBy("rank").collect()
     assert {tuple(r["species"]) for r in rows} == {("A", "B", "C", "D"), ("A", "D")} and [r["rank"] for r in rows] == [1, 2]
-    hits = pt.candidate_paths(steps, starts, targets=spark.createDataFrame([("C",)], "smiles string")).collect()
+    dim = spark.createDataFrame([("A", {"C": 5}), ("B", {"C": 4}), ("C", {"C": 1}), ("D", {"O": 1})], "smiles string, atom_counts map<string,int>")
+    hits = pt.candidate_paths(steps, starts, dim=dim, target_max_carbon=1).collect()
     assert [tuple(r["species"]) for r in hits] == [("A", "B", "C")]
     assert pt.path_steps(pt.candidate_paths(steps, starts)).count() == 4
 
