@@ -450,7 +450,23 @@ def candidate_steps(spark, d):
     return rows.select("focal_input", "focal_output", "reaction_key", "forward_tp", "reverse_tp", "net_tp", _r("net_share", 9).alias("net_share"), _r("directionality", 9).alias("directionality"), _r("score", 9).alias("score"))
 
 
-@query()
+PATH_LEVEL = """
+c{d} AS (SELECT l.start, l.species AS ps, l.keys AS pk, l.ns AS pn, list_append(l.species, o) AS species, list_append(l.keys, k) AS keys, list_append(l.scores, score) AS scores, list_append(l.ns, n) AS ns FROM l{p} l JOIN us ON l.species[-1] = us.s WHERE NOT list_contains(l.species, o)),
+l{d} AS (SELECT * EXCLUDE (b) FROM (SELECT *, row_number() OVER (PARTITION BY start, ps, pk, pn ORDER BY -(0.7 * pow(list_product(scores), 1.0::DOUBLE / len(scores)) + 0.3 * list_min(scores)), species, keys, ns) AS b FROM c{d}) WHERE b <= 5)"""
+
+
+@query(
+    """, us AS (SELECT s, o, n, k, score FROM (SELECT k, s, unnest(p) AS o, generate_subscripts(p, 1) AS n FROM (SELECT k, p, unnest(list_distinct(r)) AS s FROM f WHERE net > 0)) JOIN (SELECT DISTINCT s, k, dir, net, score FROM sc) USING (s, k) WHERE net >= 1 AND dir >= 0.05),
+l0 AS (SELECT DISTINCT s AS start, [s] AS species, []::VARCHAR[] AS keys, []::DOUBLE[] AS scores, []::BIGINT[] AS ns FROM sides),"""
+    + ",".join(PATH_LEVEL.format(d=i, p=i - 1) for i in (1, 2, 3))
+    + """,
+dn AS (SELECT start, species, keys, scores, ns FROM l1 WHERE NOT EXISTS (SELECT 1 FROM l2 WHERE l2.start = l1.start AND l2.ps = l1.species AND l2.pk = l1.keys AND l2.pn = l1.ns)
+  UNION ALL SELECT start, species, keys, scores, ns FROM l2 WHERE NOT EXISTS (SELECT 1 FROM l3 WHERE l3.start = l2.start AND l3.ps = l2.species AND l3.pk = l2.keys AND l3.pn = l2.ns)
+  UNION ALL SELECT start, species, keys, scores, ns FROM l3),
+rk AS (SELECT *, 0.7 * pow(list_product(scores), 1.0::DOUBLE / len(scores)) + 0.3 * list_min(scores) AS sco FROM dn)
+SELECT start, row_number() OVER (PARTITION BY start ORDER BY sco DESC, species, keys, ns) AS rank, array_to_string(species, ' > ') AS species, array_to_string(keys, ' => ') AS reaction_keys, round(sco, 9) AS score FROM rk QUALIFY rank <= 20""",
+    N + STEPS,
+)
 def candidate_paths(spark, d):
     """The 20 best routes of at most three steps from every species."""
     merged = ad.network(spark, d)
