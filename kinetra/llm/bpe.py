@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-#: Entries that a worker keeps of pieces, states and steps; a full table is emptied and fills anew.
-KEPT = 1 << 19
+#: Pieces, steps of the transducer and pairs of tokens that a worker keeps; a full table is emptied and fills anew.
+PIECES, STEPS, PAIRS = 1 << 19, 1 << 19, 1 << 17
 
 _BYTES = [bytes([i]) for i in range(256)]
 
@@ -94,6 +94,8 @@ class Transducer:
     def _step(self, state: int, byte: int) -> tuple[int, tuple]:
         ranks, begins, pairs, b = self.ranks, self.begins, self.pairs, _BYTES[byte]
         live, ended = [], None
+        if len(pairs) > PAIRS:
+            pairs.clear()
         for begun, last, pending in self.states[state]:
             now = begun + b
             if now in begins:
@@ -123,7 +125,7 @@ class Transducer:
         """Token ids of one piece."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.steps) > KEPT:
+        if len(self.steps) > STEPS:
             self._clear()
         state, ids, steps = 0, [], self.steps
         for byte in piece:
@@ -177,7 +179,7 @@ class Codec:
                 self.whole[i] = said
 
     def _piece(self, p: str) -> bytes:
-        if len(self.pieces) > KEPT:
+        if len(self.pieces) > PIECES:
             self.pieces.clear()
         ids = np.array(self.transducer.piece(p.encode("utf-8", "surrogatepass")), "<i4").tobytes()
         if len(p) <= 64:
