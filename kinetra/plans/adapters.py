@@ -99,6 +99,18 @@ nt AS (SELECT k, was, now, count(*) AS tp FROM ev GROUP BY ALL)
 """
 
 
+def paired_molecules(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's last event type so far, on every day; the users 2k and 2k + 1 are one molecule of two atoms while theirs are the same."""
+    days = table(spark, d, "events").groupBy("user_id", F.date_diff(F.col("ts").cast("date"), F.lit("1992-01-01").cast("date")).cast("long").alias("t")).agg(F.max_by("event_type", "ts").alias("now"))
+    ends = days.agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    grid = days.select("user_id").distinct().join(ends, how="cross").select("user_id", F.explode(F.sequence("a", "b")).alias("t"))
+    w = Window.partitionBy("user_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    states = grid.join(days, ["user_id", "t"], "left").withColumn("s", F.coalesce(F.last("now", ignorenulls=True).over(w), F.lit("none")))
+    pair = states.groupBy(F.floor(F.col("user_id") / 2).alias("p"), "t", "s").agg(F.array_sort(F.collect_list("user_id")).alias("atom_ids"))
+    species = F.when(F.size("atom_ids") == 2, F.concat("s", F.lit("2"))).otherwise(F.col("s"))
+    return pair.select(F.lit("d").alias("dataset"), F.col("t").alias("frame"), species.alias("species"), "atom_ids")
+
+
 def replicate_counts(spark: SparkSession, d: str) -> DataFrame:
     """Changes of order priority from one order of a customer to the next, by region and nation."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")

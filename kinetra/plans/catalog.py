@@ -385,6 +385,55 @@ def representative_events(spark, d):
     return oc.representative_events(rows, frames).select("dataset", "reaction_key", "event_id", "tier")
 
 
+@query(
+    """, ends AS (SELECT min(t) AS a, max(t) AS b FROM dy), gr AS (SELECT user_id AS u, unnest(range(a, b + 1)) AS t FROM (SELECT DISTINCT user_id FROM dy), ends),
+sx AS (SELECT u, gr.t, coalesce(last_value(now IGNORE NULLS) OVER (PARTITION BY u ORDER BY gr.t ROWS UNBOUNDED PRECEDING), 'none') AS s FROM gr LEFT JOIN dy ON user_id = u AND dy.t = gr.t),
+tr AS (SELECT u, t, s AS x, lead(s) OVER (PARTITION BY u ORDER BY t) AS y FROM sx),
+pr AS (SELECT l.t, l.u AS u1, r.u AS u2, l.x AS x1, l.y AS y1, r.x AS x2, r.y AS y2 FROM tr l LEFT JOIN tr r ON r.u = l.u + 1 AND r.t = l.t WHERE l.u % 2 = 0 AND l.y IS NOT NULL
+  UNION ALL SELECT t, u, NULL, x, y, NULL, NULL FROM tr WHERE u % 2 = 1 AND y IS NOT NULL AND u - 1 NOT IN (SELECT u FROM sx)),
+co AS (SELECT t, CASE WHEN x1 = x2 THEN [x1 || '2'] ELSE list_sort([x1, x2]) END AS r, CASE WHEN y1 = y2 THEN [y1 || '2'] ELSE list_sort([y1, y2]) END AS p, [u1, u2] AS ids FROM pr WHERE u2 IS NOT NULL AND (x1 = x2 OR y1 = y2)
+  UNION ALL SELECT t, [x1], [y1], [u1] FROM pr WHERE u2 IS NULL OR (x1 <> x2 AND y1 <> y2)
+  UNION ALL SELECT t, [x2], [y2], [u2] FROM pr WHERE u2 IS NOT NULL AND x1 <> x2 AND y1 <> y2)
+SELECT t AS transition, array_to_string(r, '+') AS reactants, array_to_string(p, '+') AS products, array_to_string(ids, ',') AS atom_ids FROM co WHERE r <> p""",
+    E,
+)
+def changed_components(spark, d):
+    rows = oc.changed_components(ad.paired_molecules(spark, d))
+    joined = lambda c, by: F.array_join(F.col(c).cast("array<string>"), by).alias(c)
+    return rows.select("transition", joined("reactants", "+"), joined("products", "+"), joined("atom_ids", ","))
+
+
+@query(
+    """, i AS (SELECT user_id, t, sum(CASE WHEN t <= p + 2 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t) AS g FROM (SELECT user_id, t, coalesce(lag(t) OVER (PARTITION BY user_id ORDER BY t), -99) AS p FROM dy)),
+m AS (SELECT user_id, min(t) AS a, max(t) + 1 AS b FROM i GROUP BY user_id, g)
+SELECT user_id AS molecule_id, a - 1 AS transition, 1 AS change FROM m UNION ALL SELECT user_id, b, -1 FROM m""",
+    E,
+)
+def molecule_transitions(spark, d):
+    """A user is present on an active day and the next."""
+    days = ad.table(spark, d, "events").select(F.col("user_id").alias("molecule_id"), F.date_diff(F.col("ts").cast("date"), F.lit("1992-01-01").cast("date")).cast("long").alias("start_frame")).distinct()
+    return oc.transitions_of_ranges(days.withColumn("end_frame", F.col("start_frame") + 1))
+
+
+@query(
+    """b AS (SELECT l_orderkey AS e, l_returnflag = 'R' AS was, least(l_suppkey % 5, l_partkey % 7) AS x, greatest(l_suppkey % 5, l_partkey % 7) AS y FROM lineitem)
+SELECT e AS event_id, x AS atom1, y AS atom2, CASE WHEN bool_or(was) AND bool_or(NOT was) THEN 'kept' WHEN bool_or(was) THEN 'broken' ELSE 'formed' END AS state FROM b GROUP BY 1, 2, 3""".replace("b AS", "WITH b AS", 1)
+)
+def bond_changes(spark, d):
+    rows = ad.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.when(F.col("l_returnflag") == "R", "before").otherwise("after").alias("side"), (F.col("l_suppkey") % 5).alias("atom1"), (F.col("l_partkey") % 7).alias("atom2"))
+    return oc.bond_changes(rows)
+
+
+@query(
+    """WITH e AS (SELECT 'rep' || (user_id % 3) AS ds, event_id, floor(epoch(ts))::BIGINT AS t, event_type FROM events), f AS (SELECT DISTINCT ds, t FROM e WHERE event_type = 'purchase')
+SELECT e.ds AS dataset, e.event_id::VARCHAR AS event_id, e.t AS timestep, arg_min(f.t, (abs(f.t - e.t), f.t)) AS frame_timestep FROM e JOIN f USING (ds) GROUP BY 1, 2, 3"""
+)
+def nearest_frame(spark, d):
+    """Purchases stand for frames: the one nearest to each event of a third of the users."""
+    rows = ad.table(spark, d, "events").select(F.concat(F.lit("rep"), F.col("user_id") % 3).alias("dataset"), "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("timestep"), "event_type")
+    return sp.nearest_frame(rows.drop("event_type"), rows.where("event_type = 'purchase'").select("dataset", "timestep").distinct())
+
+
 # Event paths. In this adapter an instance is (type, user), so edges join consecutive changes of a user.
 
 EDGES = """
@@ -527,3 +576,31 @@ def local_environment(spark, d):
     atoms = ad.atoms(spark, d)
     cores = atoms.groupBy("timestep").agg(F.min("id").alias("id")).select(F.col("timestep").alias("event_id"), "timestep", "id")
     return sp.local_environment(atoms, cores, (20.0, 20.0, 20.0), 6.0).withColumn("dist", _r("dist"))
+
+
+@query(
+    """, core AS (SELECT t, min(id) AS id FROM xyz GROUP BY 1), c AS (SELECT xyz.* FROM xyz JOIN core USING (t, id)),
+dd AS (SELECT c.t AS ev, xyz.id, c.id AS cid, (xyz.x - c.x) - 20 * round((xyz.x - c.x) / 20) AS dx, (xyz.y - c.y) - 20 * round((xyz.y - c.y) / 20) AS dy, (xyz.z - c.z) - 20 * round((xyz.z - c.z) / 20) AS dz FROM c JOIN xyz USING (t))
+SELECT ev AS event_id, id, round(dx, 6) + 0.0::DOUBLE AS x, round(dy, 6) + 0.0::DOUBLE AS y, round(dz, 6) + 0.0::DOUBLE AS z, CASE WHEN id = cid THEN 'core' ELSE 'environment' END AS scope FROM dd WHERE dx * dx + dy * dy + dz * dz <= 36""",
+    X,
+)
+def recentred_environment(spark, d):
+    """The same atoms around their core."""
+    atoms = ad.atoms(spark, d)
+    cores = atoms.groupBy("timestep").agg(F.min("id").alias("id")).select(F.col("timestep").alias("event_id"), "timestep", "id")
+    near = sp.local_environment(atoms, cores, (20.0, 20.0, 20.0), 6.0, 1_000_000)
+    rows = sp.recentred(atoms, near.select("event_id", "id"), cores, (20.0, 20.0, 20.0))
+    return rows.select("event_id", "id", *[(_r(c) + 0.0).alias(c) for c in "xyz"], "scope")
+
+
+@query("SELECT t AS timestep, frame FROM fr WHERE frame BETWEEN 3 AND 5 OR frame BETWEEN 10 AND 12 OR frame >= 80", A)
+def frames_in_ranges(spark, d):
+    ranges = spark.createDataFrame([(3, 5), (10, 12), (80, 10_000)], "start long, end long")
+    return sp.frames_in_ranges(ab.frames(_abundance(spark, d)[0]), ranges)
+
+
+@query("SELECT k AS reaction_key, " + ", ".join(f"round(avg(fwd) FILTER (g = '{g}'), 6) AS {g.replace(' ', '_').lower()}" for g in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")) + " FROM tab GROUP BY 1", R)
+def comparison_matrix(spark, d):
+    groups = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    rows = rp.matrix(_table(spark, d), "forward", groups)
+    return rows.select("reaction_key", *[_r(F.col(f"`{g}`")).alias(g.replace(" ", "_").lower()) for g in groups])
