@@ -1,9 +1,9 @@
 """WARC archives: a writer, and a reader that trusts no magic bytes.
 
 The reader splits files at every occurrence of the version line, also inside payloads. Each occurrence is a candidate record
-with an offset; its Content-Length gives the offset of its successor. Starting from offset 0 of each file, pointer jumping
-(each round doubles the length of the jumps) marks the candidates on the chain; all others lie inside payloads and are put
-back into the record that holds them. Offsets are sums of lengths, taken per file block and then inside each block.
+with an offset, which tasks sum up in the order of the file; its Content-Length gives the offset of its successor. Starting
+from offset 0 of each file, pointer jumping (each round doubles the length of the jumps) marks the candidates on the chain;
+all others lie inside payloads and are put back into the record that holds them.
 
 The writer puts one record a row with Spark's text writer, so files are committed whole and tasks can be retried. Of records
 of equal payload the one of the smallest id is a response; the others are revisits that name its record and carry no payload.
@@ -15,6 +15,10 @@ record, or whose chain breaks, gives the records up to there; extra columns are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,34 +60,67 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", url: str = "u
     writer.text(path)
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, order, chunk): each stretch from one version line to the next; at is its byte offset, chunk leaves the version line out."""
-    # Spark names its own files with a leading part-; hidden files and _SUCCESS are no input.
-    raw = spark.read.option("lineSep", MAGIC).text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    raw = raw.select(F.col("file_path").alias("file"), F.col("file_block_start").alias("block"), F.monotonically_increasing_id().alias("order"), F.col("value").alias("chunk"), (F.octet_length("value") + len(MAGIC)).cast("long").alias("size"))
-    raw = materialize(raw)
-    blocks = raw.groupBy("file", "block").agg(F.sum("size").alias("size"))
-    start = F.coalesce(F.sum("size").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select("file", "block", start.alias("start"))
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("file", "block").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = raw.select("file", "block", "order", "size").withColumn("inside", inside).join(blocks, ["file", "block"])
-    # A chunk begins behind a version line; the first of a file begins at 0 and is empty if the file starts with one.
-    offsets = offsets.select("file", "order", (F.col("start") + F.col("inside") - len(MAGIC)).alias("at"))
-    return materialize(offsets.join(raw.select("file", "order", "chunk"), ["file", "order"]))
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds each row's offset inside its file block: rows come in the order of the file. Columns f, block, size come first."""
+    here, upto = None, 0
+    for b in batches:
+        f, block, size = (np.asarray(b.column(i)) for i in range(3))
+        inside = np.empty(len(size), np.int64)
+        cuts = [0, *(np.flatnonzero((f[1:] != f[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(size)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if i == j:
+                continue
+            if here != (f[i], block[i]):
+                here, upto = (f[i], block[i]), 0
+            ends = upto + np.cumsum(size[i:j])
+            inside[i:j] = ends - size[i:j]
+            upto = int(ends[-1])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(inside)], names=[*b.schema.names, "inside"])
+
+
+def _stretches(spark: SparkSession, path: str) -> DataFrame:
+    """f (hash of the file's name), block, size and chunk: what stands between two version lines."""
+    raw = spark.read.option("lineSep", MAGIC).text(path)
+    return raw.select(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("block"), (F.octet_length("value") + len(MAGIC)).cast("long").alias("size"), F.col("value").alias("chunk"))
+
+
+def _head(chunk: Column) -> Column:
+    return F.substring_index(chunk, "\r\n\r\n", 1)
+
+
+def _length(chunk: Column) -> Column:
+    """Content-Length, null if there is none."""
+    return F.nullif(F.regexp_extract(_head(chunk), r"(?i)(?:^|\r\n)Content-Length:[ \t]*([0-9]{1,18})", 1), F.lit("")).cast("bigint")
+
+
+def candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(f, at, end, next): each stretch's offset, its end, and the offset of the record after it; and (f, block, start): where blocks begin.
+
+    The payloads stay where they are: only sizes leave the scan.
+    """
+    slim = _stretches(spark, path).select("f", "block", "size", (len(MAGIC) + F.octet_length(_head(F.col("chunk"))) + 4 + _length(F.col("chunk")) + 4).cast("long").alias("reach"))
+    slim = materialize(slim.mapInArrow(_placed, "f long, block long, size long, reach long, inside long"))
+    blocks = slim.groupBy("f", "block").agg(F.sum("size").alias("size"))
+    start = F.coalesce(F.sum("size").over(Window.partitionBy("f").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = materialize(blocks.select("f", "block", start.alias("start")))
+    # A stretch begins behind a version line; the first of a file begins at 0 and is empty if the file starts with one.
+    at = (F.col("start") + F.col("inside") - len(MAGIC)).alias("at")
+    rows = slim.join(blocks, ["f", "block"]).select("f", at, "size", "reach")
+    return materialize(rows.select("f", "at", (F.col("at") + F.col("size")).alias("end"), (F.col("at") + F.col("reach")).alias("next"))), blocks
 
 
 def _chain(links: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(file, at) of the candidates reachable from offset 0, by pointer jumping over links (file, at, next)."""
+    """(f, at) of the candidates reachable from offset 0, by pointer jumping over links (f, at, next)."""
     spark = links.sparkSession
     jump_path, reached_path = scratch(spark), scratch(spark)
     jump = materialize(links, jump_path)
-    reached = materialize(jump.where("at = 0").select("file", "at"), reached_path)
+    reached = materialize(jump.where("at = 0").select("f", "at"), reached_path)
     for _ in range(max_rounds):
-        ahead = reached.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
-        twice = jump.select("file", F.col("at").alias("from"), F.col("next").alias("at")).join(jump, ["file", "at"]).select("file", F.col("from").alias("at"), "next")
+        ahead = reached.join(jump, ["f", "at"]).select("f", F.col("next").alias("at"))
+        twice = jump.select("f", F.col("at").alias("from"), F.col("next").alias("at")).join(jump, ["f", "at"]).select("f", F.col("from").alias("at"), "next")
         new_jump, new_reached = scratch(spark), scratch(spark)
-        # The jumps of a round are 2^k records long; those that leave the file go.
-        after_jump, after = materialize(twice, new_jump), materialize(reached.union(ahead).distinct(), new_reached)
+        # The jumps of a round are 2^k records long; those that leave the file go. No offset is reached twice: jumps are longer each round.
+        after_jump, after = materialize(twice, new_jump), materialize(reached.union(ahead), new_reached)
         discard(spark, jump_path)
         discard(spark, reached_path)
         jump, reached, jump_path, reached_path = after_jump, after, new_jump, new_reached
@@ -93,34 +130,42 @@ def _chain(links: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, headers: map of lower-case names, payload: string of the bytes) of the records on each file's chain."""
-    found = candidates(spark, path)
-    head = F.substring_index("chunk", "\r\n\r\n", 1)
-    length = F.regexp_extract(head, r"(?i)(?:^|\r\n)Content-Length:[ \t]*([0-9]{1,18})", 1)
-    next_at = F.col("at") + len(MAGIC) + F.octet_length(head) + 4 + F.expr("try_cast(length as bigint)") + 4
-    links = found.where("at >= 0").withColumn("length", length).select("file", "at", next_at.alias("next")).where("next is not null")
-    ends = found.groupBy("file").agg(F.max(F.col("at") + len(MAGIC) + F.octet_length("chunk")).alias("end"))
+    """(f, at, headers: map of lower-case names, payload: binary) of the records on each file's chain.
+
+    The archives are read twice, for the candidates and for the payloads. What isn't a record by itself (strays inside
+    payloads, and the records that hold them) is written first, so that it is joined by its real size: usually it is small,
+    and no payload is shuffled.
+    """
+    found, blocks = candidates(spark, path)
+    links = found.where("at >= 0 and next is not null").select("f", "at", "next")
+    ends = found.groupBy("f").agg(F.max("end").alias("next"))
     # The last record's successor is the file's end, which stands as a candidate that leads nowhere.
-    real = links.select("file", F.col("at").alias("next")).union(ends)
-    chain = _chain(links.join(real, ["file", "next"], "left_semi").select("file", "at", "next"))
-    known = chain.join(links.select("file", "at"), ["file", "at"], "left_semi")
-    # Chunks between two records belong to the first of them.
-    slim = found.select("file", "at", "order").join(known.withColumn("record", F.col("at")), ["file", "at"], "left")
-    slim = slim.withColumn("record", F.last("record", ignorenulls=True).over(Window.partitionBy("file").orderBy("at")))
-    slim = materialize(slim.where("record is not null"))
-    many = slim.groupBy("file", "record").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    chunks = found.select("file", "order", "chunk")
-    single = slim.join(many, ["file", "record"], "left_anti").join(chunks, ["file", "order"]).select("file", "record", "chunk")
+    real = links.select("f", F.col("at").alias("next")).union(ends)
+    chain = _chain(links.join(real, ["f", "next"], "left_semi").select("f", "at", "next"))
+    known = chain.join(links.select("f", "at"), ["f", "at"], "left_semi")
+    stray = found.where("at >= 0").select("f", "at").join(known, ["f", "at"], "left_anti").withColumn("stray", F.lit(True))
+    stray = materialize(stray)
+    # Files with strays: each stray, and each record before one, with the record that it belongs to.
+    some = known.join(stray.select("f").distinct(), "f", "left_semi").withColumn("stray", F.lit(False)).union(stray.select("f", "at", "stray"))
+    last = Window.partitionBy("f").orderBy("at")
+    some = some.withColumn("record", F.last(F.when(~F.col("stray"), F.col("at")), ignorenulls=True).over(last.rowsBetween(Window.unboundedPreceding, 0)))
+    some = some.withColumn("held", F.coalesce(F.lead("stray").over(last), F.lit(False)))
+    parts = materialize(some.where("stray or held").select("f", "at", "record"))
+
+    scan = _stretches(spark, path).mapInArrow(_placed, "f long, block long, size long, chunk string, inside long")
+    at = (F.col("start") + F.col("inside") - len(MAGIC)).alias("at")
+    scan = scan.join(blocks, ["f", "block"]).select("f", at, "chunk").where("at >= 0")
+    single = scan.join(parts, ["f", "at"], "left_anti").select("f", "at", "chunk")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "chunk"))), lambda x: x["chunk"]), MAGIC)
-    several = slim.join(many, ["file", "record"]).join(chunks, ["file", "order"]).groupBy("file", "record").agg(joined.alias("chunk"))
+    several = scan.join(parts, ["f", "at"]).where("record is not null").groupBy("f", "record").agg(joined.alias("chunk")).select("f", F.col("record").alias("at"), "chunk")
     records = single.union(several)
+    head = _head(F.col("chunk"))
     lines = F.transform(F.split(head, "\r\n"), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
     # A repeated header keeps its first value.
     names = F.filter(lines, lambda x: x["k"] != "")
     headers = F.map_from_entries(F.filter(names, lambda x, i: F.array_position(F.transform(names, lambda y: y["k"]), x["k"]) == i + 1))
-    body = F.col("chunk").cast("binary")
-    size = F.octet_length(head) + 5
-    return records.select("file", F.col("record").alias("at"), headers.alias("headers"), F.substring(body, size, F.regexp_extract(head, r"(?i)(?:^|\r\n)Content-Length:[ \t]*([0-9]{1,18})", 1).cast("int")).alias("payload"))
+    payload = F.substring(F.col("chunk").cast("binary"), F.octet_length(head) + 5, _length(F.col("chunk")).cast("int"))
+    return records.select("f", "at", headers.alias("headers"), payload.alias("payload"))
 
 
 def archive_and_read(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
