@@ -85,7 +85,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span:
     # Repeats first, from the hashes alone; then their first places.
     again = runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     some = materialize(runs.join(again, "h"))
-    first = some.groupBy("h").agg(F.min(F.struct("key", "tk", "at")).alias("first"))
+    first = materialize(some.groupBy("h").agg(F.min(F.struct("key", "tk", "at")).alias("first")))  # so that the join deals both sides out by itself
     return some.join(first, "h").where(~F.struct("key", "tk", "at").eqNullSafe(F.col("first"))).select("key", "tk", "at", F.col("first.key").alias("source"))
 
 
