@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import map_arrow, read
 
 #: Pieces, steps of the transducer and pairs of tokens that a worker keeps; a full table is emptied and fills anew.
 PIECES, STEPS, PAIRS = 1 << 19, 1 << 19, 1 << 17
@@ -231,7 +231,7 @@ def encode_decode(df: DataFrame, vocabulary: str, pattern: str, ascii: str | Non
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([codec.decode(x.tolist()) for x in ids], pa.string())], names=["key", "ids", "decoded"])
 
     kind = dict(df.dtypes)[key]
-    out = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, ids array<int>, decoded string")
+    out = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).transform(map_arrow, run, f"key {kind}, ids array<int>, decoded string")
     return out.withColumnRenamed("key", key)
 
 

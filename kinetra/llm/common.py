@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,19 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
 
 
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow, with this package shipped to the executors first, so that their Python workers can import it."""
+    sc = df.sparkSession.sparkContext
+    if not any(f.endswith("/kinetra-package.zip") for f in sc.listFiles):
+        package = Path(__file__).resolve().parent.parent
+        path = f"{tempfile.mkdtemp(prefix='kinetra-')}/kinetra-package.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(path)
+    return df.mapInArrow(function, schema)
+
+
 def text_key(text: Column) -> Column:
     """64-bit hash of a text, null for a null text; with doc_id it names a document, so rows repeated in full are one."""
     return F.when(text.isNotNull(), F.xxhash64(text))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, scratch
+from .common import discard, map_arrow, materialize, scratch
 
 
 class Forest:
@@ -51,7 +51,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     path = scratch(spark)
-    now = materialize(edges.select("u", "v").where("u <> v").mapInArrow(_thin, "u long, v long").distinct(), path)
+    now = materialize(edges.select("u", "v").where("u <> v").transform(map_arrow, _thin, "u long, v long").distinct(), path)
     for _ in range(max_rounds):
         both = now.union(now.select("v", "u"))
         # Large star: neighbours above a node go to the smallest of the node and its neighbours.

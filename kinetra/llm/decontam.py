@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import map_arrow, read
 
 #: Bytes that are no part of a word become blanks, A-Z become a-z; bytes of other characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -120,7 +120,7 @@ def _pass(docs: DataFrame, kind: str, searchers: list[WuManber], spark) -> DataF
                 names=["key", "n_words", "n_hit", "spans", "items"],
             )
 
-    return docs.mapInArrow(run, f"key {kind}, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>")
+    return docs.transform(map_arrow, run, f"key {kind}, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, max_words: int = 300_000) -> DataFrame:
@@ -152,7 +152,7 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", ite
         return run
 
     for part in _parts(bench, item, item_text, max_words):
-        docs = docs.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(compile_items(part, window))), docs.schema)
+        docs = docs.transform(map_arrow, clean(docs.sparkSession.sparkContext.broadcast(compile_items(part, window))), docs.schema)
     return docs
 
 

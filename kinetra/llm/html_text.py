@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import map_arrow, read
 
 # Element names of the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -265,7 +265,7 @@ def extract_text(df: DataFrame, key: str = "page_id", page: str = "html") -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([visible_text(x.as_py()) for x in b.column(1)], pa.string())], names=["key", "text"])
 
     kind = dict(df.dtypes)[key]
-    return df.select(F.col(key).alias("key"), F.col(page).cast("string").alias("page")).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(page).cast("string").alias("page")).transform(map_arrow, run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
 def op7_html(spark, sf_dir: str) -> DataFrame:

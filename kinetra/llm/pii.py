@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read, text_key
+from .common import map_arrow, materialize, read, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -127,7 +127,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     kind = dict(df.dtypes)[key]
     slim = df.select(F.col(key).alias("key"), text_key(F.col(text)).alias("tk"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(run, f"key {kind}, tk long, mentions array<struct<kind:string,start:int,end:int,pattern:string,instance:string>>")
+    return slim.transform(map_arrow, run, f"key {kind}, tk long, mentions array<struct<kind:string,start:int,end:int,pattern:string,instance:string>>")
 
 
 def sure_patterns(scanned: DataFrame, rounds: int = 3, min_seeds: int = 3, min_confidence: float = 0.75) -> DataFrame:

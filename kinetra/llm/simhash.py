@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read, text_key
+from .common import map_arrow, materialize, read, text_key
 from .components import connected_components
 
 CHUNK = 1 << 16
@@ -53,7 +53,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["key", "fp"])
 
     kind = dict(df.dtypes)[key]
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, fp long")
+    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).transform(map_arrow, run, f"key {kind}, fp long")
 
 
 def covering_masks(radius: int = 4, bits: int = 64) -> list[int]:
@@ -129,7 +129,7 @@ def near_edges(nodes: DataFrame, radius: int = 4, block: int = 2048) -> DataFram
         rows.join(full, ["t", "k"]).withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(other))
         .select(F.xxhash64("t", "k", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), "fp")
     )
-    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_forest(radius), "u long, v long")
+    return dealt.repartition("g").sortWithinPartitions("g").transform(map_arrow, _forest(radius), "u long, v long")
 
 
 def simhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4, size: int = 4) -> DataFrame:

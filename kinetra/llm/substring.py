@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read, text_key
+from .common import map_arrow, materialize, read, text_key
 
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 _WORDS = re.compile(r"\S+\s*")
@@ -81,7 +81,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span:
 
     kind = dict(df.dtypes)[key]
     slim = df.select(F.col(key).alias("key"), text_key(F.col(text)).alias("tk"), F.col(text).cast("string").alias("text"))
-    runs = materialize(slim.mapInArrow(run, f"key {kind}, tk long, at int, h long"))
+    runs = materialize(slim.transform(map_arrow, run, f"key {kind}, tk long, at int, h long"))
     # Repeats first, from the hashes alone; then their first places.
     again = runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     some = materialize(runs.join(again, "h"))
@@ -111,7 +111,7 @@ def dedup_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: in
             columns = [pa.array(new, pa.string()) if i == at else b.column(i) for i in range(len(kinds))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), b.column(len(kinds) + 1)], names=[*kinds, "n_sentences", "n_removed", "copied_from"])
 
-    return rows.mapInArrow(run, f"{fields}, n_sentences long, n_removed long, copied_from array<{kinds[key]}>")
+    return rows.transform(map_arrow, run, f"{fields}, n_sentences long, n_removed long, copied_from array<{kinds[key]}>")
 
 
 def op5_substring(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, read, scratch
+from .common import discard, map_arrow, materialize, read, scratch
 
 MAGIC = "WARC/1.1\r\n"
 RECORDS_PER_FILE = 4096
@@ -99,7 +99,7 @@ def candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     The payloads stay where they are: only sizes leave the scan.
     """
     slim = _stretches(spark, path).select("f", "block", "size", (len(MAGIC) + F.octet_length(_head(F.col("chunk"))) + 4 + _length(F.col("chunk")) + 4).cast("long").alias("reach"))
-    slim = materialize(slim.mapInArrow(_placed, "f long, block long, size long, reach long, inside long"))
+    slim = materialize(slim.transform(map_arrow, _placed, "f long, block long, size long, reach long, inside long"))
     blocks = slim.groupBy("f", "block").agg(F.sum("size").alias("size"))
     start = F.coalesce(F.sum("size").over(Window.partitionBy("f").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = materialize(blocks.select("f", "block", start.alias("start")))
@@ -152,7 +152,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     some = some.withColumn("held", F.coalesce(F.lead("stray").over(last), F.lit(False)))
     parts = materialize(some.where("stray or held").select("f", "at", "record"))
 
-    scan = _stretches(spark, path).mapInArrow(_placed, "f long, block long, size long, chunk string, inside long")
+    scan = _stretches(spark, path).transform(map_arrow, _placed, "f long, block long, size long, chunk string, inside long")
     at = (F.col("start") + F.col("inside") - len(MAGIC)).alias("at")
     scan = scan.join(blocks, ["f", "block"]).select("f", at, "chunk").where("at >= 0")
     single = scan.join(parts, ["f", "at"], "left_anti").select("f", "at", "chunk")
