@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, read
 
 #: Pieces, steps of the transducer and pairs of tokens that a worker keeps; a full table is emptied and fills anew.
-PIECES, STEPS, PAIRS = 1 << 19, 1 << 19, 1 << 17
+PIECES, STEPS, PAIRS = 1 << 19, 3 << 17, 1 << 17
 
 _BYTES = [bytes([i]) for i in range(256)]
 
