@@ -110,14 +110,22 @@ def event_species(occurrences: DataFrame) -> DataFrame:
 
 
 def adjacent_events(occurrences: DataFrame, anchors: DataFrame, direction: str = "later", limit: int = 10) -> DataFrame:
-    """For anchors (dataset, event_id, species): up to limit events strictly later that consume, or earlier that produce, the species; nearest first."""
-    later = direction == "later"
-    terms = event_species(occurrences).where(F.col("side") == ("reactant" if later else "product")).select("dataset", "species", F.col("event_id").alias("other_id"), F.col("transition").alias("other_transition")).distinct()
+    """For anchors (dataset, event_id, species): up to limit events strictly later that consume, or earlier that produce, the species; nearest first.
+
+    Events of a species are numbered in order of time. An anchor counts those up to its own time, and takes the next `limit`
+    numbers by an equi join; pairs beyond the limit are never made.
+    """
+    sign, side = (1, "reactant") if direction == "later" else (-1, "product")
+    terms = event_species(occurrences).where(F.col("side") == side).select("dataset", "species", F.col("event_id").alias("other_id"), F.col("transition").alias("other_transition")).distinct()
     start = anchors.join(occurrences.select("dataset", "event_id", "transition"), ["dataset", "event_id"])
-    pairs = start.join(terms, ["dataset", "species"]).where(F.col("other_transition") > F.col("transition") if later else F.col("other_transition") < F.col("transition"))
-    gap = F.abs(F.col("other_transition") - F.col("transition"))
-    n = F.row_number().over(Window.partitionBy("dataset", "event_id", "species").orderBy(gap, "other_id"))
-    return pairs.withColumn("gap", gap).withColumn("rank", n).where(F.col("rank") <= limit)
+    group = Window.partitionBy("dataset", "species")
+    terms = terms.withColumn("u", sign * F.col("other_transition")).withColumn("r", F.row_number().over(group.orderBy("u", "other_id")))
+    both = terms.select("dataset", "species", "u", F.lit(1).alias("one"), F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("long").alias("transition"))
+    both = both.union(start.select("dataset", "species", (sign * F.col("transition")).alias("u"), F.lit(0), "event_id", "transition"))
+    before = F.sum("one").over(group.orderBy("u").rangeBetween(Window.unboundedPreceding, 0))
+    wanted = both.withColumn("before", before).where("one = 0").select("dataset", "species", "event_id", "transition", "before", F.explode(F.sequence(F.lit(1), F.lit(limit))).alias("rank"))
+    rows = wanted.withColumn("r", (F.col("before") + F.col("rank")).cast("int")).join(terms.drop("u"), ["dataset", "species", "r"])
+    return rows.select("dataset", "event_id", "species", "transition", "other_id", "other_transition", F.abs(F.col("other_transition") - F.col("transition")).alias("gap"), "rank")
 
 
 def network_continuations(merged: DataFrame, limit: int = 10) -> DataFrame:

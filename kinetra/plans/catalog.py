@@ -195,7 +195,22 @@ def flux_enrichment(spark, d):
     return ab.with_flux(dim.select("smiles"), nw.species_stats(merged), nw.sides(merged))
 
 
-@query()
+CASCADE_LEVEL = """
+r{d} AS (SELECT start, here, seen, k, tp, frac, net, reversible, n, outs, list_filter(outs, lambda x: NOT list_contains(seen, x)) AS fresh FROM f{p} JOIN cc ON s = here),
+x{d} AS (SELECT * FROM (SELECT *, coalesce(fresh[1], outs[1]) AS smi FROM r{d}) QUALIFY row_number() OVER (PARTITION BY start, seen, smi ORDER BY n) = 1),
+y{d} AS (SELECT * FROM x{d} QUALIFY row_number() OVER (PARTITION BY start, seen ORDER BY n) <= 3),
+f{d} AS (SELECT start, smi AS here, list_append(seen, smi) AS seen FROM y{d} WHERE len(fresh) > 0)"""
+
+
+@query(
+    """, dc AS (SELECT DISTINCT s, k, tp, frac FROM (SELECT s, k, tp, tp / sum(tp) OVER (PARTITION BY s) AS frac FROM sides WHERE role = 'consume')),
+ou AS (SELECT k, list(x ORDER BY hv DESC, x) AS outs FROM (SELECT DISTINCT k, unnest(p) AS x FROM m) JOIN (SELECT smi AS x, c + o AS hv FROM dim) USING (x) GROUP BY 1),
+cc AS (SELECT q.*, f.net, f.reversible, outs FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY tp DESC, k) AS n FROM dc) q JOIN f USING (k) JOIN ou USING (k) WHERE n <= 9 AND f.net >= 1 AND frac >= 0.01),
+f0 AS (SELECT DISTINCT s AS start, s AS here, [s] AS seen FROM sides),"""
+    + ",".join(CASCADE_LEVEL.format(d=i, p=i - 1) for i in (1, 2, 3))
+    + " ".join(f"{'UNION ALL' if i > 1 else ''} SELECT start, {i} AS depth, here AS parent, smi AS smiles, k AS reaction_key, tp, round(frac, 9) AS fraction, net AS net_tp, reversible FROM y{i}" for i in (1, 2, 3)),
+    N,
+)
 def cascade(spark, d):
     """Three levels downstream of every species."""
     merged, dim = _net_dim(spark, d)
