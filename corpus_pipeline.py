@@ -1,4 +1,4 @@
-"""From raw documents to token ids: quality rules, line dedup, SimHash near-dedup, decontamination, encoding.
+"""From raw documents to token ids: quality rules, line dedup, near-dedup, decontamination, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet under the shared folder and reads
 it again for the next one. All stages but the last return the columns of documents.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetra.llm import bpe, decontam, line_dedup, quality, simhash
+from kinetra.llm import bpe, decontam, line_dedup, near_copies, quality
 from kinetra.llm.common import materialize, read
 
 
@@ -24,8 +24,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest doc_id."""
-    return simhash.near_dedup(docs)
+    """One document of each group stays, that of the smallest doc_id; linked are texts that share 0.8 of their five-word shingles."""
+    return near_copies.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,131 @@
+"""Near copies: documents whose sets of shingles have a Jaccard similarity of at least a limit, checked exactly.
+
+Candidates come from MinHash signatures in `BANDS` bands of `ROWS` values: two texts of similarity s share a band with
+probability 1 - (1 - s^ROWS)^BANDS, so at 0.8 about 3 in a million pairs are missed, and fewer above. Every candidate pair is
+then compared by its texts, so nothing is linked that is less alike. Groups are the connected components of the links.
+
+Equal texts are one node. A band's members are first compared with the smallest of them; then, only where this leaves
+members of different groups in a band, these are compared with each other. So a large cluster costs a comparison a member,
+not one a pair.
+
+Edge cases: null, empty and wordless texts are one group; a text of fewer words than a shingle is one shingle; an empty table
+gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import map_arrow, materialize, text_key
+from .components import connected_components
+
+BANDS, ROWS = 32, 5
+_CHUNK = 1 << 12
+_RANDOM = np.random.default_rng(42)
+_FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_TERMS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_MIX = _RANDOM.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_SALT = _RANDOM.integers(0, 1 << 63, BANDS, np.uint64)
+
+
+def shingles(text: str | None, size: int = 5) -> set[bytes]:
+    """Runs of `size` words, A-Z lower-cased; none for a text without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(words) < size:
+        return {b" ".join(words)} if words else set()
+    return set(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
+
+
+def similarity(a: set, b: set) -> float:
+    """Jaccard similarity; two empty sets are equal."""
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
+
+
+def bands(text: str | None, size: int = 5) -> np.ndarray:
+    """A 64-bit key for each band of the text's MinHash signature."""
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(s, 42) for s in shingles(text, size) or (b"",)), np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), _CHUNK):
+        least = np.minimum(least, (np.multiply.outer(_FACTORS, h[at : at + _CHUNK]) + _TERMS[:, None]).min(1))
+    return ((least ^ least >> np.uint64(29)).reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64) ^ _SALT
+
+
+def _signatures(texts: DataFrame, size: int) -> DataFrame:
+    """(key, node, bands) of (key, node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [bands(t.as_py(), size) for t in b.column(2)]
+            values = pa.array(np.concatenate(rows).view(np.int64) if rows else np.empty(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), values)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["key", "node", "bands"])
+
+    kind = dict(texts.dtypes)["key"]
+    return texts.transform(map_arrow, run, f"key {kind}, node long, bands array<long>")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """The pairs (u, v) whose texts, from (node, text), are alike enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ours = None, set()
+        for b in batches:
+            keep = []
+            for u, a, t in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
+                if u != last:
+                    last, ours = u, shingles(a.as_py(), size)
+                keep.append(similarity(ours, shingles(t.as_py(), size)) >= least)
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    some = materialize(texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+    both = pairs.join(some.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(some.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+    return both.select("u", "v", "a", "b").transform(map_arrow, run, "u long, v long")
+
+
+def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+    """(key, component): component is the smallest key among the documents reachable by links."""
+    texts = df.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("node"), F.col(text).cast("string").alias("text"))
+    prints = materialize(_signatures(texts, size))
+    nodes = materialize(prints.groupBy("node").agg(F.min("key").alias("least"), F.first("bands").alias("bands")))
+    rows = nodes.select("node", F.explode("bands").alias("k"))
+    full = rows.groupBy("k").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    buckets = materialize(rows.join(full, "k"))
+    texts = texts.select("node", F.coalesce("text", F.lit("")).alias("text"))
+    stars = materialize(buckets.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct())
+    edges = materialize(_links(stars, texts, size, least))
+    # Bands that still hold several groups: their members against each other, but for the pairs that are done.
+    roots = connected_components(edges).withColumnRenamed("root", "r")
+    mine = materialize(buckets.select("k", "node").join(roots, "node", "left").select("k", "node", F.coalesce("r", "node").alias("r")))
+    mixed = mine.groupBy("k").agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low <> high").select("k")
+    open_ = materialize(mine.join(mixed, "k"))
+    other = open_.select("k", F.col("node").alias("v"), F.col("r").alias("r2"))
+    pairs = open_.withColumnRenamed("node", "u").join(other, "k").where("u < v and r <> r2").select("u", "v").distinct()
+    pairs = materialize(pairs.join(stars, ["u", "v"], "left_anti"))
+    if pairs.take(1):
+        edges = materialize(edges.union(_links(pairs, texts, size, least)))
+        roots = connected_components(edges).withColumnRenamed("root", "r")
+    parts = materialize(nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("r", "node").alias("r")))
+    heads = parts.groupBy("r").agg(F.min("least").alias("component"))
+    return prints.select("key", "node").join(parts.join(heads, "r").select("node", "component"), "node").select(F.col("key").alias(key), "component")
+
+
+def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of df of which one stays for each group: the one of the smallest key. All columns of df come back.
+
+    A row without a key goes by its text, and stays only if its group has no row with one; of repeated rows one stays.
+    """
+    named = df.withColumn("_kx_key", F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), text_key(F.col(text)).alias("tk")))
+    groups = near_groups(named, "_kx_key", text, size, least)
+    heads = groups.where(F.col("_kx_key") == F.col("component")).select("_kx_key").distinct()
+    one = Window.partitionBy("_kx_key").orderBy(F.col(text).asc_nulls_first())
+    kept = named.join(heads, "_kx_key", "left_semi").withColumn("_kx_n", F.row_number().over(one))
+    return kept.where("_kx_n = 1").select(*df.columns)

@@ -1,0 +1,70 @@
+"""The pipeline's near-dedup stage against all pairs."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+from kinetra.llm import components, near_copies  # noqa: E402
+
+from .test_llm import DOCS, _odd  # noqa: E402
+
+
+def _shingles(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def _classes(texts: dict):
+    sets, forest = {i: _shingles(t) for i, t in texts.items()}, components.Forest()
+    for a in sets:
+        for b in sets:
+            if a < b and (len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1) >= 0.8:
+                forest.join(a, b)
+    return {i: forest.find(i) for i in texts}
+
+
+def test_near_copies_of_every_similarity(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    texts = []
+    for n in range(60):
+        base = [word() for _ in range(rnd.choice([20, 60, 200, 400]))]
+        texts.append(" ".join(base))
+        for _ in range(2):
+            near = list(base)
+            for _ in range(rnd.randint(0, max(1, len(base) // 30))):
+                near[rnd.randrange(len(near))] = word()
+            texts.append("  ".join(near).upper() if n % 3 else "\n".join(near))
+    base = [word() for _ in range(100)]  # a chain: neighbours are alike, its ends are not
+    for _ in range(20):
+        texts.append(" ".join(base))
+        base = [*base[4:], *(word() for _ in range(4))]
+    shared = " ".join(word() for _ in range(12))
+    texts += [f"{shared} {' '.join(word() for _ in range(5))}" for _ in range(20)]  # a common line, not alike
+    texts += ["", " \n", "two words", "Two  words", "two wordz"]
+    order = list(range(len(texts)))
+    rnd.shuffle(order)
+    docs = {i: texts[j] for i, j in enumerate(order)}
+    want = set(_classes(docs).values())
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs.items()], DOCS)
+    out = corpus_pipeline.near_dedup(spark, df, "")
+    assert {r["doc_id"] for r in out.collect()} == want and out.columns == df.columns
+
+
+def test_odd_rows(spark):
+    odd = _odd(spark)
+    out = near_copies.drop_near_copies(odd)
+    assert out.columns == odd.columns and 0 < len(out.collect()) < odd.count()
+    assert near_copies.drop_near_copies(odd.where("false")).count() == 0
+
+
+def test_bands_find_pairs_at_the_limit():
+    rnd = random.Random(12)
+    for _ in range(300):
+        base = [str(rnd.random()) for _ in range(104)]
+        near = [*base[:92], *(str(rnd.random()) for _ in range(12))]  # 88 of 112 shingles
+        both = near_copies.similarity(near_copies.shingles(" ".join(base)), near_copies.shingles(" ".join(near)))
+        assert 0.78 < both < 0.8 and (near_copies.bands(" ".join(base)) == near_copies.bands(" ".join(near))).any()
