@@ -6,8 +6,8 @@ is 0, the block picks a bucket of patterns by their suffix, and a direct compari
 share one table; shorter items have one for each length.
 
 The patterns go to every task. They are small by a check, not by hope: the benchmark's words are counted first, and beyond
-`max_words` they are searched in parts of that size, each in a pass of its own over the documents; the spans are then merged
-by document. Items are the stated query set; no document is compared with another.
+`max_words` they are searched in parts of that size, each in a pass of its own over the documents; the passes are then merged
+by document and text, with the same result. Items are the stated query set; no document is compared with another.
 
 Edge cases: null and empty texts have no words and no hits; equal windows of several items count for each item; items
 without words match nothing; repeated document rows come back repeated; an empty benchmark leaves everything clean.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read
+from .common import map_arrow, read, text_key
 
 #: Bytes that are no part of a word become blanks, A-Z become a-z; bytes of other characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -81,13 +81,18 @@ def hits(words: list[bytes], searchers: list[WuManber]) -> tuple[list[tuple[int,
         for start, items in s.find(words):
             spans.append((start, start + s.m))
             found.update(items)
+    return merge(spans), found
+
+
+def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint sorted spans of the same places; spans that touch are one."""
     merged: list[list[int]] = []
     for start, end in sorted(spans):
         if merged and start <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], end)
         else:
             merged.append([start, end])
-    return [tuple(x) for x in merged], found
+    return [tuple(x) for x in merged]
 
 
 def _parts(bench: DataFrame, item: str, text: str, max_words: int) -> Iterator[list[tuple[str, str]]]:
@@ -102,13 +107,17 @@ def _parts(bench: DataFrame, item: str, text: str, max_words: int) -> Iterator[l
         yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
 def _pass(docs: DataFrame, kind: str, searchers: list[WuManber], spark) -> DataFrame:
+    """key, tk, n_words, n_hit, spans and items of every row of (key, tk, text)."""
     shared = spark.sparkContext.broadcast(searchers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_hit, spans, items = [], [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 words = search_words(t.as_py())
                 s, found = hits(words, shared.value)
                 n_words.append(len(words))
@@ -116,28 +125,35 @@ def _pass(docs: DataFrame, kind: str, searchers: list[WuManber], spark) -> DataF
                 spans.append([{"start": a, "end": e} for a, e in s])
                 items.append(sorted(found))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
-                names=["key", "n_words", "n_hit", "spans", "items"],
+                [b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))],
+                names=["key", "tk", "n_words", "n_hit", "spans", "items"],
             )
 
-    return docs.transform(map_arrow, run, f"key {kind}, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>")
+    return docs.transform(map_arrow, run, f"key {kind}, tk long, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n_words, spans of all passes, items) with the spans merged, and n_hit."""
+    for b in batches:
+        spans = [merge([(s["start"], s["end"]) for s in x]) for x in b.column(2).to_pylist()]
+        n_hit = pa.array([sum(e - a for a, e in x) for x in spans], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n_hit, pa.array([[{"start": a, "end": e} for a, e in x] for x in spans], _SPANS), b.column(3)], names=["key", "n_words", "n_hit", "spans", "items"])
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, max_words: int = 300_000) -> DataFrame:
     """key, n_words, n_hit, spans (word positions) and items (sorted ids as strings) of every document row."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
-    slim = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    slim = docs.select(F.col(key).alias("key"), text_key(F.col(text).cast("string")).alias("tk"), F.col(text).cast("string").alias("text"))
     passes = [_pass(slim, kind, compile_items(part, window), spark) for part in _parts(bench, item, item_text, max_words)]
     if len(passes) == 1:
-        return passes[0].withColumnRenamed("key", key)
-    # Several parts: spans of a document are merged over its passes; rows of equal key and text are one document here.
-    every = passes[0]
+        return passes[0].drop("tk").withColumnRenamed("key", key)
+    # Several parts: equal rows of key and text are merged over the passes, and come back as often as the first pass has them.
+    every = passes[0].withColumn("first", F.lit(1))
     for p in passes[1:]:
-        every = every.union(p)
-    every = every.groupBy("key", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
-    step = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], acc["upto"]))).alias("n"), F.greatest(acc["upto"], s["end"]).alias("upto"))
-    return every.select(F.col("key").alias(key), "n_words", F.aggregate("all", start, step)["n"].alias("n_hit"), F.col("all").alias("spans"), "items")
+        every = every.union(p.withColumn("first", F.lit(0)))
+    one = every.groupBy("key", "tk", "n_words").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.sum("first").alias("n"))
+    rows = one.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("key", "n_words", "spans", "items")
+    return rows.transform(map_arrow, _merged, f"key {kind}, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>").withColumnRenamed("key", key)
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, max_words: int = 300_000) -> DataFrame:

@@ -407,3 +407,13 @@ def test_wu_manber(spark):
         assert got == {i: _contaminated(t, items) for i, t in docs}
         kept = {r["doc_id"] for r in decontam.drop_contaminated(df, bench, max_words=most).collect()}
         assert kept == {i for i, t in docs if not _contaminated(t, items)[1]}
+
+
+def test_parts_give_the_same_rows(spark):
+    a, b = "one two three four five six seven eight nine ten", "red green blue cyan pink grey gold teal plum lime"
+    bench = spark.createDataFrame([(1, a + " eleven"), (2, b), (3, "zero " + a)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + a + " eleven y"), (1, "x " + a + " eleven y"), (1, " ".join("abcdefghijklm")), (None, b + " x"), (None, "x " + b), (None, None), (None, None), (2, "zero " + a + " eleven"), (3, a + " " + b)], "doc_id long, text string")
+    rows = lambda most: sorted(map(tuple, decontam.find_contamination(docs, bench, max_words=most).collect()), key=repr)
+    whole = rows(1000)
+    assert len(whole) == 9 and rows(8) == whole
+    assert sum(r[2] > 0 for r in whole) == 6
