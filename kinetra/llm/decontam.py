@@ -10,7 +10,8 @@ The patterns go to every task. They are small by a check, not by hope: the bench
 by document and text, with the same result. Items are the stated query set; no document is compared with another.
 
 Edge cases: null and empty texts have no words and no hits; equal windows of several items count for each item; items
-without words match nothing; repeated document rows come back repeated; an empty benchmark leaves everything clean.
+without words match nothing; items of null id are searched like others, are left out of items and count as one in n_items;
+repeated document rows come back repeated; an empty benchmark leaves everything clean.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ class WuManber:
             end += 1
 
 
-def compile_items(items: list[tuple[str, str]], window: int = 10) -> list[WuManber]:
+def compile_items(items: list[tuple[str | None, str]], window: int = 10) -> list[WuManber]:
     """One searcher for each length of window; items are (id, text)."""
     by_length: dict[int, WuManber] = {}
     for item, text in items:
@@ -95,9 +96,9 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in merged]
 
 
-def _parts(bench: DataFrame, item: str, text: str, max_words: int) -> Iterator[list[tuple[str, str]]]:
+def _parts(bench: DataFrame, item: str, text: str, max_words: int) -> Iterator[list[tuple[str | None, str]]]:
     """The items in parts of at most max_words words (or one item); read part by part if there is more than one."""
-    rows = bench.select(F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null")
+    rows = bench.select(F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("t is not null")
     size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     n = int(size // (2 * max_words)) + 1  # a word and its separator take two characters at least
     if n == 1:
@@ -111,49 +112,52 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _pass(docs: DataFrame, kind: str, searchers: list[WuManber], spark) -> DataFrame:
-    """key, tk, n_words, n_hit, spans and items of every row of (key, tk, text)."""
+    """key, tk, n_words, n_hit, spans, items and nameless (an item of null id is found) of every row of (key, tk, text)."""
     shared = spark.sparkContext.broadcast(searchers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_words, n_hit, spans, items = [], [], [], []
+            n_words, n_hit, spans, items, nameless = [], [], [], [], []
             for t in b.column(2):
                 words = search_words(t.as_py())
                 s, found = hits(words, shared.value)
                 n_words.append(len(words))
                 n_hit.append(sum(e - a for a, e in s))
                 spans.append([{"start": a, "end": e} for a, e in s])
-                items.append(sorted(found))
+                items.append(sorted(found - {None}))
+                nameless.append(None in found)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))],
-                names=["key", "tk", "n_words", "n_hit", "spans", "items"],
+                [b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), pa.array(nameless, pa.bool_())],
+                names=["key", "tk", "n_words", "n_hit", "spans", "items", "nameless"],
             )
 
-    return docs.transform(map_arrow, run, f"key {kind}, tk long, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>")
+    return docs.transform(map_arrow, run, f"key {kind}, tk long, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>, nameless boolean")
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n_words, spans of all passes, items) with the spans merged, and n_hit."""
+    """(key, n_words, spans of all passes, items, nameless) with the spans merged, and n_hit."""
     for b in batches:
         spans = [merge([(s["start"], s["end"]) for s in x]) for x in b.column(2).to_pylist()]
         n_hit = pa.array([sum(e - a for a, e in x) for x in spans], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n_hit, pa.array([[{"start": a, "end": e} for a, e in x] for x in spans], _SPANS), b.column(3)], names=["key", "n_words", "n_hit", "spans", "items"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n_hit, pa.array([[{"start": a, "end": e} for a, e in x] for x in spans], _SPANS), b.column(3), b.column(4)], names=["key", "n_words", "n_hit", "spans", "items", "nameless"])
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, max_words: int = 300_000) -> DataFrame:
-    """key, n_words, n_hit, spans (word positions) and items (sorted ids as strings) of every document row."""
+    """key, n_words, n_hit, spans (word positions), items (sorted ids as strings) and n_items of every document row."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
     slim = docs.select(F.col(key).alias("key"), text_key(F.col(text).cast("string")).alias("tk"), F.col(text).cast("string").alias("text"))
     passes = [_pass(slim, kind, compile_items(part, window), spark) for part in _parts(bench, item, item_text, max_words)]
+    n_items = (F.size("items") + F.col("nameless").cast("int")).cast("long").alias("n_items")
     if len(passes) == 1:
-        return passes[0].drop("tk").withColumnRenamed("key", key)
+        return passes[0].select(F.col("key").alias(key), "n_words", "n_hit", "spans", "items", n_items)
     # Several parts: equal rows of key and text are merged over the passes, and come back as often as the first pass has them.
     every = passes[0].withColumn("first", F.lit(1))
     for p in passes[1:]:
         every = every.union(p.withColumn("first", F.lit(0)))
-    one = every.groupBy("key", "tk", "n_words").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.sum("first").alias("n"))
-    rows = one.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("key", "n_words", "spans", "items")
-    return rows.transform(map_arrow, _merged, f"key {kind}, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>").withColumnRenamed("key", key)
+    one = every.groupBy("key", "tk", "n_words").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.max("nameless").alias("nameless"), F.sum("first").alias("n"))
+    rows = one.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("key", "n_words", "spans", "items", "nameless")
+    rows = rows.transform(map_arrow, _merged, f"key {kind}, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>, nameless boolean")
+    return rows.select(F.col("key").alias(key), "n_words", "n_hit", "spans", "items", n_items)
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, max_words: int = 300_000) -> DataFrame:
@@ -176,7 +180,7 @@ def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     found = find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
 
 

@@ -417,3 +417,19 @@ def test_parts_give_the_same_rows(spark):
     whole = rows(1000)
     assert len(whole) == 9 and rows(8) == whole
     assert sum(r[2] > 0 for r in whole) == 6
+
+
+def test_items_of_null_id(spark, tmp_path):
+    a, b, c = "one two three four five six seven eight nine ten", "red green blue cyan pink grey gold teal plum lime", "jan feb mar apr may jun jul aug sep oct"
+    spark.createDataFrame([(None, a), (None, b), (7, c)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    _docs(spark, "x " + a, f"{a} {b} {c}", c, "clean").write.parquet(f"{tmp_path}/documents.parquet")
+    bench, docs = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("benchmark", "documents"))
+    for most in (1000, 8):
+        got = {r["doc_id"]: (r["n_hit"], r["items"], r["n_items"]) for r in decontam.find_contamination(docs, bench, max_words=most).collect()}
+        assert got == {0: (10, [], 1), 1: (30, ["7"], 2), 2: (10, ["7"], 1), 3: (0, [], 0)}
+        assert [r["doc_id"] for r in decontam.drop_contaminated(docs, bench, max_words=most).collect()] == [3]
+    c = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = queries.QUERIES["op10_decontamination"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(c.sql(queries.SQL["op10_decontamination"]).fetchall())
