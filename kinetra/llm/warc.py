@@ -8,8 +8,9 @@ all others lie inside payloads and are put back into the record that holds them.
 The writer puts one record a row with Spark's text writer, so files are committed whole and tasks can be retried. Of records
 of equal payload the one of the smallest id is a response; the others are revisits that name its record and carry no payload.
 
-Edge cases: a null payload is written as an empty one; ids must not be null and are unique (a repeated id of equal payload
-gives one response and revisits of it); an empty table gives no archives and no records; a file that doesn't begin with a
+Edge cases: a null payload is written as an empty one; a row of null id is named NAMELESS, is never the first of its payload,
+and is a response if no row with an id has its payload; ids are unique (a repeated id of equal payload gives one response
+and revisits of it); an empty table gives no archives and no records; a file that doesn't begin with a
 record, or whose chain breaks, gives the records up to there; extra columns are ignored.
 """
 
@@ -26,6 +27,8 @@ from .common import discard, map_arrow, materialize, read, scratch
 
 MAGIC = "WARC/1.1\r\n"
 RECORDS_PER_FILE = 4096
+#: Names a record whose row has no id; those of ids, also of empty ones, have a colon more.
+NAMELESS = "<urn:page>"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -41,10 +44,10 @@ def write_archives(df: DataFrame, path: str, key: str = "page_id", url: str = "u
     rows = df.select(F.col(key).cast("string").alias("id"), F.col(key).alias("key"), F.col(url).cast("string").alias("url"), body.alias("body")).withColumn("digest", base32_sha1(F.col("body"))).withColumn("size", F.octet_length("body"))
     # Only payloads that occur twice or more; written first, so that its real size decides how it is joined.
     copies = materialize(rows.groupBy("digest", "size").agg(F.min("key").cast("string").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    rows = rows.join(copies, ["digest", "size"], "left").withColumn("revisit", F.coalesce(F.col("first") != F.col("id"), F.lit(False)))
+    rows = rows.join(copies, ["digest", "size"], "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id")))
     carried = F.when(F.col("revisit"), F.lit("")).otherwise(F.col("body"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    uri = lambda i: F.concat(F.lit("<urn:page:"), i, F.lit(">"))
+    uri = lambda i: F.coalesce(F.concat(F.lit("<urn:page:"), i, F.lit(">")), F.lit(NAMELESS))
     record = F.concat(
         F.lit(MAGIC),
         line("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")),
@@ -177,7 +180,7 @@ def archive_and_read(df: DataFrame, path: str, key: str = "page_id", url: str =
 def op9_warc(spark, sf_dir: str) -> DataFrame:
     """Every page written to an archive and read back."""
     records = archive_and_read(read(spark, sf_dir, "pages"), scratch(spark))
-    page = lambda name: F.regexp_extract(F.col("headers")[name], "<urn:page:(-?[0-9]+)>", 1)
+    page = lambda name: F.nullif(F.regexp_extract(F.col("headers")[name], "<urn:page:(-?[0-9]+)>", 1), F.lit(""))
     rows = records.select(
         page("warc-record-id").cast("long").alias("page_id"), F.octet_length("payload").cast("long").alias("size"), base32_sha1(F.col("payload")).alias("digest"),
         F.col("headers")["warc-payload-digest"].alias("said"), F.col("headers")["warc-type"].alias("record_type"), F.expr("try_cast(nullif(regexp_extract(headers['warc-refers-to'], '<urn:page:(-?[0-9]+)>', 1), '') as bigint)").alias("refers_to"),

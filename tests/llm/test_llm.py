@@ -379,6 +379,16 @@ def test_warc_with_magic_in_payloads(spark, tmp_path):
     assert warc.read_archives(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_warc_with_null_ids(spark, tmp_path):
+    pages = [(None, "u", "first"), (1, "u", "one"), (None, None, "middle"), (2, "u", "one"), (None, "u", "one"), (None, "u", "first"), (3, "u", None), (None, "u", None), (4, "u", "last")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    rows = queries.QUERIES["op9_warc"](spark, str(tmp_path)).collect()
+    digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    first = {"one": 1, None: 3}
+    want = [(i, len(t or ""), digest(t), *(("revisit", first[t]) if t in first and first[t] != i else ("response", None))) for i, _, t in pages]
+    assert sorted(map(tuple, rows), key=repr) == sorted(want, key=repr)
+
+
 # 10
 
 
