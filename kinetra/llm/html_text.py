@@ -4,8 +4,13 @@ A tokenizer cuts the page at tags, comments and raw-text elements; the tree buil
 those that a new tag implies closed (a paragraph before a block, an item before an item, a cell before a cell, a row before a
 row) and those that an end tag leaves open; visibility rules drop what a browser doesn't show (head matter, scripts, styles,
 templates, the hidden attribute, display:none and visibility:hidden). What is left is laid out: blocks on lines of their
-own, one blank line around paragraphs and headings, items behind bullets or numbers and indented by depth, preformatted text
-as it is, and the cells of a table padded to the width of their columns.
+own, one blank line around paragraphs and headings, items behind bullets or numbers and indented by depth (the indent ends at
+64 levels, the text doesn't), preformatted text as it is, and the cells of a table padded to the width of their columns.
+
+Cells without a row get one, and what stands in a table, row group or row outside of cells and captions goes before the table,
+as in browsers. Formulas and the options of a select are text; of a drawing (svg) only its text elements and foreign objects are
+shown, as in browsers. Content that stands in for what can't be shown (object, audio, video, canvas, iframe) and datalists
+stay hidden. Elements may nest to any depth: trees are built and laid out without recursion, in linear time.
 
 Edge cases: null and empty pages give an empty text; unclosed tags and stray end tags are tolerated; a comment or raw-text
 element that isn't closed ends with the page; every row comes back once, repeated or not; an empty table gives an empty
@@ -16,7 +21,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,23 +34,30 @@ from .common import map_arrow, read
 # Element names of the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-_UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object svg math audio video canvas datalist select".split())
+_UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist annotation annotation-xml".split())
+_SVG_UNSEEN = frozenset("defs symbol desc metadata clippath mask".split())
+_SVG_TEXT = frozenset(("text", "foreignobject"))
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
 _CELLS = frozenset(("td", "th"))
 _ROWS = frozenset(("tr",))
 _GROUPS = frozenset(("thead", "tbody", "tfoot"))
+_TABLE = frozenset(("table",)) | _ROWS | _GROUPS
+#: Inside these, only the elements of _TABLE_PARTS stand in the table.
+_NO_TEXT = _TABLE | {"colgroup"}
+_TABLE_PARTS = _CELLS | _ROWS | _GROUPS | frozenset("caption colgroup col style script template".split())
+_MOST_INDENT = 64
 #: What a start tag closes, and up to which open element it looks.
 _CLOSES = {
     "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu", "table"))),
     "dt": (frozenset(("dt", "dd")), frozenset(("dl", "table"))),
     "dd": (frozenset(("dt", "dd")), frozenset(("dl", "table"))),
-    "td": (_CELLS, frozenset(("tr", "table"))),
-    "th": (_CELLS, frozenset(("tr", "table"))),
-    "tr": (_CELLS | _ROWS, frozenset(("table",))),
-    "thead": (_CELLS | _ROWS | _GROUPS, frozenset(("table",))),
-    "tbody": (_CELLS | _ROWS | _GROUPS, frozenset(("table",))),
-    "tfoot": (_CELLS | _ROWS | _GROUPS, frozenset(("table",))),
+    "td": (_CELLS, frozenset(("tr", "table", "template"))),
+    "th": (_CELLS, frozenset(("tr", "table", "template"))),
+    "tr": (_CELLS | _ROWS, frozenset(("table", "template"))),
+    "thead": (_CELLS | _ROWS | _GROUPS, frozenset(("table", "template"))),
+    "tbody": (_CELLS | _ROWS | _GROUPS, frozenset(("table", "template"))),
+    "tfoot": (_CELLS | _ROWS | _GROUPS, frozenset(("table", "template"))),
     "option": (frozenset(("option",)), frozenset(("select", "datalist"))),
     "body": (frozenset(("head",)), frozenset()),
 }
@@ -104,44 +118,85 @@ def _hides(attrs: str) -> tuple[bool, int]:
     return hidden, start
 
 
+class _Open:
+    """The open elements, outermost first, with their places by name, so that looking for one doesn't walk the stack."""
+
+    def __init__(self, root: _Node) -> None:
+        self.stack = [root]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+
+    def push(self, node: _Node) -> None:
+        at = len(self.stack)
+        self.places[node.name].append(at)
+        if node.name in _BLOCK:
+            self.blocks.append(at)
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        """Close the element at this place and all inside it."""
+        while len(self.stack) > at:
+            node = self.stack.pop()
+            self.places[node.name].pop()
+            if node.name in _BLOCK:
+                self.blocks.pop()
+
+    def last(self, names) -> int:
+        """The place of the innermost of these, 0 if none is open."""
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=0)
+
+    def first_above(self, names, at: int) -> int:
+        """The place of the outermost of these inside the element at this place, 0 if there is none."""
+        found = [p[i] for n in names if (p := self.places.get(n)) and (i := bisect_right(p, at)) < len(p)]
+        return min(found, default=0)
+
+    def add(self, kid: str | _Node) -> None:
+        """Into the innermost element; what can't stand in a table goes before it."""
+        top = self.stack[-1]
+        if top.name in _NO_TEXT and (kid.strip() if isinstance(kid, str) else kid.name not in _TABLE_PARTS):
+            kids = self.stack[self.places["table"][-1] - 1].kids if self.places["table"] else top.kids
+            kids.insert(len(kids) - bool(self.places["table"]), kid)
+        else:
+            top.kids.append(kid)
+
+
 def tree(page: str) -> _Node:
     """The page's elements with implied ends; hidden and invisible ones are kept, marked."""
     root = _Node("html")
-    stack = [root]
+    now = _Open(root)
     for kind, name, attrs in tokens(page):
+        stack = now.stack
         if kind == "text":
-            stack[-1].kids.append(name if attrs == "raw" and stack[-1].name not in ("title", "textarea") else html.unescape(name))
+            now.add(name if attrs == "raw" and stack[-1].name not in ("title", "textarea") else html.unescape(name))
         elif kind == "open":
-            if name in ("html", "body") and any(n.name == name for n in stack[1:]) or name == "html":
+            if name == "html" or name == "body" and now.places.get("body"):
                 continue
-            if name in _BLOCK:  # a block ends an open paragraph, unless a cell or the like holds the block
-                for i in range(len(stack) - 1, max(0, len(stack) - 64), -1):
-                    if stack[i].name == "p":
-                        del stack[i:]
-                        break
-                    if stack[i].name in _BLOCK:
-                        break
+            if name in _BLOCK and now.blocks and stack[now.blocks[-1]].name == "p":
+                now.cut(now.blocks[-1])  # a block ends an open paragraph, unless a cell or the like holds the block
             if name in _CLOSES:
                 ends, upto = _CLOSES[name]
-                cut = None
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].name in upto:
-                        break
-                    if stack[i].name in ends:
-                        cut = i
-                if cut:
-                    del stack[cut:]
+                if at := now.first_above(ends, now.last(upto)):
+                    now.cut(at)
+            if name in _CELLS | _ROWS | _GROUPS | {"caption", "colgroup"}:
+                holds = _TABLE if name in _CELLS else _GROUPS | {"table"} if name in _ROWS else {"table"}
+                at = now.last(holds)
+                if at > now.last(_CELLS | {"template"}):
+                    now.cut(at + 1)
+                    if name in _CELLS and stack[-1].name != "tr":
+                        row = _Node("tr")
+                        now.add(row)
+                        now.push(row)
+            elif name == "table" and (at := now.last(_TABLE)) > now.last(_CELLS | {"caption", "template"}):
+                now.cut(now.places["table"][-1] if now.places["table"] else at)
             node = _Node(name, *_hides(attrs)) if attrs.strip(" /") else _Node(name)
-            stack[-1].kids.append(node)
-            if name not in _VOID and not attrs.endswith("/") and len(stack) < 512:
-                stack.append(node)
-        else:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
-                if stack[i].name in _CELLS | {"table"} and name not in _BLOCK:
-                    break  # an inline end tag doesn't close a cell
+            loose = name == "form" and stack[-1].name in _NO_TEXT  # a form between rows or cells holds nothing
+            now.add(node)
+            if name not in _VOID and not attrs.endswith("/") and not loose:
+                now.push(node)
+        elif places := now.places.get(name):
+            walls = {"template"} if name in _GROUPS | {"table", "template"} else {"table", "template"} if name in _CELLS | _ROWS | {"caption"} else _CELLS | {"table", "caption", "template"}
+            if name == "template" or places[-1] > now.last(walls - {name}) or name in _GROUPS and places[-1] > now.last(("table",)):
+                now.cut(places[-1])
     return root
 
 
@@ -182,36 +237,56 @@ class _Page:
                 self.space = False
 
 
-def _render(node: _Node, page: _Page, depth: int, pre: bool) -> None:
+def _walk(steps: Generator) -> list[str] | None:
+    """Run steps that yield the steps inside them, with a list in place of the call stack."""
+    running, value = [steps], None
+    while running:
+        try:
+            running.append(running[-1].send(value))
+            value = None
+        except StopIteration as end:
+            running.pop()
+            value = end.value
+    return value
+
+
+def _render(node: _Node, page: _Page, depth: int, pre: bool, drawing: bool = False) -> Generator:
     number = node.start
     for kid in node.kids:
         if isinstance(kid, str):
-            page.text(kid, pre)
+            if not drawing:
+                page.text(kid, pre)
             continue
         name = kid.name
-        if kid.hidden or name in _UNSEEN:
+        if kid.hidden or name in _UNSEEN or drawing and name in _SVG_UNSEEN:
             continue
         if name == "br":
             page.flush()
             continue
+        if name in ("svg", "option", "optgroup") or drawing and name in _SVG_TEXT:
+            page.space = True  # a word of its own
+            yield _render(kid, page, depth, pre, name == "svg" or drawing and name not in _SVG_TEXT)
+            page.space = True
+            continue
         if name not in _BLOCK:
-            _render(kid, page, depth, pre)
+            yield _render(kid, page, depth, pre, drawing)
             continue
         page.flush()
         page.blank |= name in _SPACED and not (name in ("ul", "ol") and depth)
         if name == "table":
-            page.lines += ([""] if page.blank and page.lines else []) + table if (table := _table(kid)) else []
+            table = yield _table(kid)
+            page.lines += ([""] if page.blank and page.lines else []) + table if table else []
         elif name == "hr":
             pass
         elif name == "li":
             mark = f"{number}. " if node.name == "ol" else "- "
             number += 1
-            page.now = ["  " * max(0, depth - 1) + mark]
-            _render(kid, page, depth, pre)
+            page.now = ["  " * max(0, min(depth, _MOST_INDENT) - 1) + mark]
+            yield _render(kid, page, depth, pre)
             if "".join(page.now).strip() == mark.strip():
                 page.now = []  # an empty item
         else:
-            _render(kid, page, depth + (name in ("ul", "ol", "menu")), pre or name == "pre")
+            yield _render(kid, page, depth + (name in ("ul", "ol", "menu")), pre or name == "pre")
         page.flush()
         page.blank |= name in _SPACED and not (name in ("ul", "ol") and depth)
 
@@ -222,17 +297,17 @@ def _rows(node: _Node) -> Iterator[_Node]:
             if kid.name == "tr":
                 yield kid
             elif kid.name in _GROUPS:
-                yield from _rows(kid)
+                yield from (row for row in kid.kids if isinstance(row, _Node) and not row.hidden and row.name == "tr")
 
 
-def _table(node: _Node) -> list[str]:
-    """Lines of a table, each column as wide as its widest cell; text outside of cells comes first."""
+def _table(node: _Node) -> Generator:
+    """Lines of a table, each column as wide as its widest cell; the caption comes first."""
     loose, rows = _Page(), []
     for kid in node.kids:
         if isinstance(kid, str):
             loose.text(kid, False)
         elif not kid.hidden and kid.name not in _GROUPS | _ROWS | _UNSEEN:
-            _render(kid, loose, 0, False)
+            yield _render(kid, loose, 0, False)
             loose.flush()
     loose.flush()
     for row in _rows(node):
@@ -240,7 +315,7 @@ def _table(node: _Node) -> list[str]:
         for cell in row.kids:
             if isinstance(cell, _Node) and not cell.hidden and cell.name in _CELLS:
                 inside = _Page()
-                _render(cell, inside, 0, False)
+                yield _render(cell, inside, 0, False)
                 inside.flush()
                 cells.append(" ".join(x for x in inside.lines if x))
         if any(cells):
@@ -252,7 +327,7 @@ def _table(node: _Node) -> list[str]:
 def visible_text(page: str | None) -> str:
     """The text that a browser would show."""
     out = _Page()
-    _render(tree(page or ""), out, 0, False)
+    _walk(_render(tree(page or ""), out, 0, False))
     out.flush()
     return "\n".join(out.lines)
 

@@ -330,6 +330,35 @@ def test_html(page, text):
     assert html_text.visible_text(page) == text
 
 
+LOST = [
+    ("<table><tbody><td>x<td>y</table>", "x  y"),
+    ("<table><td>x</td></table>z", "x\n\nz"),
+    ("<table><tr><form><td>x</td></form><td>y</td></tr></table>", "x  y"),
+    ("<table><tbody><form><tr><td>x</td></tr></form><tr><td>y</table>", "x\ny"),
+    ("a<table><tbody>b<tr>c<td>x</td><b>d</b></tr></table>", "abcd\n\nx"),
+    ("<table><caption>t</caption><tr><div>b</div><td>x</table>", "b\n\nt\nx"),
+    ("<table hidden>b<tr><td>x</table>", "b"),
+    ("<table><tr><td>a<table><td>b</table>c</td><td>d</table>", "a b c  d"),
+    ("<table><template><tr><td>no</template><tr><td>x</table>", "x"),
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+    ("a<svg><title>no</title><defs><text>no</text></defs>no<g><text>b</text><text>c<tspan>d</tspan></text></g></svg>e", "a b cd e"),
+    ("<select><option>one<option>two</select>x", "one two x"),
+    ("<b>" * 600 + "<p>a<p>b<ul><li>c</ul><table><tr><td>x<td>y</table><div hidden>no</div><script>no</script>z", "a\n\nb\n\n- c\n\nx  y\n\nz"),
+    ("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>end", "deep\n\nend"),
+    ("<table><tr><td>" * 2000 + "deep", "deep"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), LOST)
+def test_no_visible_text_is_lost(page, text):
+    assert html_text.visible_text(page) == text
+
+
+def test_deep_html_is_linear():
+    for s in ("<div>" * 30_000 + "</b>" * 30_000, "<b>" * 30_000 + "<li>" * 30_000, "<span>" * 30_000 + "<dt>x" * 20_000, "<ul><li>x" * 5_000, "<table><td>" * 10_000):
+        html_text.visible_text(s)
+
+
 def test_html_is_linear():
     for s in ("<" * 100_000, "<a " * 30_000, "<div>" * 30_000, "<p>" * 30_000, '<a b="' * 20_000, "<li>" * 20_000):
         html_text.visible_text(s)
