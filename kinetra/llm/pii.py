@@ -4,8 +4,10 @@ A task scans each text for base spans (seeds) and for candidates: other tokens w
 their context, the two words before. Contexts (patterns) and strings (instances) form a graph for each kind. Seeds have
 confidence 1; in each round a pattern's confidence is the mean of its instances' (unknown ones count 0, and one doubt is
 added), and an instance's is 1 - product(1 - confidence) over its patterns. Only patterns with at least min_seeds distinct
-seeds take part. After the rounds, candidates that stand behind a pattern of at least min_confidence become spans of its
-kind, the surest kind first. The graph holds distinct (pattern, instance) pairs, so copies of a text add nothing to it.
+seeds take part. After `rounds` rounds the instances of at least min_confidence become seeds of their kind themselves, which
+may admit further patterns, and the rounds begin again, until no seed is new: seeds are never taken back, so this ends.
+Then candidates that stand behind a pattern of at least min_confidence become spans of its kind, the surest kind first. The
+graph holds distinct (pattern, instance) pairs, so copies of a text add nothing to it.
 
 Edge cases: null and empty texts have no spans; a text without words before a candidate gives it the context that there is
 (none: no pattern); repeated rows come back repeated and count once; a null key is passed through; an empty table gives an
@@ -18,6 +20,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +105,7 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
         while b > a and text[b - 1] in ")]}.,:!?":
             b -= 1
         token = text[a:b]
-        if b - a > 64 or not ("@" in token[1:-1] or sum("0" <= c <= "9" for c in token) >= 5):
+        if not ("@" in token[1:-1] or sum("0" <= c <= "9" for c in token) >= 5):
             continue
         while i < len(spans) and spans[i][1] <= a:
             i += 1
@@ -111,6 +114,12 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
     return out
 
 
+def _name(instance: str) -> str:
+    """What tells an instance from others: itself in lower case, or a hash of it if it is long."""
+    low = instance.lower()
+    return low if len(low) <= 64 else "# " + xxhash.xxh3_128_hexdigest(low.encode("utf-8", "surrogatepass"))
+
+
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, tk and mentions: array of (kind or null, start, end, pattern, instance), in the order of base_spans, then candidates."""
     mention = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.string()), ("instance", pa.string())])
@@ -122,7 +131,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 t = t.as_py() or ""
                 base = base_spans(t)
                 every = [*base, *((None, a, e) for a, e in candidates(t, base))]
-                rows.append([{"kind": k, "start": a, "end": e, "pattern": _context(t, a), "instance": t[a:e].lower()} for k, a, e in every])
+                rows.append([{"kind": k, "start": a, "end": e, "pattern": _context(t, a), "instance": _name(t[a:e])} for k, a, e in every])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(mention))], names=["key", "tk", "mentions"])
 
     kind = dict(df.dtypes)[key]
@@ -130,22 +139,42 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return slim.transform(map_arrow, run, f"key {kind}, tk long, mentions array<struct<kind:string,start:int,end:int,pattern:string,instance:string>>")
 
 
-def sure_patterns(scanned: DataFrame, rounds: int = 3, min_seeds: int = 3, min_confidence: float = 0.75) -> DataFrame:
-    """(pattern, kind, confidence) of the patterns that the bootstrapping accepts."""
-    edges = scanned.select(F.explode("mentions").alias("m")).select("m.pattern", "m.instance", "m.kind").where("pattern <> ''")
-    edges = edges.groupBy("pattern", "instance").agg(F.max("kind").alias("seed"))
-    pairs = edges.where("seed is not null").groupBy("pattern", "seed").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).select("pattern", F.col("seed").alias("kind"))
+def _scores(edges: DataFrame, found: DataFrame | None, rounds: int, min_seeds: int) -> tuple[DataFrame, DataFrame]:
+    """(pattern, kind, p) and (kind, instance, any, c) after some rounds; seeds are those of edges and found (kind, instance)."""
+    seeds = edges.where("seed is not null").select("pattern", F.col("seed").alias("kind"), "instance")
+    if found is not None:
+        seeds = seeds.union(edges.where("seed is null").join(found, "instance").select("pattern", "kind", "instance"))
+    pairs = seeds.groupBy("pattern", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).select("pattern", "kind")
     # One copy of a pattern's edges for each kind that it may stand for; at most four.
-    graph = materialize(edges.join(pairs, "pattern").select("pattern", "kind", "instance", (F.col("seed") == F.col("kind")).alias("own"), F.col("seed").isNotNull().alias("any")))
+    graph = edges.join(pairs, "pattern").select("pattern", "kind", "instance", (F.col("seed") == F.col("kind")).alias("own"), F.col("seed").isNotNull().alias("any"))
+    if found is not None:
+        graph = graph.join(found.withColumn("was", F.lit(True)), ["kind", "instance"], "left").select("pattern", "kind", "instance", (F.coalesce("own", F.lit(False)) | F.coalesce("was", F.lit(False))).alias("own"), "any")
+    graph = materialize(graph)
     sure = F.when(F.coalesce("own", F.lit(False)), 1.0).when(F.col("any"), 0.0).otherwise(F.coalesce("c", F.lit(0.0)))
     scores = None
     for _ in range(rounds):
-        known = graph.withColumn("c", F.lit(None).cast("double")) if scores is None else graph.join(scores, ["kind", "instance"], "left")
+        known = graph.withColumn("c", F.lit(None).cast("double")) if scores is None else graph.join(scores.drop("any"), ["kind", "instance"], "left")
         patterns = known.groupBy("pattern", "kind").agg((F.sum(sure) / (F.count("*") + 1)).alias("p"))
         patterns = materialize(patterns)
         doubt = F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9))))
-        scores = graph.join(patterns, ["pattern", "kind"]).groupBy("kind", "instance").agg((1 - F.exp(doubt)).alias("c"))
-    return patterns.where(F.col("p") >= min_confidence).select("pattern", "kind", F.col("p").alias("confidence"))
+        scores = graph.join(patterns, ["pattern", "kind"]).groupBy("kind", "instance").agg(F.max("any").alias("any"), (1 - F.exp(doubt)).alias("c"))
+    return patterns, scores
+
+
+def sure_patterns(scanned: DataFrame, rounds: int = 3, min_seeds: int = 3, min_confidence: float = 0.75) -> DataFrame:
+    """(pattern, kind, confidence) of the patterns that the bootstrapping accepts."""
+    edges = scanned.select(F.explode("mentions").alias("m")).select("m.pattern", "m.instance", "m.kind").where("pattern <> ''")
+    edges = materialize(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("seed")))
+    found = None
+    while True:
+        patterns, scores = _scores(edges, found, rounds, min_seeds)
+        more = scores.where(~F.col("any") & (F.col("c") >= min_confidence)).select("kind", "instance")
+        if found is not None:
+            more = more.join(found, ["kind", "instance"], "left_anti")
+        more = materialize(more)
+        if not more.take(1):
+            return patterns.where(F.col("p") >= min_confidence).select("pattern", "kind", F.col("p").alias("confidence"))
+        found = more if found is None else materialize(found.union(more))
 
 
 def find_personal_data(df: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 3, min_seeds: int = 3, min_confidence: float = 0.75) -> DataFrame:

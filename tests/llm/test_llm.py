@@ -227,6 +227,24 @@ def test_contexts_find_more(spark):
     assert not any(r["added"] for r in pii.find_personal_data(_docs(spark, *copies)).collect())
 
 
+def test_contexts_are_found_over_several_hops(spark):
+    hop = lambda words, names: [f"text {words} {n} bye" for n in names]
+    own = lambda k: [f"{k}{i}@host" for i in range(6)]
+    texts = hop("please mail", [f"user{i}@site{i}.example" for i in range(20)] + own("a"))
+    texts += hop("write to", own("a") + own("b")[:2]) + hop("reach under", own("a") + own("c")[:2])
+    chain = hop("contact via", ["x@host"]) + hop("write to", own("d")[:1])
+    rows = {r["doc_id"]: r for r in pii.find_personal_data(_docs(spark, *texts, *chain)).collect()}
+    assert [len(rows[i]["added"]) for i in range(len(texts))] == [0] * 20 + [1] * 22
+    assert [len(rows[len(texts) + i]["added"]) for i in range(2)] == [0, 1]
+
+
+def test_long_candidates(spark):
+    long = "n" * 80 + "@host"
+    known = [f"text {i} please mail me: user{i}@site{i}.example now" for i in range(8)]
+    rows = {r["doc_id"]: r for r in pii.find_personal_data(_docs(spark, *known, f"please mail me: {long} bye")).collect()}
+    assert [tuple(s) for s in rows[8]["added"]] == [("email", 16, 16 + len(long))]
+
+
 def test_pii_query(spark, duck):
     texts = dict(duck.sql("select doc_id, text from documents").fetchall())
     for r in queries.QUERIES["op4_pii"](spark, FOLDER).collect():
