@@ -1,7 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (up to a run of . ! ? or a line break, with the white space behind); a sentence of more than 25
-words is cut after every 25, so that a long one is a run by itself. Every run of `span` consecutive sentences that has at
+words is cut behind words at which the hash of the last three words is the least among those of the four words on either side, so
+that copies of a passage are cut at the same words wherever it stands, but for the few words at its ends. What is still longer
+than 25 words (mostly where words repeat) is cut at its least hashes. Every run of `span` consecutive sentences that has at
 least min_words words is hashed, over its words in lower case, and the hashes are joined
 over all documents. The first run of a hash stays (smallest doc_id, then the earliest in its text); the sentences of all
 others are removed, and the rest of the text stays as it was.
@@ -29,6 +31,28 @@ from .common import map_arrow, materialize, read, text_key
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 _WORDS = re.compile(r"\S+\s*")
 LONGEST = 25
+#: Words on either side that a cut looks at; a part of a cut sentence has more words than that, its last one as many at least.
+REACH = 4
+
+
+def _cuts(words: list[str]) -> list[int]:
+    """Places in a long sentence to cut at, by what the words are, not by where they stand."""
+    low = [w.strip().lower() for w in words]
+    h = [xxhash.xxh3_64_intdigest(" ".join(low[max(0, i - 2) : i + 1]).encode("utf-8", "surrogatepass")) for i in range(len(low))]
+    out = []
+    for i in range(REACH, len(h) - REACH):
+        x = h[i]
+        if x == min(h[i - REACH : i + REACH + 1]) and x not in h[i - REACH : i]:
+            out.append(i + 1)
+    every, at = [], 0
+    for cut in [*out, len(h)]:
+        while cut - at > LONGEST:
+            upto = min(at + LONGEST, cut - REACH)
+            at = min(range(at + REACH, upto), key=h.__getitem__) + 1
+            every.append(at)
+        every.append(cut)
+        at = cut
+    return every
 
 
 def sentences(text: str | None) -> list[str]:
@@ -37,7 +61,8 @@ def sentences(text: str | None) -> list[str]:
     for s in _SENTENCE.findall(text or ""):
         if len(s) > 2 * LONGEST and len(words := _WORDS.findall(s)) > LONGEST:
             words[0] = s[: len(s) - len(s.lstrip())] + words[0]
-            out += ["".join(words[i : i + LONGEST]) for i in range(0, len(words), LONGEST)]
+            cuts = _cuts(words)
+            out += ["".join(words[i:j]) for i, j in zip([0, *cuts], cuts, strict=False)]
         else:
             out.append(s)
     return out

@@ -283,6 +283,26 @@ def test_passage_goes_from_later_documents(spark):
     assert rows[0]["n_removed"] == 0 and rows[1]["text"] == "Other words stand. And an end." and rows[1]["copied_from"] == [0] and rows[2]["n_removed"] == 0
 
 
+def test_unpunctuated_passages_at_other_offsets(spark):
+    rnd = random.Random(13)
+    words = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    texts = []
+    for n in range(40):
+        passage = words(60)
+        texts += [" ".join(words(7 + n % 3) + passage + words(30)), "  ".join([w.upper() for w in words(12 + n % 20)] + passage + words(9))]
+    assert all("".join(substring.sentences(t)) == t for t in texts)
+    assert all(1 <= len(p.split()) <= substring.LONGEST for t in [*texts, "word " * 999, "a b c d e " * 99] for p in substring.sentences(t))
+    rows = {r["doc_id"]: r for r in substring.dedup_spans(_docs(spark, *texts)).collect()}
+    gone = [len(texts[i].split()) - len(rows[i]["text"].split()) for i in range(1, 80, 2)]
+    assert all(rows[i]["n_removed"] == 0 for i in range(0, 80, 2)) and min(gone) >= 20 and sum(gone) / 40 >= 35 and max(gone) <= 60
+    assert all(rows[i]["copied_from"] == [i - 1] for i in range(1, 80, 2))
+
+
+def test_repeating_words_are_cut_alike():
+    parts = [substring.sentences("x " * n + "a b c d e " * 60) for n in (0, 7, 12)]
+    assert all(set(p[3:-3]) <= set(parts[0]) for p in parts)
+
+
 # 6
 
 
