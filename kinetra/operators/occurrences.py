@@ -36,7 +36,8 @@ def changed_components(molecules: DataFrame, max_rounds: int = 100) -> DataFrame
     """(dataset, transition, reactants, products, atom_ids): molecules linked by shared atoms over each transition.
 
     Unchanged molecules leave before the join. The components of all transitions are found at once by passing on the smallest
-    label; they are a few molecules each, so few rounds do, each checkpointed.
+    label, to a node's neighbours and to the node that its old label names, and by replacing labels by their labels; so long
+    chains take few rounds too, each checkpointed. Labels that still move after max_rounds are an error.
     """
     nodes = cut(_sided(molecules))
     t = ["dataset", "transition"]
@@ -46,11 +47,15 @@ def changed_components(molecules: DataFrame, max_rounds: int = 100) -> DataFrame
     labels = nodes.select(*t, "node", F.col("node").alias("label")).distinct()
     for _ in range(max_rounds):
         near = links.join(labels.withColumnRenamed("node", "v"), [*t, "v"]).groupBy(*t, F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        new = cut(labels.join(near, [*t, "node"], "left").select(*t, "node", F.least("label", F.coalesce("near", "label")).alias("label"), (F.col("near") < F.col("label")).alias("moved")))
-        moved = new.where("moved").take(1)
-        labels = new.drop("moved")
-        if not moved:
+        lower = cut(labels.join(near, [*t, "node"], "left").select(*t, "node", "label", "near").where("near < label"))
+        if not lower.take(1):
             break
+        told = lower.select(*t, "node", "near").union(lower.select(*t, F.col("label").alias("node"), "near")).groupBy(*t, "node").agg(F.min("near").alias("near"))
+        labels = cut(labels.join(told, [*t, "node"], "left").select(*t, "node", F.least("label", "near").alias("label")))
+        up = labels.select(*t, F.col("node").alias("label"), F.col("label").alias("next"))
+        labels = cut(labels.join(up, [*t, "label"]).select(*t, "node", F.col("next").alias("label")))
+    else:
+        raise RuntimeError(f"components have not settled in {max_rounds} rounds")
     side = lambda s: F.array_sort(F.flatten(F.collect_list(F.when(F.col("side") == s, F.array("species")).otherwise(F.array().cast("array<string>")))))
     parts = nodes.join(labels, [*t, "node"]).groupBy(*t, "label").agg(side(0).alias("reactants"), side(1).alias("products"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("atoms")))).alias("atom_ids"))
     linked = parts.where("size(reactants) > 0 and size(products) > 0 and reactants <> products")

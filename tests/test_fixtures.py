@@ -117,6 +117,18 @@ def test_association_with_spectator(spark):
     assert rows[0]["status"] == "matched" and rows[0]["atom_ids"] == [1, 2, 3, 4, 5]
 
 
+def test_long_chains_are_one_component(spark):
+    rows = []
+    for d, name in (("rising", lambda i: f"{i:04d}"), ("mixed", lambda i: f"{i * 7919 % 1000:04d}")):
+        for i in range(260):  # a product shares an atom with each of two reactants
+            rows += [(d, 0, f"R{name(i)}", [2 * i, 2 * i + 1]), (d, 1, f"P{name(i)}", [2 * i + 1, 2 * i + 2])]
+    m = spark.createDataFrame(rows, "dataset string, frame long, species string, atom_ids array<bigint>")
+    got = oc.changed_components(m, 20).collect()
+    assert sorted((r["dataset"], len(r["reactants"]), len(r["products"]), len(r["atom_ids"])) for r in got) == [("mixed", 260, 260, 521), ("rising", 260, 260, 521)]
+    with pytest.raises(RuntimeError):
+        oc.changed_components(m, 2)
+
+
 def _nodes(spark, items):
     """Items (replicate, t, A, B, consumed atom, produced atom, status)."""
     rows = [(rep, f"{rep}-{i}", t, f"{a}->{b}", st, [a], [b], [(a, str(x))], [(b, str(y))]) for i, (rep, t, a, b, x, y, st) in enumerate(items)]
