@@ -26,7 +26,7 @@ from .common import map_arrow, materialize, text_key
 from .components import connected_components
 
 BANDS, ROWS = 32, 5
-_CHUNK = 1 << 12
+_CHUNK = 1 << 9
 _RANDOM = np.random.default_rng(42)
 _FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -85,7 +85,7 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataF
                 keep.append(similarity(ours, shingles(t.as_py(), size)) >= least)
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    nodes = materialize(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())  # its real size decides how it is joined
     some = materialize(texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
     both = pairs.join(some.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(some.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
     return both.select("u", "v", "a", "b").transform(map_arrow, run, "u long, v long")
