@@ -1,11 +1,11 @@
 """Byte-level BPE by a lazily determinised transducer, and streaming decoding.
 
 Greedy merging by rank has one result for each string, and a sequence of tokens is that result if and only if each two
-neighbours are: no merge across their seam comes before the merges that built the two. So after any prefix of a piece one
-token is known to end its encoding. A hypothesis is a place where a token may have begun: the bytes read since, the token
-before, and the tokens not yet put out. A state of the transducer is the set of live hypotheses; it is built the first time
-that it is reached, and the step (state, byte) -> (state, tokens put out) is kept. Tokens are put out as soon as all live
-hypotheses share them, which the longest token bounds.
+neighbours are: no merge across their seam comes before the merges that built the two. So after any prefix of a piece at most
+one token is known to end its encoding. A hypothesis is a place where a token may have begun: the bytes read since, and the
+token before. A state of the transducer is the set of live hypotheses; it is built the first time that it is reached, and the
+step (state, byte) -> (state, token that ends here) is kept. A token is certain, and put out, as soon as the ways of all live
+hypotheses lead through it, which the longest token bounds; so a piece of any length is encoded with a bounded buffer.
 
 Texts are cut by the tokenizer's pattern first; a piece that is itself a token is that token, as in the tiktoken library.
 Decoding steps a UTF-8 state machine token by token, with the step (state, token) -> (state, characters) kept as well, so a
@@ -18,7 +18,9 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, read
 
-#: Pieces, steps of the transducer and pairs of tokens that a worker keeps; a full table is emptied and fills anew.
-PIECES, STEPS, PAIRS = 1 << 19, 3 << 17, 1 << 17
+#: What a worker keeps: pieces in each of two generations, steps of the transducer and pairs of tokens; a full table is emptied.
+PIECES, STEPS, PAIRS = 1 << 17, 3 << 17, 1 << 18
+#: Bytes of a piece after which the tokens that are certain are put out.
+BUFFER = 1 << 12
 
 _BYTES = [bytes([i]) for i in range(256)]
 
@@ -44,17 +48,29 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
+    """A state is a dict: byte -> (state, rank of the token that ends here or -1), and under HELD its hypotheses.
+
+    The hypotheses are the bytes read since the first of them began, and (bytes since it began, rank of the token before).
+    """
+
+    HELD = -1
+
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.begins = {t[:i] for t in ranks for i in range(1, len(t))}  # bytes that a longer token begins with
+        self.tokens = {i: t for t, i in ranks.items()}
+        # What tokens begin with: 2 * (rank + 1), 0 for no token; odd if a longer token begins so.
+        self.known = {t[:i]: 1 for t in ranks for i in range(1, len(t))}
+        for t, i in ranks.items():
+            self.known[t] = self.known.get(t, 0) + 2 * (i + 1)
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.states: list[tuple] = [((b"", b"", ()),)]
-        self.number = {self.states[0]: 0}
-        self.steps: dict[int, tuple[int, tuple]] = {}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        key = b"", ((0, -1),)
+        self.first: dict = {self.HELD: key}
+        self.states = {key: self.first}
+        self.n_steps = 0
+        self.pairs: dict[int, bool] = {}
 
     def split(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two tokens that the token's last merge joins; None if merges don't lead to it."""
@@ -91,48 +107,64 @@ class Transducer:
             else:
                 return True
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple]:
-        ranks, begins, pairs, b = self.ranks, self.begins, self.pairs, _BYTES[byte]
-        live, ended = [], None
+    def _step(self, state: dict, byte: int) -> tuple[dict, int]:
+        pairs = self.pairs
         if len(pairs) > PAIRS:
             pairs.clear()
-        for begun, last, pending in self.states[state]:
-            now = begun + b
-            if now in begins:
-                live.append((now, last, pending))
-            if ended is None and (rank := ranks.get(now)) is not None:
-                if (fits := pairs.get((last, now))) is None:
-                    fits = pairs[last, now] = self.fits(last, now)
+        read, held = state[self.HELD]
+        read += _BYTES[byte]
+        live, ended = [], -1
+        for length, last in held:  # the one that began first comes first
+            length += 1
+            now = read[-length:]
+            if not (known := self.known.get(now)):
+                continue
+            if known & 1:
+                live.append((length, last))
+            if known > 1 and ended < 0:
+                rank = (known >> 1) - 1
+                if (fits := pairs.get(last << 32 | rank)) is None:
+                    fits = pairs[last << 32 | rank] = self.fits(self.tokens[last] if last >= 0 else b"", now)
                 if fits:  # one token ends here, and no other
-                    ended = b"", now, (*pending, rank)
-        live.append(ended)
-        if len(live) == 1:
-            said, following = ended[2], ((b"", ended[1], ()),)
-        else:
-            low, high = min(x[2] for x in live), max(x[2] for x in live)
-            out = 0
-            while out < len(low) and low[out] == high[out]:
-                out += 1
-            said = low[:out]
-            following = tuple((begun, last, pending[out:]) for begun, last, pending in live) if out else tuple(live)
-        n = self.number.setdefault(following, len(self.states))
-        if n == len(self.states):
-            self.states.append(following)
-        self.steps[state << 8 | byte] = known = n, said
-        return known
+                    ended = rank
+        key = read[-live[0][0] :] if live else b"", (*live, (0, ended)) if ended >= 0 else tuple(live)
+        if (after := self.states.get(key)) is None:
+            after = self.states[key] = {self.HELD: key}
+        self.n_steps += 1
+        state[byte] = step = after, ended
+        return step
+
+    def _back(self, ends: list[int], at: int) -> list[int]:
+        """The tokens of the first `at` bytes, the last one first."""
+        ids, tokens = [], self.tokens
+        while at > 0:
+            ids.append(ends[at - 1])
+            at -= len(tokens[ends[at - 1]])
+        return ids
+
+    def _certain(self, state: dict, ends: list[int]) -> list[int]:
+        """The tokens that the ways of all hypotheses begin with; their bytes leave ends."""
+        ways = [self._back(ends, len(ends) - length)[::-1] for length, _ in state[self.HELD][1]]
+        n = 0
+        while all(len(w) > n for w in ways) and all(w[n] == ways[0][n] for w in ways):
+            n += 1
+        del ends[: sum(len(self.tokens[i]) for i in ways[0][:n])]
+        return ways[0][:n]
 
     def piece(self, piece: bytes) -> list[int]:
         """Token ids of one piece."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.steps) > STEPS:
+        if self.n_steps > STEPS:
             self._clear()
-        state, ids, steps = 0, [], self.steps
+        state, ids, ends = self.first, [], []
         for byte in piece:
-            state, said = steps.get(state << 8 | byte) or self._step(state, byte)
-            if said:
-                ids += said
-        ids += self.states[state][-1][2]
+            step = state.get(byte)
+            state, ended = self._step(state, byte) if step is None else step
+            ends.append(ended)
+            if len(ends) > BUFFER:
+                ids += self._certain(state, ends)
+        ids += self._back(ends, len(ends))[::-1]
         return ids
 
 
@@ -167,10 +199,11 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, ascii: str | None = None) -> None:
         self.transducer = Transducer(ranks)
-        self.tokens = {i: t for t, i in ranks.items()}
+        self.tokens = self.transducer.tokens
         self.cut = regex.compile(pattern).findall
         self.cut_ascii = re.compile(ascii).findall if ascii else self.cut
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the generation before; a piece that comes again moves up
         self.steps: dict[bytes, dict[int, tuple[bytes, str]]] = {}
         self.whole: dict[int, str] = {}  # what the tokens say that begin and end between characters
         for i, t in self.tokens.items():
@@ -179,19 +212,21 @@ class Codec:
                 self.whole[i] = said
 
     def _piece(self, p: str) -> bytes:
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        ids = np.array(self.transducer.piece(p.encode("utf-8", "surrogatepass")), "<i4").tobytes()
+        if (ids := self.older.get(p)) is None:
+            ids = array("i", self.transducer.piece(p.encode("utf-8", "surrogatepass"))).tobytes()
         if len(p) <= 64:
+            if len(self.pieces) >= PIECES:
+                self.older, self.pieces = self.pieces, {}
             self.pieces[p] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
         cut = self.cut_ascii(text) if text.isascii() else self.cut(text)
-        known = list(map(self.pieces.get, cut))
-        if None in known:
-            known = [self.pieces.get(p) or self._piece(p) for p in cut]
+        known, at = list(map(self.pieces.get, cut)), 0
+        for _ in range(known.count(None)):
+            at = known.index(None, at)
+            known[at] = self.pieces.get(cut[at]) or self._piece(cut[at])
         return np.frombuffer(b"".join(known), "<i4")
 
     def decode(self, ids: list[int]) -> str:
@@ -211,7 +246,10 @@ class Codec:
 @lru_cache(maxsize=2)
 def _codec(name: str, pattern: str, ascii: str | None) -> Codec:
     """One codec for each worker process; the vocabulary came with the job's files."""
-    return Codec(load_ranks(SparkFiles.get(name)), pattern, ascii)
+    codec = Codec(load_ranks(SparkFiles.get(name)), pattern, ascii)
+    gc.freeze()  # tables stay for the worker's life: looking through them for garbage is in vain
+    gc.set_threshold(100_000, 50, 100)
+    return codec
 
 
 def encode_decode(df: DataFrame, vocabulary: str, pattern: str, ascii: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
