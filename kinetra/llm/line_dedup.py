@@ -7,7 +7,8 @@ of a run stays.
 Round k gives every suffix the rank of its first 2^k lines: the number of suffixes whose first 2^k lines sort before, by the
 lines' hashes. Suffixes of one rank are an interval of the suffix array whose longest common prefix is at least 2^k lines;
 suffixes alone in their interval repeat nothing and leave. A rank is refined by the rank of the suffix 2^k lines further: the
-pairs are counted, and a running sum inside each rank gives the new ones, so suffixes are never gathered by rank.
+pairs are counted, and a running sum inside each rank gives the new ones, over 4096 ranges of the second rank and then inside
+each range; so neither suffixes nor pairs are gathered by rank.
 
 A run of m lines, 2^k <= m < 2^(k+1), is named by the ranks (round k) at its start and 2^k lines before its end. It is enough
 to look at the shortest runs of min_words words that start, and that end, at each line: every line of a longer repeated run
@@ -24,9 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, discard, materialize, read, scratch, text_key
+from .common import BLANKS, discard, materialize, read, text_key
 
-_BUCKETS = 4096
+_RANGES = 4096
 
 
 def _worded(text: Column) -> Column:
@@ -37,24 +38,35 @@ def _trim(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
-def _first_ranks(lines: DataFrame) -> DataFrame:
-    """(h1, h2, r): ranks of the lines that occur more than once; running sums over hash buckets, then inside each."""
-    seen = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    seen = materialize(seen.withColumn("bucket", F.shiftright("h1", 52) + _BUCKETS // 2))
-    # One row a bucket: at most 4096 rows in the unpartitioned window.
-    starts = seen.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("bucket").orderBy("h1", "h2").rowsBetween(Window.unboundedPreceding, -1)
-    return seen.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, "bucket").select("h1", "h2", (F.col("start") + F.col("before")).alias("r0"))
+def _running(table: DataFrame, within: list[str], part: str, order: list[str]) -> DataFrame:
+    """table with before: the sum of n over the rows of the same `within` that come earlier, by part, then order.
+
+    A task holds the parts of one group (few), or one part of it, never a whole group.
+    """
+    upto = lambda *cols: Window.partitionBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+    sums = table.groupBy(*within, part).agg(F.sum("n").alias("all"))
+    starts = materialize(sums.select(*within, part, F.coalesce(F.sum("all").over(upto(*within).orderBy(part)), F.lit(0)).alias("start")))
+    inside = table.withColumn("inside", F.coalesce(F.sum("n").over(upto(*within, part).orderBy(*order)), F.lit(0)))
+    out = materialize(inside.join(starts, [*within, part]).select(*within, *order, (F.col("start") + F.col("inside")).alias("before")))
+    discard(starts)
+    return out
+
+
+def _first_ranks(lines: DataFrame) -> tuple[DataFrame, int]:
+    """(h1, h2, before): ranks of the lines that occur more than once, and a bound of the ranks."""
+    seen = materialize(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").withColumn("bucket", F.shiftright("h1", 52)))
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    ranks = _running(seen.withColumn("one", F.lit(0)), ["one"], "bucket", ["h1", "h2"])
+    discard(seen)
+    return ranks, total
 
 
 def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 20) -> DataFrame:
     """(key, tk, seq): the lines to delete; seq counts the lines with words of a document from 0."""
-    spark = df.sparkSession
     line = F.posexplode(F.transform(_worded(F.col(text)), _trim)).alias("seq", "line")
     lines = df.select(F.col(key).alias("key"), text_key(F.col(text)).alias("tk"), line)
     lines = lines.select("key", "tk", "seq", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.size(F.split("line", BLANKS)).alias("w"))
-    all_path = scratch(spark)
-    lines = materialize(lines, all_path)
+    table = lines = materialize(lines)
 
     # Shortest runs of min_words words: from each line on, and up to each line.
     doc = Window.partitionBy("key", "tk")
@@ -66,21 +78,20 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_w
     before = F.last("seq").over(doc.orderBy("upto").rangeBetween(Window.unboundedPreceding, -min_words))
     rows = rows.withColumn("to", F.coalesce(after, F.when(F.col("words") - F.col("start") >= min_words, F.col("n"))).cast("int"))
     rows = rows.withColumn("from", F.coalesce(before + 1, F.when(F.col("upto") >= min_words, F.lit(0))).cast("int"))
-    ranks = _first_ranks(lines)
-    path = scratch(spark)
-    rows = materialize(rows.join(ranks, ["h1", "h2"]).select("key", "tk", F.col("seq").cast("long").alias("seq"), "from", "to", "r0"), path)
+    ranks, total = _first_ranks(lines)
+    rows = materialize(rows.join(ranks, ["h1", "h2"]).select("key", "tk", F.col("seq").cast("long").alias("seq"), "from", "to", F.col("before").alias("r0")))
+    discard(table, ranks)
 
     k = 0
     while 1 << k + 1 <= min_words:
         ahead = doc.orderBy("seq").rangeBetween(1 << k, 1 << k)
-        rows = rows.withColumn("next", F.first(f"r{k}").over(ahead))
+        old, rows = rows, rows.withColumn("next", F.first(f"r{k}").over(ahead))
         pairs = rows.where(f"r{k} is not null and next is not null").groupBy(f"r{k}", "next").agg(F.count("*").alias("n"))
-        smaller = F.sum("n").over(Window.partitionBy(f"r{k}").orderBy("next").rowsBetween(Window.unboundedPreceding, -1))
-        pairs = pairs.where("n > 1").select(f"r{k}", "next", (F.col(f"r{k}") + F.coalesce(smaller, F.lit(0))).alias(f"r{k + 1}"))
-        new_path = scratch(spark)
-        rows = materialize(rows.join(pairs, [f"r{k}", "next"], "left").drop("next"), new_path)
-        discard(spark, path)
-        path, k = new_path, k + 1
+        pairs = materialize(pairs.where("n > 1").withColumn("range", F.floor(F.col("next") / (total // _RANGES + 1))))
+        ranks = _running(pairs, [f"r{k}"], "range", ["next"])
+        rows = materialize(rows.join(ranks, [f"r{k}", "next"], "left").withColumn(f"r{k + 1}", F.col(f"r{k}") + F.col("before")).drop("next", "before"))
+        discard(old, pairs, ranks)
+        k += 1
 
     # Names of the runs, all of whose lines repeat.
     run = F.explode(F.array(F.struct(F.col("seq").alias("a"), F.col("to").cast("long").alias("b")), F.struct(F.col("from").cast("long").alias("a"), (F.col("seq") + 1).alias("b")))).alias("run")
@@ -94,12 +105,14 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_w
         there = ranked.select(F.col("key").alias("k2"), F.col("tk").alias("t2"), F.col("seq").alias(end), *[F.col(f"r{i}").alias(f"{end}r{i}") for i in range(k + 1)])
         runs = runs.join(there, (runs["key"].eqNullSafe(there["k2"])) & (runs["tk"] == there["t2"]) & (runs[end] == there[end])).drop("k2", "t2").drop(there[end])
         runs = runs.withColumn(f"{end}_rank", at(f"{end}r")).drop(*[f"{end}r{i}" for i in range(k + 1)]).where(F.col(f"{end}_rank").isNotNull())
-    runs = materialize(runs.select("key", "tk", "a", "b", F.xxhash64((F.col("b") - F.col("a")), "a_rank", "c_rank").alias("name"), (F.col("b") - F.col("a")).alias("m"), "a_rank", "c_rank"))
+    table, runs = rows, materialize(runs.select("key", "tk", "a", "b", F.xxhash64((F.col("b") - F.col("a")), "a_rank", "c_rank").alias("name"), (F.col("b") - F.col("a")).alias("m"), "a_rank", "c_rank"))
     name = ["name", "m", "a_rank", "c_rank"]
     # Written, so that the join below deals both sides out by itself and can split a common run.
     first = materialize(runs.groupBy(*name).agg(F.min(F.struct("key", "tk", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = runs.join(first, name).where(~F.struct("key", "tk", "a").eqNullSafe(F.col("first")))
-    return later.select("key", "tk", F.explode(F.sequence(F.col("a").cast("int"), (F.col("b") - 1).cast("int"))).alias("seq")).distinct()
+    gone = materialize(later.select("key", "tk", F.explode(F.sequence(F.col("a").cast("int"), (F.col("b") - 1).cast("int"))).alias("seq")).distinct())
+    discard(table, runs, first)
+    return gone
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars", min_words: int = 20) -> DataFrame:
