@@ -1,11 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (up to a run of . ! ? or a line break, with the white space behind); a sentence of more than 25
+A text is cut into sentences (up to a run of . ! ? or their like in other scripts or a line break, with the white space behind); a sentence of more than 25
 words is cut behind words at which the hash of the last three words is the least among those of the four words on either side, so
 that copies of a passage are cut at the same words wherever it stands, but for the few words at its ends. What is still longer
 than 25 words (mostly where words repeat) is cut at its least hashes. Every run of `span` consecutive sentences that has at
 least min_words words is hashed, over its words in lower case, and the hashes are joined
-over all documents. The first run of a hash stays (smallest doc_id, then the earliest in its text); the sentences of all
+over all documents by 128 bits. The first run of a hash stays (smallest doc_id, then the earliest in its text); the sentences of all
 others are removed, and the rest of the text stays as it was.
 
 Hashes are counted with partial sums before the shuffle; only those that occur twice or more are joined back, by a join that
@@ -21,14 +21,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, read, text_key
+from .common import discard, map_arrow, materialize, read, text_key
 
-_SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
+_ENDS = ".!?\n\u2026\u3002\uff01\uff0e\uff1f\u0964\u061f\u06d4"
+_SENTENCE = re.compile(rf"[^{_ENDS}]*[{_ENDS}]+\s*|[^{_ENDS}]+")
 _WORDS = re.compile(r"\S+\s*")
 LONGEST = 25
 #: Words on either side that a cut looks at; a part of a cut sentence has more words than that, its last one as many at least.
@@ -68,15 +70,14 @@ def sentences(text: str | None) -> list[str]:
     return out
 
 
-def spans(text: str | None, span: int = 2, min_words: int = 10) -> list[tuple[int, int]]:
-    """(first sentence, 64 bits of hash) of the runs of a text; sentences without words are passed over."""
+def spans(text: str | None, span: int = 2, min_words: int = 10) -> list[tuple[int, bytes]]:
+    """(first sentence, 128 bits of hash) of the runs of a text; sentences without words are passed over."""
     kept = [(i, w) for i, s in enumerate(sentences(text)) if (w := s.lower().split())]
     out = []
     for j in range(len(kept) - span + 1):
         run = kept[j : j + span]
         if sum(len(w) for _, w in run) >= min_words:
-            h = xxhash.xxh3_64_intdigest("\n".join(" ".join(w) for _, w in run).encode("utf-8", "surrogatepass"))
-            out.append((j, h - (1 << 64) if h >> 63 else h))
+            out.append((j, xxhash.xxh3_128_digest("\n".join(" ".join(w) for _, w in run).encode("utf-8", "surrogatepass"))))
     return out
 
 
@@ -102,16 +103,20 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span:
                         at.append(j)
                         hashes.append(h)
                 index = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(index), part.column(1).take(index), pa.array(at, pa.int32()), pa.array(hashes, pa.int64())], names=["key", "tk", "at", "h"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(index), part.column(1).take(index), pa.array(at, pa.int32()), *(pa.array(x) for x in np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2).T.copy())], names=["key", "tk", "at", "h", "h2"])
 
     kind = dict(df.dtypes)[key]
     slim = df.select(F.col(key).alias("key"), text_key(F.col(text)).alias("tk"), F.col(text).cast("string").alias("text"))
-    runs = materialize(slim.transform(map_arrow, run, f"key {kind}, tk long, at int, h long"))
+    runs = materialize(slim.transform(map_arrow, run, f"key {kind}, tk long, at int, h long, h2 long"))
     # Repeats first, from the hashes alone; then their first places.
-    again = runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    some = materialize(runs.join(again, "h"))
-    first = materialize(some.groupBy("h").agg(F.min(F.struct("key", "tk", "at")).alias("first")))  # so that the join deals both sides out by itself
-    return some.join(first, "h").where(~F.struct("key", "tk", "at").eqNullSafe(F.col("first"))).select("key", "tk", "at", F.col("first.key").alias("source"))
+    again = runs.groupBy("h", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h", "h2")
+    some = materialize(runs.join(again, ["h", "h2"]))
+    discard(runs)
+    first = materialize(some.groupBy("h", "h2").agg(F.min(F.struct("key", "tk", "at")).alias("first")))  # so that the join deals both sides out by itself
+    later = some.join(first, ["h", "h2"]).where(~F.struct("key", "tk", "at").eqNullSafe(F.col("first")))
+    later = materialize(later.select("key", "tk", "at", F.col("first.key").alias("source")))
+    discard(some, first)
+    return later
 
 
 def dedup_spans(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = 2, min_words: int = 10) -> DataFrame:
