@@ -5,7 +5,8 @@ those that a new tag implies closed (a paragraph before a block, an item before
 row) and those that an end tag leaves open; visibility rules drop what a browser doesn't show (head matter, scripts, styles,
 templates, the hidden attribute, display:none and visibility:hidden). What is left is laid out: blocks on lines of their
 own, one blank line around paragraphs and headings, items behind bullets or numbers and indented by depth (the indent ends at
-64 levels, the text doesn't), preformatted text as it is, and the cells of a table padded to the width of their columns.
+64 levels, the text doesn't), preformatted text as it is, and the cells of a table padded to the width of their columns, with
+cells over several columns or rows where they stand in the grid. What can't stand in the head ends it.
 
 Cells without a row get one, and what stands in a table, row group or row outside of cells and captions goes before the table,
 as in browsers. Formulas and the options of a select are text; of a drawing (svg) only its text elements and foreign objects are
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Generator, Iterator
 
@@ -47,6 +48,8 @@ _TABLE = frozenset(("table",)) | _ROWS | _GROUPS
 _NO_TEXT = _TABLE | {"colgroup"}
 _TABLE_PARTS = _CELLS | _ROWS | _GROUPS | frozenset("caption colgroup col style script template".split())
 _MOST_INDENT = 64
+#: What may stand in the head; other tags and text begin the body.
+_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: What a start tag closes, and up to which open element it looks.
 _CLOSES = {
     "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu", "table"))),
@@ -65,7 +68,10 @@ _CLOSES = {
 _TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?])")
 _ATTRS = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _REST = re.compile(r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(hidden|collapse|visible)", re.I)
+#: The standard's bounds of colspan and rowspan; a rowspan of 0 reaches to the table's end.
+_MOST_COLUMNS, _MOST_ROWS = 1000, 65534
 _WHITE = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -102,20 +108,29 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 class _Node:
-    __slots__ = ("hidden", "kids", "name", "start")
+    """seen: what the element's visibility is set to, if it is."""
 
-    def __init__(self, name: str, hidden: bool = False, start: int = 1) -> None:
-        self.name, self.hidden, self.start, self.kids = name, hidden, start, []
+    __slots__ = ("across", "down", "hidden", "kids", "name", "seen", "start")
 
+    def __init__(self, name: str, hidden: bool = False, seen: bool | None = None, start: int = 1, across: int = 1, down: int = 1) -> None:
+        self.name, self.hidden, self.seen, self.start, self.across, self.down, self.kids = name, hidden, seen, start, across, down, []
 
-def _hides(attrs: str) -> tuple[bool, int]:
-    hidden, start = False, 1
+
+def _attributes(attrs: str) -> tuple[bool, bool | None, int, int, int]:
+    """Whether the element is hidden, its visibility, the first number of a list, and the columns and rows of a cell."""
+    hidden, seen, number = False, None, {"start": 1, "colspan": 1, "rowspan": 1}
     for k, a, b, c in _ATTRS.findall(attrs):
         k, v = k.lower(), a or b or c
-        hidden |= k == "hidden" or k == "style" and bool(_HIDDEN.search(html.unescape(v)))
-        if k == "start" and re.fullmatch(r"-?[0-9]{1,6}", v):
-            start = int(v)
-    return hidden, start
+        hidden |= k == "hidden"
+        if k == "style":
+            v = html.unescape(v)
+            hidden |= bool(_HIDDEN.search(v))
+            if said := _VISIBILITY.findall(v):
+                seen = said[-1].lower() == "visible"
+        elif k in number and re.fullmatch(r"-?[0-9]{1,6}", v):
+            number[k] = int(v)
+    down = number["rowspan"] or _MOST_ROWS
+    return hidden, seen, number["start"], min(max(number["colspan"], 1), _MOST_COLUMNS), min(max(down, 1), _MOST_ROWS)
 
 
 class _Open:
@@ -163,14 +178,18 @@ class _Open:
 def tree(page: str) -> _Node:
     """The page's elements with implied ends; hidden and invisible ones are kept, marked."""
     root = _Node("html")
-    now = _Open(root)
+    now, body = _Open(root), False
     for kind, name, attrs in tokens(page):
         stack = now.stack
+        if stack[-1].name == "head" and (kind == "open" and name not in _HEAD or kind == "text" and name.strip()):
+            now.cut(len(stack) - 1)
         if kind == "text":
+            body |= bool(name.strip()) and not now.places.get("head")
             now.add(name if attrs == "raw" and stack[-1].name not in ("title", "textarea") else html.unescape(name))
         elif kind == "open":
-            if name == "html" or name == "body" and now.places.get("body"):
+            if name == "html" or name == "body" and now.places.get("body") or name == "head" and (body or now.places.get("head")):
                 continue
+            body |= name != "head" and not now.places.get("head") and name not in _HEAD
             if name in _BLOCK and now.blocks and stack[now.blocks[-1]].name == "p":
                 now.cut(now.blocks[-1])  # a block ends an open paragraph, unless a cell or the like holds the block
             if name in _CLOSES:
@@ -188,7 +207,7 @@ def tree(page: str) -> _Node:
                         now.push(row)
             elif name == "table" and (at := now.last(_TABLE)) > now.last(_CELLS | {"caption", "template"}):
                 now.cut(now.places["table"][-1] if now.places["table"] else at)
-            node = _Node(name, *_hides(attrs)) if attrs.strip(" /") else _Node(name)
+            node = _Node(name, *_attributes(attrs)) if attrs.strip(" /") else _Node(name)
             loose = name == "form" and stack[-1].name in _NO_TEXT  # a form between rows or cells holds nothing
             now.add(node)
             if name not in _VOID and not attrs.endswith("/") and not loose:
@@ -250,11 +269,11 @@ def _walk(steps: Generator) -> list[str] | None:
     return value
 
 
-def _render(node: _Node, page: _Page, depth: int, pre: bool, drawing: bool = False) -> Generator:
-    number = node.start
+def _render(node: _Node, page: _Page, depth: int, pre: bool, drawing: bool = False, seen: bool = True) -> Generator:
+    number, seen = node.start, seen if node.seen is None else node.seen
     for kid in node.kids:
         if isinstance(kid, str):
-            if not drawing:
+            if not drawing and seen:
                 page.text(kid, pre)
             continue
         name = kid.name
@@ -265,16 +284,16 @@ def _render(node: _Node, page: _Page, depth: int, pre: bool, drawing: bool = Fal
             continue
         if name in ("svg", "option", "optgroup") or drawing and name in _SVG_TEXT:
             page.space = True  # a word of its own
-            yield _render(kid, page, depth, pre, name == "svg" or drawing and name not in _SVG_TEXT)
+            yield _render(kid, page, depth, pre, name == "svg" or drawing and name not in _SVG_TEXT, seen)
             page.space = True
             continue
         if name not in _BLOCK:
-            yield _render(kid, page, depth, pre, drawing)
+            yield _render(kid, page, depth, pre, drawing, seen)
             continue
         page.flush()
         page.blank |= name in _SPACED and not (name in ("ul", "ol") and depth)
         if name == "table":
-            table = yield _table(kid)
+            table = yield _table(kid, seen)
             page.lines += ([""] if page.blank and page.lines else []) + table if table else []
         elif name == "hr":
             pass
@@ -282,46 +301,77 @@ def _render(node: _Node, page: _Page, depth: int, pre: bool, drawing: bool = Fal
             mark = f"{number}. " if node.name == "ol" else "- "
             number += 1
             page.now = ["  " * max(0, min(depth, _MOST_INDENT) - 1) + mark]
-            yield _render(kid, page, depth, pre)
+            yield _render(kid, page, depth, pre, False, seen)
             if "".join(page.now).strip() == mark.strip():
                 page.now = []  # an empty item
         else:
-            yield _render(kid, page, depth + (name in ("ul", "ol", "menu")), pre or name == "pre")
+            yield _render(kid, page, depth + (name in ("ul", "ol", "menu")), pre or name == "pre", False, seen)
         page.flush()
         page.blank |= name in _SPACED and not (name in ("ul", "ol") and depth)
 
 
-def _rows(node: _Node) -> Iterator[_Node]:
+def _rows(node: _Node, seen: bool) -> Iterator[tuple[_Node, bool]]:
+    """The rows of a table, with their visibility."""
     for kid in node.kids:
         if isinstance(kid, _Node) and not kid.hidden:
+            its = seen if kid.seen is None else kid.seen
             if kid.name == "tr":
-                yield kid
+                yield kid, its
             elif kid.name in _GROUPS:
-                yield from (row for row in kid.kids if isinstance(row, _Node) and not row.hidden and row.name == "tr")
-
-
-def _table(node: _Node) -> Generator:
+                yield from ((row, its if row.seen is None else row.seen) for row in kid.kids if isinstance(row, _Node) and not row.hidden and row.name == "tr")
+
+
+def _aligned(rows: list[list[tuple[int, int, str]]]) -> list[str]:
+    """Lines of rows of (column, columns, text): a column begins two places behind what stands before it."""
+    columns = sorted({c for row in rows for c, _, _ in row})
+    before: list[list[tuple[int, int]]] = [[] for _ in range(len(columns) + 1)]  # cells that end before a column
+    for c, across, width in {(c, across, len(text)) for row in rows for c, across, text in row}:
+        before[bisect_left(columns, c + across)].append((c, width))
+    at: dict[int, int] = {}
+    for i, c in enumerate(columns):
+        at[c] = max((at[b] + w + 2 for b, w in before[i]), default=0)
+        if i:
+            at[c] = max(at[c], at[columns[i - 1]])
+    lines = []
+    for row in rows:
+        line, upto = [], 0
+        for c, _, text in row:
+            line.append(" " * (at[c] - upto) + text)
+            upto = at[c] + len(text)
+        lines.append("".join(line))
+    return lines
+
+
+def _table(node: _Node, seen: bool = True) -> Generator:
     """Lines of a table, each column as wide as its widest cell; the caption comes first."""
+    seen = seen if node.seen is None else node.seen
     loose, rows = _Page(), []
     for kid in node.kids:
         if isinstance(kid, str):
-            loose.text(kid, False)
+            if seen:
+                loose.text(kid, False)
         elif not kid.hidden and kid.name not in _GROUPS | _ROWS | _UNSEEN:
-            yield _render(kid, loose, 0, False)
+            yield _render(kid, loose, 0, False, False, seen)
             loose.flush()
     loose.flush()
-    for row in _rows(node):
-        cells = []
+    taken: dict[int, int] = {}  # the row before which a column is free again
+    for at, (row, its) in enumerate(_rows(node, seen)):
+        cells, column = [], 0
         for cell in row.kids:
             if isinstance(cell, _Node) and not cell.hidden and cell.name in _CELLS:
                 inside = _Page()
-                yield _render(cell, inside, 0, False)
+                yield _render(cell, inside, 0, False, False, its)
                 inside.flush()
-                cells.append(" ".join(x for x in inside.lines if x))
-        if any(cells):
+                while taken.get(column, 0) > at:
+                    column += 1
+                if cell.down > 1:
+                    taken.update(dict.fromkeys(range(column, column + cell.across), at + cell.down))
+                if text := " ".join(x for x in inside.lines if x):
+                    cells.append((column, cell.across, text))
+                column += cell.across
+        if cells:
             rows.append(cells)
-    widths = [max(len(r[i]) for r in rows if i < len(r)) for i in range(max(map(len, rows), default=0))]
-    return loose.lines + ["  ".join(c.ljust(w) for c, w in zip(r, widths, strict=False)).rstrip() for r in rows]
+    return loose.lines + _aligned(rows)
 
 
 def visible_text(page: str | None) -> str:
