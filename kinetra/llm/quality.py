@@ -1,14 +1,18 @@
 """Quality rules: a base verdict from each text alone, and cross-document line frequency per host.
 
 A line is normalised (lower case, runs of white space to one blank, ends trimmed) and hashed. A line is boilerplate in a host
-if more than min_docs and more than min_share of the host's distinct documents hold it; documents of equal texts count once,
-so copies of an article don't make its lines boilerplate. Boilerplate lines are removed from all documents of the host but
-the first (smallest doc_id) that holds them. A document is depleted, and rejected, if fewer than min_left of its words are
-left. DataFrame functions only.
+if more than min_docs and more than min_share of the host's distinct documents hold it; documents of equal texts are no
+distinct ones, so copies of an article don't make its lines boilerplate. Boilerplate lines are removed from all documents of
+the host. A document is depleted, and rejected, if less than min_left of its words is left. The limits are 5 documents or a
+thousandth of the host, whichever is more, and four fifths of the words. DataFrame functions only.
+
+Distinct texts are told apart by (host, line, text) before they are counted by (host, line), with partial counts, and what is
+above the limits is written before it is joined, so that a line or a host with a third of all rows is no task of its own.
 
 Edge cases: a null text has no words and fails the base rule; a null host counts as the empty one; lines without words are
-never boilerplate; rows that repeat doc_id and text are one document and share a verdict; a null doc_id is never the first
-holder unless all are null; an empty table gives an empty result; only key, text and host are read from other columns.
+never boilerplate; rows that repeat doc_id, text and host are one document and share a verdict, and rows of one doc_id and
+text under several hosts are judged each by its own host; an empty table gives an empty result; only key, text and host are
+read from other columns.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialize, read, text_key, words
+from .common import BLANKS, discard, materialize, read, text_key, words
 
 #: A text whose distinct repeated windows exceed this many is sorted instead of searched; both give the same windows.
 SORT_ABOVE = 512
@@ -35,17 +39,17 @@ def _line_id(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("h1"), F.hash(line).alias("h2"))
 
 
-def base_rules(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, _text_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of every row."""
+def base_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """key, _text_key, _host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of every row."""
     t = F.coalesce(F.col(text), F.lit(""))
     with_word = F.filter(_lines(F.col(text)), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = df.select(
-        F.col(key), text_key(F.col(text)).alias("_text_key"), words(F.col(text)).alias("w"), with_word.alias("l"),
+        F.col(key), text_key(F.col(text)).alias("_text_key"), _host(df, host).alias("_host"), words(F.col(text)).alias("w"), with_word.alias("l"),
         (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]", ""))).alias("n_symbols"),
     )
     n = F.size("w")
     rows = rows.select(
-        key, "_text_key", n.alias("n"), F.length(F.array_join("w", "")).alias("word_chars"), "n_symbols", (F.size("l") - F.size(F.array_distinct("l"))).alias("n_dup_lines"),
+        key, "_text_key", "_host", n.alias("n"), F.length(F.array_join("w", "")).alias("word_chars"), "n_symbols", (F.size("l") - F.size(F.array_distinct("l"))).alias("n_dup_lines"),
         F.when(n < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.xxhash64(F.get("w", i - 1), F.get("w", i), F.get("w", i + 1)))).alias("three"),
     )
     rows = rows.withColumn("sorted", F.sort_array("three"))
@@ -61,55 +65,67 @@ def base_rules(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         .otherwise(F.filter(F.transform("three", lambda h, i: F.when(F.array_contains("twice", h), i)), lambda i: i.isNotNull())),
     )
     covered = F.size(F.array_union(F.array_union("starts", F.transform("starts", lambda i: i + 1)), F.transform("starts", lambda i: i + 2)))
-    rows = rows.select(key, "_text_key", F.col("n").cast("long").alias("n_words"), *[F.col(c).cast("long") for c in ("word_chars", "n_symbols", "n_dup_lines")], covered.cast("long").alias("n_repeat_words"))
+    rows = rows.select(key, "_text_key", "_host", F.col("n").cast("long").alias("n_words"), *[F.col(c).cast("long") for c in ("word_chars", "n_symbols", "n_dup_lines")], covered.cast("long").alias("n_repeat_words"))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     # A generator of one row each: a later filter stays above it, and doesn't copy the expressions below into its condition.
     facts = F.explode(F.array(F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))).alias("facts")
-    return rows.select(key, "_text_key", facts).select(key, "_text_key", "facts.*")
-
+    return rows.select(key, "_text_key", "_host", facts).select(key, "_text_key", "_host", "facts.*")
 
-def boilerplate(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = 20, min_share: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """All lines (key, _text_key, host, h1, h2, n: words) and, of these, the ones to remove."""
-    one = F.explode(F.filter(F.transform(_lines(F.col(text)), _normal), lambda x: x != "")).alias("line")
-    rows = df.select(F.col(key).alias("key"), text_key(F.col(text)).alias("_text_key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), one)
-    rows = materialize(rows.select("key", "_text_key", "host", _line_id(F.col("line")).alias("id"), F.size(F.split("line", " ")).alias("n")).select("key", "_text_key", "host", "id.*", "n"))
-    often = rows.groupBy("host", "h1", "h2").agg(F.countDistinct("_text_key").alias("docs"), F.min("key").alias("first")).where(F.col("docs") > min_docs)
-    hosts = df.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")).agg(F.countDistinct(text_key(F.col(text))).alias("all_docs"))
-    above = materialize(often.join(hosts, "host").where(F.col("docs") > min_share * F.col("all_docs")).select("host", "h1", "h2", "first"))
-    return rows, rows.join(above, ["host", "h1", "h2"]).where(~F.col("key").eqNullSafe(F.col("first"))).drop("first")
 
+def _host(df: DataFrame, host: str) -> Column:
+    return F.coalesce(df[host].cast("string"), F.lit(""))
 
-def _by_document(left: DataFrame, right: DataFrame, key: str, tk: str = "_text_key") -> DataFrame:
-    """Left join on key and text key; nulls equal nulls."""
-    right = right.withColumnRenamed("key", "_kx_key").withColumnRenamed("_text_key", "_kx_right_key")
-    on = (F.col(key).eqNullSafe(F.col("_kx_key"))) & (F.col(tk).eqNullSafe(F.col("_kx_right_key")))
-    return left.join(right, on, "left").drop("_kx_key", "_kx_right_key")
 
-
-def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = 20, min_share: float = 0.05, min_left: float = 0.2) -> DataFrame:
-    """The columns of base_rules without _text_key, n_removed_words and kept, for every row."""
-    _, gone = boilerplate(df, key, text, host, min_docs, min_share)
-    lost = gone.groupBy("key", "_text_key").agg(F.sum("n").alias("lost"))
+def boilerplate(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = 5, min_share: float = 0.001) -> DataFrame:
+    """(_key, _text_key, _host, h1, h2, n: words): the lines to remove, each as often as its document has it."""
+    one = F.explode(F.filter(F.transform(_lines(F.col(text)), _normal), lambda x: x != "")).alias("line")
+    rows = df.select(F.col(key).alias("_key"), text_key(F.col(text)).alias("_text_key"), _host(df, host).alias("_host"), one)
+    rows = rows.select("_key", "_text_key", "_host", _line_id(F.col("line")).alias("id"), F.size(F.split("line", " ")).alias("n")).select("_key", "_text_key", "_host", "id.*", "n")
+    lines = materialize(rows)
+    # Distinct texts are dealt out by all four columns, and combined before they are shuffled by line.
+    parts = lines.select("_host", "h1", "h2", "_text_key").distinct().groupBy("_host", "h1", "h2").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
+    hosts = df.select(_host(df, host).alias("_host"), text_key(F.col(text)).alias("t")).distinct().groupBy("_host").agg(F.count("*").alias("all_docs"))
+    above = materialize(parts.join(hosts, "_host").where(F.col("docs") > min_share * F.col("all_docs")).select("_host", "h1", "h2"))
+    gone = materialize(lines.join(above, ["_host", "h1", "h2"]))
+    discard(lines, above)
+    return gone
+
+
+def _by_document(left: DataFrame, right: DataFrame, host: Column, key: str, tk: str) -> DataFrame:
+    """Left join on key, text key and host; nulls equal nulls."""
+    right = right.select(F.col("_key").alias("_kx_key"), F.col("_text_key").alias("_kx_right"), F.col("_host").alias("_kx_host"), *[c for c in right.columns if c not in ("_key", "_text_key", "_host")])
+    on = F.col(key).eqNullSafe(F.col("_kx_key")) & F.col(tk).eqNullSafe(F.col("_kx_right")) & (host == F.col("_kx_host"))
+    return left.join(right, on, "left").drop("_kx_key", "_kx_right", "_kx_host")
+
+
+def _times(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
+    """(_key, _text_key, _host, times) of the documents whose row is repeated."""
+    rows = df.select(F.col(key).alias("_key"), text_key(F.col(text)).alias("_text_key"), _host(df, host).alias("_host"))
+    return rows.groupBy("_key", "_text_key", "_host").agg(F.count("*").alias("times")).where("times > 1")
+
+
+def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = 5, min_share: float = 0.001, min_left: float = 0.8) -> DataFrame:
+    """The columns of base_rules without _text_key and _host, n_removed_words and kept, for every row."""
+    gone = boilerplate(df, key, text, host, min_docs, min_share)
+    lost = gone.groupBy("_key", "_text_key", "_host").agg(F.sum("n").alias("lost"))
     # Repeated rows put the lines of one document in the sum several times.
-    times = df.groupBy(F.col(key).alias("key"), text_key(F.col(text)).alias("_text_key")).agg(F.count("*").alias("times")).where("times > 1")
-    times = times.withColumnRenamed("key", "k2").withColumnRenamed("_text_key", "t2")
-    lost = lost.join(times, F.col("key").eqNullSafe(F.col("k2")) & F.col("_text_key").eqNullSafe(F.col("t2")), "left").select("key", "_text_key", (F.col("lost") / F.coalesce("times", F.lit(1))).cast("long").alias("lost"))
-    rows = _by_document(base_rules(df, key, text), lost, key)
+    lost = _by_document(lost, _times(df, key, text, host), F.col("_host"), "_key", "_text_key").select("_key", "_text_key", "_host", (F.col("lost") / F.coalesce("times", F.lit(1))).cast("long").alias("lost"))
+    rows = _by_document(base_rules(df, key, text, host), lost, F.col("_host"), key, "_text_key")
     rows = rows.withColumn("n_removed_words", F.coalesce("lost", F.lit(0)))
     left = F.col("n_words") - F.col("n_removed_words")
-    return rows.withColumn("kept", ~F.col("base_failed") & (left >= min_left * F.col("n_words"))).drop("lost", "_text_key")
+    return rows.withColumn("kept", ~F.col("base_failed") & (left >= min_left * F.col("n_words"))).drop("lost", "_text_key", "_host")
 
 
-def apply_quality(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", n_chars: str = "n_chars", min_docs: int = 20, min_share: float = 0.05, min_left: float = 0.2) -> DataFrame:
+def apply_quality(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", n_chars: str = "n_chars", min_docs: int = 5, min_share: float = 0.001, min_left: float = 0.8) -> DataFrame:
     """The documents that pass, without their boilerplate lines; all columns of df, n_chars anew where lines went.
 
     The base rule judges the text as it came.
     """
-    _, gone = boilerplate(df, key, text, host, min_docs, min_share)
-    sets = gone.groupBy("key", "_text_key").agg(F.collect_set(F.struct("h1", "h2")).alias("_kx_gone"))
-    good = base_rules(df, key, text).where(~F.col("base_failed")).select(F.col(key).alias("key"), "_text_key").distinct()
-    marked = good.join(sets.withColumnRenamed("key", "k2").withColumnRenamed("_text_key", "t2"), F.col("key").eqNullSafe(F.col("k2")) & F.col("_text_key").eqNullSafe(F.col("t2")), "left").select("key", "_text_key", "_kx_gone", F.lit(True).alias("_kx_good"))
-    rows = _by_document(df.withColumn("_kx_text_key", text_key(F.col(text))), marked, key, "_kx_text_key").where("_kx_good")
+    sets = boilerplate(df, key, text, host, min_docs, min_share).groupBy("_key", "_text_key", "_host").agg(F.collect_set(F.struct("h1", "h2")).alias("_kx_gone"))
+    good = base_rules(df, key, text, host).where(~F.col("base_failed")).select(F.col(key).alias("_key"), "_text_key", "_host").distinct()
+    marked = _by_document(good, sets, F.col("_host"), "_key", "_text_key").withColumn("_kx_good", F.lit(True))
+    rows = df.withColumn("_kx_text_key", text_key(F.col(text)))
+    rows = _by_document(rows, marked, _host(df, host), key, "_kx_text_key").where("_kx_good")
     left = F.array_join(F.filter(_lines(F.col(text)), lambda x: ~F.array_contains(F.col("_kx_gone"), _line_id(_normal(x)))), "\n")
     rows = rows.withColumn("_kx_left", F.when(F.col("_kx_gone").isNull(), F.col(text)).otherwise(left))
     rows = rows.where(F.col("_kx_gone").isNull() | (F.size(words(F.col("_kx_left"))) >= min_left * F.size(words(F.col(text)))))
@@ -133,12 +149,12 @@ ln AS (SELECT doc_id, source, t, unnest(ls) AS l FROM w),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM ln WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
 nl AS (SELECT doc_id, source, t, trim(lower(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'))) AS l FROM ln),
 hosts AS (SELECT source, count(DISTINCT t) AS all_docs FROM d GROUP BY 1),
-hot AS (SELECT source, l, count(DISTINCT t) AS n, min(doc_id) AS first FROM nl WHERE l <> '' GROUP BY 1, 2),
-above AS (SELECT source, l, first FROM hot JOIN hosts USING (source) WHERE n > 20 AND n > 0.05 * all_docs),
-lost AS (SELECT doc_id, sum(len(string_split(l, ' ')))::BIGINT AS n FROM nl JOIN above USING (source, l) WHERE doc_id <> first GROUP BY 1),
+hot AS (SELECT source, l, count(DISTINCT t) AS n FROM nl WHERE l <> '' GROUP BY 1, 2),
+above AS (SELECT source, l FROM hot JOIN hosts USING (source) WHERE n > 5 AND n > 0.001 * all_docs),
+lost AS (SELECT doc_id, sum(len(string_split(l, ' ')))::BIGINT AS n FROM nl JOIN above USING (source, l) GROUP BY 1),
 b AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
       coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS n_removed_words
       FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN lost USING (doc_id))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 0.2 * n_words AS kept FROM b
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 0.8 * n_words AS kept FROM b
 """
