@@ -6,8 +6,10 @@ is 0, the block picks a bucket of patterns by their suffix, and a direct compari
 share one table; shorter items have one for each length.
 
 The patterns go to every task. They are small by a check, not by hope: the benchmark's words are counted first, and beyond
-`max_words` they are searched in parts of that size, each in a pass of its own over the documents; the passes are then merged
-by document and text, with the same result. Items are the stated query set; no document is compared with another.
+`max_words` they are searched in parts of that size, each in a pass of its own over the documents, whose result is written
+before the next part is read; the passes are then merged by document and text, with the same result. An item that is longer
+than a part is cut into pieces that share their windows' words. Items are the stated query set; no document is compared with
+another.
 
 Edge cases: null and empty texts have no words and no hits; equal windows of several items count for each item; items
 without words match nothing; items of null id are searched like others, are left out of items and count as one in n_items;
@@ -23,12 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read, text_key
+from .common import discard, map_arrow, materialize, read, text_key
 
 #: Bytes that are no part of a word become blanks, A-Z become a-z; bytes of other characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+#: The same words by characters.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
 def search_words(text: str | None) -> list[bytes]:
     """Words of ASCII letters, digits and non-ASCII characters, with A-Z lower-cased, as UTF-8."""
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
@@ -96,24 +102,29 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in merged]
 
 
-def _parts(bench: DataFrame, item: str, text: str, max_words: int) -> Iterator[list[tuple[str | None, str]]]:
-    """The items in parts of at most max_words words (or one item); read part by part if there is more than one."""
+def _parts(bench: DataFrame, item: str, text: str, window: int, max_words: int) -> Iterator[tuple[list[tuple[str | None, str]], bool]]:
+    """The items in parts of about max_words words, read part by part if there are several, and whether this is the only part."""
     rows = bench.select(F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("t is not null")
+    most = 2 * max_words  # a word and its separator take two characters at least
+    words = F.regexp_extract_all("t", F.lit(_WORD), F.lit(0))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(max_words))
+    pieces = F.transform(starts, lambda k: F.array_join(F.slice("w", k + 1, max_words + window - 1), " "))
+    long = rows.where(F.length("t") > most).select("i", words.alias("w")).select("i", F.explode(pieces).alias("t"))
+    rows = rows.where(F.length("t") <= most).union(long)
     size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = int(size // (2 * max_words)) + 1  # a word and its separator take two characters at least
+    n = int(size // most) + 1
     if n == 1:
-        yield [tuple(r) for r in rows.collect()]
+        yield [tuple(r) for r in rows.collect()], True
         return
     for k in range(n):
-        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
+        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()], False
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _pass(docs: DataFrame, kind: str, searchers: list[WuManber], spark) -> DataFrame:
+def _pass(docs: DataFrame, kind: str, shared) -> DataFrame:
     """key, tk, n_words, n_hit, spans, items and nameless (an item of null id is found) of every row of (key, tk, text)."""
-    shared = spark.sparkContext.broadcast(searchers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,7 +157,13 @@ def find_contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", t
     """key, n_words, n_hit, spans (word positions), items (sorted ids as strings) and n_items of every document row."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
     slim = docs.select(F.col(key).alias("key"), text_key(F.col(text).cast("string")).alias("tk"), F.col(text).cast("string").alias("text"))
-    passes = [_pass(slim, kind, compile_items(part, window), spark) for part in _parts(bench, item, item_text, max_words)]
+    passes = []
+    for part, only in _parts(bench, item, item_text, window, max_words):
+        shared = spark.sparkContext.broadcast(compile_items(part, window))
+        passes.append(_pass(slim, kind, shared))
+        if not only:
+            passes[-1] = materialize(passes[-1])
+            shared.destroy()
     n_items = (F.size("items") + F.col("nameless").cast("int")).cast("long").alias("n_items")
     if len(passes) == 1:
         return passes[0].select(F.col("key").alias(key), "n_words", "n_hit", "spans", "items", n_items)
@@ -161,7 +178,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", t
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, max_words: int = 300_000) -> DataFrame:
-    """The rows of docs that hold no window of the benchmark, with all their columns; nothing is shuffled."""
+    """The rows of docs that hold no window of the benchmark, with all their columns; no document is shuffled."""
     at = docs.columns.index(text)
 
     def clean(shared):
@@ -171,8 +188,16 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", ite
 
         return run
 
-    for part in _parts(bench, item, item_text, max_words):
-        docs = docs.transform(map_arrow, clean(docs.sparkSession.sparkContext.broadcast(compile_items(part, window))), docs.schema)
+    last = None
+    for part, only in _parts(bench, item, item_text, window, max_words):
+        shared = docs.sparkSession.sparkContext.broadcast(compile_items(part, window))
+        docs = docs.transform(map_arrow, clean(shared), docs.schema)
+        if not only:
+            docs = materialize(docs)
+            shared.destroy()
+            if last is not None:
+                discard(last)
+            last = docs
     return docs
 
 
