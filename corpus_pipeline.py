@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetra.llm import bpe, decontam, line_dedup, near_copies, quality
-from kinetra.llm.common import materialize, read
+from kinetra.llm import bpe, decontam, line_dedup, quality, simhash
+from kinetra.llm.common import delete, read, scratch, temporary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest doc_id; linked are texts that share 0.8 of their five-word shingles."""
-    return near_copies.drop_near_copies(docs)
+    """One document of each group stays, that of the smallest doc_id; linked are texts alike by 0.8 in five-word shingles."""
+    return simhash.near_dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, folder = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        last, folder = folder, scratch(spark)
+        with temporary(spark):  # what the stage's operators wrote for themselves
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(folder)
+        docs = spark.read.schema(out.schema).parquet(folder)
+        if last:
+            delete(spark, last)
     return STAGES[-1][1](spark, docs, sf_dir)

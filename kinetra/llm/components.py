@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_arrow, materialize, scratch
+from .common import discard, map_arrow, materialize
 
 
 class Forest:
@@ -46,30 +46,29 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of the undirected edges (u long, v long); root is the smallest node that it reaches.
 
     Each round joins every node with the smallest of its neighbours; the edges turn into stars in O(log^2 n) rounds. Rounds
-    are written to the shared folder. A hub's rows are one minimum (combined before the shuffle) and a join that adaptive
-    execution can split, so no task holds a hub. Empty edges give an empty result; self-loops and repeated edges are dropped.
+    are written to the shared folder. The smallest neighbours are combined before the shuffle and written before they are
+    joined, so that the join deals both sides out by itself and adaptive execution can split a hub's rows. Empty edges give
+    an empty result; null ends, self-loops and repeated edges are dropped.
     """
-    spark = edges.sparkSession
-    path = scratch(spark)
-    now = materialize(edges.select("u", "v").where("u <> v").transform(map_arrow, _thin, "u long, v long").distinct(), path)
+    now = materialize(edges.select("u", "v").where("u <> v").transform(map_arrow, _thin, "u long, v long").distinct())
     for _ in range(max_rounds):
         both = now.union(now.select("v", "u"))
         # Large star: neighbours above a node go to the smallest of the node and its neighbours.
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = materialize(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # Small star: a node and its lower neighbours go to the smallest of them; edges here run from high to low.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(least, "u")
         small = joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        new_path = scratch(spark)
-        after = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), new_path)
+        after = materialize(small.select("e.u", "e.v").where("u <> v").distinct())
+        discard(now, low, large, least)
+        now = after
         # Stars: each node has one lower neighbour, which has none.
-        many, deep = after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1), after.select(F.col("v").alias("u")).join(after.select("u"), "u", "left_semi").limit(1)
-        done = not many.union(deep.select("u", F.lit(1).cast("long"))).take(1)
-        discard(spark, path)
-        now, path = after, new_path
-        if done:
+        many, deep = now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1), now.select(F.col("v").alias("u")).join(now.select("u"), "u", "left_semi").limit(1)
+        if not many.union(deep.select("u", F.lit(1).cast("long"))).take(1):
             break
     else:
         raise RuntimeError(f"components have not settled in {max_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
+    roots = materialize(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct()))
+    discard(now)
+    return roots

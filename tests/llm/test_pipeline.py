@@ -13,7 +13,8 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from kinetra.llm import bpe, queries  # noqa: E402
 from kinetra.llm.common import materialize, read  # noqa: E402
 
-from .test_llm import _classes, _contaminated, _fingerprint  # noqa: E402
+from .test_llm import _contaminated  # noqa: E402
+from .test_near_dedup import near_classes  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -38,8 +39,7 @@ def test_stages(spark):
             want = {r["doc_id"]: r["text"] for r in c.sql(queries.SQL["op3_line_dedup"]).df().to_dict("records")}
             assert {i: r["text"] for i, r in after.items()} == {i: t for i, t in want.items() if t.strip() or t == before[i]}
         elif name == "near_dedup":
-            classes = _classes({i: _fingerprint(t) for i, t in before.items()})
-            assert set(after) == set(classes.values())
+            assert set(after) == set(near_classes(before).values())
         elif name == "decontaminate":
             assert set(after) == {i for i, t in before.items() if not _contaminated(t, bench)[1]}
         else:
