@@ -52,6 +52,19 @@ def contains_terms(have: Column, need: dict[str, int]) -> Column:
     return test
 
 
+def equal_terms(have: Column, need: dict[str, int]) -> Column:
+    """Multiset equality; an empty need holds for any side."""
+    return contains_terms(have, need) & (F.size(have) == sum(need.values())) if need else F.lit(True)
+
+
+def match_formulas(reactants: Column, products: Column, left: dict[str, int], right: dict[str, int], mode: str = "contains") -> Column:
+    """Whether the formulas of both sides contain, or are exactly, the terms asked for."""
+    if mode not in ("contains", "exact"):
+        raise ValueError("mode must be contains or exact")
+    test = contains_terms if mode == "contains" else equal_terms
+    return test(reactants, left) & test(products, right)
+
+
 def compose(anchor_reactants: Column, anchor_products: Column, next_reactants: Column, next_products: Column, bridge: Column) -> tuple[Column, Column]:
     """Sides of the net change of two reactions chained over one molecule of the bridge species."""
     return F.concat(anchor_reactants, _without_first(next_reactants, bridge)), F.concat(_without_first(anchor_products, bridge), next_products)

@@ -148,6 +148,11 @@ def catalogue(summary: DataFrame, dim: DataFrame, stats: DataFrame | None = None
     return rows.join(dim, "smiles", "left")
 
 
+def search_smiles(rows: DataFrame, part: str) -> DataFrame:
+    """rows (column smiles) whose SMILES contains the text, taken literally."""
+    return rows.where(F.col("smiles").contains(part))
+
+
 def mass_hits(rows: DataFrame, targets: DataFrame, tolerance: float) -> DataFrame:
     """Species within the tolerance of a target mass (targets: a short list, column target), by the masses' whole parts; with the error in ppm."""
     near = targets.select("target", F.explode(F.sequence(F.floor(F.col("target") - tolerance), F.floor(F.col("target") + tolerance))).alias("_m"))

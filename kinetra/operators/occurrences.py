@@ -14,6 +14,14 @@ from ..functions.reactions import compose, net_key, reaction_key, stable_id
 from ..session import cut
 
 
+def _numbered(rows: DataFrame, group: list[str], part: str, order: list, name: str) -> DataFrame:
+    """rows with their number in the group, by part, then order. A window holds one part of a group, never the whole."""
+    counts = rows.groupBy(*group, part).agg(F.count("*").alias("_n"))
+    starts = counts.select(*group, part, F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inside = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*group, part).orderBy(*order)))
+    return inside.join(starts, [*group, part]).withColumn(name, (F.col("_start") + F.col("_i")).cast("int")).drop("_start", "_i")
+
+
 def expand_counts(records: DataFrame) -> DataFrame:
     """A row for each of the count occurrences of a record, with its ordinal."""
     return records.where("count > 0").withColumn("ordinal", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count").cast("long"))))
@@ -89,6 +97,24 @@ def transitions_of_ranges(ranges: DataFrame) -> DataFrame:
     return merged.select("molecule_id", ends.alias("e")).select("molecule_id", "e.*")
 
 
+def changed_states(before: DataFrame, after: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by, change): states (columns by and state, of state_key) that only one side has: vanished or appeared; equal ones cancel one for one."""
+    count = lambda df, n: df.groupBy(*by, "state").agg(F.count("*").alias(n))
+    both = count(before, "b").join(count(after, "a"), [*by, "state"], "full").fillna(0, ["a", "b"]).where("a <> b")
+    return both.select(*by, "state", F.when(F.col("a") > F.col("b"), "appeared").otherwise("vanished").alias("change"), F.abs(F.col("a") - F.col("b")).alias("n"))
+
+
+def members_at(ranges: DataFrame, frames: DataFrame) -> DataFrame:
+    """(frame, molecule_id) of the molecules present at each of the frames (column frame), from ranges (molecule_id, start_frame, end_frame).
+
+    Ranges are cut at multiples of 256 frames and meet frames by an equi join on the part; so neither side is expanded to all frames.
+    """
+    part = lambda c: F.floor(F.col(c) / 256)
+    parts = ranges.withColumn("part", F.explode(F.sequence(part("start_frame"), part("end_frame"))))
+    rows = parts.join(frames.select("frame", part("frame").alias("part")).distinct(), "part").where("frame between start_frame and end_frame")
+    return rows.select("frame", "molecule_id").distinct()
+
+
 def state_key(species: Column, atoms: Column, bonds: Column) -> Column:
     """One key for molecules of the same species, atoms and bonds (array of strings)."""
     return F.sha2(F.concat_ws("|", species, F.array_join(F.array_sort(atoms).cast("array<string>"), ","), F.array_join(F.array_sort(bonds), ",")), 256)
@@ -101,34 +127,52 @@ def reaction_summary(occurrences: DataFrame) -> DataFrame:
 
 
 def events_page(occurrences: DataFrame, key: str, limit: int = 100, offset: int = 0) -> DataFrame:
-    """A page of a reaction's events in order; at most 10000."""
+    """A page of a reaction's events in order, at most 10000, each row with the total of all pages."""
     if not 0 < limit <= 10_000 or offset < 0:
         raise ValueError("limit must be 1 to 10000 and offset not negative")
-    return occurrences.where(F.col("reaction_key") == key).orderBy("transition", "source_row", "event_id").offset(offset).limit(limit)
+    rows = occurrences.where(F.col("reaction_key") == key)
+    page = rows.orderBy("transition", "source_row", "event_id").offset(offset).limit(limit)
+    return page.join(rows.agg(F.count("*").alias("total")), how="cross")
+
+
+def event_by_id(occurrences: DataFrame, dataset: str, event_id: str) -> DataFrame:
+    """The one event of an id; an unknown id is an error."""
+    row = occurrences.where((F.col("dataset") == dataset) & (F.col("event_id") == event_id))
+    if not row.take(1):
+        raise KeyError(f"{dataset} has no event {event_id}")
+    return row
 
 
 def event_species(occurrences: DataFrame) -> DataFrame:
-    """(dataset, event_id, transition, species, side, ordinal): a row for each term, numbered per event, side and species."""
-    term = F.explode(F.concat(F.transform("reactants", lambda x: F.struct(F.lit("reactant").alias("side"), x.alias("species"))), F.transform("products", lambda x: F.struct(F.lit("product").alias("side"), x.alias("species")))))
+    """(dataset, event_id, transition, species, side, ordinal): a row for each term, numbered by place per event, side and species."""
+    side = lambda c, name: F.transform(c, lambda x, i: F.struct(F.lit(name).alias("side"), x.alias("species"), i.alias("place")))
+    term = F.explode(F.concat(side("reactants", "reactant"), side("products", "product")))
     rows = occurrences.select("dataset", "event_id", "transition", "reaction_key", "status", term.alias("t")).select("dataset", "event_id", "transition", "reaction_key", "status", "t.*")
-    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("dataset", "event_id", "side", "species").orderBy(F.lit(1))))
+    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("dataset", "event_id", "side", "species").orderBy("place"))).drop("place")
 
 
 def adjacent_events(occurrences: DataFrame, anchors: DataFrame, direction: str = "later", limit: int = 10) -> DataFrame:
     """For anchors (dataset, event_id, species): up to limit events strictly later that consume, or earlier that produce, the species; nearest first.
 
-    Events of a species are numbered in order of time. An anchor counts those up to its own time, and takes the next `limit`
-    numbers by an equi join; pairs beyond the limit are never made.
+    Events of a species are numbered in order of time, by ranges of 64 transitions, so that a common species is no task of its
+    own. An anchor counts those up to its own time, and takes the next `limit` numbers by an equi join; pairs beyond the limit
+    are never made.
     """
     sign, side = (1, "reactant") if direction == "later" else (-1, "product")
     terms = event_species(occurrences).where(F.col("side") == side).select("dataset", "species", F.col("event_id").alias("other_id"), F.col("transition").alias("other_transition")).distinct()
     start = anchors.join(occurrences.select("dataset", "event_id", "transition"), ["dataset", "event_id"])
-    group = Window.partitionBy("dataset", "species")
-    terms = terms.withColumn("u", sign * F.col("other_transition")).withColumn("r", F.row_number().over(group.orderBy("u", "other_id")))
-    both = terms.select("dataset", "species", "u", F.lit(1).alias("one"), F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("long").alias("transition"))
-    both = both.union(start.select("dataset", "species", (sign * F.col("transition")).alias("u"), F.lit(0), "event_id", "transition"))
-    before = F.sum("one").over(group.orderBy("u").rangeBetween(Window.unboundedPreceding, 0))
-    wanted = both.withColumn("before", before).where("one = 0").select("dataset", "species", "event_id", "transition", "before", F.explode(F.sequence(F.lit(1), F.lit(limit))).alias("rank"))
+    span = F.floor(F.col("u") / 64).alias("span")
+    terms = terms.withColumn("u", sign * F.col("other_transition")).select("*", span)
+    both = terms.select("dataset", "species", "span", "u", F.lit(1).alias("one"), F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("long").alias("transition"))
+    anchored = start.select("dataset", "species", (sign * F.col("transition")).alias("u"), F.lit(0).alias("one"), "event_id", "transition").select("*", span)
+    both = both.unionByName(anchored)
+    sums = both.groupBy("dataset", "species", "span").agg(F.sum("one").alias("all"))
+    sums = sums.select("dataset", "species", "span", F.coalesce(F.sum("all").over(Window.partitionBy("dataset", "species").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("sooner"))
+    inside = F.sum("one").over(Window.partitionBy("dataset", "species", "span").orderBy("u").rangeBetween(Window.unboundedPreceding, 0))
+    terms = _numbered(terms, ["dataset", "species"], "span", ["u", "other_id"], "r").drop("span")
+    both = both.withColumn("inside", inside).where("one = 0").join(sums, ["dataset", "species", "span"])
+    before = F.col("sooner") + F.col("inside")
+    wanted = both.withColumn("before", before).select("dataset", "species", "event_id", "transition", "before", F.explode(F.sequence(F.lit(1), F.lit(limit))).alias("rank"))
     rows = wanted.withColumn("r", (F.col("before") + F.col("rank")).cast("int")).join(terms.drop("u"), ["dataset", "species", "r"])
     return rows.select("dataset", "event_id", "species", "transition", "other_id", "other_transition", F.abs(F.col("other_transition") - F.col("transition")).alias("gap"), "rank")
 
@@ -165,12 +209,17 @@ def composed_pairs(merged: DataFrame, limit: int = 3) -> DataFrame:
 
 
 def with_evidence(merged: DataFrame, summary: DataFrame | None) -> DataFrame:
-    """merged with event counts and coverages: zeros where a reaction has no events, nulls and network_only where there is no evidence at all."""
+    """merged with event counts and coverages: zeros where a reaction has no events, nulls and network_only where there is no evidence at all.
+
+    Several datasets of a summary add up, so every reaction keeps one row.
+    """
     if summary is None:
         empty = {c: F.lit(None).cast("double" if "coverage" in c else "long") for c in ("total_events", "matched_events", "distinct_intervals", "event_coverage", "time_coverage")}
         return merged.withColumns(empty).withColumn("evidence_status", F.lit("network_only"))
-    columns = ["total_events", "matched_events", "distinct_intervals", "available_intervals"]
-    rows = merged.join(summary.select("reaction_key", *columns), "reaction_key", "left").fillna(0, columns)
+    columns = ["total_events", "matched_events", "distinct_intervals"]
+    sums = summary.groupBy("reaction_key").agg(*[F.sum(c).alias(c) for c in columns])
+    available = summary.select("dataset", "available_intervals").distinct().agg(F.coalesce(F.sum("available_intervals"), F.lit(0)).alias("available_intervals"))
+    rows = merged.join(sums, "reaction_key", "left").fillna(0, columns).join(available, how="cross")
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return rows.withColumn("event_coverage", share("matched_events", "total_events")).withColumn("time_coverage", share("distinct_intervals", "available_intervals")).withColumn("evidence_status", F.lit("evidence_linked"))
 
@@ -183,8 +232,9 @@ def representative_events(occurrences: DataFrame, frames: DataFrame) -> DataFram
     rows = occurrences.join(both, ["dataset", "transition"], "left")
     framed, matched = F.coalesce("framed", F.lit(False)), F.col("status") == "matched"
     tier = F.when(matched & framed, 0).when(matched, 1).when(framed, 2).otherwise(3)
-    rows = rows.withColumn("tier", tier)
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("dataset", "reaction_key").orderBy("tier", "transition", "event_id"))).drop("framed")
+    # Numbered by tier and ranges of 64 transitions, so that a common reaction is no task of its own.
+    rows = rows.withColumn("tier", tier).withColumn("part", F.struct("tier", F.floor(F.col("transition") / 64).alias("span")))
+    return _numbered(rows, ["dataset", "reaction_key"], "part", ["transition", "event_id"], "rank").drop("framed", "part")
 
 
 def bond_changes(bonds: DataFrame) -> DataFrame:
@@ -196,7 +246,11 @@ def bond_changes(bonds: DataFrame) -> DataFrame:
 
 def occurrence_check(steps: DataFrame, occurrences: DataFrame, limit: int = 3) -> DataFrame:
     """Path steps (start, rank, step, reaction_key) with the number of events of exactly that key, the first of them, and whether there is any."""
-    keyed = occurrences.withColumn("n", F.row_number().over(Window.partitionBy("reaction_key").orderBy("transition", "event_id")))
-    seen = keyed.groupBy("reaction_key").agg(F.count("*").alias("n_events"), F.array_sort(F.collect_list(F.when(F.col("n") <= limit, F.struct("n", "event_id")))).alias("first"))
+    # The first of each of 64 parts of a reaction's events, then the first of those.
+    salted = occurrences.withColumn("salt", F.pmod(F.xxhash64("event_id"), F.lit(64)))
+    heads = salted.withColumn("n", F.row_number().over(Window.partitionBy("reaction_key", "salt").orderBy("transition", "event_id"))).where(F.col("n") <= limit)
+    heads = heads.withColumn("n", F.row_number().over(Window.partitionBy("reaction_key").orderBy("transition", "event_id"))).where(F.col("n") <= limit)
+    heads = heads.groupBy("reaction_key").agg(F.array_sort(F.collect_list(F.struct("n", "event_id"))).alias("first"))
+    seen = occurrences.groupBy("reaction_key").agg(F.count("*").alias("n_events")).join(heads, "reaction_key")
     rows = steps.join(seen, "reaction_key", "left")
     return rows.select(*steps.columns, F.coalesce("n_events", F.lit(0)).alias("n_events"), F.transform(F.coalesce("first", F.expr("cast(array() as array<struct<n:int,event_id:string>>)")), lambda x: x["event_id"]).alias("events"), F.col("n_events").isNotNull().alias("can_assert_occurrence"))

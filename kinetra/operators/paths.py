@@ -179,6 +179,44 @@ def path_steps(paths: DataFrame) -> DataFrame:
     )
 
 
+def export_steps(paths: DataFrame, steps: DataFrame, direction: str = "downstream", score_version: str = "1", references: str = "") -> DataFrame:
+    """One row per step with all columns of the export: the path, the step's fluxes and sides, its evidence, and the versions.
+
+    steps: rows of candidate_steps, one for each (focal_input, focal_output, reaction_key), with the columns of with_evidence if
+    there is evidence; without, counts and coverages are null and evidence_status is network_only.
+    """
+    rows = paths.select("start", F.col("rank").alias("path_rank"), F.array_join("species", " > ").alias("path_species"), "species", "scores", F.col("score").alias("path_score"), F.posexplode("reaction_keys").alias("i", "reaction_key"))
+    rows = rows.withColumns({"focal_input": F.get("species", F.col("i")), "focal_output": F.get("species", F.col("i") + 1), "step_score": F.get("scores", F.col("i")), "step_index": F.col("i") + 1})
+    kinds = {"event_coverage": "double", "time_coverage": "double", "total_events": "long", "matched_events": "long", "distinct_intervals": "long", "evidence_status": "string"}
+    known = steps.dropDuplicates(["focal_input", "focal_output", "reaction_key"]).withColumns({c: F.lit("network_only" if k == "string" else None).cast(k) for c, k in kinds.items() if c not in steps.columns})
+    known = known.select("focal_input", "focal_output", "reaction_key", "forward_tp", "reverse_tp", "net_tp", "net_share", "directionality", *kinds)
+    rows = rows.join(known, ["focal_input", "focal_output", "reaction_key"], "left")
+    return rows.select(
+        "start", "path_rank", "step_index", "path_species", "reaction_key", F.lit(direction).alias("traversal_direction"), "focal_input", "focal_output",
+        F.substring_index("reaction_key", "->", 1).alias("reactants"), F.substring_index("reaction_key", "->", -1).alias("products"),
+        "forward_tp", "reverse_tp", "net_tp", "net_share", "directionality", "event_coverage", "time_coverage", F.col("total_events").alias("event_total"), F.col("matched_events").alias("matched_event_total"), "distinct_intervals",
+        "path_score", "step_score", "evidence_status", F.lit(score_version).alias("score_version"), F.lit(references).alias("source_references"),
+    )
+
+
+def gap_statistics(paths: DataFrame) -> DataFrame:
+    """(signature, edge, n, gap_min, gap_median, gap_mean, gap_max): the gaps between consecutive events, by place in the sequence."""
+    rows = paths.select(F.array_join("reaction_keys", " => ").alias("signature"), F.posexplode("gaps").alias("edge", "gap"))
+    return rows.groupBy("signature", "edge").agg(F.count("*").alias("n"), F.min("gap").alias("gap_min"), F.median("gap").alias("gap_median"), F.avg("gap").alias("gap_mean"), F.max("gap").alias("gap_max"))
+
+
+def example_paths(paths: DataFrame, n: int = 5) -> DataFrame:
+    """(signature, n_example, replicate, event_ids): the first paths of every sequence, by replicate, time and events.
+
+    The first of each of 64 parts of a sequence's paths, then the first of those, so a common sequence is no task of its own.
+    """
+    order = ["replicate", "t_first", "t_last", "event_ids"]
+    rows = paths.select(F.array_join("reaction_keys", " => ").alias("signature"), *order).withColumn("salt", F.pmod(F.xxhash64("event_ids"), F.lit(64)))
+    for keys in (["signature", "salt"], ["signature"]):
+        rows = rows.withColumn("n_example", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("n_example") <= n)
+    return rows.select("signature", "n_example", "replicate", "event_ids")
+
+
 # The two events of a hydrogen molecule that falls apart and forms again.
 PURE_H_KEYS = ("[H]+[H]->[H][H]", "[H][H]->[H]+[H]")
 

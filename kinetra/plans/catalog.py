@@ -356,9 +356,9 @@ def event_summary(spark, d):
     return oc.reaction_summary(ad.occurrences(spark, d))
 
 
-@query("SELECT rep AS dataset, id AS event_id, t AS transition FROM ev WHERE k = 'click->view' ORDER BY t, t, id LIMIT 100 OFFSET 20", E)
+@query("SELECT rep AS dataset, id AS event_id, t AS transition, (SELECT count(*) FROM ev WHERE k = 'click->view') AS total FROM ev WHERE k = 'click->view' ORDER BY t, t, id LIMIT 100 OFFSET 20", E)
 def event_page(spark, d):
-    return oc.events_page(ad.occurrences(spark, d), "click->view", 100, 20).select("dataset", "event_id", "transition")
+    return oc.events_page(ad.occurrences(spark, d), "click->view", 100, 20).select("dataset", "event_id", "transition", "total")
 
 
 @query(
@@ -582,7 +582,7 @@ def replicate_statistics(spark, d):
 
 @query(
     """, core AS (SELECT t, min(id) AS id FROM xyz GROUP BY 1), c AS (SELECT xyz.* FROM xyz JOIN core USING (t, id)),
-dd AS (SELECT c.t AS ev, xyz.id, (xyz.x - c.x) - 20 * round((xyz.x - c.x) / 20) AS dx, (xyz.y - c.y) - 20 * round((xyz.y - c.y) / 20) AS dy, (xyz.z - c.z) - 20 * round((xyz.z - c.z) / 20) AS dz FROM c JOIN xyz USING (t))
+dd AS (SELECT c.t AS ev, xyz.id, (xyz.x - c.x) - 20 * round((xyz.x - c.x) / 20) AS dx, (xyz.y - c.y) - 20 * round((xyz.y - c.y) / 20) AS dy, (xyz.z - c.z) - 20 * round((xyz.z - c.z) / 20) AS dz FROM c JOIN xyz ON c.t = xyz.t AND c.id <> xyz.id)
 SELECT ev AS event_id, id, round(sqrt(dx * dx + dy * dy + dz * dz), 6) AS dist FROM dd WHERE dx * dx + dy * dy + dz * dz <= 36 QUALIFY row_number() OVER (PARTITION BY ev ORDER BY dx * dx + dy * dy + dz * dz, id) <= 500""",
     X,
 )
@@ -604,7 +604,7 @@ def recentred_environment(spark, d):
     atoms = ad.atoms(spark, d)
     cores = atoms.groupBy("timestep").agg(F.min("id").alias("id")).select(F.col("timestep").alias("event_id"), "timestep", "id")
     near = sp.local_environment(atoms, cores, (20.0, 20.0, 20.0), 6.0, 1_000_000)
-    rows = sp.recentred(atoms, near.select("event_id", "id"), cores, (20.0, 20.0, 20.0))
+    rows = sp.recentred(atoms, near.select("event_id", "id").union(cores.select("event_id", "id")), cores, (20.0, 20.0, 20.0))
     return rows.select("event_id", "id", *[(_r(c) + 0.0).alias(c) for c in "xyz"], "scope")
 
 
@@ -619,3 +619,6 @@ def comparison_matrix(spark, d):
     groups = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
     rows = rp.matrix(_table(spark, d), "forward", groups)
     return rows.select("reaction_key", *[_r(F.col(f"`{g}`")).alias(g.replace(" ", "_").lower()) for g in groups])
+
+
+from . import sources  # noqa: E402, F401  (registers its queries)

@@ -13,13 +13,17 @@ def _found(rows: DataFrame, rule: str, *detail: str) -> DataFrame:
 
 
 def audit_timeline(tables: dict[str, DataFrame]) -> DataFrame:
-    """Unknown reaction, species and molecule ids, bad ranges and counts, and frames out of order."""
+    """Unknown and repeated ids, bad and overlapping ranges, bad counts, and frames out of order."""
     frames, events, types, species, molecules, ranges = (tables[n] for n in ("frames", "reaction_events", "reaction_types", "species", "molecules", "molecule_ranges"))
     n = frames.agg(F.count("*").alias("n_frames"))
     order = frames.withColumn("p", F.lag("timestep").over(Window.partitionBy("source_id").orderBy("source_frame")))
+    sooner = F.max("end_frame").over(Window.partitionBy("molecule_id").orderBy("start_frame", "end_frame").rowsBetween(Window.unboundedPreceding, -1))
+    twice = lambda rows, c: _found(rows.groupBy(c).agg(F.count("*").alias("n")).where("n > 1"), f"repeated {c.replace('_', ' ')}", c)
     return reduce(
         DataFrame.union,
         [
+            *(twice(rows, c) for rows, c in ((types, "reaction_id"), (species, "species_id"), (molecules, "molecule_id"))),
+            _found(ranges.withColumn("sooner", sooner).where("start_frame <= sooner"), "ranges overlap", "molecule_id", "start_frame"),
             _found(events.join(types, "reaction_id", "left_anti"), "unknown reaction id", "transition_index", "reaction_id"),
             _found(molecules.join(species, "species_id", "left_anti"), "unknown species id", "molecule_id", "species_id"),
             _found(ranges.join(molecules, "molecule_id", "left_anti"), "unknown molecule id", "molecule_id"),

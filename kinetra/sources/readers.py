@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.reactions import reaction_key, split_terms
+from .audits import audit_timeline, require_clean
 
 TIDY = "time double, species string, count bigint, dataset string, system string"
 EVENTS = "Timestep_Index bigint, Reactant string, Product string"
@@ -87,7 +90,11 @@ def read_molecules(spark: SparkSession, paths: str | list[str], dataset: str = "
 
 
 def read_timeline(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The six tables of native timed evidence below path."""
+    """The six tables of native timed evidence below path; a missing column is an error, not a column of nulls."""
+    for name, schema in TIMELINE.items():
+        want = {c.split()[0] for c in re.split(r",(?![^<]*>)\s*", schema)}
+        if missing := want - set(spark.read.parquet(f"{path}/{name}.parquet").columns):
+            raise ValueError(f"{name} has no column {sorted(missing)}")
     return {name: spark.read.schema(schema).parquet(f"{path}/{name}.parquet") for name, schema in TIMELINE.items()}
 
 
@@ -104,7 +111,9 @@ def timeline_events(tables: dict[str, DataFrame], dataset: str = "") -> DataFram
 def timed_events(spark: SparkSession, dataset: str, timeline: str | None = None, events: str | None = None) -> DataFrame:
     """Events of the native source if one is given, else of the CSV; a bad native source is an error, not a reason to fall back."""
     if timeline:
-        return timeline_events(read_timeline(spark, timeline), dataset).withColumn("source_kind", F.lit("timeline"))
+        tables = read_timeline(spark, timeline)
+        require_clean(audit_timeline(tables))
+        return timeline_events(tables, dataset).withColumn("source_kind", F.lit("timeline"))
     if events:
         return read_events(spark, events, dataset).withColumn("source_kind", F.lit("csv"))
     raise ValueError("no event source is given")

@@ -213,8 +213,8 @@ def test_space(spark):
     atoms = spark.createDataFrame([(0, 1, 0.5, 0.5, 0.5), (0, 2, 9.5, 0.5, 0.5), (0, 3, 5.0, 5.0, 5.0), (0, 4, 1.5, 0.5, 0.5)], "timestep long, id long, x double, y double, z double")
     cores = spark.createDataFrame([("e", 0, 1)], "event_id string, timestep long, id long")
     near = sp.local_environment(atoms, cores, (10.0, 10.0, 10.0), 2.0)
-    assert {(r["id"], r["dist"]) for r in near.collect()} == {(1, 0.0), (2, 1.0), (4, 1.0)}
-    moved = {r["id"]: (r["x"], r["scope"]) for r in sp.recentred(atoms, near.select("event_id", "id"), cores, (10.0, 10.0, 10.0)).collect()}
+    assert {(r["id"], r["dist"]) for r in near.collect()} == {(2, 1.0), (4, 1.0)}  # without the core
+    moved = {r["id"]: (r["x"], r["scope"]) for r in sp.recentred(atoms, near.select("event_id", "id").union(cores.select("event_id", "id")), cores, (10.0, 10.0, 10.0)).collect()}
     assert moved == {1: (0.0, "core"), 2: (-1.0, "environment"), 4: (1.0, "environment")}
     frames = spark.createDataFrame([("d", 0), ("d", 5000), ("d", 10000)], "dataset string, timestep long")
     events = spark.createDataFrame([("d", "a", 2500), ("d", "b", 2600), ("d", "c", 10000), ("d", "x", 99999)], "dataset string, event_id string, timestep long")
