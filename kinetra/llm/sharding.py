@@ -69,6 +69,11 @@ def _uniform(key: Column, *name: Column | str) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(key, F.lit("|"), *parts)), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(16**12))
 
 
+def _once(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 class _Node(NamedTuple):
     name: str
     below: list  # of nodes, or one Leaf
@@ -130,8 +135,12 @@ def shard_of(key: Column, tree: list[Leaf]) -> Column:
 
     def down(node: Column) -> Column:
         """Of a node's parts the one that has the node's variate; the last one if rounding leaves none."""
-        which = _uniform(key, node["name"], F.lit("?")) * node["of"]
-        return F.coalesce(F.get(F.filter(node["kids"], lambda x: which < x["upto"]), F.lit(0)), F.element_at(node["kids"], -1))["to"]
+
+        def part(n: Column) -> Column:
+            pick = lambda u: F.coalesce(F.get(F.filter(n["kids"], lambda x: u < x["upto"]), F.lit(0)), F.element_at(n["kids"], -1))["to"]
+            return _once(_uniform(key, n["name"], F.lit("?")) * n["of"], pick)
+
+        return _once(node, part)
 
     return down(table(racks)[down(table(tops)[won])]).cast("int")
 
