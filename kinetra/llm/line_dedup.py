@@ -7,8 +7,8 @@ of a run stays.
 Round k gives every suffix the rank of its first 2^k lines: the number of suffixes whose first 2^k lines sort before, by the
 lines' hashes. Suffixes of one rank are an interval of the suffix array whose longest common prefix is at least 2^k lines;
 suffixes alone in their interval repeat nothing and leave. A rank is refined by the rank of the suffix 2^k lines further: the
-pairs are counted, and a running sum inside each rank gives the new ones, over 4096 ranges of the second rank and then inside
-each range; so neither suffixes nor pairs are gathered by rank.
+pairs are counted, and a running sum inside each rank gives the new ones: over 64 stretches of the second rank, over the 64
+ranges of a stretch and inside each range; so neither suffixes nor pairs are gathered by rank.
 
 A run of m lines, 2^k <= m < 2^(k+1), is named by the ranks (round k) at its start and 2^k lines before its end. It is enough
 to look at the shortest runs of min_words words that start, and that end, at each line: every line of a longer repeated run
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, discard, materialize, read, text_key
 
-_RANGES = 4096
+_SIDE = 64
+_RANGES = _SIDE**2
 
 
 def _worded(text: Column) -> Column:
@@ -41,12 +42,17 @@ def _trim(line: Column) -> Column:
 def _running(table: DataFrame, within: list[str], part: str, order: list[str]) -> DataFrame:
     """table with before: the sum of n over the rows of the same `within` that come earlier, by part, then order.
 
-    A task holds the parts of one group (few), or one part of it, never a whole group.
+    A task holds _SIDE stretches of parts of one group, the _SIDE parts of one stretch, or one part, never a whole group.
     """
     upto = lambda *cols: Window.partitionBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
-    sums = table.groupBy(*within, part).agg(F.sum("n").alias("all"))
-    starts = materialize(sums.select(*within, part, F.coalesce(F.sum("all").over(upto(*within).orderBy(part)), F.lit(0)).alias("start")))
-    inside = table.withColumn("inside", F.coalesce(F.sum("n").over(upto(*within, part).orderBy(*order)), F.lit(0)))
+    before = lambda n, over: F.coalesce(F.sum(n).over(over), F.lit(0))
+    table = table.withColumn("stretch", F.floor(F.col(part) / _SIDE))
+    stretches = table.groupBy(*within, "stretch").agg(F.sum("n").alias("all"))
+    stretches = stretches.select(*within, "stretch", before("all", upto(*within).orderBy("stretch")).alias("s"))
+    parts = table.groupBy(*within, "stretch", part).agg(F.sum("n").alias("all"))
+    parts = parts.select(*within, "stretch", part, before("all", upto(*within, "stretch").orderBy(part)).alias("p"))
+    starts = materialize(parts.join(stretches, [*within, "stretch"]).select(*within, part, (F.col("s") + F.col("p")).alias("start")))
+    inside = table.withColumn("inside", before("n", upto(*within, part).orderBy(*order)))
     out = materialize(inside.join(starts, [*within, part]).select(*within, *order, (F.col("start") + F.col("inside")).alias("before")))
     discard(starts)
     return out
