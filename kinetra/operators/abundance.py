@@ -42,7 +42,11 @@ def species_summary(merged: DataFrame) -> DataFrame:
 
 
 def snapshot(merged: DataFrame, timestep: int) -> DataFrame:
-    return merged.where(F.col("timestep") == timestep)
+    """The counts of one timestep; a timestep that no row has is an error."""
+    rows = merged.where(F.col("timestep") == timestep)
+    if not rows.take(1):
+        raise KeyError(f"no timestep {timestep}")
+    return rows
 
 
 def dense_series(merged: DataFrame, species: DataFrame) -> DataFrame:
@@ -97,13 +101,21 @@ def reference_and_others(merged: DataFrame, dim: DataFrame, reference: str, elem
     return rows.select("timestep", ref.alias("reference"), F.greatest(F.lit(0), F.coalesce("all", F.lit(0)) - ref).alias("others"))
 
 
-def curves(merged: DataFrame, dim: DataFrame, targets: DataFrame, max_members: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(series, timestep, count) summed over each target's members, and the targets without any. targets: series, kind (smiles or formula), value."""
+def curves(merged: DataFrame, dim: DataFrame, targets: DataFrame, max_members: int = 20, mode: str = "sum") -> tuple[DataFrame, DataFrame]:
+    """(series, timestep, count), and the targets without any member. targets: series, kind (smiles or formula), value.
+
+    mode: sum adds up the members of a formula, split makes a series of each, named series[1] for the most abundant and so on, both does both.
+    """
+    if mode not in ("sum", "split", "both"):
+        raise ValueError("mode must be sum, split or both")
     totals = merged.groupBy("smiles").agg(F.sum("count").alias("total")).join(dim.select("smiles", "formula"), "smiles")
-    by = lambda kind, column: targets.where(F.col("kind") == kind).join(totals, F.col("value") == F.col(column)).select("series", "smiles", "total")
+    by = lambda kind, column: targets.where(F.col("kind") == kind).join(totals, F.col("value") == F.col(column)).select("series", "kind", "smiles", "total")
     members = by("smiles", "smiles").union(by("formula", "formula"))
     members = members.withColumn("n", F.row_number().over(Window.partitionBy("series").orderBy(F.desc("total"), "smiles"))).where(F.col("n") <= max_members)
-    lines = members.join(merged, "smiles").groupBy("series", "timestep").agg(F.sum("count").alias("count"))
+    one = F.concat("series", F.lit("["), "n", F.lit("]"))
+    names = {"sum": F.array("series"), "split": F.array(one), "both": F.array("series", one)}[mode]
+    named = members.select("smiles", F.explode(F.when(F.col("kind") == "smiles", F.array("series")).otherwise(names)).alias("series"))
+    lines = named.join(merged, "smiles").groupBy("series", "timestep").agg(F.sum("count").alias("count"))
     return lines, targets.join(members, "series", "left_anti")
 
 
@@ -205,7 +217,7 @@ def rate_constants(rates: DataFrame, series: DataFrame, volume_a3: float, timest
 def drilldown(merged: DataFrame, summary: DataFrame, dim: DataFrame, element: str, group_count: int, timestep: int, present: tuple = (), absent: tuple = (), ranges: dict | None = None) -> DataFrame:
     """Species of one element count: the count at a timestep, the peak and its time."""
     keep = dim.where(matches_elements(F.col("atom_counts"), present, absent, ranges) & (count_of(F.col("atom_counts"), element) == group_count)).select("smiles", "formula")
-    now = snapshot(merged, timestep).select("smiles", F.col("count").alias("current_count"))
+    now = merged.where(F.col("timestep") == timestep).select("smiles", F.col("count").alias("current_count"))
     rows = summary.join(keep, "smiles").join(now, "smiles", "left")
     return rows.select("smiles", "formula", F.coalesce("current_count", F.lit(0)).alias("current_count"), "peak_count", "peak_timestep", "total_count")
 

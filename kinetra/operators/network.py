@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.reactions import reaction_key, stoich_delta
 
 
-def merge_reactions(reactions: DataFrame, order: str = "line_no") -> DataFrame:
-    """One row per reaction key with the sum of tp; the sides as last seen."""
+def merge_reactions(reactions: DataFrame, order: str = "line_no", kind: str | None = None) -> DataFrame:
+    """One row per reaction key with the sum of tp; the sides as last seen and, if a column kind holds classes, the class as first seen."""
     keyed = reactions.withColumn("reaction_key", reaction_key(F.col("reactants"), F.col("products")))
-    return keyed.groupBy("reaction_key").agg(F.sum("tp").alias("tp"), F.max_by(F.struct("reactants", "products"), F.col(order)).alias("s")).select("reaction_key", "s.reactants", "s.products", "tp")
+    named = [kind] if kind else []
+    first = [F.min_by(c, F.col(order)).alias(c) for c in named]
+    return keyed.groupBy("reaction_key").agg(F.sum("tp").alias("tp"), F.max_by(F.struct("reactants", "products"), F.col(order)).alias("s"), *first).select("reaction_key", "s.reactants", "s.products", "tp", *named)
 
 
 def with_reverse(merged: DataFrame) -> DataFrame:

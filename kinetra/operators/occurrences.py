@@ -14,7 +14,7 @@ from ..functions.reactions import compose, net_key, reaction_key, stable_id
 from ..session import cut
 
 
-def _numbered(rows: DataFrame, group: list[str], part: str, order: list, name: str) -> DataFrame:
+def numbered(rows: DataFrame, group: list[str], part: str, order: list, name: str) -> DataFrame:
     """rows with their number in the group, by part, then order. A window holds one part of a group, never the whole."""
     counts = rows.groupBy(*group, part).agg(F.count("*").alias("_n"))
     starts = counts.select(*group, part, F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
@@ -169,7 +169,7 @@ def adjacent_events(occurrences: DataFrame, anchors: DataFrame, direction: str =
     sums = both.groupBy("dataset", "species", "span").agg(F.sum("one").alias("all"))
     sums = sums.select("dataset", "species", "span", F.coalesce(F.sum("all").over(Window.partitionBy("dataset", "species").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("sooner"))
     inside = F.sum("one").over(Window.partitionBy("dataset", "species", "span").orderBy("u").rangeBetween(Window.unboundedPreceding, 0))
-    terms = _numbered(terms, ["dataset", "species"], "span", ["u", "other_id"], "r").drop("span")
+    terms = numbered(terms, ["dataset", "species"], "span", ["u", "other_id"], "r").drop("span")
     both = both.withColumn("inside", inside).where("one = 0").join(sums, ["dataset", "species", "span"])
     before = F.col("sooner") + F.col("inside")
     wanted = both.withColumn("before", before).select("dataset", "species", "event_id", "transition", "before", F.explode(F.sequence(F.lit(1), F.lit(limit))).alias("rank"))
@@ -234,7 +234,7 @@ def representative_events(occurrences: DataFrame, frames: DataFrame) -> DataFram
     tier = F.when(matched & framed, 0).when(matched, 1).when(framed, 2).otherwise(3)
     # Numbered by tier and ranges of 64 transitions, so that a common reaction is no task of its own.
     rows = rows.withColumn("tier", tier).withColumn("part", F.struct("tier", F.floor(F.col("transition") / 64).alias("span")))
-    return _numbered(rows, ["dataset", "reaction_key"], "part", ["transition", "event_id"], "rank").drop("framed", "part")
+    return numbered(rows, ["dataset", "reaction_key"], "part", ["transition", "event_id"], "rank").drop("framed", "part")
 
 
 def bond_changes(bonds: DataFrame) -> DataFrame:
@@ -244,6 +244,18 @@ def bond_changes(bonds: DataFrame) -> DataFrame:
     return seen.select("event_id", "atom1", "atom2", F.when(F.col("b") + F.col("a") == 2, "kept").when(F.col("a") == 1, "formed").otherwise("broken").alias("state"))
 
 
+def bond_table(bonds: DataFrame) -> DataFrame:
+    """(event_id, state, atom1, atom2, bond_order, change): each bond of each side once; one of another order is another bond.
+
+    bonds: event_id, side (before or after), atom1, atom2, bond_order. state is reactant or product, change broken, formed or unchanged.
+    """
+    rows = bonds.select("event_id", "side", F.least("atom1", "atom2").alias("atom1"), F.greatest("atom1", "atom2").alias("atom2"), "bond_order")
+    seen = rows.groupBy("event_id", "atom1", "atom2", "bond_order").agg(F.max(F.col("side") == "before").alias("b"), F.max(F.col("side") == "after").alias("a"))
+    state = F.explode(F.filter(F.array(F.when(F.col("b"), "reactant"), F.when(F.col("a"), "product")), lambda s: s.isNotNull()))
+    change = F.when(F.col("a") & F.col("b"), "unchanged").when(F.col("b"), "broken").otherwise("formed")
+    return seen.select("event_id", state.alias("state"), "atom1", "atom2", "bond_order", change.alias("change"))
+
+
 def occurrence_check(steps: DataFrame, occurrences: DataFrame, limit: int = 3) -> DataFrame:
     """Path steps (start, rank, step, reaction_key) with the number of events of exactly that key, the first of them, and whether there is any."""
     # The first of each of 64 parts of a reaction's events, then the first of those.

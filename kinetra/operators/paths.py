@@ -87,6 +87,27 @@ def reachable_paths(merged: DataFrame, length: int = 3, start: str | None = None
     return paths.select("reaction_keys")
 
 
+def reachable_with_bridges(merged: DataFrame, length: int = 3, start: str | None = None, max_paths: int = 100_000, max_variants: int = 20) -> DataFrame:
+    """(reaction_keys, bridges, truncated): the first max_paths reachable sequences in order of their keys, with the species that link their steps.
+
+    bridges holds the first max_variants choices of a linking species for each step, in order; a prefix has an extension
+    whenever its path has, so cutting the choices at every step loses none of them. truncated says that there are more paths.
+    """
+    if not 2 <= length <= 8 or max_paths < 1:
+        raise ValueError("length must be 2 to 8 and max_paths positive")
+    takes = merged.select(F.col("reaction_key").alias("to_key"), F.explode(F.array_distinct("reactants")).alias("species"))
+    makes = merged.select(F.col("reaction_key").alias("from_key"), F.explode(F.array_distinct("products")).alias("species"))
+    follows = cut(makes.join(takes, "species").groupBy("from_key", "to_key").agg(F.array_sort(F.collect_set("species")).alias("via")))
+    first = merged if start is None else merged.where(F.array_contains("reactants", start))
+    paths = first.select(F.array("reaction_key").alias("reaction_keys"), F.col("reaction_key").alias("from_key"), F.array(F.array().cast("array<string>")).alias("bridges"))
+    for _ in range(length - 1):
+        more = F.flatten(F.transform("bridges", lambda done: F.transform("via", lambda s: F.array_append(done, s))))
+        paths = paths.join(follows, "from_key").select(F.array_append("reaction_keys", F.col("to_key")).alias("reaction_keys"), F.col("to_key").alias("from_key"), F.slice(more, 1, max_variants).alias("bridges"))
+    top = paths.orderBy("reaction_keys").limit(max_paths + 1)
+    rows = top.withColumn("n", F.row_number().over(Window.orderBy("reaction_keys"))).withColumn("truncated", F.count("*").over(Window.partitionBy(F.lit(0))) > max_paths)  # max_paths rows at most
+    return rows.where(F.col("n") <= max_paths).select("reaction_keys", "bridges", "truncated")
+
+
 def compare_paths(paths: DataFrame, reachable: DataFrame) -> DataFrame:
     """Per replicate: signatures that occur, that are also reachable, that only occur, that are only reachable, and the realised share."""
     actual = paths.select("replicate", F.array_join("reaction_keys", " => ").alias("signature")).distinct()

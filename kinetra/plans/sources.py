@@ -13,10 +13,12 @@ from ..operators import abundance as ab
 from ..operators import network as nw
 from ..operators import occurrences as oc
 from ..operators import paths as pt
+from ..operators import replicates as rp
+from ..operators import space as sp
 from ..session import scratch
 from ..sources import audits, readers, sinks
 from . import adapters as ad
-from .catalog import PATHS, SQL, STEPS, A, E, N, X, _abundance, _edges, _r, query
+from .catalog import PATHS, SQL, A, E, N, X, _abundance, _edges, _r, query
 
 
 def _text(rows: DataFrame, value) -> str:
@@ -317,3 +319,72 @@ def path_export(spark, d):
     """The export of candidate routes, a row for each step."""
     rows = pt.export_steps(*_routes(spark, d))
     return rows.select("start", "path_rank", "step_index", "path_species", "reaction_key", "traversal_direction", "reactants", "products", "focal_input", "focal_output", "forward_tp", "reverse_tp", "net_tp", "evidence_status", _r("path_score", 9).alias("path_score"))
+
+
+@query(
+    """, fo AS (SELECT x.k AS k1, y.k AS k2, list_sort(list_distinct(list_intersect(x.p, y.r))) AS b FROM m x JOIN m y ON len(list_intersect(x.p, y.r)) > 0 WHERE list_contains(x.r, '[C][O]'))
+SELECT k1 || ' => ' || k2 AS signature, array_to_string(b, ' | ') AS bridges, (SELECT count(*) FROM fo) > 1000 AS truncated FROM fo ORDER BY k1, k2 LIMIT 1000""",
+    N,
+)
+def bridged_paths(spark, d):
+    """The first thousand pairs of reactions from one species on, with the species that link them."""
+    rows = pt.reachable_with_bridges(ad.network(spark, d), 2, "[C][O]", 1000)
+    return rows.select(F.array_join("reaction_keys", " => ").alias("signature"), F.array_join(F.flatten("bridges"), " | ").alias("bridges"), "truncated")
+
+
+# Classes, curves, bonds, frames and conditions
+
+
+@query("SELECT k AS reaction_key, m.tp, arg_min(CASE WHEN l_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END, l_orderkey) AS kind FROM rx JOIN m ON k = array_to_string(rx.r, '+') || '->' || array_to_string(rx.p, '+') GROUP BY 1, 2", N)
+def classed_reactions(spark, d):
+    """Merged reactions with the class (here, whether its number is even) of the first line of each."""
+    rows = ad.reactions(spark, d).withColumn("kind", F.when(F.col("line_no") % 2 == 0, "even").otherwise("odd"))
+    return nw.merge_reactions(rows, kind="kind").select("reaction_key", "tp", "kind")
+
+
+@query(
+    """, mb AS (SELECT series, kind, smi, row_number() OVER (PARTITION BY series ORDER BY total DESC, smi) AS i FROM (SELECT smi, sum(n) AS total FROM a GROUP BY 1) JOIN dim USING (smi) JOIN (VALUES ('one', 'smiles', '[C]'), ('two', 'formula', 'C2O'), ('three', 'formula', 'C4ClO3')) v(series, kind, val) ON (kind = 'smiles' AND val = smi) OR (kind = 'formula' AND val = formula)),
+nm AS (SELECT series, smi FROM mb UNION ALL SELECT series || '[' || i || ']', smi FROM mb WHERE kind = 'formula')
+SELECT series, t AS timestep, sum(n)::BIGINT AS count FROM nm JOIN a USING (smi) GROUP BY 1, 2""",
+    A,
+)
+def split_curves(spark, d):
+    """Curves of formulas, added up and by member."""
+    merged, dim = _abundance(spark, d)
+    targets = spark.createDataFrame([("one", "smiles", "[C]"), ("two", "formula", "C2O"), ("three", "formula", "C4ClO3"), ("none", "formula", "N2")], "series string, kind string, value string")
+    return ab.curves(merged, dim, targets, mode="both")[0]
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey AS e, l_returnflag = 'R' AS was, least(l_suppkey % 5, l_partkey % 7) AS x, greatest(l_suppkey % 5, l_partkey % 7) AS y, l_linenumber % 2 + 1 AS o FROM lineitem),
+g AS (SELECT e, x, y, o, bool_or(was) AS w, bool_or(NOT was) AS n FROM b GROUP BY ALL)
+SELECT e AS event_id, 'reactant' AS state, x AS atom1, y AS atom2, o AS bond_order, CASE WHEN n THEN 'unchanged' ELSE 'broken' END AS change FROM g WHERE w UNION ALL SELECT e, 'product', x, y, o, CASE WHEN w THEN 'unchanged' ELSE 'formed' END FROM g WHERE n"""
+)
+def bond_table(spark, d):
+    """Bonds with their orders on both sides of each event."""
+    side = F.when(F.col("l_returnflag") == "R", "before").otherwise("after").alias("side")
+    rows = ad.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), side, (F.col("l_suppkey") % 5).alias("atom1"), (F.col("l_partkey") % 7).alias("atom2"), (F.col("l_linenumber") % 2 + 1).alias("bond_order"))
+    return oc.bond_table(rows)
+
+
+@query(
+    """WITH e AS (SELECT 'rep' || (user_id % 3) AS ds, event_id, floor(epoch(ts))::BIGINT AS t, event_type FROM events),
+f AS (SELECT ds, t, row_number() OVER (PARTITION BY ds ORDER BY t) AS n FROM (SELECT DISTINCT ds, t FROM e WHERE event_type = 'purchase')),
+nr AS (SELECT x.ds, x.event_id, arg_min(f.n, (abs(f.t - x.t), f.t)) AS n FROM (SELECT ds, event_id, t FROM e UNION ALL SELECT ds, event_id, t + 3600 FROM e) x JOIN f USING (ds) GROUP BY x.ds, x.event_id, x.t)
+SELECT w.ds AS dataset, event_id::VARCHAR AS event_id, f.t AS frame_timestep FROM (SELECT ds, event_id, min(n) AS a, max(n) AS b FROM nr GROUP BY 1, 2) w JOIN f ON f.ds = w.ds AND f.n BETWEEN a - 1 AND b + 2"""
+)
+def frame_windows(spark, d):
+    """Purchases stand for frames: those from one before each event to two behind the hour that follows it."""
+    rows = ad.table(spark, d, "events").select(F.concat(F.lit("rep"), F.col("user_id") % 3).alias("dataset"), "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("before_timestep"), "event_type")
+    frames = rows.where("event_type = 'purchase'").select("dataset", F.col("before_timestep").alias("timestep")).distinct()
+    return sp.frame_window(rows.withColumn("after_timestep", F.col("before_timestep") + 3600), frames, 1, 2)
+
+
+@query(
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'T' || (1000 + o_custkey % 5 * 500) || 'K_O2=0.5' || CASE WHEN o_orderkey % 3 = 0 THEN '_P=2' ELSE '' END ELSE 'runs/case' || (o_custkey % 5) END AS group_key FROM orders"""
+)
+def condition_groups(spark, d):
+    """Groups of conditions by names that hold fields, and by those that don't."""
+    fields = F.concat(F.lit("runs/t"), F.col("o_custkey") % 5 * 500 + 1000, F.lit("K_O2-0.5"), F.when(F.col("o_orderkey") % 3 == 0, "_P2.0atm").otherwise(""), F.lit("_rep"), F.col("o_orderkey") % 7)
+    name = F.when(F.col("o_orderkey") % 2 == 0, fields).otherwise(F.concat(F.lit("runs/case"), F.col("o_custkey") % 5, F.lit("_seed"), F.col("o_orderkey") % 7))
+    return ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), rp.group_key(name).alias("group_key"))

@@ -234,3 +234,39 @@ def test_evidence_and_continuations(spark):
     assert linked["C->Z"]["total_events"] == 0 and linked["A->B"]["event_coverage"] == 1.0
     assert {r["evidence_status"] for r in oc.with_evidence(merged, None).collect()} == {"network_only"}
     assert oc.expand_counts(spark.createDataFrame([(1, 3), (2, 0)], "id long, count long")).count() == 3
+
+
+def test_bridges(spark):
+    merged = nw.merge_reactions(_reactions(spark, "1 A+B->C+D", "1 C+D->E+F", "1 E+F->G", "1 C->E"))
+    rows = pt.reachable_with_bridges(merged, 3, max_variants=3).collect()
+    assert [(r["reaction_keys"], r["bridges"], r["truncated"]) for r in sorted(rows, key=lambda r: r["reaction_keys"])] == [
+        (["A+B->C+D", "C+D->E+F", "E+F->G"], [["C", "E"], ["C", "F"], ["D", "E"]], False),
+        (["A+B->C+D", "C->E", "E+F->G"], [["C", "E"]], False),
+    ]
+    cut = pt.reachable_with_bridges(merged, 3, max_paths=1).collect()
+    assert [(r["reaction_keys"][1], r["truncated"]) for r in cut] == [("C+D->E+F", True)]
+    with pytest.raises(ValueError):
+        pt.reachable_with_bridges(merged, 9)
+
+
+def test_condition_groups(spark):
+    key = lambda s: _one(spark, rp.group_key(F.lit(s)))
+    assert key("x/T2500_O2=0.5_run3") == "T2500K_O2=0.5" and key("TEMP=1999.6K_PRESSURE2atm_seed1/") == "T2000K_P=2"
+    assert key("a/b/case_rep2") == "a/b/case" and key("case") == "case" and key("_rep1") == "_rep1"
+    assert tuple(_one(spark, rp.parse_condition(F.lit("T300K_O2_1_P1.5_seed4")))) == (300.0, 1.0, 1.5, 4)
+
+
+def test_snapshot_of_unknown_timestep(spark):
+    rows = spark.createDataFrame([(0, "C", 1)], "timestep long, smiles string, count long")
+    assert ab.snapshot(rows, 0).count() == 1
+    with pytest.raises(KeyError):
+        ab.snapshot(rows, 7)
+
+
+def test_frame_window(spark):
+    frames = spark.createDataFrame([("d", t) for t in (0, 10, 20, 3000, 3010)], "dataset string, timestep long")
+    events = spark.createDataFrame([("d", "a", 11, 19), ("d", "b", 3009, 2990), ("d", "c", -5, -5)], "dataset string, event_id string, before_timestep long, after_timestep long")
+    got: dict = {}
+    for r in sp.frame_window(events, frames, 1, 1).collect():
+        got.setdefault(r["event_id"], set()).add(r["frame_timestep"])
+    assert got == {"a": {0, 10, 20, 3000}, "b": {20, 3000, 3010}, "c": {0, 10}}
