@@ -10,6 +10,7 @@ from .pii import op4_pii
 from .quality import OP8_SQL, op8_quality
 from .sharding import OP1_SQL, op1_sharding
 from .simhash import op2_simhash
+from .spelling import OP12_SQL, op12_spelling
 from .substring import op5_substring
 from .warc import OP9_SQL, op9_warc
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
+    "op12_spelling": op12_spelling,
 }
 #: SQL has no XXH64, byte-level BPE, iterative bootstrapping or HTML; tests hold those four and op5 against brute force.
-SQL = {"op1_sharding": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_quality": OP8_SQL, "op9_warc": OP9_SQL, "op10_decontamination": OP10_SQL}
+SQL = {"op1_sharding": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_quality": OP8_SQL, "op9_warc": OP9_SQL, "op10_decontamination": OP10_SQL, "op12_spelling": OP12_SQL}
