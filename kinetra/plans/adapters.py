@@ -141,3 +141,20 @@ def atoms(spark: SparkSession, d: str, edge: float = 20.0) -> DataFrame:
 ATOMS_SQL = """
 xyz AS (SELECT label::BIGINT AS t, vec_id AS id, e[1] - 20 * floor(e[1] / 20) AS x, e[2] - 20 * floor(e[2] / 20) AS y, e[3] - 20 * floor(e[3] / 20) AS z FROM (SELECT label, vec_id, [embedding[1]::DOUBLE * 40, embedding[2]::DOUBLE * 40, embedding[3]::DOUBLE * 40] AS e FROM embeddings))
 """
+
+
+def moving_atoms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Fifty vectors are a frame, the places of fifty atoms, in a lattice of its own: (atoms, boxes)."""
+    place = [F.pmod(F.get("embedding", F.lit(i)).cast("double") * 40, F.lit(20.0)).alias(c) for i, c in enumerate("xyz")]
+    atoms = table(spark, d, "embeddings").select(F.expr("vec_id div 50").alias("timestep"), (F.col("vec_id") % 50).alias("id"), *place)
+    t = F.col("timestep")
+    row = lambda *x: F.array(*[(F.lit(v) if isinstance(v, float) else v).cast("double") for v in x])
+    boxes = atoms.select("timestep").distinct().select("timestep", row(t % 3 + 20, 0.0, 0.0).alias("a"), row(t % 7 - 3, 19.0, 0.0).alias("b"), row(2.5, -(t % 4) * 4, 21.0).alias("c"), row(-1.0, 0.5, 0.0).alias("origin"), F.array(F.lit(True), F.lit(True), t % 5 != 4).alias("pbc"))
+    return atoms, boxes
+
+
+MOVING_SQL = """
+mv AS (SELECT vec_id // 50 AS t, vec_id % 50 AS id, e1 - 20 * floor(e1 / 20) AS x, e2 - 20 * floor(e2 / 20) AS y, e3 - 20 * floor(e3 / 20) AS z FROM (SELECT vec_id, embedding[1]::DOUBLE * 40 AS e1, embedding[2]::DOUBLE * 40 AS e2, embedding[3]::DOUBLE * 40 AS e3 FROM embeddings)),
+im AS (SELECT t, i * (t % 3 + 20) + j * (t % 7 - 3) + k * 2.5::DOUBLE AS sx, j * 19 - k * (t % 4) * 4 AS sy, k * 21 AS sz
+       FROM (SELECT DISTINCT t FROM mv), range(-3, 4) x(i), range(-3, 4) y(j), range(-3, 4) z(k) WHERE t % 5 <> 4 OR k = 0)
+"""

@@ -583,7 +583,8 @@ def replicate_statistics(spark, d):
 @query(
     """, core AS (SELECT t, min(id) AS id FROM xyz GROUP BY 1), c AS (SELECT xyz.* FROM xyz JOIN core USING (t, id)),
 dd AS (SELECT c.t AS ev, xyz.id, (xyz.x - c.x) - 20 * round((xyz.x - c.x) / 20) AS dx, (xyz.y - c.y) - 20 * round((xyz.y - c.y) / 20) AS dy, (xyz.z - c.z) - 20 * round((xyz.z - c.z) / 20) AS dz FROM c JOIN xyz ON c.t = xyz.t AND c.id <> xyz.id)
-SELECT ev AS event_id, id, round(sqrt(dx * dx + dy * dy + dz * dz), 6) AS dist FROM dd WHERE dx * dx + dy * dy + dz * dz <= 36 QUALIFY row_number() OVER (PARTITION BY ev ORDER BY dx * dx + dy * dy + dz * dz, id) <= 500""",
+SELECT ev AS event_id, id, round(sqrt(dx * dx + dy * dy + dz * dz), 6) AS dist, count(*) OVER (PARTITION BY ev) AS n_raw, count(*) OVER (PARTITION BY ev) > 500 AS truncated
+FROM dd WHERE dx * dx + dy * dy + dz * dz <= 36 QUALIFY row_number() OVER (PARTITION BY ev ORDER BY dx * dx + dy * dy + dz * dz, id) <= 500""",
     X,
 )
 def local_environment(spark, d):

@@ -136,15 +136,45 @@ def timeline_audit(spark, d):
     return audits.audit_timeline(readers.read_timeline(spark, path)).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("SELECT t AS timestep, id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, n AS n_atoms FROM xyz JOIN (SELECT t, count(*) AS n FROM xyz GROUP BY 1) USING (t)", X)
+@query(
+    """SELECT t AS timestep, id, CASE WHEN id % 3 = 0 THEN 'O' ELSE 'C' END AS element, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, n AS n_atoms, 20.0 + t % 3 AS ax, t % 7 - 3.0 AS bx, 19.0 AS "by", 2.5 AS cx, -4.0 * (t % 4) AS cy, 21.0 AS cz, t % 5 <> 4 AS periodic
+FROM mv JOIN (SELECT t, count(*) AS n FROM mv GROUP BY 1) USING (t)""",
+    ad.MOVING_SQL,
+)
 def trajectory_file(spark, d):
-    """Frames written as a text dump of one block each."""
-    atoms = ad.atoms(spark, d)
-    line = F.concat_ws(" ", "id", F.lit("1 C"), "x", "y", "z")
-    frames = atoms.groupBy("timestep").agg(F.count("*").alias("n"), F.array_join(F.collect_list(line), "\n").alias("body"))
-    head = F.concat(F.lit("ITEM: TIMESTEP\n"), "timestep", F.lit("\nITEM: NUMBER OF ATOMS\n"), "n", F.lit("\nITEM: BOX BOUNDS pp pp pp\n0 20\n0 20\n0 20\nITEM: ATOMS id type element x y z\n"), "body")
-    read, rows = readers.read_trajectory(spark, _text(frames, head))
-    return rows.join(read.select("timestep", "n_atoms"), "timestep").select("timestep", "id", *[_r(c).alias(c) for c in "xyz"], "n_atoms")
+    """Frames written as a text dump of one block each: tilted boxes, scaled coordinates in the odd ones, elements by type."""
+    atoms, boxes = ad.moving_atoms(spark, d)
+    rows = atoms.join(boxes, "timestep")
+    at = lambda c, i: F.get(c, F.lit(i))
+    sz = (F.col("z") - at("origin", 2)) / at("c", 2)
+    sy = (F.col("y") - at("origin", 1) - sz * at("c", 1)) / at("b", 1)
+    sx = (F.col("x") - at("origin", 0) - sz * at("c", 0) - sy * at("b", 0)) / at("a", 0)
+    scaled = F.col("timestep") % 2 == 1
+    line = F.concat_ws(" ", F.col("id") % 3 + 1, "id", *[F.when(scaled, s).otherwise(F.col(c)) for s, c in ((sx, "x"), (sy, "y"), (sz, "z"))])
+    frames = rows.groupBy("timestep").agg(F.count("*").alias("n"), F.array_join(F.collect_list(line), "\n").alias("body"), *[F.first(c).alias(c) for c in ("a", "b", "c", "origin")])
+    xy, xz, yz = at("b", 0), at("c", 0), at("c", 1)
+    least, most = lambda *c: F.least(F.lit(0.0), *c), lambda *c: F.greatest(F.lit(0.0), *c)
+    bound = lambda i, edge, lo, hi, tilt: F.concat_ws(" ", at("origin", i) + lo, at("origin", i) + edge + hi, tilt)
+    bounds = F.concat_ws("\n", bound(0, at("a", 0), least(xy, xz, xy + xz), most(xy, xz, xy + xz), xy), bound(1, at("b", 1), least(yz), most(yz), xz), bound(2, at("c", 2), F.lit(0.0), F.lit(0.0), yz))
+    head = F.concat(F.lit("ITEM: UNITS\nreal\nITEM: TIMESTEP\n"), "timestep", F.lit("\nITEM: NUMBER OF ATOMS\n"), "n", F.lit("\nITEM: BOX BOUNDS xy xz yz pp pp "), F.when(F.col("timestep") % 5 == 4, "ff").otherwise("pp"), F.lit("\n"), bounds, F.lit("\nITEM: ATOMS type id "), F.when(scaled, "xs ys zs").otherwise("x y z"), F.lit("\n"), "body")
+    read, rows = readers.read_trajectory(spark, _text(frames, head), {1: "O", 2: "C", 3: "C"})
+    boxed = read.where("error is null").select("timestep", "n_atoms", *[_r(at(v, i)).alias(v + "xyz"[i]) for v, i in (("a", 0), ("b", 0), ("b", 1), ("c", 0), ("c", 1), ("c", 2))], at("pbc", 2).alias("periodic"))
+    return rows.join(boxed, "timestep").select("timestep", "id", "element", *[_r(c).alias(c) for c in "xyz"], "n_atoms", "ax", "bx", "by", "cx", "cy", "cz", "periodic")
+
+
+@query(
+    """, s AS (SELECT rep, t, row_number() OVER (PARTITION BY rep ORDER BY t, id) + CASE WHEN t % 11 = 0 THEN -9 ELSE 0 END + CASE WHEN t > 700 THEN 5 ELSE 0 END AS n FROM ev)
+SELECT 'events out of order' AS rule, count(*) AS n FROM (SELECT t, max(t) OVER (PARTITION BY rep ORDER BY n RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s) WHERE m > t
+UNION ALL SELECT 'source row given twice', count(*) FROM (SELECT rep, n FROM s GROUP BY 1, 2 HAVING count(*) > 1)
+UNION ALL SELECT 'source rows missing', count(*) FROM (SELECT n - lag(n) OVER (PARTITION BY rep ORDER BY n) AS g FROM s) WHERE g > 1""",
+    E,
+)
+def event_audit(spark, d):
+    """Faults of a source whose rows of every eleventh day have moved ahead, and which has a gap behind day 700."""
+    rows = ad.occurrences(spark, d)
+    number = oc.numbered(rows.withColumn("part", F.floor(F.col("transition") / 8)), ["dataset"], "part", ["transition", "event_id"], "n")
+    moved = F.col("n").cast("long") + F.when(F.col("transition") % 11 == 0, -9).otherwise(0) + F.when(F.col("transition") > 700, 5).otherwise(0)
+    return audits.audit_events(number.withColumn("source_row", moved), 16).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query("SELECT t AS timestep, " + ", ".join(f"coalesce(sum(n) FILTER (smi = '{s}'), 0)::BIGINT AS s{i}" for i, s in enumerate(("[C]", "[C][O]", "[C][C]"))) + " FROM a GROUP BY 1", A)
@@ -388,3 +418,58 @@ def condition_groups(spark, d):
     fields = F.concat(F.lit("runs/t"), F.col("o_custkey") % 5 * 500 + 1000, F.lit("K_O2-0.5"), F.when(F.col("o_orderkey") % 3 == 0, "_P2.0atm").otherwise(""), F.lit("_rep"), F.col("o_orderkey") % 7)
     name = F.when(F.col("o_orderkey") % 2 == 0, fields).otherwise(F.concat(F.lit("runs/case"), F.col("o_custkey") % 5, F.lit("_seed"), F.col("o_orderkey") % 7))
     return ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), rp.group_key(name).alias("group_key"))
+
+
+# Lattices
+
+
+def _view_events(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Atoms, boxes, an event at every other frame and the next but one, its participants and its bonds; every other event changes none."""
+    atoms, boxes = ad.moving_atoms(spark, d)
+    frames = atoms.select("timestep").distinct()
+    events = frames.where("timestep % 2 = 0").join(frames.select((F.col("timestep") - 2).alias("timestep")), "timestep")
+    events = events.select(F.lit("d").alias("dataset"), F.col("timestep").alias("event_id"), F.col("timestep").alias("before_timestep"), (F.col("timestep") + 2).alias("after_timestep"), (F.col("timestep") + 2).alias("anchor_timestep"))
+    ids = spark.range(50).select("id")
+    participants = events.select("event_id", (F.col("event_id") % 7).alias("m")).join(ids.withColumn("m", F.col("id") % 7), "m").select("event_id", "id")
+    side = lambda name, lo, hi: participants.where((F.col("id") >= lo) & (F.col("id") < hi) & (F.col("event_id") % 4 != 0)).select("event_id", F.lit(name).alias("side"), F.col("id").alias("atom1"), (F.col("id") + 7).alias("atom2"), F.lit(1).alias("bond_order"))
+    return atoms, boxes, events, participants, oc.bond_table(side("before", 0, 14).union(side("after", 7, 21)))
+
+
+_VIEW = """
+, ev AS (SELECT DISTINCT t AS e FROM mv WHERE t % 2 = 0 AND t + 2 IN (SELECT t FROM mv)),
+pt AS (SELECT e, id FROM ev, range(50) r(id) WHERE id % 7 = e % 7),
+nr AS (SELECT e, m.id, min(pow(m.x - q.x + sx, 2) + pow(m.y - q.y + sy, 2) + pow(m.z - q.z + sz, 2)) AS d2
+       FROM pt JOIN mv q ON q.t = e + 2 AND q.id = pt.id JOIN mv m ON m.t = e + 2 JOIN im ON im.t = e + 2 WHERE (e, m.id) NOT IN (SELECT (e, id) FROM pt) GROUP BY 1, 2 HAVING d2 <= 25),
+en AS (SELECT e, id, d2, count(*) OVER (PARTITION BY e) AS n FROM nr QUALIFY row_number() OVER (PARTITION BY e ORDER BY d2, id) <= 12)
+"""
+
+
+@query("SELECT e AS event_id, id, round(sqrt(d2), 6) AS dist, n AS n_raw, n > 12 AS truncated FROM en", ad.MOVING_SQL + _VIEW)
+def lattice_environment(spark, d):
+    """The twelve atoms next to several ones, in tilted boxes that differ from frame to frame."""
+    atoms, boxes, events, participants, _ = _view_events(spark, d)
+    cores = participants.join(events.select("event_id", F.col("anchor_timestep").alias("timestep")), "event_id")
+    return sp.local_environment(atoms, cores, boxes, 5.0, 12).withColumn("dist", _r("dist"))
+
+
+@query(
+    """, co AS (SELECT e, id FROM pt WHERE e % 4 = 0 OR id < 28),
+sel AS (SELECT e, id, mv.t, x, y, z FROM (SELECT e, id FROM pt UNION SELECT e, id FROM en) JOIN mv USING (id) WHERE mv.t BETWEEN e - 1 AND e + 3),
+cm AS (SELECT e, t, id, x, y, z FROM sel JOIN co USING (e, id)),
+o AS (SELECT e, t, x AS ox, y AS oy, z AS oz FROM cm QUALIFY row_number() OVER (PARTITION BY e, t ORDER BY id) = 1),
+un AS (SELECT e, t, id, x, y, z, x + sx AS ux, y + sy AS uy, z + sz AS uz FROM cm JOIN o USING (e, t) JOIN im USING (t)
+       QUALIFY row_number() OVER (PARTITION BY e, t, id ORDER BY pow(x + sx - ox, 2) + pow(y + sy - oy, 2) + pow(z + sz - oz, 2)) = 1),
+ce AS (SELECT e, t, avg(ux) AS mx, avg(uy) AS my, avg(uz) AS mz FROM un GROUP BY 1, 2),
+best AS (SELECT s.e, s.t, s.id, s.x, s.y, s.z, ux + (s.x - un.x + sx) AS px, uy + (s.y - un.y + sy) AS py, uz + (s.z - un.z + sz) AS pz FROM sel s JOIN un USING (e, t) JOIN im USING (t)
+         QUALIFY row_number() OVER (PARTITION BY s.e, s.t, s.id ORDER BY pow(s.x - un.x + sx, 2) + pow(s.y - un.y + sy, 2) + pow(s.z - un.z + sz, 2), un.id) = 1)
+SELECT e AS event_id, t AS timestep, id, round(x, 6) AS x, round(px - mx, 5) + 0.0::DOUBLE AS display_x, round(py - my, 5) + 0.0::DOUBLE AS display_y, round(pz - mz, 5) + 0.0::DOUBLE AS display_z,
+       CASE WHEN (e, id) IN (SELECT (e, id) FROM co) THEN 'core' WHEN (e, id) IN (SELECT (e, id) FROM pt) THEN 'participant' ELSE 'environment' END AS scope,
+       CASE WHEN t <= e THEN 'before' WHEN t >= e + 2 THEN 'after' ELSE 'intermediate' END AS bond_state FROM best JOIN ce USING (e, t)""",
+    ad.MOVING_SQL + _VIEW,
+)
+def local_view(spark, d):
+    """Events with several core atoms, in all frames from one before to one behind."""
+    atoms, boxes, events, participants, bonds = _view_events(spark, d)
+    windows = sp.frame_window(events, atoms.select(F.lit("d").alias("dataset"), "timestep").distinct(), 1, 1).select("event_id", F.col("frame_timestep").alias("timestep"))
+    rows = sp.local_view(atoms, boxes, events, windows.withColumn("event_id", F.col("event_id").cast("long")), participants, bonds, 5.0, 12)
+    return rows.select("event_id", "timestep", "id", _r("x").alias("x"), *[(_r(f"display_{c}", 5) + 0.0).alias(f"display_{c}") for c in "xyz"], "scope", "bond_state")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def _found(rows: DataFrame, rule: str, *detail: str) -> DataFrame:
     return rows.select(F.lit(rule).alias("rule"), F.concat_ws(" ", *[F.col(c).cast("string") for c in detail]).alias("detail"))
@@ -36,10 +38,30 @@ def audit_timeline(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def audit_events(events: DataFrame) -> DataFrame:
-    """Events whose transition is less than that of an earlier row of the same source."""
-    rows = events.withColumn("p", F.lag("transition").over(Window.partitionBy("dataset").orderBy("source_row")))
-    return _found(rows.where("p > transition"), "events out of order", "source_row", "transition")
+def audit_events(events: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """Events of a source (dataset) that stand behind one of a later transition, source rows that are given twice, and gaps between them.
+
+    Source rows are cut into ranges of `span` numbers. Each range hands the greatest transition and the last row so far to the next
+    ones, so that no task holds a source; a window over ranges has a row for each. Ranges count from the row's own number, so far
+    apart rows are far apart ranges. Null transitions or rows are left to other checks.
+    """
+    rows = events.where("source_row is not null and transition is not null").select("dataset", "source_row", "transition", F.floor(F.col("source_row") / span).alias("range"))
+    ends = rows.groupBy("dataset", "range").agg(F.max("transition").alias("top"), F.max("source_row").alias("last"), F.min("source_row").alias("first"))
+    before = Window.partitionBy("dataset").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = cut(ends.select("dataset", "range", F.max("top").over(before).alias("top"), F.max("last").over(before).alias("last")))
+    inside = Window.partitionBy("dataset", "range").orderBy("source_row")
+    so_far = F.max("transition").over(inside.rangeBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("inside", so_far).withColumn("p", F.max("source_row").over(inside.rangeBetween(Window.unboundedPreceding, -1)))
+    twice = _found(rows.groupBy("dataset", "source_row").agg(F.count("*").alias("n")).where("n > 1"), "source row given twice", "dataset", "source_row")
+    rows = rows.join(ends, ["dataset", "range"]).withColumn("sooner", F.greatest("inside", "top")).withColumn("p", F.coalesce("p", "last"))
+    gaps = rows.where("p < source_row - 1").select("dataset", (F.col("p") + 1).alias("from"), (F.col("source_row") - 1).alias("to")).distinct()
+    return _found(rows.where("sooner > transition"), "events out of order", "dataset", "source_row", "transition").union(twice).union(_found(gaps, "source rows missing", "dataset", "from", "to"))
+
+
+def audit_trajectory(frames: DataFrame) -> DataFrame:
+    """Frames that the trajectory reader finds wrong, and timesteps given twice."""
+    bad = frames.where("error is not null").select(F.col("error").alias("rule"), F.concat_ws(" ", F.element_at(F.split("file", "/"), -1), F.col("timestep").cast("string")).alias("detail"))
+    return bad.union(_found(frames.groupBy("timestep").agg(F.count("*").alias("n")).where("timestep is not null and n > 1"), "timestep given twice", "timestep"))
 
 
 def require_clean(audit: DataFrame) -> None:

@@ -119,27 +119,81 @@ def timed_events(spark: SparkSession, dataset: str, timeline: str | None = None,
     raise ValueError("no event source is given")
 
 
-def read_trajectory(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """(frames, atoms) of LAMMPS text dumps; a record of the text source is a frame."""
-    raw = _lines(spark, paths, "ITEM: TIMESTEP\n").where(F.trim("value") != "")
-    lines = F.split("value", "\n")
-    rows = raw.select("file", F.trim(F.get(lines, F.lit(0))).cast("bigint").alias("timestep"), F.trim(F.get(lines, F.lit(2))).cast("bigint").alias("n_atoms"), F.slice(lines, 5, 3).alias("box"), F.get(lines, F.lit(7)).alias("head"), F.filter(F.slice(lines, 9, 1 << 30), lambda x: F.trim(x) != "").alias("body"))
-    edge = lambda x, i: F.get(F.split(F.trim(x), r"\s+"), F.lit(i)).cast("double")
-    frames = rows.select("file", "timestep", "n_atoms", F.transform("box", lambda x: F.struct(edge(x, 0).alias("lo"), edge(x, 1).alias("hi"))).alias("box"))
-    names = F.slice(F.split(F.trim("head"), r"\s+"), 3, 1000)
-    atoms = rows.select("file", "timestep", names.alias("names"), F.explode("body").alias("line"))
-    atoms = atoms.select("file", "timestep", F.map_from_arrays("names", F.slice(F.split(F.trim("line"), r"\s+"), 1, F.size("names"))).alias("a"))
-    value = lambda c, kind: F.try_element_at("a", F.lit(c)).cast(kind).alias(c)
-    return frames, atoms.select("file", "timestep", value("id", "bigint"), value("type", "int"), value("element", "string"), *[value(c, "double") for c in "xyz"])
+def read_trajectory(spark: SparkSession, paths: str | list[str], elements: dict[int, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(frames, atoms) of LAMMPS text dumps; a record of the text source is a frame, its sections may stand in any order.
+
+    frames: file, timestep, n_atoms, box (lo and hi of the three axes), the lattice (a, b, c, origin, pbc; tilted if the header says
+    so), and error, which names what is wrong with a frame (see audit_trajectory) or is null. atoms: file, timestep, id, type,
+    element (as written, or by `elements` from the type), label, x, y, z; scaled coordinates are taken through the frame's lattice.
+    """
+    raw = _lines(spark, paths, "ITEM: TIMESTEP\n").withColumn("parts", F.split("value", r"(?:^|\n)ITEM: "))
+    raw = raw.withColumn("step", F.expr("try_cast(split(trim(parts[0]), '\\\\s+')[0] as bigint)")).where(F.col("step").isNotNull() | F.exists("parts", lambda x: x.rlike("^(NUMBER OF )?ATOMS")))  # what stands before the first frame is none
+    section = lambda name: F.split(F.get(F.filter("parts", lambda x: x.startswith(name)), F.lit(0)), "\n")
+    rows = raw.select("file", F.col("step").alias("timestep"), section("NUMBER OF ATOMS").alias("n"), section("BOX BOUNDS").alias("box"), section("ATOMS").alias("atoms"))
+    tokens = lambda x: F.split(F.trim(x), r"\s+")
+    number = lambda line, i: F.get(tokens(F.get("box", F.lit(line))), F.lit(i)).try_cast("double")
+    filled = lambda x: F.trim(x) != ""
+    rows = rows.select(
+        "file", "timestep", F.expr("try_cast(split(trim(n[1]), '\\\\s+')[0] as bigint)").alias("n_atoms"), F.filter("box", filled).alias("box"),
+        F.slice(tokens(F.get("atoms", F.lit(0))), 2, 1000).alias("names"), F.filter(F.slice("atoms", 2, 1 << 30), filled).alias("body"),
+    )
+    # The header's words are the tilts, if any, and a kind for each axis; with tilts the bounds are those of the whole box.
+    head = tokens(F.get("box", F.lit(0)))
+    rows = rows.withColumn("kinds", F.slice(F.reverse(head), 1, 3)).withColumn("tilted", F.array_contains(head, "xy"))
+    for i, axis in enumerate("xyz"):
+        tilt = F.when(F.col("tilted"), number(i + 1, 2)).otherwise(F.lit(0.0))
+        rows = rows.withColumn(("xy", "xz", "yz")[i], tilt).withColumn(f"{axis}lo", number(i + 1, 0)).withColumn(f"{axis}hi", number(i + 1, 1))
+    least, most = lambda *c: F.least(F.lit(0.0), *c), lambda *c: F.greatest(F.lit(0.0), *c)
+    xy, xz, yz = F.col("xy"), F.col("xz"), F.col("yz")
+    rows = rows.withColumn("xlo", F.col("xlo") - least(xy, xz, xy + xz)).withColumn("xhi", F.col("xhi") - most(xy, xz, xy + xz)).withColumn("ylo", F.col("ylo") - least(yz)).withColumn("yhi", F.col("yhi") - most(yz))
+    zero, edge = F.lit(0.0), lambda c: F.col(f"{c}hi") - F.col(f"{c}lo")
+    body = F.slice("body", 1, F.greatest(F.coalesce("n_atoms", F.lit(0)), F.lit(0)).cast("int"))
+    cells = F.transform(body, tokens)
+    id_at = F.array_position("names", "id").cast("int")
+    ids = F.transform(F.col("cells"), lambda x: F.get(x, id_at - 1))
+    rows = rows.select(
+        "file", "timestep", "n_atoms", F.array(*[F.struct(F.col(f"{c}lo").alias("lo"), F.col(f"{c}hi").alias("hi")) for c in "xyz"]).alias("box"), F.array(edge("x"), zero, zero).alias("a"), F.array(xy, edge("y"), zero).alias("b"), F.array(xz, yz, edge("z")).alias("c"),
+        F.array("xlo", "ylo", "zlo").alias("origin"), F.reverse(F.transform("kinds", lambda x: x.startswith("p"))).alias("pbc"), "names", cells.alias("cells"),
+    )
+    faults = [
+        (F.col("timestep").isNull(), "no timestep"), (F.col("n_atoms").isNull() | (F.col("n_atoms") < 0), "no atom count"), (F.exists("box", lambda x: x["lo"].isNull() | x["hi"].isNull()) | (F.size("pbc") < 3) | F.get("c", F.lit(1)).isNull(), "incomplete box"),
+        (id_at == 0, "no column id"), (F.size("cells") < F.col("n_atoms"), "too few atoms"), (F.exists("cells", lambda x: F.size(x) < F.size("names")), "too few columns"), (F.size(F.array_distinct(ids)) < F.size("cells"), "repeated id"),
+    ]
+    frames = rows.select("file", "timestep", "n_atoms", "box", "a", "b", "c", "origin", "pbc", F.coalesce(*[F.when(test, what) for test, what in faults]).alias("error"))
+    atoms = rows.select("file", "timestep", "names", "a", "b", "c", "origin", F.explode("cells").alias("cell"))
+    atoms = atoms.select("file", "timestep", "a", "b", "c", "origin", F.map_from_arrays("names", F.slice("cell", 1, F.size("names"))).alias("m"))
+    value = lambda c, kind: F.try_element_at("m", F.lit(c)).try_cast(kind)
+    named = F.create_map(*[F.lit(x) for kv in (elements or {-1: None}).items() for x in kv])
+    # No element: a number, or X, which stands for an unknown one.
+    written = F.when(F.initcap(value("element", "string")).rlike("^[A-Z][a-z]?$") & (value("element", "string") != "X"), F.initcap(value("element", "string")))
+    place = [
+        F.coalesce(value(c, "double"), value(f"{c}u", "double"), F.get("origin", F.lit(i)) + sum((F.coalesce(value(f"{s}s", "double"), value(f"{s}su", "double")) * F.get(v, F.lit(i)) for s, v in zip("xyz", "abc", strict=True)), F.lit(0.0))).alias(c)
+        for i, c in enumerate("xyz")
+    ]
+    atoms = atoms.select("file", "timestep", value("id", "bigint").alias("id"), value("type", "int").alias("type"), F.coalesce(written, F.try_element_at(named, value("type", "int"))).alias("element"), *place)
+    label = F.coalesce("element", F.concat(F.lit("T"), "type"), F.concat(F.lit("A"), "id"))
+    return frames, atoms.select("file", "timestep", "id", "type", "element", label.alias("label"), *"xyz")
 
 
 def labelled_abundance(spark: SparkSession, sources: list[tuple[str, str, str]]) -> DataFrame:
-    """Abundance of several files (system, replicate, path) in one read, with their labels."""
-    every = None
-    for system, replicate, path in sources:
-        rows = read_abundance(spark, path).select(F.lit(system).alias("system"), F.lit(replicate).alias("replicate"), "timestep", "smiles", "count")
-        every = rows if every is None else every.unionByName(rows)
-    return every
+    """Abundance of several sources (system, replicate, path of a file or of a folder of files) with their labels.
+
+    One scan reads all files; each line finds its label by its file's path or its folder. A source given with two labels has its
+    rows once for each.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def whole(path: str) -> str:
+        p = hadoop(path)
+        return p.getFileSystem(conf).makeQualified(p).toString()
+
+    labels = spark.createDataFrame([(system, replicate, whole(path)) for system, replicate, path in sources], "system string, replicate string, place string")
+    rows = read_abundance(spark, sorted({path for _, _, path in sources}))
+    # Spark writes three slashes where Hadoop writes one.
+    file = F.regexp_replace(F.expr("url_decode(replace(file, '+', '%2B'))"), "^file:/+", "file:/")
+    rows = rows.withColumn("file", file).withColumn("place", F.explode(F.array_distinct(F.array("file", F.regexp_replace("file", "/[^/]*$", "")))))
+    return rows.join(F.broadcast(labels), "place").select("system", "replicate", "timestep", "smiles", "count")
 
 
 def scan_conditions(spark: SparkSession, root: str, max_depth: int = 4) -> DataFrame:

@@ -89,3 +89,61 @@ def test_export_has_all_columns(spark):
     names = "path_rank step_index path_species reaction_key traversal_direction focal_input focal_output reactants products forward_tp reverse_tp net_tp net_share directionality event_coverage time_coverage event_total matched_event_total distinct_intervals path_score step_score evidence_status score_version source_references"
     assert rows[0].asDict().keys() - {"start"} == set(names.split())
     assert [(r["focal_input"], r["focal_output"], r["forward_tp"], r["evidence_status"]) for r in rows if r["path_species"] == "A > B > C"] == [("A", "B", 5, "network_only"), ("B", "C", 3, "network_only")]
+
+
+def _brute(atoms, cores, vectors, pbc, radius):
+    """Nearest distance of each other atom to the cores over all images, by trying many."""
+    import itertools
+
+    import numpy as np
+
+    place = {r[1]: np.array(r[2:]) for r in atoms}
+    shifts = np.array(list(itertools.product(*[range(-20, 21) if p else (0,) for p in pbc]))) @ np.array(vectors)
+    out = {}
+    for i, r in place.items():
+        d = min(np.linalg.norm(shifts + (r - place[c]), axis=1).min() for c in cores)
+        if i not in cores and d <= radius:
+            out[i] = round(float(d), 9)
+    return out
+
+
+@pytest.mark.parametrize(("radius", "pbc"), [(6.5, (True, True, True)), (13.0, (True, False, True)), (13.0, (False, False, False))])
+def test_environment_in_a_flat_tilted_box(spark, radius, pbc):
+    """One edge is shorter than the radius, the tilt more than an edge, and atoms lie outside of the box."""
+    import random
+
+    rng = random.Random(8)
+    vectors = [(9.0, 0.0, 0.0), (13.5, 4.0, 0.0), (-3.0, 1.5, 11.0)]
+    rows = [(0, i, *(rng.uniform(-8, 20) for _ in range(3))) for i in range(25)]
+    atoms = spark.createDataFrame(rows, "timestep long, id long, x double, y double, z double")
+    box = spark.createDataFrame([(0, *map(list, vectors), [1.0, -2.0, 0.0], list(pbc))], "timestep long, a array<double>, b array<double>, c array<double>, origin array<double>, pbc array<boolean>")
+    cores = spark.createDataFrame([("e", 0, 3), ("e", 0, 4)], "event_id string, timestep long, id long")
+    got = sp.local_environment(atoms, cores, box, radius, 1000).collect()
+    assert {r["id"]: round(r["dist"], 9) for r in got} == _brute(rows, {3, 4}, vectors, pbc, radius)
+    assert all(r["n_raw"] == len(got) and not r["truncated"] for r in got)
+    few = sp.local_environment(atoms, cores, box, radius, 1).collect()
+    assert len(few) <= 1 and all(r["truncated"] == (len(got) > 1) for r in few)
+
+
+def test_recentring_takes_the_nearest_core_atom(spark):
+    atoms = spark.createDataFrame([(0, 1, 1.0, 0.0, 0.0), (0, 2, 8.0, 0.0, 0.0), (0, 3, 13.5, 0.0, 0.0), (5, 3, 2.0, 2.0, 2.0)], "timestep long, id long, x double, y double, z double")
+    cores = spark.createDataFrame([("e", 0, 1), ("e", 0, 2)], "event_id string, timestep long, id long")
+    selected = spark.createDataFrame([("e", 1), ("e", 2), ("e", 3)], "event_id string, id long")
+    rows = {r["id"]: (r["x"], r["scope"]) for r in sp.recentred(atoms, selected, cores, (20.0, 20.0, 20.0)).collect()}
+    assert rows == {1: (-3.5, "core"), 2: (3.5, "core"), 3: (9.0, "environment")}
+    # A frame without core atoms is centred on the first selected one.
+    frames = selected.withColumn("timestep", F.lit(5).cast("long"))
+    assert [(r["id"], r["x"]) for r in sp.recentred(atoms, frames, cores, (20.0, 20.0, 20.0)).collect()] == [(3, 0.0)]
+
+
+def test_view_of_an_event(spark):
+    atoms = spark.createDataFrame([(t, i, float(i), 0.0, 0.0) for t in (0, 1, 2, 3) for i in range(6)], "timestep long, id long, x double, y double, z double")
+    events = spark.createDataFrame([("e", 1, 3, 3)], "event_id string, before_timestep long, after_timestep long, anchor_timestep long")
+    windows = spark.createDataFrame([("e", t) for t in (0, 1, 2, 3)], "event_id string, timestep long")
+    participants = spark.createDataFrame([("e", 0), ("e", 1), ("e", 2)], "event_id string, id long")
+    bonds = oc.bond_table(spark.createDataFrame([("e", "before", 0, 1, 1), ("e", "before", 1, 2, 1), ("e", "after", 0, 1, 1), ("e", "after", 0, 2, 1)], "event_id string, side string, atom1 long, atom2 long, bond_order int"))
+    view = sp.local_view(atoms, (50.0, 50.0, 50.0), events, windows, participants, bonds, 1.5).cache()
+    assert {r["timestep"]: r["bond_state"] for r in view.collect()} == {0: "before", 1: "before", 2: "intermediate", 3: "after"}
+    assert {(r["id"], r["scope"]) for r in view.collect()} == {(0, "core"), (1, "core"), (2, "core"), (3, "environment")}
+    assert {tuple(r)[1:4] for r in sp.view_bonds(view, bonds).collect()} == {(0, 0, 1), (0, 1, 2), (1, 0, 1), (1, 1, 2), (3, 0, 1), (3, 0, 2)}
+    assert {(r["event_id"], r["id"]) for r in sp.core_atoms(participants, bonds.where("false")).collect()} == {("e", 0), ("e", 1), ("e", 2)}

@@ -73,6 +73,43 @@ def test_trajectory(spark, tmp_path):
     assert atoms.count() == 4 and {(r["id"], r["x"], r["element"]) for r in atoms.collect()} == {(1, 0.5, None), (2, 3.0, None)}
 
 
+def test_faulty_frames_are_named(spark, tmp_path):
+    def frame(step="1", n="2", box="0 9\n0 9\n0 9", head="id x", rows="1 1.5\n2 2.5", kinds="pp pp pp"):
+        return f"ITEM: TIMESTEP\n{step}\nITEM: NUMBER OF ATOMS\n{n}\nITEM: BOX BOUNDS {kinds}\n{box}\nITEM: ATOMS {head}\n{rows}\n"
+
+    blocks = [frame("1"), frame("2", n="3"), frame("3", box="0 9\n0 9"), frame("4", head="x y"), frame("5", rows="1 1\n1 2"), frame("6", rows="1\n2 2"), frame("7", n="x"), frame("8", rows="1 1\n2 2\n3 3"), frame("1")]
+    frames, atoms = readers.read_trajectory(spark, _file(tmp_path, "a.dump", "ITEM: UNITS\nreal\n" + "".join(blocks)))
+    found = {(r["rule"], r["detail"].split(" ")[-1]) for r in audits.audit_trajectory(frames).collect()}
+    assert found == {("too few atoms", "2"), ("incomplete box", "3"), ("no column id", "4"), ("repeated id", "5"), ("too few columns", "6"), ("no atom count", "7"), ("timestep given twice", "1")}
+    assert atoms.where("timestep = 8").count() == 2  # what stands behind the counted atoms is none of them
+
+
+def test_tilted_box_and_scaled_coordinates(spark, tmp_path):
+    text = "ITEM: TIMESTEP\n7\nITEM: BOX BOUNDS xy xz yz pp ff pp\n-3.0 12.0 2.0\n-1.0 11.0 -3.0\n0.0 8.0 1.0\nITEM: NUMBER OF ATOMS\n2\nITEM: ATOMS id type element xs ysu zs\n4 1 X 0.5 0.5 0.5\n9 2 cl 0 0 0\n"
+    frames, atoms = readers.read_trajectory(spark, _file(tmp_path, "t.dump", text), {1: "H"})
+    f = frames.first()
+    assert (f["a"], f["b"], f["c"], f["origin"], f["pbc"], f["error"]) == ([10.0, 0.0, 0.0], [2.0, 11.0, 0.0], [-3.0, 1.0, 8.0], [0.0, -1.0, 0.0], [True, False, True], None)
+    assert {(r["id"], r["element"], r["label"], r["x"], r["y"], r["z"]) for r in atoms.collect()} == {(4, "H", "H", 4.5, 5.0, 4.0), (9, "Cl", "Cl", 0.0, -1.0, 0.0)}
+
+
+def test_labels_come_from_one_scan(spark, tmp_path):
+    sources = [("s", str(i), _file(tmp_path, f"many/run {i}%+.species", f"Timestep {i}: A {i + 1}\n")) for i in range(500)]
+    rows = readers.labelled_abundance(spark, [*sources, ("other", "x", sources[3][2]), ("folder", "y", f"{tmp_path}/many")])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [value") == 1 and "Union" not in plan
+    got = {tuple(r) for r in rows.collect()}
+    assert got == {(a, b, i, "A", i + 1) for i in range(500) for a, b in [("s", str(i)), ("folder", "y"), *[("other", "x")] * (i == 3)]}
+
+
+def test_order_of_events_across_ranges(spark):
+    rows = [("a", i, i // 3) for i in range(1000)] + [("b", 5, 9), ("b", 6, 8), ("b", 6, 9), ("b", 900, 7), ("c", 1, 1)]
+    df = spark.createDataFrame(rows, "dataset string, source_row long, transition long")
+    want = {("events out of order", "b 6 8"), ("events out of order", "b 900 7"), ("source row given twice", "b 6"), ("source rows missing", "b 7 899")}
+    for span in (1, 7, 1 << 16):
+        assert {tuple(r) for r in audits.audit_events(df, span).collect()} == want
+    assert audits.audit_events(df.limit(0)).collect() == []
+
+
 def test_scan(spark, tmp_path):
     for name in ("root/a/x.reactionabcd", "root/a/b/y.reactionabcd", "root/c/d/z2.reactionabcd", "root/c/d/z1.reactionabcd"):
         _file(tmp_path, name, "1 A->B\n")
