@@ -321,11 +321,19 @@ def _rows(node: _Node, seen: bool) -> Iterator[tuple[_Node, bool]]:
                 yield from ((row, its if row.seen is None else row.seen) for row in kid.kids if isinstance(row, _Node) and not row.hidden and row.name == "tr")
 
 
+#: Places that a cell takes at most in the alignment of its table, and up to which columns are aligned.
+_WIDEST, _FARTHEST = 60, 240
+
+
 def _aligned(rows: list[list[tuple[int, int, str]]]) -> list[str]:
-    """Lines of rows of (column, columns, text): a column begins two places behind what stands before it."""
+    """Lines of rows of (column, columns, text): a column begins two places behind what stands before it.
+
+    A cell counts with _WIDEST places at most, and columns are aligned up to place _FARTHEST; a longer cell, or one further right,
+    moves what follows in its own row only. So a line has a bounded number of blanks.
+    """
     columns = sorted({c for row in rows for c, _, _ in row})
     before: list[list[tuple[int, int]]] = [[] for _ in range(len(columns) + 1)]  # cells that end before a column
-    for c, across, width in {(c, across, len(text)) for row in rows for c, across, text in row}:
+    for c, across, width in {(c, across, min(len(text), _WIDEST)) for row in rows for c, across, text in row}:
         before[bisect_left(columns, c + across)].append((c, width))
     at: dict[int, int] = {}
     for i, c in enumerate(columns):
@@ -336,8 +344,9 @@ def _aligned(rows: list[list[tuple[int, int, str]]]) -> list[str]:
     for row in rows:
         line, upto = [], 0
         for c, _, text in row:
-            line.append(" " * (at[c] - upto) + text)
-            upto = at[c] + len(text)
+            gap = max(at[c] - upto if at[c] <= _FARTHEST else 0, 2 if line else 0)
+            line.append(" " * gap + text)
+            upto += gap + len(text)
         lines.append("".join(line))
     return lines
 
