@@ -103,7 +103,10 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _parts(bench: DataFrame, item: str, text: str, window: int, max_words: int) -> Iterator[tuple[list[tuple[str | None, str]], bool]]:
-    """The items in parts of about max_words words, read part by part if there are several, and whether this is the only part."""
+    """The distinct items in parts, read part by part if there are several, and whether this is the only part.
+
+    A part has at most twice max_words characters, and so max_words words, or is one piece of a longer item: max_words + window - 1 words.
+    """
     rows = bench.select(F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("t is not null")
     most = 2 * max_words  # a word and its separator take two characters at least
     words = F.regexp_extract_all("t", F.lit(_WORD), F.lit(0))
@@ -111,13 +114,23 @@ def _parts(bench: DataFrame, item: str, text: str, window: int, max_words: int)
     pieces = F.transform(starts, lambda k: F.array_join(F.slice("w", k + 1, max_words + window - 1), " "))
     long = rows.where(F.length("t") > most).select("i", words.alias("w")).select("i", F.explode(pieces).alias("t"))
     rows = rows.where(F.length("t") <= most).union(long)
+    rows = materialize(rows.distinct())
     size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = int(size // most) + 1
-    if n == 1:
-        yield [tuple(r) for r in rows.collect()], True
+    if size <= most:
+        part = [tuple(r) for r in rows.collect()]
+        discard(rows)
+        yield part, True
         return
-    for k in range(n):
-        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()], False
+    # The driver sees a partition at a time, and no part is empty.
+    part, held = [], 0
+    for r in rows.repartition(2 * int(size // most) + 1, F.xxhash64("i", "t")).toLocalIterator():
+        if part and held + len(r.t) > most:
+            yield part, False
+            part, held = [], 0
+        part.append(tuple(r))
+        held += len(r.t)
+    discard(rows)
+    yield part, False
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
