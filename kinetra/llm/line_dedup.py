@@ -15,9 +15,8 @@ to look at the shortest runs of min_words words that start, and that end, at eac
 is in one of them that repeats with it. They have min_words lines at most, so log2(min_words) rounds do. DataFrame functions
 only; every round is written to the shared folder.
 
-Edge cases: null and empty texts have no lines and stay as they are; lines without words are no part of a sequence; a
-document that loses lines is rebuilt from its other lines with words; rows that repeat doc_id and text are one document and
-change alike; a null doc_id sorts first; an empty table gives an empty result; extra columns pass through dedup_lines.
+Edge cases: null and empty texts have no lines and stay as they are; lines without words are no part of a sequence and are never
+deleted; what is not deleted stays as it is; rows that repeat doc_id and text are one document and change alike; a null doc_id sorts first; an empty table gives an empty result; extra columns pass through dedup_lines.
 """
 
 from __future__ import annotations
@@ -27,12 +26,13 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, discard, materialize, read, text_key
 
+_WORD = r"[^\x20\x09-\x0D]"
 _SIDE = 64
 _RANGES = _SIDE**2
 
 
 def _worded(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(_WORD))
 
 
 def _trim(line: Column) -> Column:
@@ -125,13 +125,15 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", n_chars:
     """All rows and columns of df without the repeated lines, with n_lines (lines with words) and n_deleted; n_chars anew where lines went."""
     df = df.drop(*({"n_lines", "n_deleted"} - {key, text}))  # the columns made here take their place
     gone = repeated_lines(df, key, text, min_words).groupBy("key", "tk").agg(F.collect_set("seq").alias("_kx_gone"))
-    gone = gone.withColumn("_kx_n", F.array_max("_kx_gone") + 1)
-    # A flag for each line up to the last deleted one, so that looking one up takes no search: gaps between sorted positions.
-    gone = gone.withColumn("_kx_gone", F.sort_array("_kx_gone")).withColumn("_kx_keep", F.expr("flatten(transform(_kx_gone, (x, i) -> concat(array_repeat(true, x - if(i = 0, 0, _kx_gone[i - 1] + 1)), array(false))))"))
-    gone = gone.select("key", "tk", F.size("_kx_gone").alias("_kx_dropped"), "_kx_keep")
+    gone = gone.select("key", "tk", F.size("_kx_gone").alias("_kx_dropped"), F.sort_array("_kx_gone").alias("_kx_gone"))
     rows = df.withColumn("_kx_tk", text_key(F.col(text)))
     rows = rows.join(gone, F.col(key).eqNullSafe(gone["key"]) & (F.col("_kx_tk") == gone["tk"]), "left")
-    left = F.array_join(F.filter(_worded(F.col(text)), lambda x, i: F.coalesce(F.get("_kx_keep", i), F.lit(True))), "\n")
+    # Where the deleted lines stand among all lines, and a flag for each line up to the last of them: looking one up takes no search.
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    worded = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(_WORD), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_kx_worded", F.when(F.col("_kx_dropped").isNotNull(), worded)).withColumn("_kx_gone", F.transform("_kx_gone", lambda s: F.get("_kx_worded", s)))
+    rows = rows.withColumn("_kx_keep", F.expr("flatten(transform(_kx_gone, (x, i) -> concat(array_repeat(true, x - if(i = 0, 0, _kx_gone[i - 1] + 1)), array(false))))"))
+    left = F.array_join(F.filter(lines, lambda x, i: F.coalesce(F.get("_kx_keep", i), F.lit(True))), "\n")
     changed = F.col("_kx_dropped").isNotNull()
     rows = rows.withColumn("_kx_left", F.when(changed, left).otherwise(F.col(text)))
     kinds = dict(df.dtypes)
@@ -145,8 +147,9 @@ def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH RECURSIVE raw AS (SELECT doc_id, text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
-l0 AS (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS seq FROM raw),
+WITH RECURSIVE raw AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS every, list_filter(every, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+al AS (SELECT doc_id, l, pos, CASE WHEN regexp_matches(l, '[^\x20\x09-\x0D]') THEN count(*) FILTER (regexp_matches(l, '[^\x20\x09-\x0D]')) OVER (PARTITION BY doc_id ORDER BY pos) - 1 END AS seq FROM (SELECT doc_id, unnest(every) AS l, unnest(range(len(every))) AS pos FROM raw)),
+l0 AS (SELECT doc_id, l, seq FROM al WHERE seq IS NOT NULL),
 l1 AS (SELECT doc_id, seq, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS l FROM l0),
 l2 AS (SELECT doc_id, seq, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS w FROM l1),
 l3 AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY seq) AS upto FROM l2),
@@ -156,7 +159,7 @@ runs AS (SELECT doc_id, a, z FROM fw UNION SELECT doc_id, a, z FROM bw),
 named AS (SELECT r.doc_id, r.a, r.z, string_agg(l, chr(10) ORDER BY seq) AS name FROM runs r JOIN l3 ON r.doc_id = l3.doc_id AND seq BETWEEN a AND z GROUP BY ALL),
 later AS (SELECT doc_id, a, z FROM named QUALIFY row_number() OVER (PARTITION BY name ORDER BY doc_id, a) > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS seq FROM later),
-kept AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY seq) AS t FROM l0 ANTI JOIN gone USING (doc_id, seq) GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY pos) AS t FROM al ANTI JOIN gone USING (doc_id, seq) GROUP BY 1),
 cut AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
 SELECT raw.doc_id, CASE WHEN cut.n IS NULL THEN raw.text ELSE coalesce(kept.t, '') END AS text, len(ls) AS n_lines, coalesce(cut.n, 0) AS n_deleted
 FROM raw LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
