@@ -223,6 +223,18 @@ def test_line_runs(spark):
 # 4
 
 
+def test_lines_outside_of_a_run_stay_as_they_are(spark):
+    run = "\n".join(f"line {i} of a run that comes again" for i in range(4))
+    first, second = f"head\n\n{run}\n \ntail", f"intro x\n\nsecond para\n\n{run}\n\n\tthird \n\n"
+    got = {r.doc_id: (r.text, r.n_deleted) for r in line_dedup.dedup_lines(_docs(spark, first, second)).collect()}
+    assert got == {0: (first, 0), 1: ("intro x\n\nsecond para\n\n\n\tthird \n\n", 4)}
+
+
+def test_long_numbers_are_no_addresses():
+    text = "0" * 5000 + "1.2.3.4 " + "9" * 5000 + ".2.3.4 1.2.3." + "0" * 9000 + " 1.2.3.256"
+    assert [(k, text[a:b].lstrip("0")) for k, a, b in pii.base_spans(text) if k == "ip"] == [("ip", "1.2.3.4"), ("ip", "1.2.3." + "0" * 9000)]
+
+
 def test_base_spans():
     pats = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -548,6 +560,20 @@ def test_html_is_linear():
 # 8
 
 
+@pytest.mark.parametrize("rows", [lambda n: f"<tr><td>{'x' * n}<td>y" + "<tr><td>a<td>b" * (n // 14), lambda n: "<tr>" + "<td>w" * (n // 5) + f"<tr><td colspan={n // 5}><td>z" * (n // 24)])
+def test_text_of_a_table_is_no_more_than_some_times_its_size(rows):
+    for n in (4_000, 200_000):
+        page = f"<table>{rows(n)}</table>"
+        text = html_text.visible_text(page)
+        assert len(text) < 12 * len(page)
+        assert all(Counter(text)[c] == Counter(re.sub("<[^>]*>", "", page))[c] for c in "xyabwz")
+
+
+def test_long_cells_move_their_own_row_only():
+    page = f"<table><tr><td>{'x' * 90}<td>1<td>2<tr><td>a<td>b<td>c</table>"
+    assert html_text.visible_text(page).split("\n") == ["x" * 90 + "  1  2", "a" + " " * 61 + "b  c"]
+
+
 def test_quality(spark):
     rnd = random.Random(8)
     prose = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n))
@@ -655,6 +681,19 @@ def test_long_items_are_cut_without_loss(spark):
     assert clean == {r["doc_id"] for r in decontam.drop_contaminated(docs, bench, max_words=40).collect()} == {r[0] for r in want if not r[2]}
 
 
+def test_parts_of_a_benchmark_are_bounded_and_never_empty(spark):
+    rows = [(7, "the same few words here")] * 400 + [(i, f"item {i} " + "word " * (i % 30)) for i in range(0, 100, 9)] + [(8, None), (None, "no id")]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    parts = [p for p, only in decontam._parts(bench, "item_id", "text", 10, 50)]
+    assert all(len(p) == 1 or p and sum(len(t) for _, t in p) <= 100 for p in parts) and all(len(t.split()) <= 59 for p in parts for _, t in p) and len(parts) < 20
+    assert {i for p in parts for i, _ in p} == {None, "7", *map(str, range(0, 100, 9))}
+    assert len([1 for p in parts for i, t in p if t == "the same few words here"]) == 1
+    docs = _docs(spark, "the same few words here", "item 63 word word word", "clean")
+    many = decontam.find_contamination(docs, bench, max_words=50).orderBy("doc_id").collect()
+    assert many == decontam.find_contamination(docs, bench).orderBy("doc_id").collect() and many[0]["n_hit"] == 5
+    assert decontam.drop_contaminated(docs, bench, max_words=50).collect() == decontam.drop_contaminated(docs, bench).collect()
+
+
 def test_items_of_null_id(spark, tmp_path):
     a, b, c = "one two three four five six seven eight nine ten", "red green blue cyan pink grey gold teal plum lime", "jan feb mar apr may jun jul aug sep oct"
     spark.createDataFrame([(None, a), (None, b), (7, c)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
