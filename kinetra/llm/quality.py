@@ -77,10 +77,10 @@ def _host(df: DataFrame, host: str) -> Column:
 
 
 def boilerplate(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = 5, min_share: float = 0.001) -> DataFrame:
-    """(_key, _text_key, _host, h1, h2, n: words): the lines to remove, each as often as its document has it."""
-    one = F.explode(F.filter(F.transform(_lines(F.col(text)), _normal), lambda x: x != "")).alias("line")
-    rows = df.select(F.col(key).alias("_key"), text_key(F.col(text)).alias("_text_key"), _host(df, host).alias("_host"), one)
-    rows = rows.select("_key", "_text_key", "_host", _line_id(F.col("line")).alias("id"), F.size(F.split("line", " ")).alias("n")).select("_key", "_text_key", "_host", "id.*", "n")
+    """(_key, _text_key, _host, h1, h2, at, n: words): the lines to remove and their places, each as often as its document has it."""
+    one = F.posexplode(F.transform(_lines(F.col(text)), _normal)).alias("at", "line")
+    rows = df.select(F.col(key).alias("_key"), text_key(F.col(text)).alias("_text_key"), _host(df, host).alias("_host"), one).where("line <> ''")
+    rows = rows.select("_key", "_text_key", "_host", _line_id(F.col("line")).alias("id"), "at", F.size(F.split("line", " ")).alias("n")).select("_key", "_text_key", "_host", "id.*", "at", "n")
     lines = materialize(rows)
     # Distinct texts are dealt out by all four columns, and combined before they are shuffled by line.
     parts = lines.select("_host", "h1", "h2", "_text_key").distinct().groupBy("_host", "h1", "h2").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
@@ -121,12 +121,14 @@ def apply_quality(df: DataFrame, key: str = "doc_id", text: str = "text", host:
 
     The base rule judges the text as it came.
     """
-    sets = boilerplate(df, key, text, host, min_docs, min_share).groupBy("_key", "_text_key", "_host").agg(F.collect_set(F.struct("h1", "h2")).alias("_kx_gone"))
+    sets = boilerplate(df, key, text, host, min_docs, min_share).groupBy("_key", "_text_key", "_host").agg(F.sort_array(F.collect_set("at")).alias("_kx_gone"))
+    # A flag for each line up to the last removed one, so that looking one up takes no search.
+    sets = sets.withColumn("_kx_keep", F.expr("flatten(transform(_kx_gone, (x, i) -> concat(array_repeat(true, x - if(i = 0, 0, _kx_gone[i - 1] + 1)), array(false))))"))
     good = base_rules(df, key, text, host).where(~F.col("base_failed")).select(F.col(key).alias("_key"), "_text_key", "_host").distinct()
     marked = _by_document(good, sets, F.col("_host"), "_key", "_text_key").withColumn("_kx_good", F.lit(True))
     rows = df.withColumn("_kx_text_key", text_key(F.col(text)))
     rows = _by_document(rows, marked, _host(df, host), key, "_kx_text_key").where("_kx_good")
-    left = F.array_join(F.filter(_lines(F.col(text)), lambda x: ~F.array_contains(F.col("_kx_gone"), _line_id(_normal(x)))), "\n")
+    left = F.array_join(F.filter(_lines(F.col(text)), lambda x, i: F.coalesce(F.get("_kx_keep", i), F.lit(True))), "\n")
     rows = rows.withColumn("_kx_left", F.when(F.col("_kx_gone").isNull(), F.col(text)).otherwise(left))
     rows = rows.where(F.col("_kx_gone").isNull() | (F.size(words(F.col("_kx_left"))) >= min_left * F.size(words(F.col(text)))))
     length = [F.when(F.col("_kx_gone").isNull(), F.col(c)).otherwise(F.length("_kx_left").cast(kind)).alias(c) if c == n_chars else F.col("_kx_left").alias(c) if c == text else F.col(c) for c, kind in df.dtypes]
