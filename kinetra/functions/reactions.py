@@ -96,3 +96,21 @@ def radical_class(reactants: Column, products: Column, target: str, targets: tup
         .when(F.size(others) > 0, "other bimolecular")
         .otherwise("other")
     )
+
+
+def radical_subclass(reactants: Column, products: Column, target: str, targets: tuple[str, ...] = (), oxidizers: tuple[str, ...] = OXIDIZERS, h_species: tuple[str, ...] = H_SPECIES) -> Column:
+    """What a reaction of the target does in its class: the first partner that puts it there, and the products, as '+ O2 -> C6H5O3'."""
+    kind = radical_class(reactants, products, target, targets, oxidizers, h_species)
+    others = F.filter(reactants, lambda x: x != target)
+    first = lambda test: F.get(F.filter(others, test), F.lit(0))
+    partner = (
+        F.when(kind == "oxidation", first(lambda x: x.isin(*oxidizers)))
+        .when(kind == "cross coupling", first(lambda x: x.isin(*targets)))
+        .when(kind == "chlorine coupling", F.lit("Cl"))
+        .when(kind == "hydrogen transfer", first(lambda x: x.isin(*h_species)))
+        .when(kind == "with organic species", first(lambda x: x.contains("C")))
+        .when(kind == "other bimolecular", F.get(others, F.lit(0)))
+    )
+    made = F.concat(F.lit("-> "), F.array_join(products, " + "))
+    same = (kind == "isomerisation") & (F.get(products, F.lit(0)) == target)
+    return F.when(same, "rearrangement").when(partner.isNotNull(), F.concat(F.lit("+ "), partner, F.lit(" "), made)).otherwise(made)

@@ -1,4 +1,7 @@
-"""Species abundance over time. abundance: timestep bigint, smiles string, count bigint; a missing row is a count of 0."""
+"""Species abundance over time. abundance: timestep bigint, smiles string, count bigint; a missing row is a count of 0.
+
+by names the columns that tell several sources apart, such as ("dataset",): each then has frames, summaries and series of its own.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.species import count_of, matches_elements
+from ..session import cut
+from .occurrences import numbered
 
 
 def merge_counts(abundance: DataFrame, by: tuple[str, ...] = ("timestep", "smiles")) -> DataFrame:
@@ -13,32 +18,34 @@ def merge_counts(abundance: DataFrame, by: tuple[str, ...] = ("timestep", "smile
     return abundance.groupBy(*by).agg(F.sum("count").alias("count"))
 
 
-def frames(abundance: DataFrame) -> DataFrame:
-    """(timestep, frame): the distinct timesteps, numbered. The window is over distinct timesteps of one dataset, not over rows."""
-    steps = abundance.select("timestep").distinct()
-    return steps.withColumn("frame", (F.row_number().over(Window.orderBy("timestep")) - 1).cast("long"))
+def frames(abundance: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, timestep, frame): the distinct timesteps, numbered in each source; by ranges of 1024, so that no task has all of them."""
+    steps = cut(abundance.select(*by, "timestep").distinct().withColumn("part", F.floor(F.col("timestep") / 1024)))
+    return numbered(steps, [*by], "part", ["timestep"], "n").select(*by, "timestep", (F.col("n") - 1).cast("long").alias("frame"))
 
 
-def timeline_summary(abundance: DataFrame) -> DataFrame:
+def timeline_summary(abundance: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Frame count, first and last timestep, and the step if it is the same everywhere."""
-    steps = frames(abundance).withColumn("d", F.col("timestep") - F.lag("timestep").over(Window.orderBy("timestep")))
-    return steps.agg(F.count("*").alias("n_frames"), F.min("timestep").alias("first_timestep"), F.max("timestep").alias("last_timestep"), F.when(F.countDistinct("d") == 1, F.max("d")).alias("uniform_step"))
+    steps = cut(frames(abundance, by))
+    last = steps.select(*by, F.col("timestep").alias("sooner"), (F.col("frame") + 1).alias("frame"))
+    steps = steps.join(last, [*by, "frame"], "left").withColumn("d", F.col("timestep") - F.col("sooner"))
+    return steps.groupBy(*by).agg(F.count("*").alias("n_frames"), F.min("timestep").alias("first_timestep"), F.max("timestep").alias("last_timestep"), F.when(F.countDistinct("d") == 1, F.max("d")).alias("uniform_step"))
 
 
-def species_summary(merged: DataFrame) -> DataFrame:
+def species_summary(merged: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Per species: total, peak and its first timestep, counts at the first and last frame, longest run of frames at half the peak or more."""
-    at = merged.where("count > 0").join(frames(merged), "timestep")
-    ends = merged.agg(F.min("timestep").alias("t0"), F.max("timestep").alias("t1"))
-    at = at.join(ends, how="cross")  # one row
-    w = Window.partitionBy("smiles")
+    at = merged.where("count > 0").join(frames(merged, by), [*by, "timestep"])
+    ends = merged.groupBy(*by).agg(F.min("timestep").alias("t0"), F.max("timestep").alias("t1"))
+    at = at.join(ends, [*by]) if by else at.join(ends, how="cross")  # one row
+    w = Window.partitionBy(*by, "smiles")
     at = at.withColumn("peak", F.max("count").over(w))
     half = at.where(F.col("count") * 2 >= F.col("peak")).withColumn("island", F.col("frame") - F.row_number().over(w.orderBy("frame")))
-    runs = half.groupBy("smiles", "island").agg(F.count("*").alias("n")).groupBy("smiles").agg(F.max("n").alias("fwhm_frames"))
-    sums = at.groupBy("smiles").agg(
+    runs = half.groupBy(*by, "smiles", "island").agg(F.count("*").alias("n")).groupBy(*by, "smiles").agg(F.max("n").alias("fwhm_frames"))
+    sums = at.groupBy(*by, "smiles").agg(
         F.sum("count").alias("total_count"), F.max("count").alias("peak_count"), F.min_by("timestep", F.struct(-F.col("count"), F.col("timestep"))).alias("peak_timestep"),
         F.sum(F.when(F.col("timestep") == F.col("t0"), F.col("count")).otherwise(0)).alias("start_count"), F.sum(F.when(F.col("timestep") == F.col("t1"), F.col("count")).otherwise(0)).alias("end_count"),
     )
-    return sums.join(runs, "smiles")
+    return sums.join(runs, [*by, "smiles"])
 
 
 def snapshot(merged: DataFrame, timestep: int) -> DataFrame:
@@ -49,10 +56,10 @@ def snapshot(merged: DataFrame, timestep: int) -> DataFrame:
     return rows
 
 
-def dense_series(merged: DataFrame, species: DataFrame) -> DataFrame:
-    """(smiles, timestep, frame, count) of the given species (a short list) at every frame, absent ones 0."""
-    grid = frames(merged).join(species.select("smiles").distinct(), how="cross")
-    return grid.join(merged, ["timestep", "smiles"], "left").select("smiles", "timestep", "frame", F.coalesce("count", F.lit(0)).alias("count"))
+def dense_series(merged: DataFrame, species: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, smiles, timestep, frame, count) of the given species (a short list) at every frame, absent ones 0."""
+    grid = frames(merged, by).join(species.select("smiles").distinct(), how="cross")
+    return grid.join(merged, [*by, "timestep", "smiles"], "left").select(*by, "smiles", "timestep", "frame", F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def moving_average(value: Column, series: tuple[str, ...], order: str, window: int) -> Column:
@@ -74,21 +81,46 @@ def normalise(value: Column, series: tuple[str, ...], order: str, by: str) -> Co
     return F.when(d == 0, 0.0).otherwise(value / d)
 
 
-def element_distribution(merged: DataFrame, dim: DataFrame, element: str, present: tuple = (), absent: tuple = (), ranges: dict | None = None, include_zero: bool = False, max_count: int | None = None) -> DataFrame:
-    """(timestep, group_count, count): abundance by the number of atoms of an element."""
+def element_distribution(merged: DataFrame, dim: DataFrame, element: str, present: tuple = (), absent: tuple = (), ranges: dict | None = None, include_zero: bool = False, max_count: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, timestep, group_count, count): abundance by the number of atoms of an element."""
     keep = dim.where(matches_elements(F.col("atom_counts"), present, absent, ranges)).select("smiles", count_of(F.col("atom_counts"), element).alias("group_count"))
     keep = keep if include_zero else keep.where("group_count > 0")
     keep = keep if max_count is None else keep.where(F.col("group_count") <= max_count)
-    return merged.join(keep, "smiles").groupBy("timestep", "group_count").agg(F.sum("count").alias("count"))
+    return merged.join(keep, "smiles").groupBy(*by, "timestep", "group_count").agg(F.sum("count").alias("count"))
 
 
-def binned_distribution(distribution: DataFrame, width: int, ranges: list[tuple[str, int, int | None]] = ()) -> DataFrame:
-    """(timestep, label, count): named ranges first, then bins of the width."""
+def binned_distribution(distribution: DataFrame, width: int, ranges: list[tuple[str, int, int | None]] = (), by: tuple[str, ...] = (), element: str = "") -> DataFrame:
+    """(*by, timestep, label, count): named ranges first, then bins of the width; bins are named by the element, if given, and their ends."""
     low = F.floor(F.col("group_count") / width) * width
-    label = F.when(F.lit(width) == 1, low.cast("string")).otherwise(F.concat(low.cast("string"), F.lit("-"), (low + width - 1).cast("string")))
+    label = F.concat(F.lit(element), low.cast("string"), F.lit("") if width == 1 else F.concat(F.lit("-"), (low + width - 1).cast("string")))
     for name, a, b in reversed(ranges):
         label = F.when((F.col("group_count") >= a) & (F.lit(True) if b is None else F.col("group_count") <= b), name).otherwise(label)
-    return distribution.withColumn("label", label).groupBy("timestep", "label").agg(F.sum("count").alias("count"))
+    return distribution.withColumn("label", label).groupBy(*by, "timestep", "label").agg(F.sum("count").alias("count"))
+
+
+def tidy_counts(tidy: DataFrame) -> DataFrame:
+    """Rows of read_tidy as (dataset, timestep, smiles, count): times become whole timesteps."""
+    return tidy.select("dataset", F.col("time").cast("long").alias("timestep"), F.col("species").alias("smiles"), "count")
+
+
+def distribution_model(
+    counts: DataFrame, dim: DataFrame, element: str, present: tuple = (), absent: tuple = (), ranges: dict | None = None, include_zero: bool = False, max_count: int | None = None,
+    max_points: int | None = None, width: int = 1, groups: list[tuple[str, int, int | None]] = (), window: int = 1,
+) -> DataFrame:
+    """(dataset, timestep, label, raw_count, count): the element distribution of several datasets (dataset, timestep, smiles, count) at once.
+
+    Each dataset is sampled to max_points frames of its own, its species grouped by their atoms of the element, and the groups
+    binned. count is the trailing mean of raw_count over the last `window` rows of a dataset's group; frames without a row of
+    the group don't count as 0.
+    """
+    by = ("dataset",)
+    merged = merge_counts(counts, ("dataset", "timestep", "smiles"))
+    if max_points is not None:
+        sampled = downsample(frames(merged, by), max(2, min(max_points, 4000)), by)
+        merged = merged.join(sampled.select("dataset", "timestep"), ["dataset", "timestep"], "left_semi")
+    found = element_distribution(merged, dim, element, present, absent, ranges, include_zero, max_count, by)
+    rows = binned_distribution(found, width, groups, by, element).withColumnRenamed("count", "raw_count")
+    return rows.withColumn("count", trailing_mean(F.col("raw_count"), ("dataset", "label"), "timestep", max(1, window)))
 
 
 def reference_and_others(merged: DataFrame, dim: DataFrame, reference: str, element: str) -> DataFrame:
@@ -131,6 +163,14 @@ def align_time(series: DataFrame, group: tuple[str, ...], mode: str) -> DataFram
     return series.withColumn("time", F.col("timestep").cast("double"))
 
 
+def change_frame_lists(merged: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per species, over the frames that list it: the timesteps at which its count is below, and above, that of the frame before."""
+    w = Window.partitionBy(*by, "smiles").orderBy("timestep")
+    rows = merged.withColumn("d", F.col("count") - F.lag("count").over(w))
+    at = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("timestep"))))
+    return rows.groupBy(*by, "smiles").agg(at(F.col("d") < 0).alias("consumption_frames"), at(F.col("d") > 0).alias("production_frames"), F.max("count").alias("peak_count"))
+
+
 def change_frames(merged: DataFrame) -> DataFrame:
     """Per species, over the frames that list it: frames where it falls and rises, first and last above 0, and first at the peak."""
     w = Window.partitionBy("smiles").orderBy("timestep")
@@ -141,13 +181,23 @@ def change_frames(merged: DataFrame) -> DataFrame:
     )
 
 
-def downsample(series: DataFrame, points: int) -> DataFrame:
-    """Frames spread evenly over the series, the first and the last among them; all if there are no more. series has column frame."""
-    n = series.agg((F.max("frame") + 1).alias("n"))
+def downsample(series: DataFrame, points: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Frames spread evenly over each source, the first and the last among them; all if there are no more. series has column frame."""
+    n = series.groupBy(*by).agg((F.max("frame") + 1).alias("_n"))
     index = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    wanted = n.select("n", index.alias("i")).select(F.bround(F.col("i") * (F.col("n") - 1) / F.lit(max(points - 1, 1))).cast("long").alias("frame")).distinct()
-    some = series.join(n, how="cross").where(F.col("n") > points).drop("n").join(wanted, "frame", "left_semi")
-    return series.join(n, how="cross").where(F.col("n") <= points).drop("n").select(*some.columns).union(some)
+    wanted = n.select(*by, "_n", index.alias("i")).select(*by, F.bround(F.col("i") * (F.col("_n") - 1) / F.lit(max(points - 1, 1))).cast("long").alias("frame")).distinct()
+    sized = series.join(n, [*by]) if by else series.join(n, how="cross")  # one row
+    some = sized.where(F.col("_n") > points).drop("_n").join(wanted, [*by, "frame"], "left_semi").select(*series.columns)
+    return sized.where(F.col("_n") <= points).drop("_n").select(*series.columns).union(some)
+
+
+def every_nth(series: DataFrame, stride: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Every stride-th frame of each source from the first on, and the last one. series has column frame."""
+    if stride < 1:
+        raise ValueError("stride must be positive")
+    last = series.groupBy(*by).agg(F.max("frame").alias("_last"))
+    sized = series.join(last, [*by]) if by else series.join(last, how="cross")  # one row
+    return sized.where((F.col("frame") % stride == 0) | (F.col("frame") == F.col("_last"))).drop("_last")
 
 
 def catalogue(summary: DataFrame, dim: DataFrame, stats: DataFrame | None = None) -> DataFrame:
@@ -161,8 +211,35 @@ def catalogue(summary: DataFrame, dim: DataFrame, stats: DataFrame | None = None
 
 
 def search_smiles(rows: DataFrame, part: str) -> DataFrame:
-    """rows (column smiles) whose SMILES contains the text, taken literally."""
-    return rows.where(F.col("smiles").contains(part))
+    """rows (column smiles) whose SMILES contains the text, taken literally but for upper and lower case."""
+    return rows.where(F.lower("smiles").contains(part.lower()))
+
+
+def search_species(summary: DataFrame, dim: DataFrame, kind: str = "all", text: str = "", stats: DataFrame | None = None, tolerance: float = 0.5) -> DataFrame:
+    """The species catalogue by one way of searching: all, formula (as it is), smiles (a part of it) or mass; most abundant first.
+
+    smiles falls back, if no species of the summary fits, to species that only reactions have (stats: species), at abundance 0;
+    source says which it is (species or reactions). mass gives a row for each formula within the tolerance, with the errors and
+    its most abundant species as smiles; an empty smiles text is all.
+    """
+    if kind not in ("all", "formula", "smiles", "mass"):
+        raise ValueError("kind must be all, formula, smiles or mass")
+    rows = summary.join(dim, "smiles", "left").withColumn("source", F.lit("species"))
+    if kind == "formula":
+        rows = rows.where(F.col("formula") == text)
+    elif kind == "mass":
+        target = summary.sparkSession.createDataFrame([(float(text),)], "target double")
+        hits = mass_hits(rows, target, max(0.0, tolerance)).groupBy("formula", "exact_mass", "nominal_mass", "ppm").agg(F.sum("total_count").alias("total_count"), F.count("*").alias("n_species"), F.min_by("smiles", F.struct(-F.col("total_count"), F.col("smiles"))).alias("smiles"))
+        return hits.withColumn("mass_error", F.col("exact_mass") - float(text)).orderBy(F.desc("total_count"), "formula")
+    elif kind == "smiles":
+        rows = search_smiles(rows, text)
+        if stats is not None and text:
+            only = search_smiles(stats.select(F.col("species").alias("smiles")).distinct(), text).join(summary, "smiles", "left_anti").join(dim, "smiles", "left").withColumn("source", F.lit("reactions"))
+            none = rows.limit(1).agg((F.count("*") == 0).alias("_none"))  # one row
+            only = only.join(none, how="cross").where("_none").drop("_none")
+            counts = [c for c in summary.columns if c != "smiles"]
+            rows = rows.unionByName(only.withColumns({c: F.lit(0 if c != "peak_timestep" else None).cast(dict(summary.dtypes)[c]) for c in counts}))
+    return rows.orderBy(F.desc("total_count"), "smiles")
 
 
 def mass_hits(rows: DataFrame, targets: DataFrame, tolerance: float) -> DataFrame:

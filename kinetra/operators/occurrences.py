@@ -22,57 +22,83 @@ def numbered(rows: DataFrame, group: list[str], part: str, order: list, name: st
     return inside.join(starts, [*group, part]).withColumn(name, (F.col("_start") + F.col("_i")).cast("int")).drop("_start", "_i")
 
 
+def running_total(rows: DataFrame, group: list[str], part: str, order: list, value: str, name: str) -> DataFrame:
+    """rows with the sum of value over the rows of the group that come before, by part, then order. A window holds one part, never a whole group."""
+    upto = lambda *cols: Window.partitionBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    starts = rows.groupBy(*group, part).agg(F.sum(value).alias("_n")).select(*group, part, F.coalesce(F.sum("_n").over(upto(*group).orderBy(part)), none).alias("_start"))
+    inside = rows.withColumn("_i", F.coalesce(F.sum(value).over(upto(*group, part).orderBy(*order)), none))
+    return inside.join(starts, [*group, part]).withColumn(name, F.col("_start") + F.col("_i")).drop("_start", "_i")
+
+
+def ordered_parts(rows: DataFrame, *order: str, n: int = 32) -> DataFrame:
+    """rows with the column part: parts that follow each other in the given order. Written, so that the cuts between them stay the same."""
+    return cut(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
+
+
 def expand_counts(records: DataFrame) -> DataFrame:
     """A row for each of the count occurrences of a record, with its ordinal."""
     return records.where("count > 0").withColumn("ordinal", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count").cast("long"))))
 
 
 def _sided(molecules: DataFrame) -> DataFrame:
-    """Molecules as they stand before (side 0) and after (side 1) each transition; those that don't change are left out."""
-    state = molecules.select("dataset", "frame", "species", F.array_sort("atom_ids").alias("atoms")).withColumn("atoms_key", F.array_join(F.col("atoms").cast("array<string>"), ","))
-    last = state.groupBy("dataset").agg(F.max("frame").alias("last"))
-    first = state.groupBy("dataset").agg(F.min("frame").alias("first"))
-    before = state.join(last, "dataset").where("frame < last").withColumnRenamed("frame", "transition").drop("last")
-    after = state.join(first, "dataset").where("frame > first").withColumn("transition", F.col("frame") - 1).drop("first", "frame")
-    same = ["dataset", "transition", "species", "atoms_key"]
+    """Molecules as they stand before (side 0) and after (side 1) each transition, with a 64-bit node; those that don't change are left out."""
+    state = molecules.select("dataset", "frame", "species", F.array_sort("atom_ids").alias("atoms"))
+    ends = state.groupBy("dataset").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
+    state = state.join(ends, "dataset")
+    before = state.where("frame < last").select("dataset", F.col("frame").alias("transition"), "species", "atoms")
+    after = state.where("frame > first").select("dataset", (F.col("frame") - 1).alias("transition"), "species", "atoms")
+    same = ["dataset", "transition", "species", "atoms"]
     gone = before.join(after.select(*same), same, "left_anti").withColumn("side", F.lit(0))
     came = after.join(before.select(*same), same, "left_anti").withColumn("side", F.lit(1))
-    return gone.unionByName(came).withColumn("node", F.concat_ws("|", F.col("side").cast("string"), "species", "atoms_key"))
+    return gone.unionByName(came).withColumn("node", F.xxhash64("dataset", "transition", "side", "species", "atoms"))
 
 
 def changed_components(molecules: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(dataset, transition, reactants, products, atom_ids): molecules linked by shared atoms over each transition.
 
-    Unchanged molecules leave before the join. The components of all transitions are found at once by passing on the smallest
-    label, to a node's neighbours and to the node that its old label names, and by replacing labels by their labels; so long
-    chains take few rounds too, each checkpointed. Labels that still move after max_rounds are an error.
+    Unchanged molecules leave before the join. A node is 64 bits that stand for a molecule on its side of a transition; two that
+    share them are an error, found before the search. The components of all transitions are found at once by passing on the
+    smallest label, to a node's neighbours and to the node that its old label names, and by replacing labels by their labels; so
+    long chains take few rounds too, each checkpointed. Labels that still move after max_rounds are an error. A component is put
+    together in two levels, first by 64 parts of its nodes; so one that spans a whole frame is gathered from partial lists.
     """
     nodes = cut(_sided(molecules))
     t = ["dataset", "transition"]
-    atoms = nodes.select(*t, "side", "node", F.explode("atoms").alias("atom"))
-    links = atoms.where("side = 0").select(*t, "atom", F.col("node").alias("u")).join(atoms.where("side = 1").select(*t, "atom", F.col("node").alias("v")), [*t, "atom"]).select(*t, "u", "v").distinct()
-    links = cut(links.union(links.select(*t, "v", "u")))
-    labels = nodes.select(*t, "node", F.col("node").alias("label")).distinct()
+    told = nodes.groupBy("node").agg(F.countDistinct(*t, "side", "species", "atoms").alias("n")).where("n > 1").limit(1)
+    if told.take(1):
+        raise RuntimeError("two molecules have the same 64 bits")
+    # Links go from a molecule to the smallest one that holds the atom, before or after: as many as atoms, and as well connected.
+    atoms = nodes.select(*t, "node", F.explode("atoms").alias("atom"))
+    hubs = atoms.groupBy(*t, "atom").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
+    links = atoms.join(hubs, [*t, "atom"]).select(F.col("node").alias("u"), "v").where("u <> v").distinct()
+    links = cut(links.union(links.select("v", "u")))
+    labels = nodes.select("node", F.col("node").alias("label")).distinct()
     for _ in range(max_rounds):
-        near = links.join(labels.withColumnRenamed("node", "v"), [*t, "v"]).groupBy(*t, F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        lower = cut(labels.join(near, [*t, "node"], "left").select(*t, "node", "label", "near").where("near < label"))
+        near = links.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        lower = cut(labels.join(near, "node").where("near < label"))
         if not lower.take(1):
             break
-        told = lower.select(*t, "node", "near").union(lower.select(*t, F.col("label").alias("node"), "near")).groupBy(*t, "node").agg(F.min("near").alias("near"))
-        labels = cut(labels.join(told, [*t, "node"], "left").select(*t, "node", F.least("label", "near").alias("label")))
-        up = labels.select(*t, F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = cut(labels.join(up, [*t, "label"]).select(*t, "node", F.col("next").alias("label")))
+        told = lower.select("node", "near").union(lower.select(F.col("label").alias("node"), "near")).groupBy("node").agg(F.min("near").alias("near"))
+        labels = cut(labels.join(told, "node", "left").select("node", F.least("label", "near").alias("label")))
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        labels = cut(labels.join(up, "label").select("node", F.col("next").alias("label")))
     else:
         raise RuntimeError(f"components have not settled in {max_rounds} rounds")
-    side = lambda s: F.array_sort(F.flatten(F.collect_list(F.when(F.col("side") == s, F.array("species")).otherwise(F.array().cast("array<string>")))))
-    parts = nodes.join(labels, [*t, "node"]).groupBy(*t, "label").agg(side(0).alias("reactants"), side(1).alias("products"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("atoms")))).alias("atom_ids"))
-    linked = parts.where("size(reactants) > 0 and size(products) > 0 and reactants <> products")
-    return linked.drop("label")
+    side = lambda s: F.collect_list(F.when(F.col("side") == s, F.col("species")))
+    parts = nodes.join(labels, "node").withColumn("part", F.pmod("node", F.lit(64)))
+    parts = parts.groupBy(*t, "label", "part").agg(side(0).alias("a"), side(1).alias("b"), F.flatten(F.collect_list("atoms")).alias("atoms"))
+    whole = lambda c: F.array_sort(F.flatten(F.collect_list(c)))
+    parts = parts.groupBy(*t, "label").agg(whole("a").alias("reactants"), whole("b").alias("products"), F.array_distinct(whole("atoms")).alias("atom_ids"))
+    return parts.where("size(reactants) > 0 and size(products) > 0 and reactants <> products").drop("label")
+
 
+def associate(events: DataFrame, molecules: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """events with event_id, reaction_key, status (matched or unresolved) and atom_ids: the n-th event of a transition and net key goes with its n-th component.
 
-def associate(events: DataFrame, molecules: DataFrame) -> DataFrame:
-    """events with event_id, reaction_key, status (matched or unresolved) and atom_ids: the n-th event of a transition and net key goes with its n-th component."""
-    parts = changed_components(molecules).withColumn("net", net_key(F.col("reactants"), F.col("products")))
+    components: rows of changed_components of the molecules, if there are some already.
+    """
+    parts = (changed_components(molecules) if components is None else components).withColumn("net", net_key(F.col("reactants"), F.col("products")))
     group = Window.partitionBy("dataset", "transition", "net")
     parts = parts.withColumn("n", F.row_number().over(group.orderBy("reactants", "products", "atom_ids"))).select("dataset", "transition", "net", "n", "atom_ids")
     keyed = events.withColumn("net", net_key(F.col("reactants"), F.col("products"))).withColumn("n", F.row_number().over(group.orderBy("source_row")))
@@ -224,17 +250,36 @@ def with_evidence(merged: DataFrame, summary: DataFrame | None) -> DataFrame:
     return rows.withColumn("event_coverage", share("matched_events", "total_events")).withColumn("time_coverage", share("distinct_intervals", "available_intervals")).withColumn("evidence_status", F.lit("evidence_linked"))
 
 
-def representative_events(occurrences: DataFrame, frames: DataFrame) -> DataFrame:
-    """Rank of every event of a reaction: matched with frames on both sides first, then matched, then with frames, then the rest."""
+def changed_atoms(bonds: DataFrame) -> DataFrame:
+    """(event_id, n_broken, n_formed, atoms): of the rows of bond_table, how many bonds change and the sorted atoms at their ends."""
+    ends = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("change") != "unchanged", F.array("atom1", "atom2"))))))
+    return bonds.groupBy("event_id").agg(F.count_if(F.col("change") == "broken").alias("n_broken"), F.count_if(F.col("change") == "formed").alias("n_formed"), ends.alias("atoms"))
+
+
+def representative_events(occurrences: DataFrame, frames: DataFrame, bonds: DataFrame | None = None) -> DataFrame:
+    """occurrences with their rank in their reaction, and why: recommended, reviewable or unavailable (tier 0, 1 or 2).
+
+    Recommended are matched events with frames on both sides whose bonds change (bonds: rows of bond_table; without, none do);
+    reviewable those whose bonds don't; all others are unavailable. frames: dataset, frame; an event stands between its transition
+    and the next frame. Ties go by transition and event_id.
+    """
     before = frames.select("dataset", F.col("frame").alias("transition")).distinct()
     after = frames.select("dataset", (F.col("frame") - 1).alias("transition")).distinct()
     both = before.join(after, ["dataset", "transition"]).withColumn("framed", F.lit(True))
-    rows = occurrences.join(both, ["dataset", "transition"], "left")
-    framed, matched = F.coalesce("framed", F.lit(False)), F.col("status") == "matched"
-    tier = F.when(matched & framed, 0).when(matched, 1).when(framed, 2).otherwise(3)
+    rows = occurrences.join(both, ["dataset", "transition"], "left").withColumn("trajectory_ready", F.coalesce("framed", F.lit(False))).drop("framed")
+    if bonds is None:
+        rows = rows.withColumns({"n_broken": F.lit(0).cast("long"), "n_formed": F.lit(0).cast("long"), "changed_atoms": F.array().cast("array<bigint>")})
+    else:
+        rows = rows.join(changed_atoms(bonds).withColumnRenamed("atoms", "changed_atoms"), "event_id", "left")
+        rows = rows.withColumns({"n_broken": F.coalesce("n_broken", F.lit(0)), "n_formed": F.coalesce("n_formed", F.lit(0)), "changed_atoms": F.coalesce("changed_atoms", F.array())})
+    matched = (F.col("status") == "matched") & (F.size("atom_ids") > 0 if "atom_ids" in occurrences.columns else F.lit(True))
+    ready, changes = matched & F.col("trajectory_ready"), F.col("n_broken") + F.col("n_formed") > 0
+    tier = F.when(ready & changes, 0).when(ready, 1).otherwise(2)
+    reason = F.when(ready & changes, "atoms, bond changes and frames can be checked").when(ready, "no bond changes that tell the sides apart").when(~matched, "no atoms are associated").otherwise("frames before or after are missing")
+    rows = rows.withColumns({"tier": tier, "reason": reason, "recommendation": F.get(F.array(F.lit("recommended"), F.lit("reviewable"), F.lit("unavailable")), tier)})
     # Numbered by tier and ranges of 64 transitions, so that a common reaction is no task of its own.
-    rows = rows.withColumn("tier", tier).withColumn("part", F.struct("tier", F.floor(F.col("transition") / 64).alias("span")))
-    return numbered(rows, ["dataset", "reaction_key"], "part", ["transition", "event_id"], "rank").drop("framed", "part")
+    rows = rows.withColumn("part", F.struct("tier", F.floor(F.col("transition") / 64).alias("span")))
+    return numbered(rows, ["dataset", "reaction_key"], "part", ["transition", "event_id"], "rank").drop("part")
 
 
 def bond_changes(bonds: DataFrame) -> DataFrame:

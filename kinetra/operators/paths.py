@@ -12,21 +12,27 @@ from pyspark.sql import functions as F
 from ..functions.reactions import stable_id
 from ..session import cut
 from .network import with_reverse
+from .occurrences import ordered_parts, running_total
 
 
 def event_edges(nodes: DataFrame, bucket: int = 64) -> DataFrame:
-    """(replicate, from_id, to_id, t_from, t_to, carriers): a product molecule and the first later event that consumes it.
+    """(replicate, from_id, to_id, t_from, t_to, idle_gap, anchor_gap, carriers): a product molecule and the first later event that consumes it.
 
     Consumption in a transition comes before production. An instance that two events of a transition consume, or produce, is
-    ambiguous and makes no edge. An unresolved event ends all open instances of its species.
+    ambiguous and makes no edge. An unresolved event ends all open instances of its species. nodes may have before_timestep and
+    after_timestep, the ends of an event's transition; without, a transition lasts from t to t + 1. idle_gap is the time between the
+    end of the first and the begin of the second event's transition, anchor_gap that between their ends.
     """
-    act = lambda side, phase: nodes.where("status = 'matched'").select("replicate", "event_id", "t", F.explode(F.array_distinct(side)).alias("i")).select("replicate", "i.species", "i.atoms", "t", F.lit(phase).alias("phase"), "event_id")
+    clock = lambda c, other: (F.col(c) if c in nodes.columns else other).cast("long").alias(c)
+    nodes = nodes.withColumns({"before_timestep": clock("before_timestep", F.col("t")), "after_timestep": clock("after_timestep", F.col("t") + 1)})
+    act = lambda side, phase: nodes.where("status = 'matched'").select("replicate", "event_id", "t", "before_timestep", "after_timestep", F.explode(F.array_distinct(side)).alias("i")).select("replicate", "i.species", "i.atoms", "t", F.lit(phase).alias("phase"), "event_id", "before_timestep", "after_timestep")
     actions = act("consumed", 1).union(act("produced", 2))
-    actions = actions.groupBy("replicate", "species", "atoms", "t", "phase").agg(F.min("event_id").alias("event_id"), (F.count("*") > 1).alias("many"))
+    actions = actions.groupBy("replicate", "species", "atoms", "t", "phase").agg(F.min(F.struct("event_id", "before_timestep", "after_timestep")).alias("e"), (F.count("*") > 1).alias("many"))
     w = Window.partitionBy("replicate", "species", "atoms").orderBy("t", "phase")
-    last = F.lag(F.struct("t", "phase", "event_id", "many")).over(w)
+    last = F.lag(F.struct("t", "phase", "e", "many")).over(w)
     open_ = actions.withColumn("p", last).where("phase = 1 and not many and p.phase = 2 and not p.many and p.t < t")
-    pairs = open_.select("replicate", "species", "atoms", F.col("p.event_id").alias("from_id"), F.col("event_id").alias("to_id"), F.col("p.t").alias("t_from"), F.col("t").alias("t_to"))
+    idle, anchor = F.greatest(F.lit(0).cast("long"), F.col("e.before_timestep") - F.col("p.e.after_timestep")), F.col("e.after_timestep") - F.col("p.e.after_timestep")
+    pairs = open_.select("replicate", "species", "atoms", F.col("p.e.event_id").alias("from_id"), F.col("e.event_id").alias("to_id"), F.col("p.t").alias("t_from"), F.col("t").alias("t_to"), idle.alias("idle_gap"), anchor.alias("anchor_gap"))
     barriers = nodes.where("status <> 'matched'").select("replicate", F.explode(F.array_union("reactants", "products")).alias("species"), F.col("t").alias("b")).distinct()
     # The last barrier up to t_to, by ranges of t, so that a common species is no task of its own.
     edges = pairs.select("replicate", "species", F.col("t_to").alias("t")).distinct().join(barriers.select("replicate", "species").distinct(), ["replicate", "species"], "left_semi")
@@ -37,30 +43,73 @@ def event_edges(nodes: DataFrame, bucket: int = 64) -> DataFrame:
     lasts = both.withColumn("i", inside).where("b is null").join(tops, ["replicate", "species", "r"]).select("replicate", "species", F.col("t").alias("t_to"), F.coalesce("i", "before").alias("b"))
     pairs = pairs.join(lasts, ["replicate", "species", "t_to"], "left").where("b is null or b <= t_from")
     carriers = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("atoms", ",")))))
-    return pairs.groupBy("replicate", "from_id", "to_id", "t_from", "t_to").agg(carriers.alias("carriers"))
-
-
-def event_paths(nodes: DataFrame, edges: DataFrame, length: int = 3, max_gap: int | None = None, start: str | None = None) -> DataFrame:
-    """(replicate, path_id, event_ids, reaction_keys, lineage, t_first, t_last, gaps): chains of `length` events that at least one atom runs through."""
-    if not 2 <= length <= 8:
-        raise ValueError("length must be 2 to 8")
-    edges = edges if max_gap is None else edges.where(F.col("t_to") - F.col("t_from") <= max_gap)
-    names = nodes.select("replicate", F.col("event_id").alias("to_id"), F.col("reaction_key").alias("to_key"))
-    edges = edges.join(names, ["replicate", "to_id"])
-    first = nodes if start is None else nodes.where(F.array_contains("reactants", start))
-    paths = first.select("replicate", F.col("event_id").alias("end"), F.array("event_id").alias("event_ids"), F.array("reaction_key").alias("reaction_keys"), F.lit(None).cast("array<string>").alias("lineage"), F.col("t").alias("t_first"), F.col("t").alias("t_last"), F.array().cast("array<bigint>").alias("gaps"))
-    for _ in range(length - 1):
-        step = paths.join(edges.withColumnRenamed("from_id", "end"), ["replicate", "end"])
-        line = F.when(F.col("lineage").isNull(), F.col("carriers")).otherwise(F.array_intersect("lineage", "carriers"))
-        paths = step.select("replicate", F.col("to_id").alias("end"), F.array_append("event_ids", F.col("to_id")).alias("event_ids"), F.array_append("reaction_keys", F.col("to_key")).alias("reaction_keys"), line.alias("lineage"), "t_first", F.col("t_to").alias("t_last"), F.array_append("gaps", F.col("t_to") - F.col("t_from")).alias("gaps")).where("size(lineage) > 0")
-    return paths.drop("end").withColumn("path_id", stable_id(F.col("replicate"), F.array_join("event_ids", "\x00")))
+    return pairs.groupBy("replicate", "from_id", "to_id", "t_from", "t_to", "idle_gap", "anchor_gap").agg(carriers.alias("carriers"))
+
+
+def _atom_edges(nodes: DataFrame, edges: DataFrame, max_gap: int | None, max_idle: int | None, start: str | None) -> tuple[DataFrame, DataFrame]:
+    """Edges that keep the limits, a row for each atom that they carry, with the second event's key; and of these the ones a path may begin with."""
+    if "idle_gap" not in edges.columns:
+        edges = edges.withColumns({"idle_gap": F.greatest(F.lit(0).cast("long"), F.col("t_to") - F.col("t_from") - 1), "anchor_gap": F.col("t_to") - F.col("t_from")})
+    kept = edges if max_gap is None else edges.where(F.col("t_to") - F.col("t_from") <= max_gap)
+    kept = kept if max_idle is None else kept.where(F.col("idle_gap") <= max_idle)
+    keys = nodes.select("replicate", F.col("event_id").alias("to_id"), F.col("reaction_key").alias("to_key"))
+    rows = kept.join(keys, ["replicate", "to_id"]).select("replicate", "from_id", "to_id", "to_key", "t_from", "t_to", "idle_gap", "anchor_gap", F.explode("carriers").alias("atom"))
+    first = (nodes if start is None else nodes.where(F.array_contains("reactants", start))).select("replicate", F.col("event_id").alias("from_id"), F.col("reaction_key").alias("from_key"))
+    return rows, rows.join(first, ["replicate", "from_id"])
+
+
+def count_paths(nodes: DataFrame, edges: DataFrame, length: int = 3, max_gap: int | None = None, start: str | None = None, max_idle: int | None = None) -> DataFrame:
+    """(replicate, from_id, t_from, n): how many paths of `length` events begin with an event, counted once for each atom that runs through them.
+
+    By dynamic programming from the last events back: an event's count for an atom is the sum of those of the next ones. No path
+    is made, so this is exact and cheap on any graph. Events without paths are left out.
+    """
+    rows, first = _atom_edges(nodes, edges, max_gap, max_idle, start)
+    ahead = None
+    for step in range(length - 1):
+        here = first if step == length - 2 else rows
+        if ahead is not None:
+            here = here.join(ahead.select("replicate", "atom", F.col("from_id").alias("to_id"), F.col("n").alias("m")), ["replicate", "atom", "to_id"])
+        ahead = here.groupBy("replicate", "atom", "from_id", "t_from").agg((F.count("*") if ahead is None else F.sum("m")).alias("n"))
+        ahead = ahead if step == length - 2 else ahead.drop("t_from")
+    return ahead.groupBy("replicate", "from_id", "t_from").agg(F.sum("n").alias("n"))
+
+
+def event_paths(nodes: DataFrame, edges: DataFrame, length: int = 3, max_gap: int | None = None, start: str | None = None, max_idle: int | None = None, max_paths: int | None = None, bucket: int = 64) -> DataFrame:
+    """(replicate, path_id, event_ids, reaction_keys, lineage, t_first, t_last, gaps, idle_gaps, anchor_gaps, complete): chains of `length` events that at least one atom runs through.
+
+    Paths are followed atom by atom, as the lineage is the set of atoms that every edge carries: no chain is made that no atom runs
+    through. max_paths limits the work in each replicate: the paths are counted first (count_paths), and only those that begin with
+    the earliest events are made, up to the event that reaches the limit. complete is false in a replicate where some are left out.
+    """
+    if not 2 <= length <= 8 or (max_paths is not None and max_paths < 1):
+        raise ValueError("length must be 2 to 8 and max_paths positive")
+    rows, paths = _atom_edges(nodes, edges, max_gap, max_idle, start)
+    complete = None
+    if max_paths is not None:
+        counts = count_paths(nodes, edges, length, max_gap, start, max_idle).withColumn("part", F.floor(F.col("t_from") / bucket))
+        counts = cut(running_total(counts, ["replicate"], "part", ["t_from", "from_id"], "n", "before"))
+        paths = paths.join(counts.where(F.col("before") < max_paths).select("replicate", "from_id"), ["replicate", "from_id"])
+        complete = counts.groupBy("replicate").agg((F.max("before") < max_paths).alias("complete"))
+    gaps = {"gaps": F.col("t_to") - F.col("t_from"), "idle_gaps": F.col("idle_gap"), "anchor_gaps": F.col("anchor_gap")}
+    paths = paths.select("replicate", "atom", F.col("to_id").alias("end"), F.array("from_id", "to_id").alias("event_ids"), F.array("from_key", "to_key").alias("reaction_keys"), F.col("t_from").alias("t_first"), F.col("t_to").alias("t_last"), *[F.array(g).alias(c) for c, g in gaps.items()])
+    for _ in range(length - 2):
+        step = paths.join(rows.withColumnRenamed("from_id", "end"), ["replicate", "atom", "end"])
+        paths = step.select("replicate", "atom", F.col("to_id").alias("end"), F.array_append("event_ids", F.col("to_id")).alias("event_ids"), F.array_append("reaction_keys", F.col("to_key")).alias("reaction_keys"), "t_first", F.col("t_to").alias("t_last"), *[F.array_append(c, g).alias(c) for c, g in gaps.items()])
+    paths = paths.groupBy("replicate", "event_ids", "reaction_keys", "t_first", "t_last", *gaps).agg(F.array_sort(F.collect_set("atom")).alias("lineage"))
+    paths = paths.withColumn("path_id", stable_id(F.col("replicate"), F.array_join("event_ids", "\x00")))
+    paths = paths.withColumn("complete", F.lit(True)) if complete is None else paths.join(complete, "replicate")
+    return paths.select("replicate", "path_id", "event_ids", "reaction_keys", "lineage", "t_first", "t_last", *gaps, "complete")
 
 
 def path_signatures(paths: DataFrame) -> DataFrame:
-    """Per sequence of reaction keys: occurrences, distinct (replicate, atom) pairs, lineage sets, replicates and their share, and the spans."""
+    """Per sequence of reaction keys: occurrences, distinct (replicate, atom) pairs, lineage sets, replicates and their share, and the spans.
+
+    support_is_lower_bound says that paths of some replicate were left out, so that all counts may be too small.
+    """
     signature = F.array_join("reaction_keys", " => ")
     rows = paths.withColumn("signature", signature).withColumn("span", F.col("t_last") - F.col("t_first"))
-    replicates = paths.agg(F.countDistinct("replicate").alias("all"))
+    replicates = paths.agg(F.countDistinct("replicate").alias("all"), F.coalesce(~F.bool_and("complete"), F.lit(False)).alias("support_is_lower_bound"))
     atoms = rows.select("signature", "replicate", F.explode("lineage").alias("atom")).distinct().groupBy("signature").agg(F.count("*").alias("n_atoms"))
     main = rows.groupBy("signature").agg(
         F.count("*").alias("n_occurrences"), F.countDistinct("replicate", F.array_join("lineage", ",")).alias("n_lineages"), F.countDistinct("replicate").alias("n_replicates"),
@@ -69,11 +118,36 @@ def path_signatures(paths: DataFrame) -> DataFrame:
     return main.join(atoms, "signature").join(replicates, how="cross").select("*", (F.col("n_replicates") / F.col("all")).alias("support")).drop("all")
 
 
-def path_details(paths: DataFrame) -> DataFrame:
-    """(path_id, replicate, position, event_id, reaction_key, gap): a row for each event of each path."""
-    return paths.select("path_id", "replicate", "gaps", "event_ids", F.posexplode("reaction_keys").alias("position", "reaction_key")).select(
-        "path_id", "replicate", "position", F.get("event_ids", F.col("position")).alias("event_id"), "reaction_key", F.get("gaps", F.col("position") - 1).alias("gap")
-    )
+def path_details(paths: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(path_id, replicate, position, event_id, reaction_key, gap, idle_gap, anchor_gap, carriers): a row for each event of each path.
+
+    Gaps are those to the event before, and carriers the atoms that the edge from it carries (null without edges); both are null
+    for the first event.
+    """
+    rows = paths.select("path_id", "replicate", "gaps", "idle_gaps", "anchor_gaps", "event_ids", F.posexplode("reaction_keys").alias("position", "reaction_key"))
+    at = lambda c: F.get(c, F.col("position") - 1)
+    rows = rows.select("path_id", "replicate", "position", F.get("event_ids", F.col("position")).alias("event_id"), at("event_ids").alias("from_id"), "reaction_key", at("gaps").alias("gap"), at("idle_gaps").alias("idle_gap"), at("anchor_gaps").alias("anchor_gap"))
+    if edges is None:
+        return rows.drop("from_id").withColumn("carriers", F.lit(None).cast("array<string>"))
+    carried = edges.select("replicate", "from_id", F.col("to_id").alias("event_id"), "carriers")
+    return rows.join(carried, ["replicate", "from_id", "event_id"], "left").select("path_id", "replicate", "position", "event_id", "reaction_key", "gap", "idle_gap", "anchor_gap", "carriers")
+
+
+def _follows(merged: DataFrame, *by: str) -> DataFrame:
+    """(*by, from_key, to_key, via): reactions that make what another one takes, with the species that link them, in order."""
+    takes = merged.select(*by, F.col("reaction_key").alias("to_key"), F.explode(F.array_distinct("reactants")).alias("species"))
+    makes = merged.select(*by, F.col("reaction_key").alias("from_key"), F.explode(F.array_distinct("products")).alias("species"))
+    return makes.join(takes, [*by, "species"]).groupBy(*by, "from_key", "to_key").agg(F.array_sort(F.collect_set("species")).alias("via"))
+
+
+def count_reachable(merged: DataFrame, length: int = 3, start: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, n): how many reachable sequences of `length` reactions there are, by dynamic programming; none is made. n is a decimal, as it may pass 64 bits."""
+    follows = cut(_follows(merged, *by).select(*by, "from_key", "to_key"))
+    counts = merged.select(*by, F.col("reaction_key").alias("to_key"), F.lit(1).cast("decimal(38,0)").alias("n"))
+    for _ in range(length - 1):
+        counts = follows.join(counts, [*by, "to_key"]).groupBy(*by, "from_key").agg(F.sum("n").cast("decimal(38,0)").alias("n")).withColumnRenamed("from_key", "to_key")
+    first = (merged if start is None else merged.where(F.array_contains("reactants", start))).select(*by, F.col("reaction_key").alias("to_key"))
+    return counts.join(first, [*by, "to_key"]).groupBy(*by).agg(F.sum("n").cast("decimal(38,0)").alias("n"))
 
 
 def reachable_paths(merged: DataFrame, length: int = 3, start: str | None = None) -> DataFrame:
@@ -95,17 +169,48 @@ def reachable_with_bridges(merged: DataFrame, length: int = 3, start: str | None
     """
     if not 2 <= length <= 8 or max_paths < 1:
         raise ValueError("length must be 2 to 8 and max_paths positive")
-    takes = merged.select(F.col("reaction_key").alias("to_key"), F.explode(F.array_distinct("reactants")).alias("species"))
-    makes = merged.select(F.col("reaction_key").alias("from_key"), F.explode(F.array_distinct("products")).alias("species"))
-    follows = cut(makes.join(takes, "species").groupBy("from_key", "to_key").agg(F.array_sort(F.collect_set("species")).alias("via")))
-    first = merged if start is None else merged.where(F.array_contains("reactants", start))
-    paths = first.select(F.array("reaction_key").alias("reaction_keys"), F.col("reaction_key").alias("from_key"), F.array(F.array().cast("array<string>")).alias("bridges"))
+    follows = cut(_follows(merged))
+    # ahead[k]: how many sequences of k more reactions follow on a reaction, or max_paths + 1 if there are more.
+    some = max_paths + 1
+    ahead = [merged.select("reaction_key", F.lit(1).cast("long").alias("n"))]
     for _ in range(length - 1):
-        more = F.flatten(F.transform("bridges", lambda done: F.transform("via", lambda s: F.array_append(done, s))))
-        paths = paths.join(follows, "from_key").select(F.array_append("reaction_keys", F.col("to_key")).alias("reaction_keys"), F.col("to_key").alias("from_key"), F.slice(more, 1, max_variants).alias("bridges"))
-    top = paths.orderBy("reaction_keys").limit(max_paths + 1)
-    rows = top.withColumn("n", F.row_number().over(Window.orderBy("reaction_keys"))).withColumn("truncated", F.count("*").over(Window.partitionBy(F.lit(0))) > max_paths)  # max_paths rows at most
-    return rows.where(F.col("n") <= max_paths).select("reaction_keys", "bridges", "truncated")
+        more = follows.join(ahead[-1].withColumnRenamed("reaction_key", "to_key"), "to_key").groupBy("from_key").agg(F.least(F.sum("n"), F.lit(some)).cast("long").alias("n"))
+        ahead.append(cut(more.withColumnRenamed("from_key", "reaction_key")))
+    first = merged if start is None else merged.where(F.array_contains("reactants", start))
+    paths = first.select("reaction_key", F.array("reaction_key").alias("reaction_keys"), F.array(F.array().cast("array<string>")).alias("bridges"))
+    for left in range(length - 1, -1, -1):
+        # In order of keys, the beginnings whose sequences are among the first; each has at least one, so max_paths + 1 at most stay.
+        rows = ordered_parts(paths.join(ahead[left], "reaction_key"), "reaction_keys").withColumn("one", F.lit(0))
+        paths = cut(running_total(rows, ["one"], "part", ["reaction_keys"], "n", "before").where(F.col("before") < some).select("reaction_key", "reaction_keys", "bridges", "before"))
+        if left:
+            further = F.flatten(F.transform("bridges", lambda done: F.transform("via", lambda s: F.array_append(done, s))))
+            paths = paths.join(follows.withColumnRenamed("from_key", "reaction_key"), "reaction_key").select(F.col("to_key").alias("reaction_key"), F.array_append("reaction_keys", F.col("to_key")).alias("reaction_keys"), F.slice(further, 1, max_variants).alias("bridges"))
+    truncated = paths.agg((F.count("*") > max_paths).alias("truncated"))
+    return paths.where(F.col("before") < max_paths).crossJoin(F.broadcast(truncated)).select("reaction_keys", "bridges", "truncated")
+
+
+def compare_with_network(paths: DataFrame, merged: DataFrame, start: str | None = None, length: int = 3) -> DataFrame:
+    """Per replicate of merged (its own reactions: replicate, reaction_key, reactants, products): paths that occur against those its network allows.
+
+    (replicate, n_reachable, n_actual, n_confirmed, n_actual_only, n_aggregate_only, realised, actual_is_lower_bound). The network's
+    sequences are counted, not made, and a sequence that occurs is confirmed by its steps, so no count is a lower bound on their
+    account. Where paths of a replicate were left out, n_aggregate_only and realised are null. Replicates of paths without reactions
+    are left out; those without paths have no actual ones.
+    """
+    follows = _follows(merged, "replicate").select("replicate", "from_key", "to_key").withColumn("ok", F.lit(True))
+    actual = paths.select("replicate", "reaction_keys").distinct().withColumn("signature", F.array_join("reaction_keys", " => "))
+    first = merged if start is None else merged.where(F.array_contains("reactants", start))
+    begins = actual.join(first.select("replicate", F.col("reaction_key").alias("k")), (F.col("k") == F.get("reaction_keys", F.lit(0))) & (actual["replicate"] == first["replicate"]), "left_semi").select("replicate", "signature")
+    pairs = actual.select("replicate", "signature", F.posexplode(F.slice("reaction_keys", 2, 8)).alias("i", "to_key"), "reaction_keys").withColumn("from_key", F.get("reaction_keys", F.col("i"))).drop("reaction_keys")
+    steps = pairs.join(follows, ["replicate", "from_key", "to_key"], "left").groupBy("replicate", "signature").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("linked"))
+    confirmed = steps.where("linked").join(begins, ["replicate", "signature"], "left_semi").groupBy("replicate").agg(F.count("*").alias("n_confirmed"))
+    found = actual.groupBy("replicate").agg(F.count("*").alias("n_actual")).join(paths.groupBy("replicate").agg((~F.bool_and("complete")).alias("cut")), "replicate")
+    rows = merged.select("replicate").distinct().join(count_reachable(merged, length, start, ("replicate",)), "replicate", "left").join(found, "replicate", "left").join(confirmed, "replicate", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    rows = rows.select("replicate", F.coalesce("n", F.lit(0)).cast("decimal(38,0)").alias("n_reachable"), zero("n_actual"), zero("n_confirmed"), F.coalesce("cut", F.lit(False)).alias("actual_is_lower_bound"))
+    whole = ~F.col("actual_is_lower_bound")
+    share = F.when(F.col("n_reachable") > 0, F.col("n_confirmed") / F.col("n_reachable").cast("double")).otherwise(0.0)
+    return rows.select("replicate", "n_reachable", "n_actual", "n_confirmed", (F.col("n_actual") - F.col("n_confirmed")).alias("n_actual_only"), F.when(whole, F.col("n_reachable") - F.col("n_confirmed")).cast("decimal(38,0)").alias("n_aggregate_only"), F.when(whole, share).alias("realised"), "actual_is_lower_bound")
 
 
 def compare_paths(paths: DataFrame, reachable: DataFrame) -> DataFrame:
@@ -193,6 +298,31 @@ def path_endings(paths: DataFrame, dim: DataFrame, small_carbon: int = 1) -> Dat
     return rows.withColumn("small_end", (F.col("end_carbon") > 0) & (F.col("end_carbon") <= small_carbon))
 
 
+def annotate_endings(paths: DataFrame, dim: DataFrame, max_depth: int, direction: str = "downstream", target_max_carbon: int | None = None, small_carbon: int = 4, truncated: bool = False) -> DataFrame:
+    """paths (start, rank, species, reaction_keys, ...) with how they end and where they break.
+
+    termination: small_molecule_goal (the end has 1 to target_max_carbon carbons), search_truncated (the search was cut off before
+    max_depth), depth_limit, or no_positive_continuation. terminal_products are all species that the last reaction makes (upstream:
+    takes); small_fragments those of all steps with 1 to small_carbon carbons, but fewer than what the step began with, each once in
+    order; fragmentation_steps the steps (from 1) that make one, fragmentation_step the first of them.
+    """
+    side = 1 if direction == "downstream" else 0
+    sides = lambda key: F.split(F.get(F.split(key, "->"), F.lit(side)), r"\+")
+    carbon = dim.select(F.col("smiles").alias("s"), F.coalesce(F.try_element_at("atom_counts", F.lit("C")), F.lit(0)).alias("c"))
+    steps = paths.select("start", "rank", "species", F.posexplode("reaction_keys").alias("i", "key"))
+    steps = steps.select("start", "rank", "i", F.get("species", F.col("i")).alias("focal"), F.posexplode(sides(F.col("key"))).alias("j", "made"))
+    steps = steps.join(carbon.withColumnsRenamed({"s": "focal", "c": "focal_c"}), "focal", "left").join(carbon.withColumnsRenamed({"s": "made", "c": "made_c"}), "made", "left")
+    small = steps.where((F.col("made_c") > 0) & (F.col("made_c") <= small_carbon) & (F.coalesce("focal_c", F.lit(0)) > F.col("made_c")))
+    first = small.groupBy("start", "rank", "made").agg(F.min(F.struct("i", "j")).alias("at")).groupBy("start", "rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "made"))), lambda x: x["made"]).alias("small_fragments"))
+    broken = small.groupBy("start", "rank").agg(F.array_sort(F.collect_set(F.col("i") + 1)).alias("fragmentation_steps"))
+    rows = paths.withColumn("end", F.element_at("species", -1)).join(carbon.withColumnsRenamed({"s": "end", "c": "end_carbon"}), "end", "left").join(first, ["start", "rank"], "left").join(broken, ["start", "rank"], "left")
+    n = F.size("reaction_keys")
+    goal = F.lit(False) if target_max_carbon is None else F.coalesce((F.col("end_carbon") > 0) & (F.col("end_carbon") <= target_max_carbon), F.lit(False))
+    why = F.when(goal, "small_molecule_goal").when(F.lit(truncated) & (n < max_depth), "search_truncated").when(n >= max_depth, "depth_limit").otherwise("no_positive_continuation")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return rows.select(*paths.columns, "end", F.coalesce("end_carbon", F.lit(0)).alias("end_carbon"), why.alias("termination"), sides(F.element_at("reaction_keys", -1)).alias("terminal_products"), none("small_fragments", "string"), none("fragmentation_steps", "int"), F.get("fragmentation_steps", F.lit(0)).alias("fragmentation_step"))
+
+
 def path_steps(paths: DataFrame) -> DataFrame:
     """One row per step, for export: start, rank, step, input, output, reaction_key, step_score, path_score."""
     return paths.select("start", "rank", "species", "scores", "score", F.posexplode("reaction_keys").alias("i", "reaction_key")).select(
@@ -226,6 +356,13 @@ def gap_statistics(paths: DataFrame) -> DataFrame:
     return rows.groupBy("signature", "edge").agg(F.count("*").alias("n"), F.min("gap").alias("gap_min"), F.median("gap").alias("gap_median"), F.avg("gap").alias("gap_mean"), F.max("gap").alias("gap_max"))
 
 
+def clock_statistics(paths: DataFrame) -> DataFrame:
+    """(signature, edge, clock, n, gap_min, gap_median, gap_mean, gap_max): the gaps of all three clocks (interval, idle, anchor) in one pass."""
+    clocks = F.explode(F.array(*[F.struct(F.lit(name).alias("clock"), F.col(c).alias("gaps")) for name, c in (("interval", "gaps"), ("idle", "idle_gaps"), ("anchor", "anchor_gaps"))]))
+    rows = paths.select(F.array_join("reaction_keys", " => ").alias("signature"), clocks.alias("c")).select("signature", "c.clock", F.posexplode("c.gaps").alias("edge", "gap"))
+    return rows.groupBy("signature", "edge", "clock").agg(F.count("*").alias("n"), F.min("gap").alias("gap_min"), F.median("gap").alias("gap_median"), F.avg("gap").alias("gap_mean"), F.max("gap").alias("gap_max"))
+
+
 def example_paths(paths: DataFrame, n: int = 5) -> DataFrame:
     """(signature, n_example, replicate, event_ids): the first paths of every sequence, by replicate, time and events.
 

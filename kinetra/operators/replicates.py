@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Two-sided 95 % quantiles of Student's t for 1 to 30 degrees of freedom, and of the normal distribution.
@@ -54,32 +56,126 @@ def matrix(table: DataFrame, value: str, columns: list[str]) -> DataFrame:
     return table.groupBy("reaction_key").pivot("group_name", columns).agg(F.avg(value))
 
 
-# How a directory name writes a temperature, an oxygen ratio, a pressure and a replicate, and its replicate suffix.
-TEMPERATURE = r"(?i)(?:^|[_-])T(?:EMP)?[=_-]?([0-9]+(?:\.[0-9]+)?)K?(?=$|[_-])"
-O2_RATIO = r"(?i)(?:^|[_-])O2[=_-]?([0-9]+(?:\.[0-9]+)?)(?=$|[_-])"
-PRESSURE = r"(?i)(?:^|[_-])P(?:RESSURE)?[=_-]?([0-9]+(?:\.[0-9]+)?)(?:ATM)?(?=$|[_-])"
-REPLICATE = r"(?i)(?:^|[_-])(?:REP(?:LICATE)?|RUN|SEED)[=_-]?([0-9]+)(?=$|[_-])"
-SUFFIX = r"(?i)[_-](?:rep(?:licate)?|run|seed)[=_-]?[0-9]+$"
-#: A temperature without its T, as in 2500K.
-BARE_TEMPERATURE = r"(?i)(?:^|[_-])([0-9]+(?:\.[0-9]+)?)K(?=$|[_-])"
+# The words by which a directory name introduces a temperature, an oxygen ratio, a pressure and a replicate, and their units.
+WORDS = {"temperature": (("temp", "t"), "k"), "o2_ratio": (("o2",), ""), "pressure": (("pressure", "p"), "atm"), "replicate": (("replicate", "rep", "run", "seed"), "")}
+
+
+def _leaf(name: Column) -> Column:
+    return F.element_at(F.filter(F.concat(F.array(F.lit("")), F.split(name, "/")), lambda x, i: (x != "") | (i == 0)), -1)
+
+
+def _tokens(leaf: Column) -> Column:
+    return F.split(leaf, "[_-]")
+
+
+def _number(text: Column, unit: str) -> Column:
+    """The number of a text such as 2500K or 0.5, null if it is none."""
+    bare = F.when(F.lower(text).endswith(unit), F.substring(text, F.lit(1), F.length(text) - len(unit))).otherwise(text) if unit else text
+    digits = F.translate(bare, "0123456789", "")
+    return F.when((digits == "") & (bare != "") | ((digits == ".") & ~bare.startswith(".") & ~bare.endswith(".")), bare)
+
+
+def _named(leaf: Column, what: str) -> Column:
+    """The first number that one of the words introduces: in its own token, with or without =, or in the next token."""
+    words, unit = WORDS[what]
+    tokens = _tokens(leaf)
+
+    def value(token: Column, i: Column) -> Column:
+        found = []
+        for w in words:
+            rest = F.when(F.lower(token).startswith(w), F.substring(token, F.lit(len(w) + 1), F.length(token)))
+            rest = F.when(rest.startswith("="), F.substring(rest, F.lit(2), F.length(rest))).otherwise(rest)
+            found.append(_number(F.when(F.lower(token) == w, F.get(tokens, i + 1)).otherwise(rest), unit))
+        return F.coalesce(*found)
+
+    return F.get(F.filter(F.transform(tokens, value), lambda x: x.isNotNull()), F.lit(0))
 
 
 def parse_condition(name: Column) -> Column:
-    """struct(temperature, o2_ratio, pressure, replicate) out of the last part of a path, such as T2500K_O2-0.5_P1.0_rep2; null where absent."""
-    leaf = F.regexp_extract(name, "([^/]*)/*$", 1)
-    number = lambda p: F.nullif(F.regexp_extract(leaf, p, 1), F.lit(""))
+    """struct(temperature, o2_ratio, pressure, replicate) out of the last part of a path, such as T2500K_O2-0.5_P1.0_rep2; null where absent.
+
+    The part is cut at _ and - into tokens. A temperature may also stand alone, as in 2500K.
+    """
+    leaf = _leaf(name)
+    alone = F.get(F.filter(F.transform(_tokens(leaf), lambda x: F.when(F.lower(x).endswith("k"), _number(x, "k"))), lambda x: x.isNotNull()), F.lit(0))
     return F.struct(
-        F.coalesce(number(TEMPERATURE), number(BARE_TEMPERATURE)).cast("double").alias("temperature"), number(O2_RATIO).cast("double").alias("o2_ratio"),
-        number(PRESSURE).cast("double").alias("pressure"), number(REPLICATE).cast("int").alias("replicate"),
+        F.coalesce(_named(leaf, "temperature"), alone).cast("double").alias("temperature"), _named(leaf, "o2_ratio").cast("double").alias("o2_ratio"),
+        _named(leaf, "pressure").cast("double").alias("pressure"), _named(leaf, "replicate").try_cast("int").alias("replicate"),
     )
 
 
+def _without_replicate(leaf: Column) -> Column:
+    """A name less the token or two that give its replicate, if something stands before them, and less the separators at its end."""
+    tokens = _tokens(leaf)
+    words, _ = WORDS["replicate"]
+    last, before, n = F.lower(F.element_at(tokens, -1)), F.lower(F.get(tokens, F.size(tokens) - 2)), F.size(tokens)
+    digits = lambda x: (x != "") & (F.translate(x, "0123456789", "") == "")
+    own = F.lit(False)
+    for w in words:
+        rest = F.when(last.startswith(w), F.substring(last, F.lit(len(w) + 1), F.length(last)))
+        own |= F.coalesce(digits(F.when(rest.startswith("="), F.substring(rest, F.lit(2), F.length(rest))).otherwise(rest)), F.lit(False))
+    two = digits(last) & F.coalesce(before.isin(*words), F.lit(False))
+    cut = F.when(own & (n > 1), F.length(last) + 1).when(two & (n > 2), F.length(last) + F.length(before) + 2).otherwise(0)
+    return F.rtrim(F.substring(leaf, F.lit(1), F.length(leaf) - cut), F.lit("_-"))
+
+
 def group_key(name: Column) -> Column:
     """The group of a condition: its temperature, ratio and pressure; a path without any goes by its own name less the replicate suffix."""
     c = parse_condition(name)
     plain = lambda x: F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
     fields = F.concat_ws("_", F.concat(F.lit("T"), F.bround(c["temperature"]).cast("long").cast("string"), F.lit("K")), F.concat(F.lit("O2="), plain(c["o2_ratio"])), F.concat(F.lit("P="), plain(c["pressure"])))
-    path = F.regexp_replace(name, "/+$", "")
-    leaf = F.regexp_extract(path, "([^/]*)$", 1)
-    short = F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(leaf, SUFFIX, ""), "[_-]+$", ""), F.lit("")), leaf)
-    return F.coalesce(F.nullif(fields, F.lit("")), F.concat(F.regexp_extract(path, "^(.*/)?[^/]*$", 1), short))
+    path, leaf = F.rtrim(name, F.lit("/")), _leaf(name)
+    short = F.coalesce(F.nullif(_without_replicate(leaf), F.lit("")), leaf)
+    return F.coalesce(F.nullif(fields, F.lit("")), F.concat(F.substring(path, F.lit(1), F.length(path) - F.length(leaf)), short))
+
+
+def audit_groups(conditions: DataFrame, counts: DataFrame) -> DataFrame:
+    """(group_name, replicate, rule): everything that keeps a grouped comparison from being made, of all groups at once.
+
+    conditions: group_name, replicate, source (what its reactions were read from); counts: group_name, replicate, reaction_key, tp.
+    A group needs a name and a replicate (a group without any is one whose replicate is null), a replicate a number from 1 on that is
+    there once in its group, a source that no other replicate uses, and reactions.
+    """
+    c = conditions.select("group_name", F.col("replicate").cast("string").alias("replicate"), F.col("replicate").try_cast("long").alias("n"), "source")
+    rule = lambda rows, name: rows.select("group_name", "replicate", F.lit(name).alias("rule"))
+    given = c.where("replicate is not null")
+    again = lambda rows, *by: rows.groupBy(*by).agg(F.count("*").alias("times")).where("times > 1").drop("times")
+    shared = given.join(again(given.where("source is not null"), "source"), "source")
+    bare = given.join(counts.where("tp > 0").select("group_name", F.col("replicate").cast("string").alias("replicate")).distinct(), ["group_name", "replicate"], "left_anti")
+    found = [
+        rule(c.where("group_name is null or trim(group_name) = ''"), "group without a name"), rule(c.where("replicate is null"), "group without replicates"), rule(given.where("n is null or n < 1"), "bad replicate number"),
+        rule(again(given, "group_name", "replicate"), "replicate given twice"), rule(given.where("source is null"), "replicate without a source"), rule(shared, "source used twice"), rule(bare.where("source is not null"), "no reactions"),
+    ]
+    return reduce(DataFrame.union, found).distinct()
+
+
+def grouped_report(counts: DataFrame, conditions: DataFrame, min_detection_rate: float = 0.0, top: int = 50) -> DataFrame:
+    """The first `top` reactions over all replicates, with what each group has of them; nothing at all if audit_groups finds a fault.
+
+    (reaction_key, rank, detection_rate, total_tp, total_net_tp, groups: array of structs group_name, n_replicates, detection_rate,
+    mean_tp, std_tp, mean_net_tp, in order of group_name). counts: group_name, replicate, reaction_key, reverse_key, tp. Replicates
+    without a reaction count as 0 by arithmetic: sums over those that have it, divided by all; no grid of replicates and reactions
+    is made. Ranked by detection rate, then total_tp, then key.
+    """
+    if not 0 <= min_detection_rate <= 1 or not 1 <= top <= 500:
+        raise ValueError("min_detection_rate must be 0 to 1 and top 1 to 500")
+    if bad := audit_groups(conditions, counts).limit(200).collect():
+        raise ValueError(f"comparison not made, {len(bad)} faults: " + "; ".join(sorted(f"{r['group_name']} / {r['replicate']}: {r['rule']}" for r in bad)))
+    own = counts.join(conditions.select("group_name", "replicate"), ["group_name", "replicate"], "left_semi")
+    # A reaction's net count is its own less that of its reverse, which may be there alone.
+    both = own.select("group_name", "replicate", "reaction_key", "tp", F.col("tp").alias("net")).union(own.select("group_name", "replicate", "reverse_key", F.lit(0).cast("long"), -F.col("tp")))
+    one = both.groupBy("group_name", "replicate", "reaction_key").agg(F.sum("tp").alias("tp"), F.sum("net").alias("net"))
+    sums = one.groupBy("group_name", "reaction_key").agg(F.sum("tp").alias("s"), F.sum(F.col("tp") * F.col("tp")).alias("ss"), F.sum("net").alias("net"), F.count_if(F.col("tp") > 0).alias("seen"))
+    sizes = conditions.groupBy("group_name").agg(F.count("*").alias("n"))
+    n_all = conditions.agg(F.count("*").alias("all"))
+    total = sums.groupBy("reaction_key").agg(F.sum("seen").alias("seen"), F.sum("s").alias("total_tp"), F.sum("net").alias("total_net_tp")).where("seen > 0").join(n_all, how="cross")  # one row
+    total = total.withColumn("detection_rate", F.col("seen") / F.col("all")).where(F.col("detection_rate") >= min_detection_rate)
+    first = total.orderBy(F.desc("detection_rate"), F.desc("total_tp"), "reaction_key").limit(top)
+    first = first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("detection_rate"), F.desc("total_tp"), "reaction_key")))  # top rows
+    grid = first.select("reaction_key").join(sizes, how="cross")  # at most 500 reactions by the groups
+    v = lambda c: F.coalesce(c, F.lit(0))
+    rows = grid.join(sums, ["group_name", "reaction_key"], "left").select("reaction_key", "group_name", "n", v("s").alias("s"), v("ss").alias("ss"), v("net").alias("net"), v("seen").alias("seen"))
+    spread = F.when(F.col("n") > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)))).otherwise(0.0)
+    group = F.struct("group_name", F.col("n").alias("n_replicates"), (F.col("seen") / F.col("n")).alias("detection_rate"), (F.col("s") / F.col("n")).alias("mean_tp"), spread.alias("std_tp"), (F.col("net") / F.col("n")).alias("mean_net_tp"))
+    groups = rows.groupBy("reaction_key").agg(F.array_sort(F.collect_list(group)).alias("groups"))
+    return first.join(groups, "reaction_key").select("reaction_key", "rank", "detection_rate", "total_tp", "total_net_tp", "groups")

@@ -393,8 +393,9 @@ def evidence_coverage(spark, d):
     return oc.with_evidence(ad.event_network(spark, d), summary).select("reaction_key", "tp", "total_events", _r("event_coverage", 9).alias("event_coverage"), _r("time_coverage", 9).alias("time_coverage"))
 
 
-@query("SELECT rep AS dataset, k AS reaction_key, id AS event_id, CASE WHEN ok THEN 1 ELSE 3 END - CASE WHEN (rep, t) IN (SELECT (rep, t) FROM ev) AND (rep, t + 1) IN (SELECT (rep, t) FROM ev) THEN 1 ELSE 0 END AS tier FROM ev", E)
+@query("SELECT rep AS dataset, k AS reaction_key, id AS event_id, CASE WHEN ok AND (rep, t) IN (SELECT (rep, t) FROM ev) AND (rep, t + 1) IN (SELECT (rep, t) FROM ev) THEN 1 ELSE 2 END AS tier FROM ev", E)
 def representative_events(spark, d):
+    """Without bonds no event is of the first tier; recommended_events has some."""
     rows = ad.occurrences(spark, d)
     frames = rows.select("dataset", F.col("transition").alias("frame")).distinct()
     return oc.representative_events(rows, frames).select("dataset", "reaction_key", "event_id", "tier")
@@ -471,7 +472,7 @@ PATHS = E.replace("was <> 'error' AND now <> 'error' AS ok", "TRUE AS ok") + EDG
 
 @query("SELECT rep AS replicate, a AS from_id, b AS to_id, ta AS t_from, tb AS t_to, u::VARCHAR AS carriers FROM eg", E + EDGES)
 def event_edges(spark, d):
-    return _edges(spark, d, True)[1].withColumn("carriers", F.array_join("carriers", ","))
+    return _edges(spark, d, True)[1].withColumn("carriers", F.array_join("carriers", ",")).drop("idle_gap", "anchor_gap")
 
 
 @query("SELECT rep AS replicate, e1 || ',' || e2 || ',' || e3 AS event_ids, u::VARCHAR AS lineage, ta AS t_first, tb AS t_last FROM pa", PATHS)
@@ -481,7 +482,7 @@ def event_paths(spark, d):
 
 @query("SELECT sig AS signature, count(*) AS n_occurrences, count(DISTINCT (rep, u)) AS n_lineages, count(DISTINCT rep) AS n_replicates, min(tb - ta) AS span_min, median(tb - ta)::DOUBLE AS span_median, round(avg(tb - ta), 9) AS span_mean, max(tb - ta) AS span_max, count(DISTINCT (rep, u)) AS n_atoms, round(count(DISTINCT rep) / (SELECT count(DISTINCT rep) FROM pa), 9) AS support FROM pa GROUP BY 1", PATHS)
 def path_signatures(spark, d):
-    return pt.path_signatures(pt.event_paths(*_edges(spark, d), 3)).withColumn("span_mean", _r("span_mean", 9)).withColumn("support", _r("support", 9))
+    return pt.path_signatures(pt.event_paths(*_edges(spark, d), 3)).drop("support_is_lower_bound").withColumn("span_mean", _r("span_mean", 9)).withColumn("support", _r("support", 9))
 
 
 @query("SELECT x.k || ' => ' || y.k || ' => ' || z.k AS signature FROM nt x JOIN nt y ON x.now = y.was JOIN nt z ON y.now = z.was", E)
@@ -499,6 +500,55 @@ def path_comparison(spark, d):
     return rows.withColumn("realised", _r("realised", 9))
 
 
+def _clocked(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The same events with transitions of several lengths."""
+    begin = F.col("t") * 10
+    nodes = ad.event_nodes(spark, d, False).withColumns({"before_timestep": begin, "after_timestep": begin + 3 + F.col("t") % 5 * 4})
+    return nodes, pt.event_edges(nodes)
+
+
+@query(
+    """, tm AS (SELECT *, t * 10 AS bf, t * 10 + 3 + t % 5 * 4 AS af FROM ev),
+g AS (SELECT sig, e.i AS edge, CASE e.i WHEN 0 THEN x ELSE y END AS p, CASE e.i WHEN 0 THEN y ELSE z END AS q FROM pa JOIN tm x ON x.id = e1 JOIN tm y ON y.id = e2 JOIN tm z ON z.id = e3, range(2) e(i)),
+c AS (SELECT sig, edge, 'interval' AS clock, q.t - p.t AS gap FROM g UNION ALL SELECT sig, edge, 'idle', greatest(0, q.bf - p.af) FROM g UNION ALL SELECT sig, edge, 'anchor', q.af - p.af FROM g)
+SELECT sig AS signature, edge, clock, count(*) AS n, min(gap) AS gap_min, median(gap)::DOUBLE AS gap_median, round(avg(gap), 9) AS gap_mean, max(gap) AS gap_max FROM c GROUP BY 1, 2, 3""",
+    PATHS,
+)
+def path_clocks(spark, d):
+    """Gaps by interval, idle time and time between the ends, for each edge of every signature."""
+    return pt.clock_statistics(pt.event_paths(*_clocked(spark, d), 3)).withColumn("gap_mean", _r("gap_mean", 9))
+
+
+@query(
+    """, st AS (SELECT rep, e1, ta, sum(n) OVER (PARTITION BY rep ORDER BY ta, e1) - n AS before FROM (SELECT rep, e1, ta, count(*) AS n FROM pa GROUP BY ALL)),
+kp AS (SELECT pa.* FROM pa JOIN st USING (rep, e1) WHERE before < 40)
+SELECT sig AS signature, count(*) AS n_occurrences, count(DISTINCT (rep, u)) AS n_lineages, count(DISTINCT rep) AS n_replicates, any_value(lb) AS support_is_lower_bound FROM kp, (SELECT max(before) >= 40 AS lb FROM st) GROUP BY 1""",
+    PATHS,
+)
+def budgeted_signatures(spark, d):
+    """Signatures of the earliest paths only, about forty a replicate."""
+    rows = pt.path_signatures(pt.event_paths(*_edges(spark, d), 3, max_paths=40))
+    return rows.select("signature", "n_occurrences", "n_lineages", "n_replicates", "support_is_lower_bound")
+
+
+@query(
+    """, rn AS (SELECT DISTINCT rep, k, was, now FROM ev WHERE user_id % 2 = 0),
+re AS (SELECT x.rep, x.k || ' => ' || y.k || ' => ' || z.k AS sig FROM rn x JOIN rn y ON x.rep = y.rep AND x.now = y.was JOIN rn z ON y.rep = z.rep AND y.now = z.was WHERE x.was <> 'error'),
+ac AS (SELECT DISTINCT rep, sig FROM pa), ct AS (SELECT rep, count(*) AS n FROM re GROUP BY 1)
+SELECT rep AS replicate, any_value(ct.n)::DOUBLE AS n_reachable, count(*) AS n_actual, count(*) FILTER ((rep, sig) IN (SELECT (rep, sig) FROM re)) AS n_confirmed, count(*) FILTER ((rep, sig) NOT IN (SELECT (rep, sig) FROM re)) AS n_actual_only,
+       any_value(ct.n) - count(*) FILTER ((rep, sig) IN (SELECT (rep, sig) FROM re))::DOUBLE AS n_aggregate_only, round(count(*) FILTER ((rep, sig) IN (SELECT (rep, sig) FROM re)) / any_value(ct.n), 9) AS realised, false AS actual_is_lower_bound
+FROM ac JOIN ct USING (rep) GROUP BY 1""",
+    PATHS,
+)
+def network_comparison(spark, d):
+    """Paths of all users against the networks of those with even numbers, from anything but errors on, one network a replicate."""
+    merged = ad.event_nodes(spark, d, False).where(F.get("consumed", F.lit(0))["atoms"].cast("long") % 2 == 0).select("replicate", "reaction_key", "reactants", "products").distinct()
+    # A start is a species: the reactions that errors begin don't count as starts.
+    marked = merged.withColumn("reactants", F.when(F.array_contains("reactants", "error"), F.col("reactants")).otherwise(F.array_append("reactants", F.lit("any"))))
+    rows = pt.compare_with_network(pt.event_paths(*_edges(spark, d), 3), marked, "any")
+    return rows.withColumns({"realised": _r("realised", 9), **{c: F.col(c).cast("double") for c in ("n_reachable", "n_aggregate_only")}})
+
+
 # Candidate paths
 
 STEPS = """
@@ -622,4 +672,4 @@ def comparison_matrix(spark, d):
     return rows.select("reaction_key", *[_r(F.col(f"`{g}`")).alias(g.replace(" ", "_").lower()) for g in groups])
 
 
-from . import sources  # noqa: E402, F401  (registers its queries)
+from . import reports, sources  # noqa: E402, F401  (register their queries)

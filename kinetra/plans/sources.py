@@ -15,7 +15,7 @@ from ..operators import occurrences as oc
 from ..operators import paths as pt
 from ..operators import replicates as rp
 from ..operators import space as sp
-from ..session import scratch
+from ..session import cut, scratch
 from ..sources import audits, readers, sinks
 from . import adapters as ad
 from .catalog import PATHS, SQL, A, E, N, X, _abundance, _edges, _r, query
@@ -190,10 +190,10 @@ def evolution_export(spark, d):
 # Species and reactions
 
 
-@query("SELECT smi AS smiles, total AS total_count, peak AS peak_count FROM su WHERE contains(smi, '[C][O]')", A)
+@query("SELECT smi AS smiles, total AS total_count, peak AS peak_count FROM su WHERE contains(lower(smi), lower('[c][O]'))", A)
 def smiles_search(spark, d):
-    """Species whose SMILES contains a carbon next to an oxygen."""
-    return ab.search_smiles(ab.species_summary(_abundance(spark, d)[0]), "[C][O]").select("smiles", "total_count", "peak_count")
+    """Species whose SMILES contains a carbon next to an oxygen, asked for in mixed case."""
+    return ab.search_smiles(ab.species_summary(_abundance(spark, d)[0]), "[c][O]").select("smiles", "total_count", "peak_count")
 
 
 def _formulas(spark, d) -> DataFrame:
@@ -248,10 +248,11 @@ def expanded_counts(spark, d):
 def associated_events(spark, d):
     """Events of the changed components, associated with the molecules again by net key and order."""
     molecules = ad.paired_molecules(spark, d)
-    events = oc.changed_components(molecules)
+    found = cut(oc.changed_components(molecules))
+    events = found
     order = Window.partitionBy("dataset", "transition").orderBy("reactants", "products", "atom_ids")
     events = events.withColumn("source_row", F.row_number().over(order).cast("long")).drop("atom_ids")
-    rows = oc.associate(events, molecules)
+    rows = oc.associate(events, molecules, found)
     return rows.select("transition", "reaction_key", "status", F.array_join(F.col("atom_ids").cast("array<string>"), ",").alias("atom_ids"))
 
 
