@@ -44,6 +44,20 @@ def formula_counts(formula: Column) -> Column:
     return F.map_from_entries(F.transform(names, lambda e: F.struct(e.alias("key"), F.aggregate(F.filter(pairs, lambda p: p["e"] == e), F.lit(0), lambda acc, p: acc + number(p)).alias("value"))))
 
 
+def strict_formula(formula: Column) -> Column:
+    """struct(counts, error): the counts of a formula that is nothing but elements and counts, or what is wrong with it and no counts.
+
+    A plus sign joins the formulas of several species, whose counts add up; blanks around them don't matter, and the sign for an
+    empty set stands for no species. An element whose counts add up to 0 is left out.
+    """
+    parts = F.filter(F.transform(F.split(F.coalesce(formula, F.lit("")), r"\+"), lambda x: F.trim(x)), lambda x: (x != "") & (x != "∅"))
+    text = F.array_join(parts, "")
+    rest = F.regexp_replace(text, "[A-Z][a-z]?[0-9]{0,9}", "")
+    counts = F.map_filter(formula_counts(F.when(rest == "", text)), lambda k, n: n > 0)
+    error = F.when(text == "", "empty formula").when(rest != "", "invalid formula").when(F.size(F.map_keys(counts)) == 0, "no atoms")
+    return F.struct(F.when(error.isNull(), counts).alias("counts"), error.alias("error"))
+
+
 def exact_mass(counts: Column) -> Column:
     """Null if an element has no mass."""
     return F.aggregate(F.map_entries(counts), F.lit(0.0), lambda acc, e: acc + F.try_element_at(_literal_map(MONOISOTOPIC_MASS), e["key"]) * e["value"])

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.reactions import reaction_key, stoich_delta
+from ..session import cut
+from .occurrences import numbered
 
 
 def merge_reactions(reactions: DataFrame, order: str = "line_no", kind: str | None = None) -> DataFrame:
@@ -45,10 +47,14 @@ def species_stats(merged: DataFrame) -> DataFrame:
 
 def channel_ratios(merged: DataFrame, top_n: int | None = None) -> DataFrame:
     """Share of every channel in its species' consumption or production, ranked; top_n of each if given."""
-    group = Window.partitionBy("species", "role")
-    rows = sides(merged).groupBy("species", "role", "reaction_key").agg(F.sum("tp").alias("tp"))
-    rows = rows.withColumn("ratio", F.col("tp") / F.sum("tp").over(group)).withColumn("rank", F.row_number().over(group.orderBy(F.desc("tp"), "reaction_key")))
-    return rows if top_n is None else rows.where(F.col("rank") <= top_n)
+    group = ["species", "role"]
+    rows = cut(sides(merged).groupBy(*group, "reaction_key").agg(F.sum("tp").alias("tp")))
+    totals = rows.groupBy(*group).agg(F.sum("tp").alias("_total"))
+    # Numbered by tp and the beginning of the key, so that a hub such as water is no task of its own.
+    parts = rows.withColumn("part", F.struct((-F.col("tp")).alias("a"), F.substring("reaction_key", 1, 12).alias("b")))
+    ranked = numbered(parts, group, "part", [F.desc("tp"), "reaction_key"], "rank").drop("part")
+    ranked = ranked if top_n is None else ranked.where(F.col("rank") <= top_n)
+    return ranked.join(totals, group).select(*group, "reaction_key", "tp", (F.col("tp") / F.col("_total")).alias("ratio"), "rank")
 
 
 def top_reactions(merged: DataFrame, species: str, role: str, n: int) -> DataFrame:
@@ -87,8 +93,9 @@ def unbalanced(merged: DataFrame, dim: DataFrame) -> DataFrame:
 def species_of_formula(stats: DataFrame, dim: DataFrame) -> DataFrame:
     """Every species with its share of its formula's throughput, and its rank there."""
     rows = stats.join(dim.select(F.col("smiles").alias("species"), "formula", "n_heavy"), "species")
-    w = Window.partitionBy("formula")
-    return rows.withColumn("share", F.col("throughput") / F.sum("throughput").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("throughput"), "species")))
+    totals = rows.groupBy("formula").agg(F.sum("throughput").alias("_total"))
+    rank = F.row_number().over(Window.partitionBy("formula").orderBy(F.desc("throughput"), "species"))  # the isomers of one formula
+    return rows.join(totals, "formula").withColumn("share", F.col("throughput") / F.col("_total")).drop("_total").withColumn("rank", rank)
 
 
 def rank_intermediates(stats: DataFrame, dim: DataFrame, min_heavy: int = 1, min_throughput: int = 10, exclude: tuple[str, ...] = ()) -> DataFrame:

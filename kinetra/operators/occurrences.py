@@ -177,27 +177,33 @@ def event_species(occurrences: DataFrame) -> DataFrame:
     return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("dataset", "event_id", "side", "species").orderBy("place"))).drop("place")
 
 
-def adjacent_events(occurrences: DataFrame, anchors: DataFrame, direction: str = "later", limit: int = 10) -> DataFrame:
-    """For anchors (dataset, event_id, species): up to limit events strictly later that consume, or earlier that produce, the species; nearest first.
+def adjacent_events(occurrences: DataFrame, anchors: DataFrame, direction: str = "later", limit: int = 10, terms: DataFrame | None = None) -> DataFrame:
+    """For anchors (dataset, event_id, species, and transition if they have it): up to limit events strictly later that consume, or earlier that produce, the species; nearest first.
 
     Events of a species are numbered in order of time, by ranges of 64 transitions, so that a common species is no task of its
     own. An anchor counts those up to its own time, and takes the next `limit` numbers by an equi join; pairs beyond the limit
-    are never made.
+    are never made. terms: rows of event_species, if there are some already; a table in buckets by dataset and species is not
+    shuffled (see sinks.read_evidence_tables).
     """
     sign, side = (1, "reactant") if direction == "later" else (-1, "product")
-    terms = event_species(occurrences).where(F.col("side") == side).select("dataset", "species", F.col("event_id").alias("other_id"), F.col("transition").alias("other_transition")).distinct()
-    start = anchors.join(occurrences.select("dataset", "event_id", "transition"), ["dataset", "event_id"])
+    terms = (event_species(occurrences) if terms is None else terms).where(F.col("side") == side).select("dataset", "species", F.col("event_id").alias("other_id"), F.col("transition").alias("other_transition")).distinct()
+    start = anchors if "transition" in anchors.columns else anchors.join(occurrences.select("dataset", "event_id", "transition"), ["dataset", "event_id"])
     span = F.floor(F.col("u") / 64).alias("span")
     terms = terms.withColumn("u", sign * F.col("other_transition")).select("*", span)
-    both = terms.select("dataset", "species", "span", "u", F.lit(1).alias("one"), F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("long").alias("transition"))
-    anchored = start.select("dataset", "species", (sign * F.col("transition")).alias("u"), F.lit(0).alias("one"), "event_id", "transition").select("*", span)
-    both = both.unionByName(anchored)
-    sums = both.groupBy("dataset", "species", "span").agg(F.sum("one").alias("all"))
-    sums = sums.select("dataset", "species", "span", F.coalesce(F.sum("all").over(Window.partitionBy("dataset", "species").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("sooner"))
-    inside = F.sum("one").over(Window.partitionBy("dataset", "species", "span").orderBy("u").rangeBetween(Window.unboundedPreceding, 0))
-    terms = numbered(terms, ["dataset", "species"], "span", ["u", "other_id"], "r").drop("span")
-    both = both.withColumn("inside", inside).where("one = 0").join(sums, ["dataset", "species", "span"])
-    before = F.col("sooner") + F.col("inside")
+    numbers = numbered(terms, ["dataset", "species"], "span", ["u", "other_id"], "r")
+    # How many events of a span lie up to each time, and in all spans before: an anchor takes the last of these up to its own.
+    upto = numbers.groupBy("dataset", "species", "span", "u").agg(F.max("r").alias("r"))
+    tops = upto.groupBy("dataset", "species", "span").agg(F.max("r").alias("top"))
+    anchored = start.select("dataset", "species", (sign * F.col("transition")).alias("u"), "event_id", "transition").select("*", span)
+    # In an anchor's own span by a join on it, else from the spans before: the anchor's place among the spans of its species.
+    own = anchored.join(upto.select("dataset", "species", "span", F.col("u").alias("v"), "r"), ["dataset", "species", "span"]).where("v <= u").groupBy("dataset", "species", "event_id", "transition").agg(F.max("r").alias("own"))
+    places = anchored.select("dataset", "species", "span").distinct().withColumn("top", F.lit(None).cast("int")).unionByName(tops)
+    places = places.groupBy("dataset", "species", "span").agg(F.max("top").alias("top"))
+    sooner = F.max("top").over(Window.partitionBy("dataset", "species").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    places = places.select("dataset", "species", "span", F.coalesce(sooner, F.lit(0)).alias("sooner"))
+    terms = numbers.drop("span")
+    both = anchored.join(places, ["dataset", "species", "span"]).join(own, ["dataset", "species", "event_id", "transition"], "left")
+    before = F.coalesce("own", "sooner")
     wanted = both.withColumn("before", before).select("dataset", "species", "event_id", "transition", "before", F.explode(F.sequence(F.lit(1), F.lit(limit))).alias("rank"))
     rows = wanted.withColumn("r", (F.col("before") + F.col("rank")).cast("int")).join(terms.drop("u"), ["dataset", "species", "r"])
     return rows.select("dataset", "event_id", "species", "transition", "other_id", "other_transition", F.abs(F.col("other_transition") - F.col("transition")).alias("gap"), "rank")

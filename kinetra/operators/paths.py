@@ -246,7 +246,8 @@ def candidate_steps(merged: DataFrame, direction: str = "downstream") -> DataFra
     evidence = [F.col(c) if c in merged.columns else F.lit(None).cast("double").alias(c) for c in ("event_coverage", "time_coverage")]
     rows = rows.select("reaction_key", "tp", "reverse_tp", "net_tp", "directionality", *evidence, F.explode(F.array_distinct(source)).alias("focal_input"), F.array_sort(target).alias("outputs"))
     rows = rows.select("*", F.posexplode("outputs").alias("n", "focal_output")).drop("outputs")
-    rows = rows.withColumn("net_share", F.col("net_tp") / F.sum("net_tp").over(Window.partitionBy("focal_input")))
+    totals = rows.groupBy("focal_input").agg(F.sum("net_tp").alias("_total"))  # an aggregate, so that a hub is no task of its own
+    rows = rows.join(totals, "focal_input").withColumn("net_share", F.col("net_tp") / F.col("_total")).drop("_total")
     return rows.withColumn("score", step_score(F.col("net_share"), F.col("directionality"), F.col("event_coverage"), F.col("time_coverage"))).withColumnRenamed("tp", "forward_tp")
 
 
@@ -398,9 +399,11 @@ def cascade(merged: DataFrame, dim: DataFrame, starts: DataFrame, max_depth: int
     source, target = ("reactants", "products") if direction == "downstream" else ("products", "reactants")
     flux = with_reverse(merged)
     terms = flux.select("reaction_key", "tp", "net_tp", "reversible", F.col(target).alias("outs"), F.explode(source).alias("here"))
-    total = Window.partitionBy("here")
-    channels = terms.withColumn("fraction", F.col("tp") / F.sum("tp").over(total)).dropDuplicates(["here", "reaction_key"])
-    channels = channels.withColumn("n", F.row_number().over(total.orderBy(F.desc("tp"), "reaction_key"))).where(F.col("n") <= 3 * branches)
+    totals = terms.groupBy("here").agg(F.sum("tp").alias("_total"))
+    channels = terms.dropDuplicates(["here", "reaction_key"]).withColumn("salt", F.pmod(F.xxhash64("reaction_key"), F.lit(64)))
+    for keys in (["here", "salt"], ["here"]):  # the first of each of 64 parts, then the first of those
+        channels = channels.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("tp"), "reaction_key"))).where(F.col("n") <= 3 * branches)
+    channels = channels.drop("salt").join(totals, "here").withColumn("fraction", F.col("tp") / F.col("_total")).drop("_total")
     heavy = dim.select(F.col("smiles").alias("o"), F.col("n_heavy"))
     outs = channels.select("here", "reaction_key", F.explode(F.array_distinct("outs")).alias("o")).join(heavy, "o")
     ranked = outs.groupBy("here", "reaction_key").agg(F.array_sort(F.collect_list(F.struct((-F.col("n_heavy")).alias("w"), "o"))).alias("outs"))

@@ -672,4 +672,4 @@ def comparison_matrix(spark, d):
     return rows.select("reaction_key", *[_r(F.col(f"`{g}`")).alias(g.replace(" ", "_").lower()) for g in groups])
 
 
-from . import reports, sources  # noqa: E402, F401  (register their queries)
+from . import sources, reports  # noqa: E402, F401, I001  (register their queries)

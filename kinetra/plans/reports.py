@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.reactions import radical_subclass
-from ..functions.species import species_dim
+from ..functions.species import species_dim, strict_formula
 from ..operators import abundance as ab
 from ..operators import network as nw
 from ..operators import occurrences as oc
 from ..operators import paths as pt
 from ..operators import replicates as rp
-from ..session import cut
+from ..session import cut, scratch
+from ..sources import readers, sinks
 from . import adapters as ad
 from .catalog import RDIM, SQL, A, E, N, R, _abundance, _net_dim, _r, query
 
@@ -213,3 +214,156 @@ def group_faults(spark, d):
     bad = conditions.withColumn("replicate", F.when(F.col("group_name") == "AFRICA", -F.col("replicate")).otherwise(F.col("replicate"))).withColumn("source", F.when(F.col("group_name") != "AMERICA", F.col("source")))
     bad = bad.union(conditions.where("group_name = 'ASIA'")).union(spark.range(1).select(F.lit("empty"), F.lit(None).cast("long"), F.lit(None).cast("string")))
     return rp.audit_groups(bad, counts.where("group_name <> 'EUROPE'")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+# Exports and materialised evidence
+
+
+def _evidence(spark, d) -> dict[str, DataFrame]:
+    """Events and abundances written as bucketed tables of a new name, and read again."""
+    name = scratch(spark).rsplit("/", 1)[-1].replace("-", "_")
+    sinks.write_evidence_tables(name, ad.occurrences(spark, d), _datasets(spark, d)[0], 8)
+    return sinks.read_evidence_tables(spark, name)
+
+
+@query(SQL["adjacent_events"])
+def bucketed_neighbours(spark, d):
+    """The five nearest later events that consume what each event made, from evidence in buckets."""
+    tables = _evidence(spark, d)
+    anchors = tables["event_species"].where("side = 'product'").select("dataset", "event_id", "species", "transition").distinct()
+    return oc.adjacent_events(tables["occurrences"], anchors, "later", 5, tables["event_species"]).select("dataset", "event_id", "species", "other_id", "gap", "rank")
+
+
+@query("SELECT nt.k AS reaction_key, tp, count(ev.id) AS n_events, coalesce(min(ev.t), -1) AS first_transition FROM nt LEFT JOIN ev ON ev.k = nt.k GROUP BY 1, 2", E)
+def bucketed_check(spark, d):
+    """Reactions of the network with all events that bear exactly their key, from evidence in buckets."""
+    events = _evidence(spark, d)["occurrences"]
+    rows = oc.occurrence_check(ad.event_network(spark, d).select("reaction_key", "tp"), events, 1)
+    first = events.groupBy("reaction_key").agg(F.min("transition").alias("t"))
+    return rows.join(first, "reaction_key", "left").select("reaction_key", "tp", "n_events", F.coalesce("t", F.lit(-1)).cast("long").alias("first_transition"))
+
+
+@query(
+    """SELECT row_number() OVER (ORDER BY sc DESC, s) AS rank, formula, s AS smiles, thr AS throughput, tpr AS produce_tp, tc AS consume_tp, tpr - tc AS net, nc + np AS hub_score, c + o AS n_heavy, false AS has_ring
+FROM (SELECT *, thr * log2(nc + np + 1) AS sc FROM stats JOIN dim ON s = smi WHERE thr >= 10) QUALIFY rank <= 4""",
+    N,
+)
+def ranked_species_table(spark, d):
+    """The four first species, written as CSV and read again."""
+    merged, dim = _net_dim(spark, d)
+    rows = sinks.ranked_species(nw.species_stats(merged), dim, 4)
+    sinks.write(rows, path := scratch(spark), "csv")
+    return spark.read.schema(rows.schema).option("header", True).csv(path)
+
+
+@query(
+    """, t AS (SELECT k, tp, r, p, row_number() OVER (ORDER BY tp DESC, k) AS rank FROM m QUALIFY rank <= 30)
+SELECT rank, tp, replace(rf, '+', ' + ') AS reactant_formulas, replace(pf, '+', ' + ') AS product_formulas, array_to_string(r, ' + ') AS reactant_smiles, array_to_string(p, ' + ') AS product_smiles FROM t JOIN rd USING (k)""",
+    N + RDIM,
+)
+def ranked_reactions_table(spark, d):
+    return sinks.ranked_reactions(*_net_dim(spark, d), 30)
+
+
+@query(
+    """, c AS (SELECT f.k, rf || '->' || pf AS ch, net, net * (len(list_filter(r, lambda x: x = '[C][C]')) - len(list_filter(p, lambda x: x = '[C][C]'))) AS loss,
+      len(list_filter(string_split(rf, '+'), lambda x: x = 'C2')) - len(list_filter(string_split(pf, '+'), lambda x: x = 'C2')) AS ch_c FROM f JOIN rd USING (k) WHERE net > 0 AND list_contains(r, '[C][C]')),
+q AS (SELECT * FROM c WHERE loss >= 1 AND ch_c > 0),
+g AS (SELECT ch, sum(loss)::BIGINT AS pl, sum(net)::BIGINT AS pn, row_number() OVER (ORDER BY sum(loss) DESC, ch) AS parent_rank FROM q GROUP BY 1 QUALIFY parent_rank <= 6)
+SELECT parent_rank, ch AS parent_channel, pl AS parent_net_start_loss, pn AS parent_net_events, row_number() OVER (PARTITION BY ch ORDER BY loss DESC, k) AS branch_rank, round(loss / pl * 100, 3) AS branch_share_pct, k AS branch_reaction, loss AS branch_net_start_loss FROM q JOIN g USING (ch)""",
+    N + RDIM,
+)
+def channel_branch_table(spark, d):
+    """The branches of the six channels by which most of a species is lost."""
+    merged, dim = _net_dim(spark, d)
+    return sinks.channel_branches(nw.initiation_channels(merged, dim, "[C][C]"), 6)
+
+
+@query(
+    """, v AS (SELECT smi AS s, replace(smi, '[Cl]', '') AS can, sum(n)::BIGINT AS n FROM a GROUP BY 1, 2)
+SELECT can AS canonical, sum(n) OVER (PARTITION BY can)::BIGINT AS total, row_number() OVER (PARTITION BY can ORDER BY n DESC, s) AS rank, s AS smiles, n AS count FROM v""",
+    A,
+)
+def smiles_variant_table(spark, d):
+    """Species with and without chlorine as variants of one; those without are given no canonical form."""
+    merged = _abundance(spark, d)[0]
+    canonical = merged.where("contains(smiles, '[Cl]')").select("smiles", F.replace("smiles", F.lit("[Cl]"), F.lit("")).alias("canonical")).distinct()
+    return sinks.smiles_variants(merged, canonical)
+
+
+@query("SELECT event_id, timestep, id, scope FROM (" + SQL.get("local_view", "SELECT 1") + ") WHERE scope <> 'environment'")
+def participant_atoms(spark, d):
+    """The atoms of local views that take part, written by event and read again."""
+    from .sources import local_view
+
+    view = sinks.scoped_atoms(local_view(spark, d), "participants").select("event_id", "timestep", "id", "scope")
+    sinks.write(view, path := scratch(spark), partition_by=("event_id",))
+    return spark.read.schema(view.schema).parquet(path)
+
+
+@query("SELECT smi AS smiles, total AS total_count, 'rules 1' AS rule_version, 'score 2' AS score_version, '{\"text\": \"cl\"}' AS query FROM su WHERE contains(smi, '[Cl]')", A)
+def audited_candidates(spark, d):
+    """Candidates with the versions of the rules and the query next to each, written as CSV and read again."""
+    rows = ab.search_smiles(ab.species_summary(_abundance(spark, d)[0]), "cl").select("smiles", "total_count")
+    rows = sinks.with_query_columns(rows, "rules 1", "score 2", '{"text": "cl"}')
+    sinks.write(rows, path := scratch(spark), "csv")
+    return spark.read.schema(rows.schema).option("header", True).option("escape", "\\").csv(path)
+
+
+@query(
+    """WITH r AS (SELECT r_regionkey AS i, 'r' || r_regionkey || CASE WHEN r_regionkey % 2 = 0 THEN '/deep' ELSE '' END AS dir FROM region)
+SELECT dir AS directory, 'a' || i || '.reactionabcd' AS file FROM r"""
+)
+def scanned_conditions(spark, d):
+    """A folder for each region, some one deeper, all with two reaction files and with a folder inside that doesn't count."""
+    root = scratch(spark)
+    rows = ad.table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey", F.when(F.col("r_regionkey") % 2 == 0, "/deep").otherwise("")).alias("dir"), "r_regionkey")
+    files = rows.select(F.explode(F.array(F.concat("dir", F.lit("/a"), "r_regionkey"), F.concat("dir", F.lit("/b"), "r_regionkey"), F.concat("dir", F.lit("/inside/a"), "r_regionkey"))).alias("f"))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for r in files.limit(1000).collect():  # three names a region
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{r.f}.reactionabcd")
+        out = path.getFileSystem(conf).create(path)
+        out.write(10)
+        out.close()
+    found = readers.scan_conditions(spark, root)
+    tail = root.rsplit("/", 1)[-1]
+    return found.select(F.substring_index("directory", f"{tail}/", -1).alias("directory"), F.substring_index("file", "/", -1).alias("file"))
+
+
+@query(
+    """WITH s AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'C1CC' || (p_size % 3 + 1) || '=O1' WHEN p_partkey % 4 = 1 THEN '[13C]' || repeat('[C]', p_size) ELSE repeat('[C]', p_size) END AS smi, p_size, p_partkey FROM part)
+SELECT id, p_partkey % 4 < 2 AS has_ring, CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_size % 3 = 0 THEN 2 ELSE 4 END WHEN 1 THEN 2 ELSE 0 END AS ring_atoms, CASE WHEN p_partkey % 4 = 0 THEN 4 ELSE p_size END::INT AS n_heavy FROM s"""
+)
+def ring_species(spark, d):
+    """Ring digits; the second digit of an isotope counts as one, the first, right behind its bracket, doesn't."""
+    part = ad.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("int").alias("n"))
+    smiles = F.when(F.col("id") % 4 == 0, F.concat(F.lit("C1CC"), (F.col("n") % 3 + 1).cast("string"), F.lit("=O1"))).when(F.col("id") % 4 == 1, F.concat(F.lit("[13C]"), F.expr("repeat('[C]', n)"))).otherwise(F.expr("repeat('[C]', n)"))
+    rows = part.select("id", smiles.alias("smiles"))
+    dim = species_dim(rows).select("smiles", "has_ring", "ring_atoms", "n_heavy")
+    return rows.join(dim, "smiles").select("id", "has_ring", "ring_atoms", "n_heavy")
+
+
+@query(
+    """WITH f AS (SELECT p_partkey AS id, p_size AS n, p_partkey % 6 AS k FROM part)
+SELECT id, CASE k WHEN 1 THEN 'invalid formula' WHEN 2 THEN 'empty formula' WHEN 3 THEN 'no atoms' END AS error, CASE k WHEN 0 THEN n + 1 WHEN 4 THEN n + 2 WHEN 5 THEN n END AS carbon, CASE k WHEN 0 THEN 2 WHEN 4 THEN n END AS hydrogen FROM f"""
+)
+def strict_formulas(spark, d):
+    """Formulas that are right, wrong, empty, without atoms, joined, and with an empty set."""
+    part = ad.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("int").alias("n"))
+    k = F.col("id") % 6
+    text = F.when(k == 0, F.concat(F.lit("C"), "n", F.lit("H2C"))).when(k == 1, F.concat(F.lit("C"), "n", F.lit("h-2"))).when(k == 2, " ").when(k == 3, "C0H0").when(k == 4, F.concat(F.lit("C"), "n", F.lit(" + C2H"), "n")).otherwise(F.concat(F.lit("C"), "n", F.lit(" + ∅")))
+    rows = part.select("id", strict_formula(text).alias("f"))
+    return rows.select("id", "f.error", F.try_element_at("f.counts", F.lit("C")).alias("carbon"), F.try_element_at("f.counts", F.lit("H")).alias("hydrogen"))
+
+
+@query(
+    """, p AS (SELECT s, o, max(net) AS net FROM (SELECT unnest(list_distinct(r)) AS s, k, p, net FROM f WHERE net > 0 AND net / tp >= 0.05), unnest(p) u(o) WHERE s <> o GROUP BY 1, 2)
+SELECT DISTINCT s AS start, o AS "end" FROM p WHERE (length(o) - length(replace(o, '[C]', ''))) // 3 = 1""",
+    N,
+)
+def small_carbon_targets(spark, d):
+    """Which species of one carbon can be reached in one step, all branches kept."""
+    merged, dim = _net_dim(spark, d)
+    starts = nw.sides(merged).select(F.col("species").alias("start")).distinct()
+    rows = pt.candidate_paths(pt.candidate_steps(merged), starts, max_depth=1, max_branches=100, max_paths=500, dim=dim, target_max_carbon=1)
+    return rows.where("size(species) = 2").select("start", F.element_at("species", -1).alias("end")).distinct()
