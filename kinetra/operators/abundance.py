@@ -133,17 +133,23 @@ def reference_and_others(merged: DataFrame, dim: DataFrame, reference: str, elem
     return rows.select("timestep", ref.alias("reference"), F.greatest(F.lit(0), F.coalesce("all", F.lit(0)) - ref).alias("others"))
 
 
+def curve_members(merged: DataFrame, dim: DataFrame, targets: DataFrame, max_members: int = 20) -> DataFrame:
+    """(series, kind, smiles, total, n, kept): the species of each target, most abundant first; kept is false for those beyond max_members."""
+    totals = merged.groupBy("smiles").agg(F.sum("count").alias("total")).join(dim.select("smiles", "formula"), "smiles")
+    by = lambda kind, column: targets.where(F.col("kind") == kind).join(totals, F.col("value") == F.col(column)).select("series", "kind", "smiles", "total")
+    members = by("smiles", "smiles").union(by("formula", "formula"))
+    return members.withColumn("n", F.row_number().over(Window.partitionBy("series").orderBy(F.desc("total"), "smiles"))).withColumn("kept", F.col("n") <= max_members)
+
+
 def curves(merged: DataFrame, dim: DataFrame, targets: DataFrame, max_members: int = 20, mode: str = "sum") -> tuple[DataFrame, DataFrame]:
     """(series, timestep, count), and the targets without any member. targets: series, kind (smiles or formula), value.
 
     mode: sum adds up the members of a formula, split makes a series of each, named series[1] for the most abundant and so on, both does both.
+    Members beyond max_members take no part; curve_members tells which.
     """
     if mode not in ("sum", "split", "both"):
         raise ValueError("mode must be sum, split or both")
-    totals = merged.groupBy("smiles").agg(F.sum("count").alias("total")).join(dim.select("smiles", "formula"), "smiles")
-    by = lambda kind, column: targets.where(F.col("kind") == kind).join(totals, F.col("value") == F.col(column)).select("series", "kind", "smiles", "total")
-    members = by("smiles", "smiles").union(by("formula", "formula"))
-    members = members.withColumn("n", F.row_number().over(Window.partitionBy("series").orderBy(F.desc("total"), "smiles"))).where(F.col("n") <= max_members)
+    members = curve_members(merged, dim, targets, max_members).where("kept")
     one = F.concat("series", F.lit("["), "n", F.lit("]"))
     names = {"sum": F.array("series"), "split": F.array(one), "both": F.array("series", one)}[mode]
     named = members.select("smiles", F.explode(F.when(F.col("kind") == "smiles", F.array("series")).otherwise(names)).alias("series"))

@@ -31,11 +31,16 @@ def running_total(rows: DataFrame, group: list[str], part: str, order: list, val
     return inside.join(starts, [*group, part]).withColumn(name, F.col("_start") + F.col("_i")).drop("_start", "_i")
 
 
-def ordered_parts(rows: DataFrame, *order: str, n: int = 32) -> DataFrame:
+def ordered_parts(rows: DataFrame, *order: str | Column, n: int = 32) -> DataFrame:
     """rows with the column part: parts that follow each other in the given order. Written, so that the cuts between them stay the same."""
     return cut(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
 
 
+def ranked(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows with their number from 1 in the given order of all of them; parts follow each other, and no window holds more than one."""
+    return numbered(ordered_parts(rows, *order), [], "part", order, name).drop("part")
+
+
 def expand_counts(records: DataFrame) -> DataFrame:
     """A row for each of the count occurrences of a record, with its ordinal."""
     return records.where("count > 0").withColumn("ordinal", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count").cast("long"))))

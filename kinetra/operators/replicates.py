@@ -29,6 +29,12 @@ def require_unique(conditions: DataFrame) -> DataFrame:
     return conditions
 
 
+def common_reactions(counts: DataFrame, top: int = 500) -> DataFrame:
+    """(reaction_key, reverse_key): the reactions of the most replicates, then of the largest sum of tp, then first by key; a bounded list."""
+    rows = counts.where("tp > 0").groupBy("reaction_key", "reverse_key").agg(F.countDistinct("group_name", "replicate").alias("n"), F.sum("tp").alias("tp"))
+    return rows.orderBy(F.desc("n"), F.desc("tp"), "reaction_key").limit(top).select("reaction_key", "reverse_key")
+
+
 def replicate_table(counts: DataFrame, conditions: DataFrame, reactions: DataFrame) -> DataFrame:
     """Forward, reverse and net counts of the given reactions (reaction_key, reverse_key; a ranked top) in every replicate, absent ones 0."""
     grid = conditions.join(reactions, how="cross")

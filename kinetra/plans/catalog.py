@@ -608,8 +608,7 @@ def replicate_table(spark, d):
 
 def _table(spark, d):
     counts = ad.replicate_counts(spark, d)
-    conditions, keys = counts.select("group_name", "replicate").distinct(), counts.select("reaction_key", "reverse_key").distinct()
-    return rp.replicate_table(counts, conditions, keys)
+    return rp.replicate_table(counts, counts.select("group_name", "replicate").distinct(), rp.common_reactions(counts))
 
 
 @query("SELECT k AS reaction_key, count(*) AS n_replicates, count(*) FILTER (fwd > 0) AS n_detected, sum(fwd)::BIGINT AS total, round(count(*) FILTER (fwd > 0) / count(*), 9) AS detection_rate FROM tab GROUP BY 1", R)

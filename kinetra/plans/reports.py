@@ -367,3 +367,86 @@ def small_carbon_targets(spark, d):
     starts = nw.sides(merged).select(F.col("species").alias("start")).distinct()
     rows = pt.candidate_paths(pt.candidate_steps(merged), starts, max_depth=1, max_branches=100, max_paths=500, dim=dim, target_max_carbon=1)
     return rows.where("size(species) = 2").select("start", F.element_at("species", -1).alias("end")).distinct()
+
+
+# Variants of queries in catalog: longer sides, second order, other ways of scaling
+
+
+@query(
+    """WITH sp AS (SELECT p_partkey, repeat('[C]', (p_size % 2 + 1)::INT) AS smi FROM part),
+rx AS (SELECT l_orderkey, l_orderkey % 3 + 1 AS tp, array_to_string(list_sort(list(smi) FILTER (l_linenumber % 2 = 1)), '+') AS r, array_to_string(list_sort(list(smi) FILTER (l_linenumber % 2 = 0)), '+') AS p FROM lineitem JOIN sp ON l_partkey = p_partkey GROUP BY 1),
+m AS (SELECT r || '->' || p AS k, p || '->' || r AS rk, sum(tp)::BIGINT AS tp FROM rx WHERE r IS NOT NULL AND p IS NOT NULL GROUP BY 1, 2)
+SELECT m.k AS reaction_key, m.tp, coalesce(b.tp, 0) AS reverse_tp, m.tp - coalesce(b.tp, 0) AS net_tp FROM m LEFT JOIN m b ON m.rk = b.k"""
+)
+def long_reactions(spark, d):
+    """A reaction for each order, of all its lines, odd ones to even ones, counted up to three times and read from text."""
+    c = (F.col("p_size") % 2 + 1).cast("int").alias("c")
+    species = ad.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), c).select("l_partkey", F.expr("repeat('[C]', c)").alias("smi"))
+    lines = ad.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(species, "l_partkey")
+    side = lambda odd: F.array_join(F.collect_list(F.when(F.col("l_linenumber") % 2 == odd, F.col("smi"))), "+")
+    rows = lines.groupBy("l_orderkey").agg(side(1).alias("r"), side(0).alias("p")).where("r <> '' and p <> ''")
+    rows.select(F.concat((F.col("l_orderkey") % 3 + 1).cast("string"), F.lit(" "), "r", F.lit("->"), "p").alias("value")).write.text(path := scratch(spark))
+    return nw.with_reverse(nw.merge_reactions(readers.read_reactions(spark, path))).select("reaction_key", "tp", "reverse_tp", "net_tp")
+
+
+@query(
+    """, e AS (SELECT formula, t, sum(n) AS n FROM a JOIN dim USING (smi) GROUP BY 1, 2), mean AS (SELECT formula, avg(n) AS x FROM e GROUP BY 1), sec AS (SELECT (max(t) - min(t)) * 0.5 * 1e-12 AS s FROM e)
+SELECT p.formula || '+' || q.formula AS reaction_key, round(1000 * 6.022140857e23 * (1e6 * 1e-27) / (s * p.x * q.x) / 1e12, 4) AS k FROM mean p JOIN mean q ON p.formula < q.formula, sec WHERE p.formula IN ('C2', 'C2O')""",
+    A,
+)
+def second_order_rates(spark, d):
+    """Constants of a thousand events of two formulas each, per litre, mol and ps."""
+    merged, dim = _abundance(spark, d)
+    series = merged.join(dim.select("smiles", "formula"), "smiles").groupBy("formula", "timestep").agg(F.sum("count").alias("count"))
+    names = series.select("formula").distinct()
+    pairs = names.where("formula in ('C2', 'C2O')").select(F.col("formula").alias("a")).join(names.select(F.col("formula").alias("b")), F.col("a") < F.col("b"))
+    rates = pairs.select(F.concat_ws("+", "a", "b").alias("reaction_key"), F.array("a", "b").alias("reactants_formulas"), F.lit(1000).alias("count"))
+    return ab.rate_constants(rates, series, 1e6, 0.5).select("reaction_key", _r(F.col("k") / 1e12, 4).alias("k"))
+
+
+@query("SELECT smi AS smiles, t AS timestep, round(CASE WHEN f = 0 THEN 0 ELSE n / f END, 6) AS relative FROM (SELECT *, first(n) OVER (PARTITION BY smi ORDER BY t) AS f FROM a)", A)
+def series_by_first(spark, d):
+    """Counts over the first count of each species."""
+    rows = _abundance(spark, d)[0]
+    return rows.select("smiles", "timestep", _r(ab.normalise(F.col("count"), ("smiles",), "timestep", "first")).alias("relative"))
+
+
+@query("SELECT smi AS smiles, t AS timestep, t::DOUBLE AS time, n AS count FROM a WHERE t <= (SELECT min(m) FROM (SELECT max(t) AS m FROM a GROUP BY smi))", A)
+def truncated_time(spark, d):
+    """Series cut at the earliest end of all."""
+    return ab.align_time(_abundance(spark, d)[0], ("smiles",), "truncate").select("smiles", "timestep", "time", "count")
+
+
+@query(
+    """WITH s AS (SELECT o_orderpriority AS g, count(*) AS n, avg(o_totalprice::DOUBLE) AS m, stddev_samp(o_totalprice::DOUBLE) AS sd FROM orders GROUP BY 1), z AS (SELECT *, 1.959963984540054::DOUBLE AS z, (n - 1)::DOUBLE AS df FROM s),
+q AS (SELECT *, z + (pow(z, 3) + z) / (4 * df) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * df * df) + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * df * df * df) AS t FROM z)
+SELECT g AS group_name, n, round(m, 4) AS mean, round(m - t * sd / sqrt(n), 4) AS ci_low, round(m + t * sd / sqrt(n), 4) AS ci_high FROM q"""
+)
+def large_samples(spark, d):
+    """Intervals of groups of more than thirty: the quantile by its expansion."""
+    rows = rp.statistics(ad.table(spark, d, "orders").select(F.col("o_orderpriority").alias("group_name"), F.col("o_totalprice").cast("double").alias("v")), "v", ("group_name",))
+    return rows.select("group_name", "n", *[_r(c, 4).alias(c) for c in ("mean", "ci_low", "ci_high")])
+
+
+@query(
+    """, b AS (SELECT user_id, was AS s, t % 3 AS o, count(*) AS n FROM ev GROUP BY 1, 2, 3), a AS (SELECT user_id, now AS s, t % 2 AS o, count(*) AS n FROM ev GROUP BY 1, 2, 3)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN coalesce(a.n, 0) > coalesce(b.n, 0) THEN 'appeared' ELSE 'vanished' END AS change, abs(coalesce(a.n, 0) - coalesce(b.n, 0)) AS n
+FROM a FULL JOIN b ON a.user_id = b.user_id AND a.s = b.s AND a.o = b.o WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""",
+    E,
+)
+def bonded_states(spark, d):
+    """States that differ in the order of a bond are other states."""
+    nodes = ad.event_nodes(spark, d)
+
+    def side(c, orders):
+        bond = F.concat(F.col("i.atoms"), F.lit("-x-"), (F.col("t") % orders).cast("string"))
+        return nodes.select("t", F.explode(c).alias("i")).select(F.col("i.atoms").cast("long").alias("user_id"), oc.state_key(F.col("i.species"), F.array("i.atoms"), F.array(bond)).alias("state"))
+
+    return oc.changed_states(side("consumed", 3), side("produced", 2), ("user_id",)).select("user_id", "change", "n")
+
+
+@query("SELECT formula AS series, smi AS smiles, row_number() OVER (PARTITION BY formula ORDER BY total DESC, smi) AS n, row_number() OVER (PARTITION BY formula ORDER BY total DESC, smi) <= 1 AS kept FROM su JOIN dim USING (smi) WHERE formula IN ('C2O', 'C4ClO3')", A)
+def members_of_curves(spark, d):
+    """Species of two formulas, of which one each is kept."""
+    targets = spark.createDataFrame([(f, "formula", f) for f in ("C2O", "C4ClO3", "N2")], "series string, kind string, value string")
+    return ab.curve_members(*_abundance(spark, d), targets, 1).select("series", "smiles", "n", "kept")

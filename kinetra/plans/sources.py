@@ -94,10 +94,10 @@ def molecule_file(spark, d):
 def _timeline(spark, d: str, path: str, faulty: bool = False) -> None:
     """Native evidence of the events: a frame for each day with changes, and one more."""
     nodes = ad.event_nodes(spark, d)
-    days = nodes.select("t").distinct().withColumn("transition_index", F.row_number().over(Window.orderBy("t")).cast("bigint") - 1)  # the days of one dataset
+    days = oc.ranked(nodes.select("t").distinct(), [F.col("t")], "n").select("t", (F.col("n") - 1).cast("bigint").alias("transition_index"))
     end = days.agg((F.max("transition_index") + 1).alias("source_frame"), (F.max("t") + 1).alias("timestep"))
     frames = days.select(F.col("transition_index").alias("source_frame"), F.col("t").alias("timestep")).unionByName(end)
-    keys = nodes.groupBy("reaction_key", "reactants", "products").agg(F.count("*").alias("total_count")).withColumn("reaction_id", F.row_number().over(Window.orderBy("reaction_key")))  # the distinct reactions
+    keys = oc.ranked(nodes.groupBy("reaction_key", "reactants", "products").agg(F.count("*").alias("total_count")), [F.col("reaction_key")], "reaction_id")
     counts = nodes.groupBy("t", "reaction_key").agg(F.count("*").alias("count")).join(keys, "reaction_key").join(days, "t")
     users = nodes.select(F.explode("consumed").alias("c"), "t").select(F.col("c.atoms").cast("bigint").alias("molecule_id"), "t").join(days, "t")
     tables = {
@@ -298,8 +298,7 @@ def changed_states(spark, d):
 def ranked_signatures(spark, d):
     """Signatures with enough support, without those that return to their first reaction, with their place."""
     rows = pt.filter_signatures(pt.path_signatures(pt.event_paths(*_edges(spark, d), 3)), hide_pure_h=True, hide_return_cycles=True, min_support=0.5, min_lineages=2)
-    place = F.row_number().over(Window.orderBy(F.desc("n_replicates"), F.desc("n_atoms"), F.desc("n_occurrences"), "signature"))  # distinct signatures
-    return rows.select("signature", place.alias("place"))
+    return oc.ranked(rows, [F.desc("n_replicates"), F.desc("n_atoms"), F.desc("n_occurrences"), F.col("signature")], "place").select("signature", "place")
 
 
 @query("SELECT rep AS replicate, e1 || ',' || e2 || ',' || e3 AS event_ids, i AS position, string_split(sig, ' => ')[i + 1] AS reaction_key, [e1, e2, e3][i + 1] AS event_id FROM pa, range(3) r(i)", PATHS)
