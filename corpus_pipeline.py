@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet under the shared folder and reads
 it again for the next one. All stages but the last return the columns of documents.
+
+In every stage an empty table gives an empty one, further columns pass through whatever their names are, and a null or empty text,
+which has no words, is rejected by the first stage.
 """
 
 from __future__ import annotations
@@ -13,28 +16,38 @@ from kinetra.llm.common import delete, read, scratch, temporary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules go; boilerplate lines of a host go from the others."""
+    """Documents that fail the rules go; boilerplate lines of a host go from the others.
+
+    A null source is a host of its own; repeated rows share a verdict and all stay.
+    """
     return quality.apply_quality(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go, and with them the documents of which nothing is left."""
+    """Later copies of repeated line runs go, and with them the documents of which nothing is left.
+
+    Rows that repeat doc_id and text are one document and change alike; a null doc_id comes first.
+    """
     rows = line_dedup.dedup_lines(docs)
     return rows.where((rows.n_deleted == 0) | (rows.n_deleted < rows.n_lines)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest doc_id; linked are texts alike by 0.8 in five-word shingles."""
+    """One document of each group stays, that of the smallest doc_id; linked are texts alike by 0.8 in five-word shingles, by their fingerprints.
+
+    The fingerprints tell similarity to within some hundredths, and not all pairs near the limit meet; README has the shares found.
+    Of repeated rows one stays; a null doc_id goes by its text, and stays only if its group has no row with an id.
+    """
     return simhash.near_dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item go."""
+    """Documents that hold ten consecutive words of a benchmark item go; items of null id count too, those without words don't."""
     return decontam.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token counts and digests of what is left, a row for each."""
     return bpe.encode_digests(docs, *bpe.default_vocabulary())
 
 
