@@ -49,3 +49,19 @@ def test_stages(spark):
             assert got == {i: (len(codec.encode(t)), hashlib.sha256(t.encode()).hexdigest()) for i, t in before.items()}
             run = {r["doc_id"]: (r["n_tokens"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, FOLDER).collect()}
             assert run == got
+
+
+def test_odd_documents_through_all_stages(spark, tmp_path):
+    """Nulls in every column, repeated rows, a benchmark passage, clashing column names and an empty table."""
+    good = [" ".join(f"w{i}x{(i * k) % 89}" for i in range(70)) for k in (3, 5, 7)]
+    passage = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, good[0], "en", "s"), (1, good[0], "en", "s"), (2, good[0], None, None), (None, good[1], "en", None), (3, None, None, None), (4, "", "en", "s"), (5, "few words", "en", "s"), (6, f"{good[2]} {passage}", "en", "s"), (None, None, None, None)]
+    docs = spark.createDataFrame([(i, t, lang, s, len(t or ""), "x", 1) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, fp long")
+    bench = spark.createDataFrame([(None, passage), (1, None), (1, "")], "item_id long, text string")
+    for name, table in (("full", docs), ("empty", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    left = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in left) == [(False, 1), (True, None)]
+    assert {r["decoded_sha256"] for r in left} == {hashlib.sha256(t.encode()).hexdigest() for t in good[:2]}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
