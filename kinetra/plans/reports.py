@@ -181,6 +181,21 @@ def partly_resolved_events(spark, d):
     return rows.select("transition", "reaction_key", "status", F.array_join(F.col("atom_ids").cast("array<string>"), ",").alias("atom_ids"))
 
 
+@query(
+    'SELECT c.start, c.rank AS path_rank, i + 1 AS step_index, c.species AS path_species, s.reaction_key, \'downstream\' AS traversal_direction, s.focal_input, s.focal_output, split_part(s.reaction_key, \'->\', 1) AS reactants, split_part(s.reaction_key, \'->\', 2) AS products, '
+    "s.forward_tp, s.reverse_tp, s.net_tp, s.net_share, s.directionality, NULL::DOUBLE AS event_coverage, NULL::DOUBLE AS time_coverage, NULL::BIGINT AS event_total, NULL::BIGINT AS matched_event_total, NULL::BIGINT AS distinct_intervals, c.score AS path_score, s.score AS step_score, "
+    "'network_only' AS evidence_status, '7' AS score_version, 'run 1' AS source_references "
+    "FROM (" + SQL["candidate_paths"] + ") c, range(3) r(i) JOIN (SELECT DISTINCT * FROM (" + SQL["candidate_steps"] + ")) s ON s.reaction_key = string_split(c.reaction_keys, ' => ')[i + 1] AND s.focal_input = string_split(c.species, ' > ')[i + 1] AND s.focal_output = string_split(c.species, ' > ')[i + 2]"
+)
+def path_export_full(spark, d):
+    """All columns of the export of candidate routes; without evidence those of it are null."""
+    merged = ad.network(spark, d)
+    steps = pt.candidate_steps(merged)
+    routes = pt.candidate_paths(steps, nw.sides(merged).select(F.col("species").alias("start")).distinct())
+    rows = pt.export_steps(routes, steps, score_version="7", references="run 1")
+    return rows.withColumns({c: _r(c, 9) for c in ("net_share", "directionality", "path_score", "step_score")})
+
+
 # Grouped comparisons
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.occurrences import numbered
 from ..session import cut
 
 
@@ -18,7 +19,9 @@ def audit_timeline(tables: dict[str, DataFrame]) -> DataFrame:
     """Unknown and repeated ids, bad and overlapping ranges, bad counts, and frames out of order."""
     frames, events, types, species, molecules, ranges = (tables[n] for n in ("frames", "reaction_events", "reaction_types", "species", "molecules", "molecule_ranges"))
     n = frames.agg(F.count("*").alias("n_frames"))
-    order = frames.withColumn("p", F.lag("timestep").over(Window.partitionBy("source_id").orderBy("source_frame")))
+    # Frames are numbered by ranges, so that no task holds a source, and meet the one before by its number.
+    order = numbered(frames.withColumn("part", F.floor(F.col("source_frame") / (1 << 16))), ["source_id"], "part", ["source_frame"], "n")
+    order = order.join(order.select("source_id", (F.col("n") + 1).alias("n"), F.col("timestep").alias("p")), ["source_id", "n"])
     sooner = F.max("end_frame").over(Window.partitionBy("molecule_id").orderBy("start_frame", "end_frame").rowsBetween(Window.unboundedPreceding, -1))
     twice = lambda rows, c: _found(rows.groupBy(c).agg(F.count("*").alias("n")).where("n > 1"), f"repeated {c.replace('_', ' ')}", c)
     return reduce(

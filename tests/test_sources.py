@@ -66,6 +66,13 @@ def test_timeline(spark, tmp_path):
         audits.require_clean(audits.audit_timeline(bad))
 
 
+def test_frames_of_a_source_increase(spark):
+    none = {t: spark.createDataFrame([], schema) for t, schema in readers.TIMELINE.items()}
+    steps = [(1, 0, 0), (1, 1, 10), (1, 70_000, 10), (1, 140_000, 20), (2, 0, 5), (2, 9, 4)]
+    found = audits.audit_timeline(none | {"frames": spark.createDataFrame(steps, readers.TIMELINE["frames"])}).collect()
+    assert {tuple(r) for r in found} == {("timesteps don't increase", "1 70000"), ("timesteps don't increase", "2 9")}
+
+
 def test_trajectory(spark, tmp_path):
     frame = "ITEM: TIMESTEP\n{t}\nITEM: NUMBER OF ATOMS\n2\nITEM: BOX BOUNDS pp pp pp\n0 10\n0 10\n0 12\nITEM: ATOMS id type x y z\n1 1 0.5 1 2\n2 2 3 4 5\n"
     frames, atoms = readers.read_trajectory(spark, _file(tmp_path, "a.dump", frame.format(t=0) + frame.format(t=100)))
