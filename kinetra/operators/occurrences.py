@@ -31,9 +31,9 @@ def running_total(rows: DataFrame, group: list[str], part: str, order: list, val
     return inside.join(starts, [*group, part]).withColumn(name, F.col("_start") + F.col("_i")).drop("_start", "_i")
 
 
-def ordered_parts(rows: DataFrame, *order: str | Column, n: int = 32) -> DataFrame:
-    """rows with the column part: parts that follow each other in the given order. Written, so that the cuts between them stay the same."""
-    return cut(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
+def ordered_parts(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """rows with the column part: parts that follow each other in the given order, as many as shuffle partitions. Written, so that the cuts between them stay the same."""
+    return cut(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
 
 
 def ranked(rows: DataFrame, order: list, name: str) -> DataFrame:
