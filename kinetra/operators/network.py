@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.reactions import reaction_key, stoich_delta
+from ..functions.species import species_dim
 from ..session import cut
 from .occurrences import numbered
 
@@ -98,6 +99,14 @@ def species_of_formula(stats: DataFrame, dim: DataFrame) -> DataFrame:
     return rows.join(totals, "formula").withColumn("share", F.col("throughput") / F.col("_total")).drop("_total").withColumn("rank", rank)
 
 
+def species_detail(species: DataFrame, stats: DataFrame) -> DataFrame:
+    """What is known of each given species (column smiles), in reactions or not: formula, masses, and its part in the network, 0 where it has none."""
+    known = stats.select(F.col("species").alias("smiles"), "tp_consume", "tp_produce", "n_consume", "n_produce")
+    rows = species_dim(species).join(known, "smiles", "left").fillna(0, ["tp_consume", "tp_produce", "n_consume", "n_produce"])
+    throughput = F.col("tp_consume") + F.col("tp_produce")
+    return rows.select("smiles", "formula", "exact_mass", "nominal_mass", "tp_consume", "tp_produce", throughput.alias("throughput"), "n_consume", "n_produce")
+
+
 def rank_intermediates(stats: DataFrame, dim: DataFrame, min_heavy: int = 1, min_throughput: int = 10, exclude: tuple[str, ...] = ()) -> DataFrame:
     """score = throughput * log2(hub score + 1)."""
     rows = stats.join(dim.select(F.col("smiles").alias("species"), "formula", "n_heavy"), "species").where((F.col("n_heavy") >= min_heavy) & (F.col("throughput") >= min_throughput))

@@ -113,6 +113,19 @@ def mass_catalogue(spark, d):
     return rows.select("formula", _r("exact_mass").alias("exact_mass"), "nominal_mass", "total_count", "n_species", _r("mass_error").alias("mass_error"), "smiles")
 
 
+@query(
+    """, q AS (SELECT DISTINCT repeat('[C]', (p_size % 5 + 1)::INT) || repeat('[O]', (p_partkey % 2)::INT) AS s, p_size % 5 + 1 AS c, p_partkey % 2 AS o FROM part)
+SELECT q.s AS smiles, 'C' || CASE WHEN c > 1 THEN c::VARCHAR ELSE '' END || CASE o WHEN 1 THEN 'O' ELSE '' END AS formula, round(12.0::DOUBLE * c + 15.99491461957::DOUBLE * o, 6) AS exact_mass, 12 * c + 16 * o AS nominal_mass,
+       coalesce(tc, 0) AS tp_consume, coalesce(tpr, 0) AS tp_produce, coalesce(thr, 0) AS throughput, coalesce(nc, 0) AS n_consume, coalesce(np, 0) AS n_produce FROM q LEFT JOIN stats ON stats.s = q.s""",
+    N,
+)
+def species_details(spark, d):
+    """Species of the network, and larger ones that it doesn't have."""
+    part = ad.table(spark, d, "part").select((F.col("p_size") % 5 + 1).cast("int").alias("c"), (F.col("p_partkey") % 2).cast("int").alias("o"))
+    rows = nw.species_detail(part.select(ad._smiles(F.col("c"), F.col("o")).alias("smiles")), nw.species_stats(ad.network(spark, d)))
+    return rows.withColumn("exact_mass", _r("exact_mass"))
+
+
 @query(
     """, o AS (SELECT k, tp, string_split(rf, '+') AS rl, string_split(pf, '+') AS pl, list_filter(string_split(rf, '+'), lambda x: x <> 'C') AS o FROM rd JOIN m USING (k))
 SELECT k AS reaction_key, CASE WHEN list_contains(o, 'CO') THEN '+ CO -> ' WHEN len(list_filter(o, lambda x: contains(x, 'C'))) > 0 THEN '+ ' || list_filter(o, lambda x: contains(x, 'C'))[1] || ' -> ' ELSE '-> ' END || array_to_string(pl, ' + ') AS subclass FROM o""",
