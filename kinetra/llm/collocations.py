@@ -38,7 +38,7 @@ from .common import discard, map_arrow, materialize, read
 #: Ids that are ranks; bits of the largest bitmap; ids of a tile's side, as a power of two; pairs from which a tile is dense.
 HEAD, BITS, SIDE, DENSE = 1 << 16, 26, 10, 1 << 16
 #: Bytes of texts that are split together, and pairs or words that a task gathers before it counts them.
-PART, GATHERED = 1 << 22, 1 << 21
+PART, GATHERED = 1 << 21, 1 << 21
 
 _u64 = np.uint64
 _TOP = _u64(1 << 63)
@@ -336,8 +336,10 @@ def phrases(df: DataFrame, text: str = "text", lang: str = "lang", min_count: in
 def collocations(df: DataFrame, text: str = "text", lang: str = "lang", min_count: int = 30, covered: int = 80, top: int = 2000, head: int = HEAD) -> DataFrame:
     """lang, rank, phrase, a, l, r, n (words of the language) and score of the first phrases of each language."""
     found, totals = phrases(df, text, lang, min_count, covered, head)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    first = found.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    for keys in (["lang", "salt"], ["lang"]):  # the first of each of 64 parts of a language, then the first of those
+        order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        first = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
