@@ -207,7 +207,13 @@ def _lines_brute(docs, least):
                 run = tuple(x.strip(" \t\n\x0b\x0c\r") for x in lines[a:b])
                 if sum(len(x.split()) for x in run) >= least and first.setdefault(run, (i, a)) != (i, a):
                     gone[i] |= set(range(a, b))
-    return {i: "\n".join(x for n, x in enumerate(seq[i]) if n not in gone[i]) if gone[i] else t for i, t in docs}
+    def left(i, text):
+        """All other lines as they are, those without words too."""
+        at = [n for n, x in enumerate(text.split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
+        drop = {at[n] for n in gone[i]}
+        return "\n".join(x for n, x in enumerate(text.split("\n")) if n not in drop)
+
+    return {i: left(i, t) if gone[i] else t for i, t in docs}
 
 
 def test_line_runs(spark):
