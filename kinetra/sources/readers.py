@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.reactions import reaction_key, split_terms
+from ..operators.abundance import frames
 from .audits import audit_timeline, require_clean
 
 TIDY = "time double, species string, count bigint, dataset string, system string"
@@ -83,7 +84,7 @@ def read_molecules(spark: SparkSession, paths: str | list[str], dataset: str = "
     """Molecule CSV: frame is the ordinal of the timestep; atoms count from 1, bonds 'a-b-order' too."""
     raw = spark.read.option("header", True).schema(MOLECULES).csv(paths)
     parts = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x) != "")
-    steps = raw.select("Timestep").distinct().withColumn("frame", (F.row_number().over(Window.orderBy("Timestep")) - 1).cast("bigint"))  # distinct timesteps of one dataset
+    steps = frames(raw.select(F.col("Timestep").alias("timestep"))).select(F.col("timestep").alias("Timestep"), "frame")
     number = lambda x, i: F.get(F.split(x, "-"), F.lit(i)).cast("bigint")
     bonds = F.transform(parts(F.col("BondIDs")), lambda x: F.struct((number(x, 0) + 1).alias("a"), (number(x, 1) + 1).alias("b"), number(x, 2).cast("int").alias("order")))
     return raw.join(steps, "Timestep").select(F.lit(dataset).alias("dataset"), "frame", F.col("Timestep").alias("timestep"), F.col("Species").alias("species"), F.transform(parts(F.col("AtomIDs")), lambda x: F.trim(x).cast("bigint") + 1).alias("atom_ids"), bonds.alias("bonds"))
