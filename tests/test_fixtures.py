@@ -270,3 +270,28 @@ def test_frame_window(spark):
     for r in sp.frame_window(events, frames, 1, 1).collect():
         got.setdefault(r["event_id"], set()).add(r["frame_timestep"])
     assert got == {"a": {0, 10, 20, 3000}, "b": {20, 3000, 3010}, "c": {0, 10}}
+
+
+def test_frame_window_like_a_search_of_all_frames(spark):
+    frames = {"many": sorted({(i * i * 7919) % 40000 - 2000 for i in range(3000)}), "few": [t * 50000 for t in range(-9, 9)], "far": [0, *range(10**11, 10**11 + 40)], "one": [5]}
+    at = [-10**6, -2001, -1, 0, 6, 16383, 16384, 30000, 32768, 75000, 10**6, 10**11 - 1, 10**11 + 20]
+    events = [(d, f"e{t}/{length}", t, t + length) for d in [*frames, "none"] for t in at for length in (0, 1, 3600, -3600, 40000)]
+    events += [("many", "twice", 100, 200), ("many", "twice", 9000, 8000), ("many", "half", None, 7), ("many", "null", None, None), ("many", None, 5, 9), (None, "e", 1, 2)]
+    rows = spark.createDataFrame(events, "dataset string, event_id string, before_timestep long, after_timestep long")
+    steps = spark.createDataFrame([(d, t) for d, x in frames.items() for t in x] + [("many", frames["many"][0]), ("many", None)], "dataset string, timestep long")
+    for before, after in ((1, 2), (0, 0), (-1, 1500)):
+        spans: dict = {}
+        for d, e, *ts in events:
+            spans.setdefault((d, e), []).extend(min(range(len(frames[d])), key=lambda i: abs(frames[d][i] - t)) for t in ts if d in frames and t is not None)
+        want = {(d, e, t) for (d, e), n in spans.items() if n for t in frames[d][max(0, min(n) - max(0, before)) : max(n) + after + 1]}
+        got = [tuple(r) for r in sp.frame_window(rows, steps, before, after).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_frame_windows_are_not_shuffled(spark):
+    frames = spark.range(3000).select(F.lit("d").alias("dataset"), F.col("id").alias("timestep"))
+    events = spark.range(50).select(F.lit("d").alias("dataset"), F.col("id").alias("event_id"), F.col("id").alias("before_timestep"), (F.col("id") + 2000).alias("after_timestep"))
+    rows = sp.frame_window(events, frames)
+    assert rows.count() == sum(min(2000 + i + 1, 2999) - max(i - 1, 0) + 1 for i in range(50))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert all(f"\n   {branch} Generate explode(times" in plan for branch in (":-", "+-"))  # the rows are made last, above every exchange
